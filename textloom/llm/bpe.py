@@ -192,19 +192,26 @@ def loaded(spec: str) -> Bpe:
     return _loaded[key]
 
 
-def _with_ids(spec):
+def _with_ids(spec, with_text):
     def make():
         bpe = loaded(spec.value)
 
         def each(batch: pa.RecordBatch):
             texts = batch.column("text")
             for i in range(0, len(texts), 64):
-                part = texts.slice(i, 64)
-                ids = [bpe.encode(t or "").astype(np.int32) for t in part.to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                col = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                part = texts.slice(i, 64).to_pylist()
+                ids = [bpe.encode(t or "").astype(np.int32) for t in part]
                 decoded = [bpe.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 64), col, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                cols = {
+                    "doc_id": batch.column("doc_id").slice(i, 64),
+                    "n_tokens": pa.array(np.diff(ends).astype(np.int64)),
+                    "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
+                    "round_trip": pa.array([d == (t or "") for d, t in zip(decoded, part, strict=True)]),
+                }
+                if with_text:
+                    cols["decoded"] = pa.array(decoded, pa.string())
+                yield pa.RecordBatch.from_pydict(cols)
 
         return each
 
@@ -235,10 +242,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: doc_id, ids, decoded. ``vocabulary``: path of the tokenizer file on the driver; its text (a few MB) is broadcast."""
+def encode_documents(docs: DataFrame, vocabulary: str, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per input row: doc_id, n_tokens, ids, round_trip (decoding gave the text again) and, if asked for, the decoded text.
+
+    ``vocabulary``: path of the tokenizer file on the driver; its text (a few MB, whatever the input) is broadcast.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
-    return map_batches(_rows(docs, id_col, text_col), _with_ids(spec), "doc_id bigint, ids array<int>, decoded string")
+    schema = "doc_id bigint, n_tokens bigint, ids array<int>, round_trip boolean" + ", decoded string" * with_text
+    return map_batches(_rows(docs, id_col, text_col), _with_ids(spec, with_text), schema)
 
 
 def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import text_of, without_spaces
+from textloom.llm.common import fresh, text_of, without_spaces
 
 
 def _whole(n: int) -> Column:
@@ -34,19 +34,31 @@ def _id_of(rank: Column) -> Column:
     return F.when(rest > 0, (_whole(2**63) - rest).cast("bigint"))
 
 
+def _groups(rows: DataFrame, longest: bool) -> DataFrame:
+    """One row per distinct normalised text. The key holds the bytes, so texts are compared in full, not by hash."""
+    rank = _rank(F.col("n") if longest else F.lit(0), F.col("doc_id"))
+    return rows.groupBy(F.md5(F.col("norm").cast("binary")).alias("h"), "norm").agg(F.max(rank).alias("rank"), F.count(F.lit(1)).alias("group_size")).withColumn("keep_id", _id_of(F.col("rank")))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_of(text_col)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.char_length(text).alias("n"), without_spaces(text).alias("norm"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: bool = True) -> DataFrame:
     """One row per input row: doc_id, keep_id (the row that stays), group_size, kept, text_sha256.
 
     Of equal texts the longest original stays, then the smallest id; with ``longest=False`` the smallest id alone decides.
     """
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.char_length(text).alias("n"), without_spaces(text).alias("norm"))
-    key = [F.md5(F.col("norm").cast("binary")).alias("h"), F.xxhash64("norm").alias("x"), F.octet_length("norm").alias("b")]
-    rank = _rank(F.col("n") if longest else F.lit(0), F.col("doc_id"))
-    groups = (
-        rows.groupBy(F.md5(F.col("norm").cast("binary")).alias("h"), "norm")
-        .agg(F.max(rank).alias("rank"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.xxhash64("norm").alias("x"), F.octet_length("norm").alias("b"), _id_of(F.col("rank")).alias("keep_id"), "group_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-    )
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return rows.select("doc_id", *key).join(groups, ["h", "x", "b"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    rows = _rows(docs, id_col, text_col)
+    keys = [F.xxhash64("norm").alias("x"), F.octet_length("norm").alias("b")]
+    groups = _groups(rows, longest).select("h", *keys, "keep_id", "group_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
+    found = rows.select("doc_id", F.md5(F.col("norm").cast("binary")).alias("h"), *keys).join(groups, ["h", "x", "b"])
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: bool = True) -> DataFrame:
+    """The rows that stay, with their own columns."""
+    (k,) = fresh(docs, "keep_id")
+    kept = _groups(_rows(docs, id_col, text_col), longest).select(F.col("keep_id").alias(k)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(k)), "left_semi")

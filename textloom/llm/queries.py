@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, mixing, near_dedup
+from textloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -23,6 +23,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), shingle=3, numerator=85, denominator=100, bands=30, rows=6)
 
 
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_minhash_near_dedup, op6_mix_sources, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_minhash_near_dedup, op5_quality_crf, op6_mix_sources, op10_bpe)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
