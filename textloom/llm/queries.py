@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
+from textloom.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_files, topk, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -31,11 +31,25 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = token_files.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return token_files.read_tokens(listed, digests=True)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = warc.write_warc(_table(spark, sf_dir, "pages"))
+    return warc.read_warc(listed).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_minhash_near_dedup, op5_quality_crf, op6_mix_sources, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_minhash_near_dedup, op5_quality_crf, op6_mix_sources, op7_top_k, op8_token_files, op9_warc, op10_bpe)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -43,4 +57,15 @@ ORACLE_SQL = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)""",
+    "op7_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+             g AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS top FROM p)
+        SELECT page_id, octet_length(b) AS payload_bytes, to_base32(unhex(sha1(b))) AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM g""",
 }
