@@ -6,9 +6,10 @@
    blocks of about ``block`` nodes, so no bucket lands in one task.
 3. Forest: within each block, signatures are compared and a maximum spanning forest of those that look similar enough is kept: fewer
    links than nodes. They are confirmed on the full sets and give first components.
-4. Rest: between blocks and within them, nodes of one bucket that still are in different components are compared by signature,
-   and all pairs that look similar enough are confirmed on the full sets. No link that banding finds is lost
-   to the forest; pairs inside a component need no test, for they can't change it.
+4. Rest: nodes of one bucket that still are in different components meet once more, within blocks and between them, now with their full sets.
+   All pairs that look similar enough are tested there, the likeliest first, and a block returns only links that join
+   components: fewer than its nodes, however many pairs nearly are links. Pairs inside a component need no test, for
+   they can't change it, so no link that banding finds is lost.
 
 A pair at the threshold is missed by banding with a chance of (1 - t ** rows) ** bands (below 1e-6 for the settings used here), and by
 the signature estimate, which may err by ``slack`` deviations.
@@ -78,26 +79,35 @@ def _pack(sig: np.ndarray) -> bytes:
     return (two.reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64).tobytes()
 
 
-def _signatures(shingle: int, count: int, seed: int):
+def _band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    """A 64-bit key for each band, which differs from band to band for equal rows too."""
+    h = np.arange(1, bands + 1, dtype=np.uint64) * _MIX
+    for column in sig.reshape(bands, -1).T.astype(np.uint64):
+        h = (h ^ column) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def _signatures(shingle: int, bands: int, rows: int, seed: int):
     def make():
-        family = _family(count, seed)
+        family = _family(bands * rows, seed)
 
         def each(batch: pa.RecordBatch):
-            n, k1, k2, sigs, packed = [], [], [], [], []
+            n, k1, k2, keys, packed = [], [], [], [], []
             for text in binary(batch, "text"):
                 s = shingle_set(words(text), shingle)
                 n.append(len(s))
                 if not len(s):
-                    for x in (k1, k2, sigs, packed):
+                    for x in (k1, k2, keys, packed):
                         x.append(None)
                     continue
                 d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 k1.append(int(d[0]))
                 k2.append(int(d[1]))
                 sig = signature(s, family)
-                sigs.append(sig.tobytes())
+                keys.append(_band_keys(sig, bands))
                 packed.append(_pack(sig))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sig", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "keys", "packed"])
 
         return each
 
@@ -108,7 +118,7 @@ def _sets(shingle: int):
     def make():
         def each(batch: pa.RecordBatch):
             for i, text in enumerate(binary(batch, "text")):
-                s = shingle_set(words(text), shingle).view(np.int64)
+                s = np.sort(shingle_set(words(text), shingle).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s))], ["id", "shingles"])
 
         return each
@@ -150,33 +160,46 @@ def _forest(ids: np.ndarray, rows: np.ndarray, count: int, least: float) -> list
     return out
 
 
-def _across(ids: np.ndarray, rows: np.ndarray, comp: np.ndarray, side: np.ndarray, count: int, least: float) -> list[tuple[int, int]]:
-    """Pairs of different components that look similar enough; between the two sides if there are two."""
+def _joining(ids: np.ndarray, rows: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], count: int, least: float, numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Confirmed links that join components; between the two sides if there are two."""
+    may = (_similar(rows, rows, count) >= least) & (comp[:, None] != comp[None, :])
     if side.any():
-        left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        hit = (_similar(rows[left], rows[right], count) >= least) & (comp[left][:, None] != comp[right][None, :])
-        i, j = np.nonzero(hit)
-        return list(zip(ids[left[i]].tolist(), ids[right[j]].tolist(), strict=True))
-    hit = (_similar(rows, rows, count) >= least) & (comp[:, None] != comp[None, :])
-    i, j = np.nonzero(np.triu(hit, 1))
-    return list(zip(ids[i].tolist(), ids[j].tolist(), strict=True))
+        may &= side[:, None] != side[None, :]
+    i, j = np.nonzero(np.triu(may, 1))
+    parent = {c: c for c in comp.tolist()}
+
+    def root(a: int) -> int:
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        return a
+
+    out = []
+    for k in np.argsort(-_pairwise(rows, i, j, count), kind="stable"):
+        x, y = int(i[k]), int(j[k])
+        p, q = root(int(comp[x])), root(int(comp[y]))
+        if p == q:
+            continue
+        s, t = sets[x], sets[y]
+        if denominator * min(len(s), len(t)) < numerator * max(len(s), len(t)):
+            continue
+        both = int((np.searchsorted(t, s, "right") > np.searchsorted(t, s, "left")).sum())
+        if denominator * both >= numerator * (len(s) + len(t) - both):
+            parent[q] = p
+            out.append((int(ids[x]), int(ids[y])))
+    return out
+
+
+def _pairwise(rows: np.ndarray, i: np.ndarray, j: np.ndarray, count: int) -> np.ndarray:
+    d = rows[i] ^ rows[j]
+    return 1 - np.bitwise_count((d | (d >> np.uint64(1))) & _EVEN).sum(axis=1) / count * (1 + 1 / (2**SKETCH_BITS - 1))
 
 
-def _blocks(df: DataFrame, count: int, least: float, forest: bool) -> DataFrame:
-    """Candidate pairs (a < b) of each block. Rows (key, id, packed, comp, side) come ordered by key; a block is bounded, so one is held at a time."""
+def _blocks(df: DataFrame, work) -> DataFrame:
+    """Pairs (a < b) that ``work`` finds in each block. Rows come ordered by their first column, key; a block is bounded, so one is held at a time."""
 
     def run(batches):
         held: list[tuple] = []
 
-        def pairs(group):
-            if len(group) < 2:
-                return []
-            ids = np.array([g[1] for g in group], np.int64)
-            rows = np.frombuffer(b"".join(g[2] for g in group), np.uint64).reshape(len(group), -1)
-            if forest:
-                return _forest(ids, rows, count, least)
-            return _across(ids, rows, np.array([g[3] for g in group], np.int64), np.array([g[4] for g in group], np.int64), count, least)
-
         def packed(found):
             found = {(min(p), max(p)) for p in found if p[0] != p[1]}
             if found:
@@ -185,17 +208,27 @@ def _blocks(df: DataFrame, count: int, least: float, forest: bool) -> DataFrame:
 
         for batch in batches:
             found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            cols = [_slices(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+            for row in zip(*cols, strict=True):
                 if held and held[0][0] != row[0]:
-                    found += pairs(held)
+                    found += work(held) if len(held) > 1 else []
                     held = []
                 held.append(row)
             yield from packed(found)
-        yield from packed(pairs(held))
+        if len(held) > 1:
+            yield from packed(work(held))
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select("key", "id", "packed", "comp", "side").repartition(parts, "key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return df.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _slices(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _arrays(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([h[1] for h in held], np.int64), np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -214,34 +247,37 @@ def near_dedup(docs: DataFrame, shingle: int = 5, numerator: int = 80, denominat
     agree = t + (1 - t) / 2**SKETCH_BITS
     least = t - slack * math.sqrt(agree * (1 - agree) / count) / (1 - 1 / 2**SKETCH_BITS)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialise(map_batches(texts, _signatures(shingle, count, seed), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary, packed binary"), "near-signatures")
+    signed = materialise(map_batches(texts, _signatures(shingle, bands, rows, seed), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, keys array<bigint>, packed binary"), "near-signatures")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     reps = materialise(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "near-sets")
     nodes = full.join(reps.select(F.col("rep").alias("doc_id"), F.col("k1").alias("r1"), F.col("k2").alias("r2")), "doc_id").filter("k1 = r1 and k2 = r2")
 
-    width = 4 * rows
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * width + 1, width)) for i in range(bands)])
-    banded = nodes.select(F.col("doc_id").alias("id"), F.explode(keys).alias("key"))
+    banded = nodes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = banded.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("nth", F.pmod(F.xxhash64("id", "key"), F.col("blocks"))).drop("n")
     members = members.join(nodes.select(F.col("doc_id").alias("id"), "packed"), "id")
     members = materialise(members, "near-buckets")
 
     seen = members.select("id").distinct()
-    sets = materialise(map_batches(texts.join(seen.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), _sets(shingle), "id bigint, shingles array<bigint>"), "near-shingles")
+    sets = materialise(map_batches(texts.join(seen.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), _sets(shingle), "id bigint, shingles array<bigint>"), "near-shingles")
 
-    none = F.lit(None).cast("bigint")
-    inner = members.select(F.xxhash64("key", "nth").alias("key"), "id", "packed", none.alias("comp"), none.alias("side"))
-    links = materialise(_confirmed(_blocks(inner, count, least, forest=True), sets, numerator, denominator), "near-links")
+    inner = members.select(F.xxhash64("key", "nth").alias("key"), "id", "packed")
+    links = _confirmed(_blocks(inner, lambda held: _forest(*_arrays(held), count, least)), sets, numerator, denominator)
+    links = materialise(links, "near-links")
     first = materialise(components(links), "near-components")
 
     labelled = members.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
     blocked = labelled.join(open_, "key").select("*", other)
-    lo, hi = F.least("nth", "other"), F.greatest("nth", "other")
-    blocked = blocked.select(F.xxhash64("key", lo, hi).alias("key"), "id", "packed", "comp", (F.col("nth") > F.col("other")).cast("bigint").alias("side"))
-    more = materialise(_confirmed(_blocks(blocked, count, least, forest=False), sets, numerator, denominator), "near-links")
+    blocked = blocked.select(F.xxhash64("key", F.least("nth", "other"), F.greatest("nth", "other")).alias("key"), "id", "packed", "comp", (F.col("nth") > F.col("other")).cast("bigint").alias("side"))
+    mixed = blocked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    blocked = blocked.join(mixed, "key").join(sets, "id").select("key", "id", "packed", "comp", "side", "shingles")
+
+    def joining(held):
+        return _joining(*_arrays(held), np.array([h[3] for h in held]), np.array([h[4] for h in held]), [h[5] for h in held], count, least, numerator, denominator)
+
+    more = materialise(_blocks(blocked, joining).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
     # what the second step adds joins components, so only these go through the stars again
     named = lambda c: F.coalesce(F.col(c), F.col({"cu": "u", "cv": "v"}[c]))
     step = more.join(first.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(first.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
