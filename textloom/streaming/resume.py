@@ -14,7 +14,7 @@ def document_new_files(spark: SparkSession, folder: str, out: str, progress: str
     ``document`` gets (file, text) and returns rows; these are written as Parquet, each batch under its own number, so a batch that runs
     again replaces itself. Files of more than ``max_lines`` lines are skipped.
     """
-    files = spark.readStream.schema("value string").option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    files = spark.readStream.schema("value string").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.filter(F.size(F.split("text", "\n")) <= max_lines)
