@@ -157,9 +157,12 @@ def containing(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, t
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda j: F.xxhash64(F.lit(k), F.array_join(F.slice("w", j, F.lit(k)), " ")))
 
     hit = None
-    for k in range(1, anchor + 1):
+    lengths = sorted(r.n for r in long_.select("n").distinct().collect())  # at most ``anchor`` numbers
+    for k in lengths:
         met = w.select("text_id", F.explode(F.array_distinct(runs(k))).alias("h")).join(long_.filter(F.col("n") == k).select("h", "item_id"), "h").select("text_id", "item_id")
         hit = met if hit is None else hit.union(met)
+    if hit is None:
+        hit = t.select("text_id").join(i.select("item_id"), F.lit(False))
     found = hit.distinct().join(t, "text_id").join(i, "item_id").filter(F.contains("text", "item")).select("text_id", "item_id")
     short = inner.filter("n < 1").select("item_id", "item")
     per_batch = 10_000
