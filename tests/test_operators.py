@@ -153,6 +153,9 @@ def test_clusters_against_a_walk_in_order(spark):
     assert got == walk({i: n for i, n in near.items() if n})
     pairs_ = {(r.id_a, r.id_b) for r in dedup.similar_pairs(token_docs(spark, {i: sorted(s) for i, s in sets.items()})).collect()}
     assert pairs_ == {(i, j) for i in near for j in near[i] if i < j}
+    copies = token_docs(spark, {0: range(20), 1: range(20), 2: range(1, 21), 3: range(20)})
+    assert [(r.id_a, r.id_b) for r in dedup.similar_pairs(copies).collect()] == [(0, 2)]
+    assert sorted((r.id_a, r.id_b, r.both) for r in dedup.similar_pairs(copies, expand=True).collect()) == [(0, 1, 20), (0, 2, 19), (0, 3, 20), (1, 2, 19), (1, 3, 20), (2, 3, 19)]
 
 
 def test_library(spark):

@@ -21,11 +21,17 @@ PERMUTATIONS = 256
 BANDS = {80: (17, 15), 85: (13, 19)}
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Input that comes in fewer pieces than there are cores (a single small file) is dealt out; larger inputs are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def token_sets(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_TOKENS) -> DataFrame:
-    """id, tokens (distinct, sorted), n; texts below the gate are left out."""
-    tokens = X.code_tokens(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).filter(F.size("t") >= least)
-    return rows.select("id", F.array_sort(F.array_distinct("t")).alias("tokens")).withColumn("n", F.size("tokens"))
+    """id, tokens (distinct, as sorted 64-bit hashes), n, and a 128-bit key of the set in k1, k2; texts below the gate are left out."""
+    rows = _spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).select("id", X.code_tokens("t").alias("t")).filter(F.size("t") >= least)
+    sets = rows.select("id", F.array_sort(F.array_distinct(F.transform("t", lambda x: F.xxhash64(x)))).alias("tokens"))
+    return sets.select("*", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"))
 
 
 def signature(tokens: Column, permutations: int = PERMUTATIONS) -> Column:
@@ -33,57 +39,72 @@ def signature(tokens: Column, permutations: int = PERMUTATIONS) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, s))))
 
 
-def _exact_candidates(sets: DataFrame, percent: int) -> DataFrame:
-    df = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    exploded = sets.select("node", "n", F.explode("tokens").alias("token")).join(df, "token")
-    ranked = exploded.groupBy("node", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("ranked"))
+def _exact_candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """Nodes that share one of their rarest tokens and whose shared prefix leaves room for enough shared tokens.
+
+    Tokens of one node alone come first in the order and need no entry: only the others are counted, ranked and joined.
+    """
+    tokens = nodes.select("node", "n", F.explode("tokens").alias("key"))
+    df = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    common = tokens.join(df, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("c"))
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return ranked.select("node", "n", F.explode(F.slice("ranked", F.lit(1), keep.cast("int"))).alias("key"))
+    alone = F.col("n") - F.size("c")
+    prefix = F.slice("c", F.lit(1), F.greatest(keep - alone, F.lit(0)).cast("int"))
+    index = materialise(common.select("node", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "c")).select("node", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("c.key").alias("key")), "token-index")
+    a, b = (index.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}")) for x in "ab")
+    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("at_a").alias("ia"), F.max("at_b").alias("ib"))
+    most = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    return met.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _lsh_candidates(sets: DataFrame, percent: int) -> DataFrame:
+def _lsh_candidates(nodes: DataFrame, percent: int) -> DataFrame:
     bands, rows = BANDS.get(percent, (17, 15))
-    signed = sets.select("node", "n", signature(F.col("tokens"), bands * rows).alias("sig"))
+    signed = nodes.select("node", "n", signature(F.col("tokens"), bands * rows).alias("sig"))
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))
-    return signed.select("node", "n", F.explode(keys).alias("key"))
+    index = materialise(signed.select("node", "n", F.explode(keys).alias("key")), "token-index")
+    a, b = (index.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    return a.join(b, "key").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
 
 
-def similar_pairs(docs: DataFrame, percent: int = 80, mode: str = "exact", id_col: str = "doc_id", text_col: str = "text", expand: bool = True) -> DataFrame:
-    """Pairs (id_a < id_b) with their shared tokens ``both`` and ``jaccard``, where 100 * both >= percent * union.
-
-    ``expand=False`` returns pairs between the smallest ids of equal sets only; membership then comes from ``token_sets``.
-    """
+def _linked(docs: DataFrame, percent: int, mode: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Links between nodes (id_a < id_b, both, jaccard), and each document's node (id, node, n)."""
     sets = materialise(token_sets(docs, id_col, text_col), "token-sets")
-    nodes = materialise(sets.groupBy("tokens", "n").agg(F.min("id").alias("node")), "token-nodes")
-    index = (_exact_candidates if mode == "exact" else _lsh_candidates)(nodes, percent)
-    a = index.select("key", F.col("node").alias("a"), F.col("n").alias("na"))
-    b = index.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
-    meet = a.join(b, "key").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+    least = materialise(sets.groupBy("k1", "k2").agg(F.min("id").alias("node")), "token-nodes")
+    members = sets.select("id", "n", "k1", "k2").join(least, ["k1", "k2"]).select("id", "node", "n")
+    nodes = sets.join(least.select(F.col("node").alias("id"), F.col("k1").alias("l1"), F.col("k2").alias("l2")), "id").filter("k1 = l1 and k2 = l2").select(F.col("id").alias("node"), "tokens", "n")
+    meet = (_exact_candidates if mode == "exact" else _lsh_candidates)(nodes, percent)
     full = lambda i, t: nodes.select(F.col("node").alias(i), F.col("tokens").alias(t))
-    both = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - F.col("both")
-    pairs = meet.join(full("a", "ta"), "a").join(full("b", "tb"), "b").withColumn("both", both).filter(100 * F.col("both") >= percent * union)
+    pairs = meet.join(full("a", "ta"), "a").join(full("b", "tb"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb"))).filter(100 * F.col("both") >= percent * union)
     pairs = pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "both", F.round(F.col("both") / union, 6).alias("jaccard"))
+    return materialise(pairs, "similar"), members
+
+
+def token_set_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The smallest id with the same token set for each document past the gate: id, node."""
+    sets = token_sets(docs, id_col, text_col).select("id", "k1", "k2")
+    return sets.join(sets.groupBy("k1", "k2").agg(F.min("id").alias("node")), ["k1", "k2"]).select("id", "node")
+
+
+def similar_pairs(docs: DataFrame, percent: int = 80, mode: str = "exact", id_col: str = "doc_id", text_col: str = "text", expand: bool = False) -> DataFrame:
+    """Pairs (id_a < id_b) with their shared tokens ``both`` and ``jaccard``, where 100 * both >= percent * union.
+
+    The pairs are between the smallest ids of equal sets, and ``token_set_members`` has the others; ``expand=True`` spells out all pairs, which
+    grows with the square of the number of copies.
+    """
+    pairs, members = _linked(docs, percent, mode, id_col, text_col)
     if not expand:
         return pairs
-    members = sets.join(nodes, ["tokens", "n"]).select("node", "id", "n")
     across = pairs.join(members.select(F.col("node").alias("id_a"), F.col("id").alias("x")), "id_a").join(members.select(F.col("node").alias("id_b"), F.col("id").alias("y")), "id_b")
     across = across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "both", "jaccard")
     inside = members.join(members.select("node", F.col("id").alias("id_b")), "node").filter(F.col("id") < F.col("id_b"))
     return across.union(inside.select(F.col("id").alias("id_a"), "id_b", F.col("n").alias("both"), F.lit(1.0).alias("jaccard")))
 
 
-def _classes(docs: DataFrame, percent: int, mode: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    sets = token_sets(docs, id_col, text_col)
-    members = sets.select("id", F.sha2(F.array_join("tokens", "\n"), 256).alias("k"))
-    least = members.groupBy("k").agg(F.min("id").alias("node"))
-    members = members.join(least, "k").select("id", "node")
-    return materialise(similar_pairs(docs, percent, mode, id_col, text_col, expand=False), "similar"), members
-
-
 def first_seen(docs: DataFrame, percent: int = 80, mode: str = "exact", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that no document of smaller id resembles."""
-    pairs, members = _classes(docs, percent, mode, id_col, text_col)
+    pairs, members = _linked(docs, percent, mode, id_col, text_col)
     copies = members.filter(F.col("id") > F.col("node")).select("id")
     # a node's neighbours are classes: the smaller ends are known by their smallest ids
     later = pairs.select(F.col("id_b").alias("id"))
@@ -98,7 +119,7 @@ def clusters(docs: DataFrame, percent: int = 80, mode: str = "exact", id_col: st
     extremes, and their copies are the sizes of their clusters. What each document does depends on smaller ids only, so repeating the rule for all at once, until
     nothing changes, gives the same as going through them one by one; each round is two aggregates over the links.
     """
-    pairs, members = _classes(docs, percent, mode, id_col, text_col)
+    pairs, members = _linked(docs, percent, mode, id_col, text_col)
     copies = materialise(members.filter(F.col("id") > F.col("node")).select("id", F.col("node").alias("base")), "copies")
     earlier = pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("x"))
     choice = materialise(earlier.groupBy("id").agg(F.min("x").alias("base")), "bases")

@@ -122,14 +122,13 @@ _NODES = f"""d AS (SELECT doc_id, {_TOKENS} AS w FROM documents), s AS (SELECT d
 @query(f"WITH {_NODES} SELECT id_a, id_b, c AS shared, round(c / (na + nb - c), 6) AS jaccard FROM j")
 def q_jaccard_pairs(spark, sf):
     """Links between the smallest ids of equal token sets; membership is q_token_set_members."""
-    p = dedup.similar_pairs(_t(spark, sf, "documents"), expand=False)
+    p = dedup.similar_pairs(_t(spark, sf, "documents"))
     return p.select("id_a", "id_b", F.col("both").cast("bigint").alias("shared"), "jaccard")
 
 
 @query(f"WITH {_NODES} SELECT s.doc_id, n.id AS representative FROM s JOIN n ON s.t = n.t")
 def q_token_set_members(spark, sf):
-    sets = dedup.token_sets(_t(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.sha2(F.array_join("tokens", "\n"), 256).alias("k"))
-    return sets.join(sets.groupBy("k").agg(F.min("doc_id").alias("representative")), "k").select("doc_id", "representative")
+    return dedup.token_set_members(_t(spark, sf, "documents")).toDF("doc_id", "representative")
 
 
 @query(f"WITH {_NODES} SELECT doc_id FROM documents EXCEPT (SELECT s.doc_id FROM s JOIN n ON s.t = n.t WHERE s.doc_id <> n.id UNION SELECT id_b FROM j)")
