@@ -249,7 +249,7 @@ def test_checkpoints(spark):
 def test_retrieval(spark):
     index = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [1.0, 1.0]), (3, 2, [0.0, -2.0]), (4, 2, [0.0, 0.0])], "vec_id int, doc_id int, embedding array<double>")
     q = spark.createDataFrame([(7, [2.0, 0.1])], "query_id int, embedding array<double>")
-    got = [(r.rank, r.vec_id) for r in retrieval.most_similar(q, index, 2, block=3).orderBy("rank").collect()]
+    got = [(r.rank, r.vec_id) for r in retrieval.most_similar(q, index, 2, at_once=1).orderBy("rank").collect()]
     assert got == [(1, 1), (2, 2)]
     assert [r.vec_id for r in retrieval.nearest(index, [0.0, -1.0], 1).collect()] == [3]
     assert retrieval.best_above(q, index, 0.9999).count() == 0

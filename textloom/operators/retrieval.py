@@ -20,21 +20,68 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
 
 
-def most_similar(queries: DataFrame, index: DataFrame, k: int = 3, query_id: str = "query_id", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = False, block: int = 64) -> DataFrame:
-    """The k best rows of the index for each query: query_id, rank, key, similarity (5 places); ties to the smaller key.
-
-    Vectors are normalised once. Queries meet the index in blocks: each block of queries goes to each of ``block`` slices of the index by an equi-join on
-    the slice, each slice keeps its k best with a bounded sort, and the best of those remain.
+def _scored(queries, k: int, exclude_self: bool):
+    """Per batch of the index: for each query its k best rows, and those within rounding of the k-th."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        blocks = {n: (ids, np.array(q)) for n, (ids, q) in queries.value.items()}
+        for batch in batches:
+            v = batch.column("v")
+            sizes = np.diff(v.offsets.to_numpy())
+            flat, starts = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()[:-1]
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            for n, (ids, q) in blocks.items():
+                at = np.nonzero(sizes == n)[0]
+                if not len(at):
+                    continue
+                m = flat[starts[at][:, None] + np.arange(n)].astype(float)
+                norm = np.sqrt((m * m).sum(axis=1))
+                at, m, norm = at[norm > 0], m[norm > 0], norm[norm > 0]
+                s = q @ (m / norm[:, None]).T
+                if exclude_self:
+                    s[np.array(ids)[:, None] == keys[at][None, :]] = -np.inf
+                if s.shape[1] > k:
+                    floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 1e-5
+                    i, j = np.nonzero(s >= np.maximum(floor, -2)[:, None])
+                else:
+                    i, j = np.nonzero(s > -2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[i]), pa.array(keys[at][j]), pa.array(s[i, j])], ["query_id", "key", "similarity"])
+
+    return run
+
+
+def most_similar(queries: DataFrame, index: DataFrame, k: int = 3, query_id: str = "query_id", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = False, at_once: int = 4096) -> DataFrame:
+    """The k best rows of the index for each query: query_id, rank, key, similarity (5 places); ties to the smaller key. Ids are integers.
+
+    Queries go to the index in blocks of about ``at_once``, each broadcast; a batch of the index meets a block in one matrix product and returns
+    k rows or so for each query. Vectors that are null, zero or of another dimension than the query take no part.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), unit(F.col(vector)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("slice"))
-    d = index.select(F.col(key).alias("key"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.lit(block)).cast("int").alias("slice"))
-    s = q.join(d, "slice").select("query_id", "slice", "key", F.round(dot(F.col("q"), F.col("v")), 5).alias("similarity")).filter(F.col("similarity").isNotNull())
-    if exclude_self:
-        s = s.filter(F.col("query_id") != F.col("key"))
-    best = F.row_number().over(Window.partitionBy("query_id", "slice").orderBy(F.desc("similarity"), "key"))
-    s = s.withColumn("r", best).filter(F.col("r") <= k)
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key"))).filter(F.col("rank") <= k)
-    return s.select("query_id", "rank", F.col("key").alias(key), "similarity")
+    import numpy as np
+
+    from textloom.session import ship
+
+    spark = index.sparkSession
+    ship(spark)
+    q = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("q")).filter("q is not null and not exists(q, x -> x is null)")
+    d = index.select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null and not exists(v, x -> x is null)")
+    blocks = max(1, -(-q.count() // at_once))
+    found = None
+    for b in range(blocks):
+        held: dict[int, tuple[list, list]] = {}
+        for r in q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect():
+            x = np.array(r.q)
+            n = float(np.sqrt((x * x).sum()))
+            if n > 0:
+                ids, rows = held.setdefault(len(x), ([], []))
+                ids.append(r.query_id)
+                rows.append(x / n)
+        part = d.mapInArrow(_scored(spark.sparkContext.broadcast(held), k, exclude_self), "query_id bigint, key bigint, similarity double")
+        found = part if found is None else found.union(part)
+    s = found.withColumn("similarity", F.round("similarity", 5))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key"))
+    return s.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias(key), "similarity")
 
 
 def nearest(index: DataFrame, query: list[float], k: int = 3, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
