@@ -1,8 +1,8 @@
 """Cutting texts where a byte-level BPE tokenizer surely cuts them, so that results can be kept by piece.
 
-A single space between two characters that aren't white space always begins a new pre-token: " ?X+" takes it, and no pre-token goes
-on over it. So a text splits at such spaces into pieces that are encoded on their own, and the pieces of a corpus
-recur. A text with any other arrangement of spaces is encoded as a whole.
+A single space or newline between two characters that aren't white space always is a border of pre-tokens: " ?X+" takes the space with what
+follows, a newline stands alone, and no pre-token goes on over either. So a text splits at them into pieces that are encoded on their own, and
+the pieces of a corpus recur. A text with any other arrangement of spaces and newlines is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: An upper bound of the pieces that a worker keeps.
-KEPT = 1_000_000
+KEPT = 850_000
 
 
 class Pieces(dict):
-    """From a piece (without the space before it) to its ids as bytes; None if the piece shows that its text must not be split."""
+    """From a piece to its ids as bytes; None if the piece shows that its text must not be split. The space before a piece isn't part of it, a newline is."""
 
     def __init__(self, encode: Callable[[str], bytes], kept: int = KEPT):
         super().__init__()
@@ -23,12 +23,14 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes | None:
         if len(self) >= self.kept:
             self.clear()
-        whole = bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
-        ids = self[piece] = self.encode(" " + piece) if whole else None
+        line = piece.startswith("\n")
+        core = piece[1:] if line else piece
+        whole = bool(core) and not core[0].isspace() and not core[-1].isspace()
+        ids = self[piece] = self.encode(piece if line else " " + piece) if whole else None
         return ids
 
     def ids(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
+        first, *rest = text.replace("\n", " \n").split(" ")
         if not rest or not first or first[-1].isspace():
             return self.encode(text) if text else b""
         got = list(map(self.__getitem__, rest))
