@@ -27,6 +27,7 @@ from textloom.session import ship
 SAMPLE = 6000
 THRESHOLD = 0.3
 FOLDS = 5
+PART_BYTES = 1_000_000
 
 _SPACE, _UPPER, _LOWER, _DIGIT, _STOP, _MARK, _HIGH = range(7)
 _CLASS = np.full(256, _MARK, np.uint8)
@@ -97,6 +98,24 @@ def line_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate([own, before, after, np.ones((n, 1)), first[:, None]], axis=1), sizes + 1.0, lines
 
 
+def in_parts(texts: list[bytes | None], size: int = PART_BYTES):
+    """Runs of texts of about ``size`` bytes, so that the arrays made from them stay small; a longer text is a run of its own."""
+    i = 0
+    while i < len(texts):
+        j, total = i + 1, len(texts[i] or b"")
+        while j < len(texts) and total + len(texts[j] or b"") < size:
+            total += len(texts[j] or b"")
+            j += 1
+        yield texts[i:j]
+        i = j
+
+
+def all_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of many texts, part by part."""
+    parts = [line_features(p) for p in in_parts(texts)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _sums_u64(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """One hash for each line, from its words in their order."""
     mixed = (hashes ^ (hashes >> np.uint64(31))) * (np.arange(len(hashes), dtype=np.uint64) - np.searchsorted(of, of).astype(np.uint64) + np.uint64(3))
@@ -168,7 +187,7 @@ class Model:
         fit = np.arange(len(labels)) % 4 != 3
         if not 0 < labels[fit].sum() < fit.sum():
             fit[:] = True
-        x, _, lines = line_features([t for t, f in zip(texts, fit, strict=True) if f])
+        x, _, lines = all_features([t for t, f in zip(texts, fit, strict=True) if f])
         self.mean, self.dev = x.mean(axis=0), x.std(axis=0) + 1e-3
         self.mean[-2:], self.dev[-2:] = 0, 1
         x = (x - self.mean) / self.dev
@@ -190,9 +209,12 @@ class Model:
         self.curve = _adam(lambda c: d.T @ (1 / (1 + np.exp(-d @ c)) - y) / len(y) + 1e-4 * c, self.curve, 600, 0.02)
 
     def _logit(self, texts: list[bytes | None]) -> np.ndarray:
-        x, weights, lines = line_features(texts)
-        q = np.clip(self.chain.quality((x - self.mean) / self.dev, weights, lines), 1e-4, 1 - 1e-4)
-        return np.log(q / (1 - q))
+        out = [np.empty(0)]
+        for part in in_parts(texts):
+            x, weights, lines = line_features(part)
+            q = np.clip(self.chain.quality((x - self.mean) / self.dev, weights, lines), 1e-4, 1 - 1e-4)
+            out.append(np.log(q / (1 - q)))
+        return np.concatenate(out)
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         if self.constant is not None:
@@ -223,16 +245,7 @@ def _scored(model):
         m = model.value
 
         def each(batch: pa.RecordBatch):
-            texts = binary(batch, "text")
-            scores, i = [], 0
-            while i < len(texts):  # about 4 MB of text at a time
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j] or b"") < 4_000_000):
-                    size += len(texts[j] or b"")
-                    j += 1
-                scores.append(m.scores(texts[i:j]))
-                i = j
-            s = np.concatenate(scores)
+            s = m.scores(binary(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
         return each
@@ -259,7 +272,6 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     def score(texts):
         import pandas as pd
 
-        raw = [t.encode() if t else None for t in texts]
-        return pd.Series(np.concatenate([model.value.scores(raw[i : i + 256]) for i in range(0, len(raw), 256)]) if raw else [], dtype="float64")
+        return pd.Series(model.value.scores([t.encode() if t else None for t in texts]), dtype="float64")
 
     return docs.withColumn(s, score(F.col(text_col).cast("string"))).filter(F.col(s) >= threshold).select(*docs.columns)
