@@ -24,8 +24,8 @@ from textloom.llm.common import binary, fresh, map_batches
 from textloom.session import ship
 from textloom.storage import materialise
 
-BITS, LEAST, MOST = 5, 16, 160
-LEAST_WORDS = 20
+BITS, LEAST, MOST = 5, 8, 160
+LEAST_WORDS = 18
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -60,12 +60,16 @@ def cuts(text: bytes, bits: int = BITS, least: int = LEAST, most: int = MOST) ->
     return out
 
 
+#: A chunk's start, length and words in one long, which keeps the rows that are shuffled small: start * 2**24 + length * 2**12 + words.
+_FIELD = 12
+
+
 def _chunked():
     space = np.zeros(256, bool)
     space[[32, 9, 10, 11, 12, 13]] = True
 
     def each(batch: pa.RecordBatch):
-        cols: tuple[list, ...] = ([], [], [], [], [])
+        docs, places = [], []
         digests: list[bytes] = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary(batch, "text"), strict=True):
             if not text:
@@ -74,13 +78,13 @@ def _chunked():
             starts = [0, *ends[:-1]]
             blank = space[np.frombuffer(text, np.uint8)]
             first = ~blank & np.concatenate([[True], blank[:-1]])
-            for c, v in zip(cols, (np.full(len(ends), doc_id), np.arange(len(ends)), np.array(starts), np.array(ends), np.add.reduceat(first, starts, dtype=np.int64)), strict=True):
-                c.append(v)
+            start, words = np.array(starts, np.int64), np.add.reduceat(first, starts, dtype=np.int64)
+            docs.append(np.full(len(ends), doc_id, np.int64))
+            places.append((start << 2 * _FIELD) + ((np.array(ends) - start) << _FIELD) + words)
             digests += [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(starts, ends, strict=True)]
         if digests:
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            doc, nth, start, end, words = (np.concatenate(c).astype(np.int64) for c in cols)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(nth.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "nth", "start", "end", "words", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(places)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "place", "d1", "d2"])
 
     return each
 
@@ -89,13 +93,15 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     """Spans that a document of smaller id has too: doc_id, start, end (bytes of the text in UTF-8), words, first_doc_id (that of the span's first chunk)."""
     ship(docs.sparkSession)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = map_batches(rows, _chunked, "doc_id bigint, nth int, start int, end int, words int, d1 bigint, d2 bigint")
-    chunks = materialise(chunks, "chunks")
+    chunks = materialise(map_batches(rows, _chunked, "doc_id bigint, place bigint, d1 bigint, d2 bigint"), "chunks")
     shared = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("d1", "d2", F.col("first").alias("first_doc_id"))
-    hits = chunks.join(shared, ["d1", "d2"]).filter("first_doc_id < doc_id").select("doc_id", "nth", "start", "end", "words", "first_doc_id")
-    run = F.col("nth") - F.row_number().over(Window.partitionBy("doc_id").orderBy("nth", "start"))
-    spans = hits.withColumn("run", run).groupBy("doc_id", "run")
-    spans = spans.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("bigint").alias("words"), F.min_by("first_doc_id", "nth").alias("first_doc_id"))
+    hits = chunks.join(shared, ["d1", "d2"]).filter("first_doc_id < doc_id").select("doc_id", "place", "first_doc_id")
+    mask = (1 << _FIELD) - 1
+    hits = hits.withColumn("start", F.shiftright("place", 2 * _FIELD)).withColumn("end", F.col("start") + F.shiftright("place", _FIELD).bitwiseAND(mask)).withColumn("n", F.col("place").bitwiseAND(mask))
+    w = Window.partitionBy("doc_id").orderBy("start")
+    begins = (~F.col("start").eqNullSafe(F.lag("end").over(w)) & ~F.col("start").eqNullSafe(F.lag("start").over(w))).cast("int")
+    spans = hits.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w)).groupBy("doc_id", "run")
+    spans = spans.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("words"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
     return spans.filter(F.col("words") >= least_words).drop("run")
 
 
