@@ -40,7 +40,7 @@ PROBES = 4
 SHARD_ENTRIES = 1_500_000
 BROADCAST_BYTES = 1 << 28
 GATHER_BYTES = 1 << 24
-_HASHES = WordHashes(800_000)
+_HASHES = WordHashes(300_000)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIERS = np.random.default_rng(17).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -100,7 +100,7 @@ def _dealt(shards: int):
             for text in binary(batch, "text"):
                 held.append(tokens(text))
                 size += len(held[-1])
-                if size >= 4_000_000:
+                if size >= 1_500_000:
                     yield from out()
                     held, size = [], 0
         if held:
@@ -168,13 +168,13 @@ def _segments(batches):
         return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "words": [w.tobytes()], "word_n": [n.tobytes()], "bits": [bits.tobytes()], "tokens": pa.array([int(n.sum())], pa.int64()), "distinct": pa.array([len(w)], pa.int64()), "entries": pa.array([entries], pa.int64())})
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["shard"] != shard:
+        for i, s in enumerate(batch.column("shard").to_pylist()):
+            if s != shard:
                 if shard is not None:
                     yield closed()
-                shard, held = row["shard"], {k: [] for k in ("words", "word_n", "pairs", "pair_n")}
+                shard, held = s, {k: [] for k in ("words", "word_n", "pairs", "pair_n")}
             for k, v in held.items():
-                v.append(row[k])
+                v.append(batch.column(k)[i].as_buffer())  # a view: the batch isn't copied
     if shard is not None:
         yield closed()
 
@@ -192,9 +192,17 @@ def train(docs: DataFrame, text_col: str = "text", shard_entries: int = SHARD_EN
     return materialise(dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_segments, SEGMENT).withColumn("shards", F.lit(shards).cast("bigint")), "lm-segments")
 
 
+def _taken(sent):
+    """The value of a broadcast, which the worker then lets go with the task instead of keeping it; the next task reads it from its file again."""
+    value = sent.value
+    if getattr(sent, "_path", None):
+        vars(sent).pop("_value", None)
+    return value
+
+
 def _scored(sent):
     def make():
-        n_tokens, distinct, shards, prior, tables = sent.value
+        n_tokens, distinct, shards, prior, tables = _taken(sent)
         log_p = 1.0 / (n_tokens + distinct + 1)
 
         def each(batch: pa.RecordBatch):
@@ -238,7 +246,7 @@ def _scored(sent):
             for text in binary(batch, "text"):
                 held.append(tokens(text))
                 ends.append(len(held[-1]))
-                if sum(ends) > 500_000:
+                if sum(ends) > 250_000:
                     flush()
                     ends = []
             flush()
