@@ -100,7 +100,7 @@ def _dealt(shards: int):
             for text in binary(batch, "text"):
                 held.append(tokens(text))
                 size += len(held[-1])
-                if size >= 1_500_000:
+                if size >= 700_000:
                     yield from out()
                     held, size = [], 0
         if held:
