@@ -154,6 +154,56 @@ def test_repeated_passages(spark):
     assert cut[40] == rows[30][1] and len(cut[42]) < len(rows[32][1]) - 200 and cut[61] is None and len(cut) == len(rows)
 
 
+def brute_passages(rows, least=51):
+    """Runs of words, byte for byte, that a smaller id has too; no chunks, anchors or hashes."""
+    windows, first = [], {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        for n in range(len(at) - least + 1):
+            key = raw[at[n][0] : at[n + least - 1][1]]
+            first[key] = min(first.get(key, i), i)
+            windows.append((i, n, at[n][0], at[n + least - 1][1], key))
+    out = []
+    for i, n, a, b, key in windows:
+        if first[key] == i:
+            continue
+        if out and out[-1][0] == i and n - out[-1][1] < least:
+            out[-1][1], out[-1][3], out[-1][4] = n, b, out[-1][4] + n - out[-1][1]
+        else:
+            out.append([i, n, a, b, least, first[key]])
+    return {(i, a, b, words, f) for i, _, a, b, words, f in out}
+
+
+def test_passages_of_short_words_against_brute_force(spark):
+    rng = random.Random(12)
+
+    def text(n, low, high):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(low, high))) for _ in range(n))
+
+    rows, planted = [], set()
+    for k, (n, low, high) in enumerate([(51, 1, 1), (51, 1, 2), (51, 2, 4), (51, 1, 6), (51, 3, 9), (50, 2, 4), (60, 2, 4)] * 12):
+        passage = text(n, low, high)
+        rows += [(100 * k + j, f"{text(rng.randint(0, 80), low, high)} {passage}\n{text(rng.randint(0, 80), low, high)}") for j in range(1, 4)]
+        planted |= {100 * k + 2, 100 * k + 3} if n > 50 else set()
+    # parts of a passage come earlier than the whole of it
+    whole = text(51, 2, 4)
+    rows += [(20000, whole[:-8] + " other"), (20001, "other " + whole[8:]), (20002, f"{text(9, 2, 4)} {whole}"), (20003, f"{whole} {text(9, 2, 4)}")]
+    rows += [(20010, "ab " * 300), (20011, "ab " * 200), (20012, f"{text(30, 1, 9)}é" * 3), (20013, None), (20014, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in substring_dedup.repeated_passages(df).collect()]
+    assert set(got) == brute_passages(rows) and len(got) == len(set(got))
+    assert {r[0] for r in got} == planted | {20003, 20011}
+
+
+def test_passages_of_rows_that_repeat_an_id(docs, no_docs):
+    got = substring_dedup.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in got} == {(15, 14)} and len(got) == 1
+    few = {(r.doc_id, r.first_doc_id, r.words) for r in substring_dedup.repeated_passages(docs, 9).collect() if r.doc_id != 15}
+    assert few == {(11, 1, 9)}
+    assert substring_dedup.repeated_passages(no_docs).count() == 0
+
+
 def test_passages_awkward_rows(docs, no_docs):
     got = substring_dedup.repeated_spans(docs).collect()
     assert {r.doc_id for r in got} == {15} and {r.first_doc_id for r in got} == {14}

@@ -20,7 +20,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

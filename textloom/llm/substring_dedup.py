@@ -1,6 +1,12 @@
-"""Repeated passages by content-defined chunking.
+"""Repeated passages: exactly, by windows of words, or roughly, by content-defined chunks.
 
-A gear hash rolls over the bytes of each text; where its top bits are zero a chunk ends, so cuts depend on the last 32 bytes alone and come
+``repeated_passages`` finds every run of ``least_words`` words (51: a passage of over 50) whose bytes, with the white space between the words, a document of smaller
+id has too. Each such window of a text has an anchor, the place of the least hash of its 64-byte grams, which depends on the window's bytes alone. So windows that
+are equal have equal grams at their anchors, and a window whose anchor's gram no other document has is no repeat. One row per anchor, about one for every
+hundred bytes, thus picks the windows that may repeat; only these are hashed whole and counted, and repeated windows that overlap are one passage. Nothing is lost
+whatever the length of the words. Two different windows are taken for one only if their 64-bit hashes agree.
+
+``repeated_spans`` is quicker to say where copies are, but loses the partial chunks at the ends of a passage and with them some short ones. A gear hash rolls over the bytes of each text; where its top bits are zero a chunk ends, so cuts depend on the last 32 bytes alone and come
 back after insertions. Chunks are keyed by a 128-bit digest. A digest that documents share belongs to the smallest doc_id that has it;
 in all others the chunk is a repeat. Neighbouring repeats join into spans. A span counts if it has at least ``least_words`` words:
 a passage of over 50 words keeps about that many once the partial chunks at its ends are lost.
@@ -105,10 +111,115 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     return spans.filter(F.col("words") >= least_words).drop("run")
 
 
-def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: A passage of over 50 words.
+PASSAGE_WORDS = 51
+GRAM = 64
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def grams(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of the ``size`` bytes (a power of two) from each place on, by doubling."""
+    h, k, p = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), 1, _MIX
+    while k < size:
+        h = h[:-k] * p + h[k:]
+        p, k = np.multiply(p, p), 2 * k
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def anchors(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """For each window of a text, from ``starts`` to ``ends``, the place of the least gram hash inside it; the last of equal ones."""
+    n = ends - starts - size + 1
+    level = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
+    log = np.frexp(n.astype(np.float64))[1] - 1
+    out = np.empty(len(n), np.uint64)
+    for j in range(int(log.max()) + 1):  # level[i] is the least of the 2 ** j from i on
+        if j:
+            half = 1 << (j - 1)
+            level = np.minimum(level[:-half], level[half:])
+        pick = np.nonzero(log == j)[0]
+        out[pick] = np.minimum(level[starts[pick]], level[starts[pick] + n[pick] - (1 << j)])
+    return (_LOW - (out & _LOW)).astype(np.int64)
+
+
+def _windows(text: bytes | None, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Where the windows of so many words start and end, their anchors, and the hashes of all grams; None where a text has no window."""
+    if not text or len(text) < 2 * words - 1:
+        return None
+    data = np.frombuffer(text, np.uint8)
+    blank = np.concatenate([[True], _SPACE[data], [True]])
+    edges = np.nonzero(blank[1:] != blank[:-1])[0]
+    starts, ends = edges[::2], edges[1::2]
+    if len(starts) < words:
+        return None
+    starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
+    size = min(GRAM, 1 << ((2 * words - 1).bit_length() - 1))  # no window is shorter
+    h = grams(data, size)
+    return starts, ends, anchors(h, starts, ends, size), h
+
+
+def _anchored(words: int):
+    def make():
+        def each(batch: pa.RecordBatch):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary(batch, "text"), strict=True):
+                found = _windows(text, words)
+                if found is None:
+                    continue
+                at = np.unique(found[2])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc_id, np.int64)), pa.array(at), pa.array(found[3][at].view(np.int64))], ["doc_id", "at", "gram"])
+
+        return each
+
+    return make
+
+
+def _hashed(words: int):
+    """The windows whose anchors are among those of their row."""
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            for doc_id, text, anchored in zip(batch.column("doc_id").to_pylist(), binary(batch, "text"), batch.column("anchors"), strict=True):
+                found = _windows(text, words)
+                if found is None:
+                    continue
+                starts, ends, at, _ = found
+                nth = np.nonzero(np.isin(at, anchored.values.to_numpy()))[0]
+                h = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(starts[nth].tolist(), ends[nth].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nth), doc_id, np.int64)), pa.array(nth), pa.array(starts[nth]), pa.array(ends[nth]), pa.array(np.array(h, np.uint64).view(np.int64))], ["doc_id", "nth", "start", "end", "hash"])
+
+        return each
+
+    return make
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that several documents have, with the least id."""
+    return rows.groupBy(key).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).filter("first_doc_id < last").drop("last")
+
+
+def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Passages of at least ``least_words`` words that a document of smaller id has too: doc_id, start, end (bytes of the text in UTF-8), words, first_doc_id (the least that has the first words)."""
+    ship(docs.sparkSession)
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    seeds = materialise(map_batches(rows, _anchored(least_words), "doc_id bigint, at bigint, gram bigint"), "anchors")
+    met = seeds.join(_shared(seeds, "gram").select("gram"), "gram").groupBy("doc_id").agg(F.collect_set("at").alias("anchors"))
+    windows = map_batches(rows.join(met.hint("merge"), "doc_id"), _hashed(least_words), "doc_id bigint, nth bigint, start bigint, end bigint, hash bigint")
+    windows = materialise(windows, "windows")
+    hits = windows.join(_shared(windows, "hash"), "hash").filter("first_doc_id < doc_id").drop("hash")
+    w = Window.partitionBy("doc_id").orderBy("nth")
+    begins = F.coalesce(F.col("nth") - F.lag("nth").over(w) >= least_words, F.lit(True)).cast("int")
+    runs = hits.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w)).groupBy("doc_id", "run")
+    runs = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("nth") - F.min("nth") + least_words).alias("words"), F.min_by("first_doc_id", "nth").alias("first_doc_id"))
+    return runs.drop("run")
+
+
+def without_repeats(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their own columns, repeated spans cut out of the text; the first holder keeps each passage."""
     k, s = fresh(docs, "span_id", "spans")
-    spans = repeated_spans(docs, least_words, id_col, text_col).groupBy(F.col("doc_id").alias(k)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(s))
+    spans = repeated_passages(docs, least_words, id_col, text_col).groupBy(F.col("doc_id").alias(k)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(s))
     joined = docs.join(spans, F.col(id_col) == F.col(k), "left")
 
     @F.pandas_udf("string")
