@@ -366,3 +366,33 @@ def test_resumable_documenting(spark, tmp_path):
     start()
     start()
     assert sorted((r.file, r.n) for r in spark.read.parquet(str(out)).collect()) == [("a.v", 3), ("b.v", 2)]
+
+
+def test_loose_matches_of_whole_tables(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    rng = random.Random(8)
+    texts = ["a b", "ab", "a\nb", "c", "", " ", None, "d e", "x"]
+    old = [(rng.choice(["hot", "hot", "hot", "n", None]), i, rng.choice(texts)) for i in range(300)] + [("blank", 900, None), ("blank", 901, None)]
+    new = [(rng.choice(["hot", "hot", "n", "gone", None]), rng.choice([*texts, "new", "a  b c"])) for _ in range(300)] + [("blank", "a"), ("blank", None)]
+    bare = lambda t: t if t is None else t.replace("\n", "").replace(" ", "").replace("\t", "")
+    want = set()
+    for name, text in set(new):
+        mine = [(i, bare(t)) for n, i, t in old if name is not None and n == name]
+        if not mine:
+            continue
+        hits = [i for i, c in mine if c is not None and c == bare(text)]
+        known = text is not None and any(c is not None for _, c in mine)
+        want.add((name, text, min(hits) if hits else min(i for i, _ in mine), not hits if known else None))
+    joined = library.match_loosely(spark.createDataFrame(new, "name string, text string"), spark.createDataFrame(old, "name string, task_id bigint, text string"))
+    got = [tuple(r) for r in joined.select("name", "text", "old_id", "impacted").collect()]
+    assert set(got) == want and len(got) == len(want)
+    # every document is a new file and a candidate
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").toPandas()
+    rows = entry.queries()["q_match_loosely_all"](spark, sf_dir).collect()
+    edits = {(r.source, "x" + r.text if r.doc_id % 3 == 0 else f" {r.text}\n" if r.doc_id % 3 == 1 else r.text) for r in d.itertuples()}
+    assert len(rows) == len(edits)
+    first = {}
+    for r in d.sort_values("doc_id").itertuples():
+        first.setdefault((r.source, bare(r.text)), r.doc_id)
+    assert {r.old_id for r in rows if r.impacted is False} >= {i for i in first.values() if i % 3}

@@ -49,11 +49,17 @@ def match_by_code(files: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def match_loosely(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Old tasks (name, task_id, text) for new files (name, text): the one of equal code (white space aside), or else the first of the name, then impacted."""
-    o = old.select("name", F.col("task_id").alias("old_id"), X.squeeze("text").alias("old_code"))
-    joined = new.join(o, "name").withColumn("same", X.squeeze("text") == F.col("old_code"))
-    g = joined.groupBy("name", "text").agg(F.min_by("old_id", F.when(F.col("same"), F.col("old_id"))).alias("hit"), F.bool_or("same").alias("same"), F.min("old_id").alias("first_id"))
-    return g.select("name", "text", F.when(F.col("same"), F.col("hit")).otherwise(F.col("first_id")).alias("old_id"), (~F.col("same")).alias("impacted"))
+    """Old tasks (name, task_id, text) for new files (name, text): the one of equal code (white space aside), or else the first of the name, then impacted.
+
+    Whether it is impacted is null where the new text is, or where the name's old texts all are. Codes meet by their digests, so no name's files meet all its tasks.
+    """
+    digest = lambda c: F.sha2(X.squeeze(c), 256)
+    o = old.select("name", F.col("task_id").alias("old_id"), digest("text").alias("code"))
+    first = o.groupBy("name").agg(F.min("old_id").alias("first_id"), F.count("code").alias("codes"))
+    same = o.filter("code IS NOT NULL").groupBy("name", "code").agg(F.min("old_id").alias("hit"), F.lit(True).alias("same"))
+    n = new.select("name", "text").distinct().withColumn("code", digest("text")).join(first, "name").join(same, ["name", "code"], "left")
+    impacted = F.when(F.col("code").isNotNull() & (F.col("codes") > 0), F.col("same").isNull())
+    return n.select("name", "text", F.when(F.col("same"), F.col("hit")).otherwise(F.col("first_id")).alias("old_id"), impacted.alias("impacted"))
 
 
 def dependency_impact(meta: DataFrame, changed: DataFrame) -> DataFrame:

@@ -177,6 +177,19 @@ def q_match_loosely(spark, sf):
     return got.select("name", F.md5(F.col("text").cast("binary")).alias("code"), "old_id", "impacted")
 
 
+@query("""WITH o AS (SELECT source AS name, doc_id AS id, replace(replace(replace(text, chr(10), ''), ' ', ''), chr(9), '') AS c FROM documents),
+    n AS (SELECT DISTINCT source AS name, CASE doc_id % 3 WHEN 0 THEN 'x' || text WHEN 1 THEN ' ' || text || chr(10) ELSE text END AS text FROM documents),
+    f AS (SELECT name, min(id) AS id, count(c) AS k FROM o GROUP BY 1), h AS (SELECT name, c, min(id) AS id FROM o GROUP BY 1, 2)
+    SELECT n.name, md5(text) AS code, coalesce(h.id, f.id) AS old_id, CASE WHEN text IS NOT NULL AND k > 0 THEN h.id IS NULL END AS impacted
+    FROM n JOIN f ON n.name = f.name LEFT JOIN h ON n.name = h.name AND replace(replace(replace(text, chr(10), ''), ' ', ''), chr(9), '') = h.c""")
+def q_match_loosely_all(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("name"), "text")
+    k = F.col("doc_id") % 3
+    edited = F.when(k == 0, F.concat(F.lit("x"), "text")).when(k == 1, F.concat(F.lit(" "), "text", F.lit("\n"))).otherwise(F.col("text"))
+    got = library.match_loosely(d.select("name", edited.alias("text")), d.withColumnRenamed("doc_id", "task_id"))
+    return got.select("name", F.md5(F.col("text").cast("binary")).alias("code"), "old_id", "impacted")
+
+
 @query("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def q_sidecar(spark, sf):
     f = _t(spark, sf, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".v")).alias("name"))
