@@ -103,6 +103,20 @@ def test_near_against_brute_force(spark):
             assert got == brute_near(rows, k, t)
 
 
+def test_near_links_whose_sketches_err(spark):
+    """Pairs right at the threshold whose two-bit estimates are 3 to 4 deviations too low."""
+    op3 = (254, 343, 771, 1057, 1159, 1360, 1893, 2355, 2749, 2754, 2925, 3209, 3212, 3340, 3420, 3523, 3865)
+    pipeline = (507, 1241, 1337, 1359, 1528, 1897, 2068, 2410, 2813, 3418, 3426, 3553, 3654)
+    for k, t, bands, r, seeds, n in ((3, 85, 30, 6, op3, 39), (5, 80, 32, 5, pipeline, 40)):
+        rows = []
+        for seed in seeds:
+            rng = random.Random(seed)
+            w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            rows += [(2 * seed, " ".join(w)), (2 * seed + 1, " ".join(w[:36] + [f"x{rng.randrange(10**6)}" for _ in range(n - 36)]))]
+        got = {tuple(x) for x in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=k, numerator=t, bands=bands, rows=r).collect()}
+        assert got == brute_near(rows, k, t) and {x[2] for x in got} == {2 * s for s in seeds}
+
+
 def test_near_awkward_rows(docs, no_docs):
     got = near_dedup.near_dedup(docs, shingle=3, numerator=85, bands=30, rows=6)
     rows = got.collect()
