@@ -396,3 +396,14 @@ def test_loose_matches_of_whole_tables(spark, sf_dir):
     for r in d.sort_values("doc_id").itertuples():
         first.setdefault((r.source, bare(r.text)), r.doc_id)
     assert {r.old_id for r in rows if r.impacted is False} >= {i for i in first.values() if i % 3}
+
+
+def test_lsh_bands_follow_the_threshold(spark):
+    assert dedup.bands_and_rows(80) == (17, 15) and dedup.bands_and_rows(85) == (13, 19)
+    for percent in range(50, 100, 5):
+        bands, rows = dedup.bands_and_rows(percent)
+        assert bands * rows <= dedup.PERMUTATIONS and 0.3 < 1 - (1 - (percent / 100) ** rows) ** bands < 0.6
+    # 40 pairs of similarity 0.67, each of which 17 bands of 15 rows meet with a chance of 4 %
+    sets = {2 * k + j: range(1000 * k + 10 * j, 1000 * k + 50 + 10 * j) for k in range(40) for j in (0, 1)}
+    assert dedup.first_seen(token_docs(spark, sets), percent=60).count() == 40
+    assert dedup.first_seen(token_docs(spark, sets), percent=60, mode="lsh").count() < 60

@@ -2,13 +2,18 @@
 
 The join is exact: each document indexes its rarest tokens only (a prefix long enough that similar sets must share one), pairs of very
 different size are dropped before they meet, and what is left is verified on the full sets. ``mode="lsh"`` finds candidates by banded
-MinHash signatures instead and may miss pairs.
+MinHash signatures instead and may miss pairs. Its bands and rows are those of at most 256 permutations that balance misses and false hits at the
+threshold, so right at it about half of the pairs meet: at 80 percent (17 bands of 15 rows) 46 % of the pairs of similarity 0.80, 79 % at
+0.85 and 98 % at 0.90. Copies that the exact mode drops stay in its results.
 
 Documents with the same token set are one node of the join, so copies don't multiply the pairs.
 """
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +22,20 @@ from textloom.storage import materialise
 
 MIN_TOKENS = 10
 PERMUTATIONS = 256
-#: Bands and rows of 256 permutations that balance misses and false hits at each threshold.
-BANDS = {80: (17, 15), 85: (13, 19)}
+
+
+@functools.cache
+def bands_and_rows(percent: int, permutations: int = PERMUTATIONS) -> tuple[int, int]:
+    """Bands and rows with the least sum of false hits below a threshold and misses above it, over all similarities alike."""
+    s = (np.arange(1000) + 0.5) / 1000
+    below = s < percent / 100
+
+    def wrong(shape: tuple[int, int]) -> float:
+        bands, rows = shape
+        missed = (1 - s**rows) ** bands
+        return float(np.where(below, 1 - missed, missed).sum())
+
+    return min(((b, r) for b in range(1, permutations + 1) for r in range(1, permutations // b + 1)), key=wrong)
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -59,7 +76,7 @@ def _exact_candidates(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _lsh_candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    bands, rows = BANDS.get(percent, (17, 15))
+    bands, rows = bands_and_rows(percent)
     signed = nodes.select("node", "n", signature(F.col("tokens"), bands * rows).alias("sig"))
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))
     index = materialise(signed.select("node", "n", F.explode(keys).alias("key")), "token-index")
