@@ -407,3 +407,26 @@ def test_lsh_bands_follow_the_threshold(spark):
     sets = {2 * k + j: range(1000 * k + 10 * j, 1000 * k + 50 + 10 * j) for k in range(40) for j in (0, 1)}
     assert dedup.first_seen(token_docs(spark, sets), percent=60).count() == 40
     assert dedup.first_seen(token_docs(spark, sets), percent=60, mode="lsh").count() < 60
+
+
+def test_causal_tokens_of_whole_texts(spark, sf_dir, tmp_path):
+    from collections import Counter
+
+    import __spark_entry__ as entry
+
+    run = entry.queries()["q_causal_tokens_of_texts"]
+
+    def want(rows):
+        out = Counter()
+        for conv, turn, role, text in rows:
+            s, t = ([b + 3 for b in (x or "").encode()] for x in (role, text))
+            s, t = [1, *s][:2048], [*t, 2][:1024]
+            out[conv, turn, ",".join(map(str, s + t)), ",".join(map(str, [-100] * len(s) + t))] += 1
+        return out
+
+    schema = "conv_id bigint, turn int, role string, text string"
+    rows = [(1, 0, "user", "é中 a"), (1, 1, None, "x"), (2, 0, "user", None), (2, 1, "", ""), (3, 0, "r" * 3000, "t" * 1023), (3, 1, "user", "t" * 1024), (3, 2, None, None), (4, 0, "user", "long " * 2000), (4, 0, "user", "é" * 600)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert Counter(map(tuple, run(spark, str(tmp_path)).collect())) == want(rows)
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    assert Counter(map(tuple, run(spark, sf_dir).collect())) == want(map(tuple, given))

@@ -17,6 +17,10 @@ class Tokenizer(Protocol):
     def count(self, text: str) -> int: ...
 
 
+class Encoder(Protocol):
+    def encode(self, text: str) -> list[int]: ...
+
+
 class SyntaxChecker(Protocol):
     def check(self, text: str, name: str | None) -> tuple[bool, list[str], str | None]:
         """Whether the text is valid, which modules it instantiates, and what is wrong."""
@@ -40,6 +44,13 @@ class CharTokenizer:
         return -(-len(text) // 4)
 
 
+class ByteTokenizer:
+    """The offline stand-in for a tokenizer's ids: 3 and up, one for each byte in UTF-8."""
+
+    def encode(self, text: str) -> list[int]:
+        return [b + 3 for b in text.encode()]
+
+
 class TiktokenTokenizer:
     """Counts by a rank file; the file's path is a parameter."""
 
@@ -131,6 +142,11 @@ def _column(f: Callable, returns: str):
     return run
 
 
+def token_ids(encoder: Encoder, text: Column) -> Column:
+    """All ids of each text; none for null."""
+    return F.coalesce(_column(encoder.encode, "array<int>")(text), F.array().cast("array<int>"))
+
+
 def token_count(tokenizer: Tokenizer, text: Column) -> Column:
     return _column(tokenizer.count, "bigint")(text)
 

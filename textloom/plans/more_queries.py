@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions import plugins
 from textloom.functions import text as X
 from textloom.operators import grading, library, lines, pairs
 from textloom.plans.queries import _LINE_CTE, _OUT, _joined, _lines, _outcomes, _t, query
@@ -260,6 +261,13 @@ def q_causal_tokens(spark, sf):
     return _t(spark, sf, "conversations").select("conv_id", "turn", F.size(ids).alias("size"), _joined(labels).alias("labels"))
 
 
+@query()
+def q_causal_tokens_of_texts(spark, sf):
+    source, target = (plugins.token_ids(plugins.ByteTokenizer(), F.col(c)) for c in ("role", "text"))
+    ids, labels = pairs.causal_tokens(source, target, 1, 2)
+    return _t(spark, sf, "conversations").select("conv_id", "turn", _joined(ids).alias("ids"), _joined(labels).alias("labels"))
+
+
 @query("SELECT doc_id AS task_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS code, CAST(ceil(length(source) / 4.0) AS BIGINT) AS summary, CAST(ceil(length(text) / 4.0) + ceil(length(source) / 4.0) AS BIGINT) AS llm1 FROM documents")
 def q_token_totals(spark, sf):
     d = _t(spark, sf, "documents").select(F.col("doc_id").alias("task_id"), F.col("text").alias("code"), F.col("source").alias("summary"), F.array("lang").alias("block_summary"), F.array("lang").alias("comments"), X.lines("text").alias("lines"))
