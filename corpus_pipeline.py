@@ -36,7 +36,7 @@ def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("exact", drop_copies), ("near", drop_near_copies), ("mix", mix_sources), ("bpe", to_ids)]
 
-#: The classifier and the signatures can't be said in SQL; tests/llm hold the stages against brute force.
+#: The classifier and the signatures can't be said in SQL; tests/llm hold the stages exact and near against brute force, of the others only their operators.
 ORACLE_SQL = None
 
 

@@ -230,3 +230,26 @@ def test_cuts_come_back_after_an_insertion():
     raw = bytes(rng.randrange(97, 123) for _ in range(4000))
     a, b = substring_dedup.cuts(raw), substring_dedup.cuts(raw[:500] + b"inserted" + raw[500:])
     assert len({x for x in a if x > 1000} & {x - 8 for x in b}) > 0.9 * len([x for x in a if x > 1000])
+
+
+def test_copy_stages_of_the_pipeline(spark, docs, no_docs):
+    """The stages exact and near with the pipeline's own parameters, one after the other."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "exact", "near", "mix", "bpe"]
+    rng = random.Random(21)
+    near = noisy_group(rng, 30, 60, 100)
+    rows = [(i, t) for i, t, _ in ROWS if i not in (None, 7)] + near + [(200 + i, f" {t}\n") for i, t in near[:5]]
+    distinct = {}
+    for i, t in rows:
+        distinct.setdefault(SPACE.sub("", t or ""), []).append((-len(t or ""), i))
+    kept = {min(g)[1] for g in distinct.values()}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'s' AS source")
+    exact = stages["exact"](spark, df, "")
+    assert exact.columns == df.columns and sorted(r.doc_id for r in exact.collect()) == sorted(kept)
+    left = stages["near"](spark, exact, "")
+    want = [i for i, _, _, first in brute_near([r for r in rows if r[0] in kept], 5, 80) if first]
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(want)
+    for name in ("exact", "near"):
+        assert stages[name](spark, docs, "").columns == docs.columns and stages[name](spark, no_docs, "").count() == 0
