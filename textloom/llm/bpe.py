@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.chunks import Pieces
+from textloom.llm.chunks import Pieces, gathered, in_turn, parts
 from textloom.llm.common import map_batches
 from textloom.session import ship
 
@@ -89,7 +89,11 @@ class Bpe:
             spelled[i] = t.encode()
         self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in spelled])])
         self.buffer = np.frombuffer(b"".join(spelled), np.uint8)
-        self.words = Pieces(self.encode_bytes)
+        each = in_turn(self.encode_bytes, self.dtype)
+        self.words = Pieces(each, each, self.dtype)
+        decimals = [b"%d," % i for i in range(size)]
+        self.decimal_offsets = np.concatenate([[0], np.cumsum(list(map(len, decimals)))])
+        self.decimals = np.frombuffer(b"".join(decimals), np.uint8)
         self._pieces: dict[str, bytes] = {}
 
     def _spine(self, token: str, side: int, kept: dict) -> list[tuple[str, float]]:
@@ -118,7 +122,7 @@ class Bpe:
     def compatible(self, a: str, b: str) -> bool:
         got = self._apart.get((a, b))
         if got is None:
-            if len(self._apart) > 500_000:
+            if len(self._apart) > 150_000:
                 self._apart.clear()
             got = self._apart[a, b] = self._stay_apart(a, b, float("inf"))
         return got
@@ -151,7 +155,7 @@ class Bpe:
         for p in self._pre.findall(text):
             got = self._pieces.get(p)
             if got is None:
-                if len(self._pieces) > 200_000:
+                if len(self._pieces) > 50_000:
                     self._pieces.clear()
                 got = self.encode_pretoken(p.encode().decode("latin-1"))
                 if len(p) < 64:
@@ -165,19 +169,34 @@ class Bpe:
         return b"".join(np.array([self.added[p]], self.dtype).tobytes() if i % 2 else self._plain(p) for i, p in enumerate(self._cut.split(text)))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.words.ids(text), self.dtype)
+        return self.words.one(text)
 
-    def decode_bytes(self, ids: np.ndarray) -> bytes:
-        ids = ids.astype(np.int64)
+    def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, end to end, and how many each id has."""
         start = self.offsets[ids]
-        size = self.offsets[ids + 1] - start
-        ends = np.cumsum(size)
-        if not len(ends):
-            return b""
-        return self.buffer[np.arange(ends[-1]) + np.repeat(start - ends + size, size)].tobytes()
+        sizes = self.offsets[ids.astype(np.int64) + 1] - start
+        return gathered(self.buffer, start, sizes), sizes
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.decode_bytes(ids).decode("utf-8", "replace")
+        return self.spelled(ids)[0].tobytes().decode("utf-8", "replace")
+
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of documents whose ids stand end to end."""
+        data, length = self.spelled(ids)
+        return [x.decode("utf-8", "replace") for x in _cut_up(data.tobytes(), length, sizes)]
+
+    def in_decimal(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The ids of each document as decimal numbers, joined by commas."""
+        start = self.decimal_offsets[ids]
+        length = self.decimal_offsets[ids.astype(np.int64) + 1] - start
+        return [x[:-1] for x in _cut_up(gathered(self.decimals, start, length).tobytes(), length, sizes)]
+
+
+def _cut_up(data: bytes, length: np.ndarray, sizes: np.ndarray):
+    """The bytes of each document, where each id has ``length`` bytes and each document ``sizes`` ids."""
+    at = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield data[a:b]
 
 
 _loaded: dict[str, Bpe] = {}
@@ -192,22 +211,28 @@ def loaded(spec: str) -> Bpe:
     return _loaded[key]
 
 
+def _encoded(bpe: Bpe, batch: pa.RecordBatch):
+    """Parts of a batch: doc_ids, texts, all ids and how many each document has."""
+    at = 0
+    for texts in parts(batch.column("text")):
+        yield batch.column("doc_id").slice(at, len(texts)), texts, *bpe.words.of(texts)
+        at += len(texts)
+
+
 def _with_ids(spec, with_text):
     def make():
         bpe = loaded(spec.value)
 
         def each(batch: pa.RecordBatch):
-            texts = batch.column("text")
-            for i in range(0, len(texts), 64):
-                part = texts.slice(i, 64).to_pylist()
-                ids = [bpe.encode(t or "").astype(np.int32) for t in part]
-                decoded = [bpe.decode(x) for x in ids]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            for doc_ids, texts, ids, sizes in _encoded(bpe, batch):
+                decoded = bpe.decode_all(ids, sizes)
+                if decoded != texts.to_pylist():
+                    raise ValueError("a text does not come back from its ids")
                 cols = {
-                    "doc_id": batch.column("doc_id").slice(i, 64),
-                    "n_tokens": pa.array(np.diff(ends).astype(np.int64)),
-                    "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
-                    "round_trip": pa.array([d == (t or "") for d, t in zip(decoded, part, strict=True)]),
+                    "doc_id": doc_ids,
+                    "n_tokens": pa.array(sizes),
+                    "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32))),
+                    "round_trip": pa.array(np.ones(len(sizes), bool)),
                 }
                 if with_text:
                     cols["decoded"] = pa.array(decoded, pa.string())
@@ -221,16 +246,12 @@ def _with_ids(spec, with_text):
 def _digests(spec):
     def make():
         bpe = loaded(spec.value)
-        decimal = list(map(str, range(len(bpe.offsets))))
 
         def each(batch: pa.RecordBatch):
-            n, ids_sha, text_sha = [], [], []
-            for t in batch.column("text").to_pylist():
-                ids = bpe.encode(t or "")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for doc_ids, _, ids, sizes in _encoded(bpe, batch):
+                ids_sha = [hashlib.sha256(x).hexdigest() for x in bpe.in_decimal(ids, sizes)]
+                text_sha = [hashlib.sha256(x.encode()).hexdigest() for x in bpe.decode_all(ids, sizes)]
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(sizes), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return each
 
@@ -243,7 +264,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: doc_id, n_tokens, ids, round_trip (decoding gave the text again) and, if asked for, the decoded text.
+    """Per input row: doc_id, n_tokens, ids, round_trip (decoding gave the text again, always true: a text that doesn't come back stops the job) and, if asked for, the decoded text.
 
     ``vocabulary``: path of the tokenizer file on the driver; its text (a few MB, whatever the input) is broadcast.
     """

@@ -22,12 +22,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import files
-from textloom.llm.chunks import Pieces
+from textloom.llm.chunks import Coded, Pieces, parts
 from textloom.llm.common import map_batches
 from textloom.llm.huffman import Code, code_lengths
 from textloom.session import ship
@@ -37,11 +38,17 @@ MAGIC = b"TLH1"
 BLOCK = 1024
 TOKENS_PER_FILE = 4_000_000
 END = 0
+#: How the vocabulary files of byte-level BPE spell a space and a newline.
+OPENING = ("\u0120", "\u010a")
 _encoders: dict[str, Pieces] = {}
 
 
 def encoder(spec: str) -> Pieces:
-    """The tokenizers library, asked once for each piece that a worker meets."""
+    """The tokenizers library, asked once for each piece that a worker meets, and for a thousand pieces at a time.
+
+    A piece begins with its space or newline and holds no other, so in the ids of many pieces end to end those whose token begins with
+    one of the two tell where each piece begins.
+    """
     if spec not in _encoders:
         import os
 
@@ -52,9 +59,21 @@ def encoder(spec: str) -> Pieces:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         dtype = _dtype(tokenizer.get_vocab_size())
+        opens = np.array([(tokenizer.id_to_token(i) or "")[:1] in OPENING for i in range(tokenizer.get_vocab_size())])
+
+        def whole(texts: pa.Array) -> Coded:
+            got = [np.array(e.ids, dtype) for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)] if len(texts) else []
+            return np.concatenate([np.empty(0, dtype), *got]), np.fromiter(map(len, got), np.int64, len(got))
+
+        def pieces(texts: pa.Array) -> Coded:
+            n = len(texts)
+            bounds = pa.array(np.append(np.arange(0, n, 1000), n).astype(np.int32))
+            ids, _ = whole(pc.binary_join(pa.ListArray.from_arrays(bounds, texts), ""))
+            at = np.nonzero(opens[ids])[0]
+            return (ids, np.diff(at, append=len(ids))) if len(at) == n else whole(texts)
+
         _encoders.clear()
-        _encoders[spec] = Pieces(lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype).tobytes())
-        _encoders[spec].dtype = dtype
+        _encoders[spec] = Pieces(whole, pieces, dtype)
     return _encoders[spec]
 
 
@@ -70,24 +89,31 @@ def _chunks(spec, per_file: int):
 
     def run(batches):
         pieces = encoder(spec.value)
-        part, nth, ids, sizes, held, total = TaskContext.get().partitionId(), 0, [], [], [], 0
-        end = np.array([END], pieces.dtype).tobytes()
-        width = pieces.dtype.itemsize
+        part, nth, docs, sizes, held, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def closed():
-            return pa.RecordBatch.from_pydict({"part": [part], "nth": [nth], "doc_ids": [ids], "sizes": [sizes], "ids": [b"".join(held)], "width": [width]}, CHUNK)
+            return pa.RecordBatch.from_pydict({"part": [part], "nth": [nth], "doc_ids": [pa.concat_arrays(docs).to_pylist()], "sizes": [np.concatenate(sizes)], "ids": [b"".join(held)], "width": [pieces.dtype.itemsize]}, CHUNK)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got = pieces.ids(text or "") + end
-                ids.append(doc_id)
-                sizes.append(len(got) // width)
-                held.append(got)
-                total += sizes[-1]
-                if total >= per_file:
-                    yield closed()
-                    nth, ids, sizes, held, total = nth + 1, [], [], [], 0
-        if ids:
+            at = 0
+            for texts in parts(batch.column("text")):
+                ids, size = pieces.of(texts)
+                ends = np.cumsum(size)
+                ids, size = np.insert(ids, ends, END), size + 1
+                ends = np.cumsum(size)
+                i = before = 0
+                while i < len(size):
+                    j = min(len(size), 1 + int(np.searchsorted(ends, before + per_file - total)))  # the document that fills the chunk is its last
+                    docs.append(batch.column("doc_id").slice(at + i, j - i))
+                    sizes.append(size[i:j])
+                    held.append(ids[before : ends[j - 1]].tobytes())
+                    total += int(ends[j - 1]) - before
+                    i, before = j, int(ends[j - 1])
+                    if total >= per_file:
+                        yield closed()
+                        nth, docs, sizes, held, total = nth + 1, [], [], [], 0
+                at += len(texts)
+        if docs:
             yield closed()
 
     return run
