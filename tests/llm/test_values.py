@@ -187,26 +187,34 @@ def test_features_do_not_depend_on_neighbouring_texts():
 def brute_lm(rows, prior=lm.PRIOR):
     toks = [(i, re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) + [None]) for i, t in rows]
     train = [w for i, w in toks if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
-    c = collections.Counter(x for w in train for x in w)
-    pairs = collections.Counter(p for w in train for p in zip(w, w[1:], strict=False))
-    n, v = sum(c.values()), len(c)
+    c = collections.Counter(tuple(w[k : k + size]) for w in train for size in (1, 2, 3) for k in range(len(w) - size + 1))
+    n, v = sum(len(w) for w in train), sum(len(k) == 1 for k in c)
+    least = lambda k: 2 ** math.floor(math.log2(c[k])) if c[k] else 0
+    most = lambda k: 2 * least(k) - 1 if c[k] else 0
     out = []
     for i, w in toks:
-        p = [(c[x] + 1) / (n + v + 1) for x in w]
-        s = math.log10(p[0]) + sum(math.log10(((2.0 ** math.floor(math.log2(pairs[a, b])) if pairs[a, b] else 0) + prior * q) / (c[a] + prior)) for a, b, q in zip(w, w[1:], p[1:], strict=False))
-        out.append((i, len(w), sum(x in c for x in w), n, sum(map(math.log10, p)), s))
+        base = score = 0.0
+        for k, x in enumerate(w):
+            p = (c[x,] + 1) / (n + v + 1)
+            base += math.log10(p)
+            if k:
+                p = (least((w[k - 1], x)) + prior * p) / (c[w[k - 1],] + prior)
+            if k > 1:
+                p = (least((w[k - 2], w[k - 1], x)) + prior * p) / (most((w[k - 2], w[k - 1])) + prior)
+            score += math.log10(p)
+        out.append((i, len(w), sum(c[x,] > 0 for x in w), n, base, score))
     return out
 
 
 def same_scores(got, want):
-    """All but the score is exact; the filter's false positives can only raise that, and seldom do."""
+    """All but the score is exact; the filter's false positives move that little."""
     cols = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    got = sorted(([str(r.doc_id), *(r[c] for c in cols[1:])] for r in got), key=lambda r: r[:2])
-    want = sorted(([str(r[0]), *r[1:]] for r in want), key=lambda r: r[:2])
+    got = sorted(([str(r.doc_id), *(r[c] for c in cols[1:])] for r in got), key=lambda r: r[:2] + r[4:5])
+    want = sorted(([str(r[0]), *r[1:]] for r in want), key=lambda r: r[:2] + r[4:5])
     assert [r[:4] for r in got] == [r[:4] for r in want]
     assert [r[4] for r in got] == pytest.approx([r[4] for r in want])
-    assert all(g[5] >= w[5] - 1e-6 for g, w in zip(got, want, strict=True))
     assert sum(r[5] for r in got) == pytest.approx(sum(r[5] for r in want), rel=0.01)
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want], rel=0.05)
     return [r[5] for r in got]
 
 
@@ -216,22 +224,32 @@ def test_language_model(spark, docs, no_docs):
     rows = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(300)], k=rng.randint(0, 80)))) for i in range(150)] + [(200, None), (201, "W1 w1")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute_lm(rows)
-    whole = same_scores(lm.train_and_score(df).collect(), want)
-    # the same in many passes of small segments
-    assert same_scores(lm.train_and_score(df, broadcast_bytes=4000, gather_bytes=2000).collect(), want) == pytest.approx(whole)
-    assert lm.train_and_score(docs).count() == len(ROWS)
-    assert lm.train_and_score(no_docs).count() == 0
+    same_scores(lm.train_and_score(df).collect(), want)
+    # the same result, from the same segments, where no worker may hold the model
+    many = same_scores(lm.train_and_score(df, shard_entries=100).collect(), want)
+    assert same_scores(lm.train_and_score(df, shard_entries=100, broadcast_bytes=0).collect(), want) == pytest.approx(many, rel=1e-12)
+    for options in ({}, {"broadcast_bytes": 0}):
+        same_scores(lm.train_and_score(docs, **options).collect(), brute_lm([r[:2] for r in ROWS]))
+        assert lm.train_and_score(no_docs, **options).count() == 0
+
+
+def test_language_model_of_a_word_that_follows_every_other(spark):
+    rows = [(i, " ".join(f"x{k} the" for k in range(i * 5000, i * 5000 + 5000))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    sizes = [r["size"] for r in lm.train(df, shard_entries=50_000).collect()]
+    assert len(sizes) > 32 and max(sizes) < 1.3 * min(sizes)
 
 
 def test_log_frequency_filter():
     rng = np.random.default_rng(1)
-    h = rng.integers(0, 1 << 63, 20000, dtype=np.uint64)
+    h = rng.integers(0, 1 << 63, 20000, dtype=np.uint64) * np.uint64(2)
     counts = rng.integers(1, 2000, 20000)
     bits, entries = lm.build_filter(h, counts)
-    got = lm.probe(bits, h)
-    exact = lm.BASE ** (lm.levels(counts) - 1)
-    assert (got >= exact).all() and (got == exact).mean() > 0.98 and (exact <= counts).all()
-    assert (lm.probe(bits, rng.integers(0, 1 << 63, 20000, dtype=np.uint64)) > 0).mean() < 0.02
+    model = lm.Model([(np.empty(0, np.uint64), np.empty(0, np.int64), bits)], 1)
+    got, exact = model.level(h), lm.levels(counts)
+    assert (got >= exact).all() and (got == exact).mean() > 0.97
+    assert (lm.least_count(exact) <= counts).all() and (counts <= lm.greatest_count(exact)).all()
+    assert (model.level(rng.integers(0, 1 << 63, 20000, dtype=np.uint64)) > 0).mean() < 0.03
 
 
 def brute_topk(rows, k, every):

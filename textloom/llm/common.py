@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +14,6 @@ from pyspark.sql import functions as F
 #: The ASCII white space of the contracts, [\x20\x09-\x0D].
 SPACES = ("\x20", "\x09", "\x0a", "\x0b", "\x0c", "\x0d")
 
-#: bytes.split() and bytes.lower() treat exactly SPACES and A-Z, whatever the locale.
-WORD_SQL = r"[^\x20\x09-\x0D]+"
-
 
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
@@ -28,7 +26,7 @@ def without_spaces(col: Column) -> Column:
 
 
 def words(text: bytes | None) -> list[bytes]:
-    """Lower-cased (A-Z only) words of a text in UTF-8; none for null."""
+    """Lower-cased (A-Z only) words of a text in UTF-8; none for null. bytes.split() and bytes.lower() treat exactly SPACES and A-Z, whatever the locale."""
     return text.lower().split() if text else []
 
 
@@ -42,6 +40,17 @@ def count_words(df: DataFrame, text_col: str = "text", name: str = "size") -> Da
     return df.withColumn(name, n(F.col(text_col).cast("string")))
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts without nulls: the 64-bit hashes of their distinct lower-cased (A-Z only) words; the words of all texts end to end, as places in these; how many words each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    offsets, values = split.offsets.to_numpy().astype(np.int64), split.flatten()
+    some = pc.greater(pc.binary_length(values), 0)
+    coded = values.filter(some).dictionary_encode()
+    unique = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    total = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, unique), np.uint64, len(unique)), coded.indices.to_numpy(), np.diff(total[offsets - offsets[0]])
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen last; at most ``limit`` of them."""
 

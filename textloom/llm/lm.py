@@ -1,22 +1,25 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training counts all words and all pairs of neighbouring words of the training documents. A pair's count is quantised on a logarithmic
-scale: level q holds counts from base ** (q - 1) on. A pair enters the filter once for each of its levels, so its level is read by
-asking for level 1, 2, ... until one is missing (Talbot and Osborne, "Smoothed Bloom Filter Language Models"). Words are counted exactly: a
-sorted table of 64-bit hashes and counts.
-
-The model interpolates by a Dirichlet prior: P(w | v) = (c(vw) + m P(w)) / (c(v) + m) with P(w) = (c(w) + 1) / (N + V + 1). c(vw) is the least
-count of its level, so the sum over w never exceeds 1 but for false positives of the filter. A text is its words and one end; its
-first token is scored by P alone.
-
-Scale. The tasks count their own texts and deal their counts out by hash, in a few binary rows each; what a shard sums up is about ``shard_entries``
-counts, as there are as many shards as the input needs. Shards become segments of the filter and the word table. The logarithm of P(w | v) is the
-log of a numerator that depends on w and vw alone, less the log of a denominator that depends on v. Pairs are dealt by the hash of w, so
-scores are sums over shards: texts are scored against ``broadcast_bytes`` of segments at a time, in as many passes as that takes.
-
-Defined results: a null text is an empty one and scores its end token. A null id counts as a training row, as its text "" has remainder 0.
-Rows that repeat an id each have their own result. Without training tokens N = V = 0. An empty table gives an empty result. Other columns
-are not read.
+Training counts all words and all runs of two and three neighbouring words of the training documents. The count of a run is quantised on a
+logarithmic scale: level q holds counts from 2 ** (q - 1) on. A run enters the filter once for each of its levels, so its level is read
+by asking for level 1, 2, ... until one is missing (Talbot and Osborne, "Smoothed Bloom Filter Language Models"). All probes of an
+entry fall into one word of 64 bits. Words are counted exactly: a sorted table of 64-bit hashes and counts.
+
+The model interpolates by Dirichlet priors, from one order to the next: P(w | u v) = (c(uvw) + m P(w | v)) / (c(uv) + m), P(w | v) = (c(vw) + m P(w)) / (c(v) + m),
+P(w) = (c(w) + 1) / (N + V + 1). In a numerator a run has the least count of its level, in a denominator the greatest, so the sum over w
+never exceeds 1 but for false positives of the filter. A text is its words and one end; its first two tokens have shorter histories.
+
+Scale. Tasks count their own texts and deal the counts out in a few binary rows each, by the hash of the whole run, so that no word, however frequent, makes
+a large shard. What a shard sums up is about ``shard_entries`` counts, as there are as many shards as the input needs. Each shard becomes a word table
+and a segment of the filter, written as one file in the shared folder.
+
+* A model of up to ``broadcast_bytes`` goes to every worker whole: each task takes the files from the shared folder, so nothing passes through the driver.
+* Beyond that no worker could hold it. Then the corpus is tokenised once; each batch of texts sends its distinct words and runs to their shards, each
+  shard's task probes its own segment, and the answers meet the batch again. That moves a fixed amount for each token, whatever the size of the model.
+
+Both ways give the same scores. Defined results: a null text is an empty one and scores its end token. A null id counts as a training row, as its
+text "" has remainder 0. Rows that repeat an id each have their own result. Without training tokens N = V = 0. An empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,288 +28,404 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WordHashes, binary, map_batches, words
+from textloom.llm import files
+from textloom.llm.chunks import parts
+from textloom.llm.common import word_hashes
 from textloom.session import ship
-from textloom.storage import materialise
+from textloom.storage import materialise, new_path
 
-END = b"\n"
+#: The end of a text, which no word can equal, as it is white space.
+END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 PRIOR = 100.0
-BASE = 2.0
 BITS_PER_ENTRY = 12
 PROBES = 4
-SHARD_ENTRIES = 1_500_000
+SHARD_ENTRIES = 2_000_000
 BROADCAST_BYTES = 1 << 28
-GATHER_BYTES = 1 << 24
-_HASHES = WordHashes(300_000)
+COUNTED_TOKENS = 700_000
+SCORED_BYTES = 1_500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MULTIPLIERS = np.random.default_rng(17).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_HALF = np.uint64(32)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def tokens(text: bytes | None) -> np.ndarray:
-    """Hashes of a text's words and of the end, which no word can equal, as it is white space."""
-    return _HASHES.of([*words(text), END])
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> _HALF)
 
 
-def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    h = (before * _ODD) ^ word
-    h ^= h >> np.uint64(31)
-    return h * np.uint64(0xD6E8FEB86659FD93)
+class Tokens:
+    """The tokens of some texts: ``h``, their hashes end to end; ``starts`` and ``sizes`` of the texts; ``nth``, each token's place in its text."""
 
+    def __init__(self, texts: pa.Array):
+        unique, codes, sizes = word_hashes(texts)
+        ends = np.cumsum(sizes)
+        self.unique = np.append(unique, END)
+        self.codes = np.insert(codes, ends, len(unique))
+        self._place(sizes + 1)
 
-def shard_of(word: np.ndarray, shards: int) -> np.ndarray:
-    return ((word >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    @classmethod
+    def of(cls, unique: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> Tokens:
+        self = cls.__new__(cls)
+        self.unique, self.codes = unique, codes
+        self._place(sizes)
+        return self
+
+    def _place(self, sizes: np.ndarray) -> None:
+        self.sizes, self.h = sizes, self.unique[self.codes]
+        self.starts = np.cumsum(sizes) - sizes
+        self.nth = np.arange(len(self.h)) - np.repeat(self.starts, sizes)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the runs of two and of three tokens that end at each token; where there is none, whatever comes out."""
+        two = np.zeros(len(self.h), np.uint64)
+        two[1:] = _mixed((self.h[:-1] * _ODD) ^ self.h[1:])
+        three = np.zeros(len(self.h), np.uint64)
+        three[2:] = _mixed((two[1:-1] * _ODD) ^ self.h[2:])
+        return two, three
+
+
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """Shards follow the order of the hashes."""
+    return (((h >> _HALF) * np.uint64(shards)) >> _HALF).astype(np.int64)
+
+
+def _bounds(h: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard begins in sorted hashes."""
+    return np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order, with the sums of their counts."""
     if not len(h):
-        return h, n
+        return h, n.astype(np.int64)
     order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
+    h, n = h[order], n[order].astype(np.int64)
     first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
     return h[first], np.add.reduceat(n, first)
 
 
+DEALT = "shard bigint, words binary, word_n binary, runs binary, run_n binary"
+
+
 def _dealt(shards: int):
-    """Counts of words and pairs, a few MB of text at a time, as one row for each shard: (shard, words, pairs) with 12 bytes an entry."""
+    """Counts of words and runs, a few MB of text at a time, as one row for each shard. A run's count takes a byte; larger ones come several times."""
 
     def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
+        words, runs, size = [], [], 0
 
         def out():
-            doc = np.concatenate(held)
-            ends = np.cumsum([len(x) for x in held]) - 1
-            one, n = np.unique(doc, return_counts=True)
-            inner = np.ones(len(doc), bool)
-            inner[ends] = False
-            i = np.nonzero(inner)[0]
-            pair, first, m = np.unique(pair_hashes(doc[i], doc[i + 1]), return_index=True, return_counts=True)
-            rows = []
-            for h, c, s in ((one, n, shard_of(one, shards)), (pair, m, shard_of(doc[i + 1][first], shards))):
-                order = np.argsort(s, kind="stable")
-                h, c, bounds = h[order], c[order].astype("<u4"), np.searchsorted(s[order], np.arange(shards + 1, dtype=np.uint64))
-                rows.append([(h[a:b].tobytes(), c[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(range(shards), pa.int64()), "words": [x for x, _ in rows[0]], "word_n": [x for _, x in rows[0]], "pairs": [x for x, _ in rows[1]], "pair_n": [x for _, x in rows[1]]})
+            one, n = _summed(*map(np.concatenate, zip(*words, strict=True)))
+            many, m = np.unique(np.concatenate(runs), return_counts=True)
+            more = (m - 1) // 255
+            many, m = np.repeat(many, more + 1), np.insert(np.minimum(m - 255 * more, 255), np.repeat(np.arange(len(m)), more), 255) if more.any() else m
+            a, b = _bounds(one, shards), _bounds(many, shards)
+            n, m = n.astype("<u4"), m.astype(np.uint8)
+            some = [k for k in range(shards) if a[k] < a[k + 1] or b[k] < b[k + 1]]
+            cols = {"shard": pa.array(some, pa.int64())}
+            for name, values, at in (("words", one, a), ("word_n", n, a), ("runs", many, b), ("run_n", m, b)):
+                cols[name] = pa.array([values[at[k] : at[k + 1]].tobytes() for k in some], pa.binary())
+            return pa.RecordBatch.from_pydict(cols)
 
         for batch in batches:
-            for text in binary(batch, "text"):
-                held.append(tokens(text))
-                size += len(held[-1])
-                if size >= 700_000:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
+            for texts in parts(batch.column("text")):
+                t = Tokens(texts)
+                words.append((t.unique, np.bincount(t.codes, minlength=len(t.unique))))
+                two, three = t.runs()
+                runs += [two[t.nth > 0], three[t.nth > 1]]
+                size += len(t.h)
+                if size >= COUNTED_TOKENS:
+                    yield out()
+                    words, runs, size = [], [], 0
+        if size:
+            yield out()
 
     return run
 
 
-def levels(counts: np.ndarray, base: float = BASE) -> np.ndarray:
-    return 1 + np.floor(np.log(counts) / math.log(base) + 1e-9).astype(np.int64)
+def levels(counts: np.ndarray) -> np.ndarray:
+    """1 for a count of 1, 2 for 2 and 3, 3 for 4 to 7, ..."""
+    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
 
 
-def _places(h: np.ndarray, level: int, bits: int) -> np.ndarray:
-    """Bit places of each entry at a level, one row for each probe."""
-    x = h ^ np.uint64((level * 0xA24BAED4963EE407) & 0xFFFFFFFFFFFFFFFF)
-    out = []
-    for m in _MULTIPLIERS[:PROBES]:
-        y = x * m
-        out.append((((y ^ (y >> np.uint64(29))) * _ODD) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32))
-    return np.stack(out)
+def least_count(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, np.ldexp(0.5, level), 0)
+
+
+def greatest_count(level: np.ndarray) -> np.ndarray:
+    return np.ldexp(1.0, level) - 1
+
+
+def _places(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry at a level a hash that tells its word of the filter, and the bits of its probes there."""
+    x = _mixed(h ^ np.uint64((level * 0xA24BAED4963EE407) & 0xFFFFFFFFFFFFFFFF))
+    y, mask = x * _ODD, np.zeros(len(h), np.uint64)
+    for k in range(PROBES):
+        mask |= np.uint64(1) << ((y >> np.uint64(58 - 6 * k)) & np.uint64(63))
+    return x >> _HALF, mask
 
 
 def build_filter(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """Bytes of the filter, with a whole number of 64-bit words, and how many entries went in."""
+    """The filter's words of 64 bits, and how many entries went in."""
     q = levels(counts) if len(h) else np.empty(0, np.int64)
     entries = int(q.sum())
-    bits = max(64, -(-entries * BITS_PER_ENTRY // 64) * 64)
-    if bits >= 1 << 32:
-        raise ValueError("a segment of the filter is too large; use more shards")
-    flags = np.zeros(bits, bool)
+    size = max(1, -(-entries * BITS_PER_ENTRY // 64))
+    out = np.zeros(size, np.uint64)
     for level in range(1, int(q.max(initial=0)) + 1):
-        flags[_places(h[q >= level], level, bits)] = True
-    return np.packbits(flags, bitorder="little"), entries
-
-
-def probe(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The least count of each entry's level; 0 for those not in the filter."""
-    bits = len(filter_) * 8
-    out = np.zeros(len(h))
-    left, level = np.arange(len(h)), 1
-    while len(left):
-        places = _places(h[left], level, bits)
-        found = np.ones(len(left), bool)
-        for p in places:
-            found &= ((filter_[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-        left = left[found]
-        out[left] = BASE ** (level - 1)
-        level += 1
-    return out
-
-
-SEGMENT = "shard bigint, words binary, word_n binary, bits binary, tokens bigint, distinct bigint, entries bigint"
-
-
-def _segments(batches):
-    """Rows of one shard stand together: its sums become a word table and a segment of the filter."""
-    held: dict[str, list] = {}
-    shard = None
-
-    def closed():
-        w, n = _summed(*(np.frombuffer(b"".join(held[k]), t) for k, t in (("words", "<u8"), ("word_n", "<u4"))))
-        h, m = _summed(*(np.frombuffer(b"".join(held[k]), t) for k, t in (("pairs", "<u8"), ("pair_n", "<u4"))))
-        bits, entries = build_filter(h, m)
-        n = n.astype("<i8")
-        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "words": [w.tobytes()], "word_n": [n.tobytes()], "bits": [bits.tobytes()], "tokens": pa.array([int(n.sum())], pa.int64()), "distinct": pa.array([len(w)], pa.int64()), "entries": pa.array([entries], pa.int64())})
-
-    for batch in batches:
-        for i, s in enumerate(batch.column("shard").to_pylist()):
-            if s != shard:
-                if shard is not None:
-                    yield closed()
-                shard, held = s, {k: [] for k in ("words", "word_n", "pairs", "pair_n")}
-            for k, v in held.items():
-                v.append(batch.column(k)[i].as_buffer())  # a view: the batch isn't copied
-    if shard is not None:
-        yield closed()
+        where, mask = _places(h[q >= level], level)
+        where = (where * np.uint64(size) >> _HALF).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        where, mask = where[order], mask[order]
+        first = np.nonzero(np.concatenate([[True], where[1:] != where[:-1]]))[0]
+        out[where[first]] |= np.bitwise_or.reduceat(mask, first)
+    return out, entries
+
+
+class Model:
+    """Word tables and filter segments of some neighbouring shards, from ``first`` on, of ``shards`` in all."""
+
+    def __init__(self, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shards: int, first: int = 0):
+        self.words, self.counts, self.filter = (np.concatenate(x) for x in zip(*segments, strict=True))
+        self.shards, self.first = shards, first
+        self.size = np.array([len(s[2]) for s in segments], np.uint64)
+        self.base = (np.cumsum(self.size) - self.size).astype(np.int64)
+
+    def count(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at], 0)
+
+    def level(self, runs: np.ndarray) -> np.ndarray:
+        """The level of each run, 0 for those not in the filter."""
+        out = np.zeros(len(runs), np.uint8)
+        left, level = np.arange(len(runs)), 1
+        shard = shard_of(runs, self.shards) - self.first
+        base, size = self.base[shard], self.size[shard]
+        while len(left):
+            where, mask = _places(runs[left], level)
+            where = base[left] + (where * size[left] >> _HALF).astype(np.int64)
+            left = left[self.filter[where] & mask == mask]
+            out[left] = level
+            level += 1
+        return out
+
+
+SEGMENT = "shard bigint, path string, tokens bigint, distinct bigint, size bigint"
+
+
+def _segments(folder: str):
+    """Rows of one shard stand together: their sums become a word table and a segment of the filter, in one file."""
+
+    def run(batches):
+        held: dict[str, list] = {}
+        shard = None
+
+        def closed():
+            w, n = _summed(*(np.frombuffer(b"".join(held[k]), t) for k, t in (("words", "<u8"), ("word_n", "<u4"))))
+            h, m = _summed(*(np.frombuffer(b"".join(held[k]), t) for k, t in (("runs", "<u8"), ("run_n", "u1"))))
+            data = b"".join([len(w).to_bytes(8, "little"), w.tobytes(), n.astype("<i8").tobytes(), build_filter(h, m)[0].tobytes()])
+            path = f"{folder}/{shard:08d}.lm"
+            files.write(path, data)
+            return pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "tokens": [int(n.sum())], "distinct": [len(w)], "size": [len(data)]})
+
+        for batch in batches:
+            for i, s in enumerate(batch.column("shard").to_pylist()):
+                if s != shard:
+                    if shard is not None:
+                        yield closed()
+                    shard, held = s, {k: [] for k in ("words", "word_n", "runs", "run_n")}
+                for k, v in held.items():
+                    v.append(batch.column(k)[i].as_buffer())  # a view: the batch isn't copied
+        if shard is not None:
+            yield closed()
+
+    return run
+
+
+def _segment(path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, counts and filter of a segment; those of an empty one without a path."""
+    if path is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(1, np.uint64)
+    data = files.read(path)
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n), np.frombuffer(data, "<u8", -1, 8 + 16 * n)
 
 
 def train(docs: DataFrame, text_col: str = "text", shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """The segments of the model, as a table in the shared folder."""
+    """The segments of the model: one row per shard that isn't empty, with the number of shards; the files are in the shared folder."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    # about a pair for each six bytes at most is new
+    # about three runs for each ten bytes at most are new
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 64 * max(1, math.ceil(size / 6 / shard_entries / 64))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
-    dealt = rows.mapInArrow(_dealt(shards), "shard bigint, words binary, word_n binary, pairs binary, pair_n binary")
-    return materialise(dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_segments, SEGMENT).withColumn("shards", F.lit(shards).cast("bigint")), "lm-segments")
-
-
-def _taken(sent):
-    """The value of a broadcast, which the worker then lets go with the task instead of keeping it; the next task reads it from its file again."""
-    value = sent.value
-    if getattr(sent, "_path", None):
-        vars(sent).pop("_value", None)
-    return value
-
-
-def _scored(sent):
-    def make():
-        n_tokens, distinct, shards, prior, tables = _taken(sent)
-        log_p = 1.0 / (n_tokens + distinct + 1)
-
-        def each(batch: pa.RecordBatch):
-            held, ends = [], []
-            out: list[list] = [[], [], [], []]
-
-            def flush():
-                if not held:
-                    return
-                h = np.concatenate(held)
-                sizes = np.array([len(x) for x in held])
-                starts = np.cumsum(sizes) - sizes
-                shard = shard_of(h, shards)
-                mine = np.zeros(len(h), bool)
-                count = np.zeros(len(h))
-                pair = np.zeros(len(h))
-                first = np.zeros(len(h), bool)
-                first[starts] = True
-                order = np.argsort(shard, kind="stable")
-                bounds = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-                for s, (w, n, bits) in tables.items():
-                    i = order[bounds[s] : bounds[s + 1]]
-                    if not len(i):
-                        continue
-                    mine[i] = True
-                    if len(w):
-                        at = np.minimum(np.searchsorted(w, h[i]), len(w) - 1)
-                        count[i] = np.where(w[at] == h[i], n[at], 0)
-                    j = i[~first[i] & (count[i] > 0)]
-                    pair[j] = probe(bits, pair_hashes(h[j - 1], h[j]))
-                p = (count + 1) * log_p
-                last = np.zeros(len(h), bool)
-                last[starts + sizes - 1] = True
-                base = np.where(mine, np.log10(p), 0)
-                # numerators by the word, denominators by the word before: each where its shard is
-                score = np.where(mine, np.where(first, np.log10(p), np.log10(pair + prior * p)), 0) - np.where(mine & ~last, np.log10(count + prior), 0)
-                for c, v in zip(out, (np.add.reduceat(base, starts), np.add.reduceat(score, starts), np.add.reduceat(mine & (count > 0), starts, dtype=np.int64), sizes), strict=True):
-                    c.append(v)
-                held.clear()
-
-            for text in binary(batch, "text"):
-                held.append(tokens(text))
-                ends.append(len(held[-1]))
-                if sum(ends) > 250_000:
-                    flush()
-                    ends = []
-            flush()
-            cols = [np.concatenate(c) for c in out]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(cols[3].astype(np.int64)), pa.array(cols[2].astype(np.int64)), pa.array(cols[0]), pa.array(cols[1])], ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-        return each
-
-    return make
-
-
-def score(docs: DataFrame, model: DataFrame, prior: float = PRIOR, broadcast_bytes: int = BROADCAST_BYTES, gather_bytes: int = GATHER_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
-
-    The model goes out ``broadcast_bytes`` at a time, fetched to the driver ``gather_bytes`` at a time; with more than one pass a row's parts are summed by its position.
-    """
+    shards = 32 * max(1, math.ceil(size * 0.3 / shard_entries / 32))
+    shuffled = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
+    dealt = rows.mapInArrow(_dealt(shards), DEALT).repartition(shuffled, "shard").sortWithinPartitions("shard")
+    return materialise(dealt.mapInArrow(_segments(new_path(spark, "lm-segments")), SEGMENT).withColumn("shards", F.lit(shards).cast("bigint")), "lm-model")
+
+
+SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _scores(doc_ids: pa.Array, t: Tokens, counts: np.ndarray, two: np.ndarray, three: np.ndarray, total: int, distinct: int, prior: float) -> pa.RecordBatch:
+    """The documents' results, from the counts of their distinct words and the levels of the runs that end at each token."""
+    c = counts[t.codes]
+    p1 = (c + 1) / (total + distinct + 1)
+    p = p1.copy()
+    i = np.nonzero(t.nth > 0)[0]
+    p[i] = (least_count(two[i].astype(np.int32)) + prior * p1[i]) / (c[i - 1] + prior)
+    i = np.nonzero(t.nth > 1)[0]
+    p[i] = (least_count(three[i].astype(np.int32)) + prior * p[i]) / (greatest_count(two[i - 1].astype(np.int32)) + prior)
+    sums = [np.add.reduceat(x, t.starts) for x in (np.log10(p1), np.log10(p))]
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(t.sizes), pa.array(np.add.reduceat(c > 0, t.starts, dtype=np.int64)), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _scored(paths: list[str | None], total: int, distinct: int, prior: float):
+    """Against the whole model."""
+
+    def run(batches):
+        model = None
+        for batch in batches:
+            model = model or Model(list(map(_segment, paths)), len(paths))  # a task without rows doesn't fetch it
+            at = 0
+            for texts in parts(batch.column("text"), SCORED_BYTES):
+                t = Tokens(texts)
+                two, three = t.runs()
+                level = [np.zeros(len(t.h), np.uint8) for _ in range(2)]
+                for out, h, least in ((level[0], two, 1), (level[1], three, 2)):
+                    i = t.nth >= least
+                    out[i] = model.level(h[i])
+                yield _scores(batch.column("doc_id").slice(at, len(texts)), t, model.count(t.unique), *level, total, distinct, prior)
+                at += len(texts)
+
+    return run
+
+
+ASKED = "batch bigint, shard bigint, doc_ids array<bigint>, sizes array<bigint>, words binary, runs binary"
+ANSWERED = "batch bigint, shard bigint, doc_ids array<bigint>, sizes array<bigint>, words binary, runs binary, counts binary, levels binary"
+
+
+def _asked(shards: int):
+    """For each batch of texts a row of its own, with shard -1 and its tokens, and a row for each shard with the words and runs it must be asked for."""
+    schema = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("runs", pa.binary())])
+
+    def run(batches):
+        nth = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            at = 0
+            for texts in parts(batch.column("text"), SCORED_BYTES):
+                t = Tokens(texts)
+                words, runs = _questions(t)
+                a, b = _bounds(words, shards), _bounds(runs, shards)
+                some = [k for k in range(shards) if a[k] < a[k + 1] or b[k] < b[k + 1]]
+                none = [None] * len(some)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "batch": [nth] * (1 + len(some)),
+                        "shard": [-1, *some],
+                        "doc_ids": [batch.column("doc_id").slice(at, len(texts)).to_pylist(), *none],
+                        "sizes": [t.sizes, *none],
+                        "words": [t.unique.tobytes(), *(words[a[k] : a[k + 1]].tobytes() for k in some)],
+                        "runs": [t.codes.astype("<i4").tobytes(), *(runs[b[k] : b[k + 1]].tobytes() for k in some)],
+                    },
+                    schema,
+                )
+                nth, at = nth + 1, at + len(texts)
+
+    return run
+
+
+def _questions(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words and runs of some tokens, in the order of shards."""
+    two, three = t.runs()
+    return np.unique(t.unique), np.unique(np.concatenate([two[t.nth > 0], three[t.nth > 1]]))
+
+
+def _answers(shards: int):
+    """Rows of one shard stand together, its segment's path first, with batch -1: the words and runs asked for become counts and levels."""
+    none = pa.array([None], pa.list_(pa.int64()))
+
+    def run(batches):
+        model, shard = None, None
+        for batch in batches:
+            for i, (b, s) in enumerate(zip(batch.column("batch").to_pylist(), batch.column("shard").to_pylist(), strict=True)):
+                if s != shard:
+                    shard = s
+                    model = Model([_segment(batch.column("words")[i].as_py().decode() if b < 0 else None)], shards, s)
+                if b >= 0:
+                    words, runs = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("words", "runs"))
+                    found = (pa.array([x.tobytes()], pa.binary()) for x in (model.count(words).astype("<i8"), model.level(runs)))
+                    yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([s]), none, none, pa.array([None], pa.binary()), pa.array([None], pa.binary()), *found], names=["batch", "shard", "doc_ids", "sizes", "words", "runs", "counts", "levels"])
+
+    return run
+
+
+def _met(total: int, distinct: int, prior: float):
+    """Rows of one batch stand together, its tokens first, then the answers in the order of shards."""
+
+    def run(batches):
+        held: tuple | None = None
+        counts, found = [], []
+
+        def closed():
+            doc_ids, t = held
+            words, runs = _questions(t)
+            at = np.searchsorted(words, t.unique)
+            levels_ = np.append(np.frombuffer(b"".join(found), np.uint8), np.uint8(0))
+            two, three = (levels_[np.minimum(np.searchsorted(runs, h), len(runs))] for h in t.runs())
+            return _scores(doc_ids, t, np.frombuffer(b"".join(counts), "<i8")[at], two, three, total, distinct, prior)
+
+        for batch in batches:
+            for i, s in enumerate(batch.column("shard").to_pylist()):
+                if s < 0:
+                    if held:
+                        yield closed()
+                    counts, found = [], []
+                    t = Tokens.of(*(np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in (("words", "<u8"), ("runs", "<i4"))), batch.column("sizes")[i].values.to_numpy())
+                    held = (batch.column("doc_ids")[i].values, t)
+                else:
+                    counts.append(batch.column("counts")[i].as_py())
+                    found.append(batch.column("levels")[i].as_py())
+        if held:
+            yield closed()
+
+    return run
+
+
+def score(docs: DataFrame, model: DataFrame, prior: float = PRIOR, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ship(spark)
-    sizes = model.select("shard", "shards", "tokens", "distinct", (F.octet_length("words") + F.octet_length("word_n") + F.octet_length("bits")).cast("bigint").alias("size")).orderBy("shard").collect()
-    n, v = sum(r.tokens for r in sizes), sum(r.distinct for r in sizes)
-    shards = sizes[0].shards if sizes else 1
-
-    def grouped(limit: int, rows: list) -> list[list]:
-        out, total = [[]], 0
-        for r in rows:
-            if out[-1] and total + r.size > limit:
-                out.append([])
-                total = 0
-            out[-1].append(r)
-            total += r.size
-        return out
-
+    n, v, size, shards = model.agg(F.sum("tokens"), F.sum("distinct"), F.sum("size"), F.max("shards")).first()
+    n, v, size, shards = n or 0, v or 0, size or 0, shards or 1
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    missing = sorted(set(range(shards)) - {r.shard for r in sizes})
-    passes = grouped(broadcast_bytes, sizes)
-    if len(passes) > 1:
-        rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    if size <= broadcast_bytes:
+        paths: list[str | None] = [None] * shards
+        for r in model.select("shard", "path").collect():  # as few as fit ``broadcast_bytes``
+            paths[r.shard] = r.path
+        out = rows.mapInArrow(_scored(paths, n, v, prior), SCORED)
     else:
-        rows = rows.withColumn("row", F.lit(0).cast("bigint"))
-    parts = []
-    for k, group in enumerate(passes):
-        tables = {}
-        for few in grouped(gather_bytes, group):
-            for r in model.filter(F.col("shard").isin([x.shard for x in few])).select("shard", "words", "word_n", "bits").collect() if few else []:
-                tables[r.shard] = (np.frombuffer(bytes(r.words), "<u8"), np.frombuffer(bytes(r.word_n), "<i8").astype(np.int32 if n < 1 << 31 else np.int64), np.frombuffer(bytes(r.bits), np.uint8))
-        if not k:
-            for s in missing:
-                tables[s] = (np.empty(0, np.uint64), np.empty(0, np.int32), np.zeros(8, np.uint8))
-        part = map_batches(rows, _scored(spark.sparkContext.broadcast((n, v, shards, prior, tables))), "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-        parts.append(materialise(part, "lm-part") if len(passes) > 1 else part)
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.union(p)
-        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
+        asked = materialise(rows.mapInArrow(_asked(shards), ASKED), "lm-asked")
+        no = F.lit(None)
+        segments = model.select(F.lit(-1).cast("bigint").alias("batch"), "shard", no.cast("array<bigint>").alias("doc_ids"), no.cast("array<bigint>").alias("sizes"), F.col("path").cast("binary").alias("words"), no.cast("binary").alias("runs"))
+        shuffled = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
+        dealt = segments.union(asked.filter("shard >= 0")).repartition(shuffled, "shard").sortWithinPartitions("shard", "batch")
+        answered = materialise(dealt.mapInArrow(_answers(shards), ANSWERED), "lm-answers")
+        own = asked.filter("shard < 0").select("*", no.cast("binary").alias("counts"), no.cast("binary").alias("levels"))
+        out = own.union(answered).repartition(shuffled, "batch").sortWithinPartitions("batch", "shard").mapInArrow(_met(n, v, prior), SCORED)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
-def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_entries: int = SHARD_ENTRIES, **options) -> DataFrame:
     """Learns from the rows that aren't held out and scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    model = train(docs.filter(~held_out(id_col)), text_col)
+    model = train(docs.filter(~held_out(id_col)), text_col, shard_entries)
     scored = score(docs, model, id_col=id_col, text_col=text_col, **options)
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
