@@ -81,8 +81,12 @@ def test_token_files(spark, docs, no_docs):
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids) for r in got), key=lambda r: r[1]) == want
     crc = {r.start: r.ids_crc32 for r in token_files.read_tokens(listed, digests=True).collect()}
     assert crc == {s: zlib.crc32(np.array(ids, "<u4").tobytes()) for _, s, _, ids in want}
-    path = listed.first().path
+    path = max(listed.collect(), key=lambda r: r.tokens).path
     data = bytearray(files.read(path))
+    _, sizes, ids = token_files.unpack_file(bytes(data))
+    ends = np.cumsum(sizes)
+    for k in range(len(sizes)):
+        assert (token_files.document_ids(path, k) == ids[ends[k] - sizes[k] : ends[k]]).all()
     data[-10] ^= 1
     with pytest.raises(ValueError):
         token_files.unpack_file(bytes(data))

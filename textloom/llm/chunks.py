@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 #: Upper bounds of the pieces that a worker keeps, and of a kept piece's bytes.
 KEPT, KEPT_BYTES = 1_000_000, 64
-PART_BYTES = 4_000_000
+PART_BYTES = 6_000_000
 
 #: The ids of some strings end to end, and how many each string has.
 Coded = tuple[np.ndarray, np.ndarray]
@@ -41,7 +41,10 @@ def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     ends = np.cumsum(sizes)
     if not len(ends) or not ends[-1]:
         return pool[:0]
-    return pool[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)]
+    kind = np.int32 if max(len(pool), ends[-1]) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    at += np.arange(ends[-1], dtype=kind)
+    return pool[at]
 
 
 class Pieces:
@@ -101,18 +104,20 @@ class Pieces:
         codes = coded.indices.to_numpy()
         pool, starts, sizes, good = self._looked_up(coded.dictionary)
 
-        owner = np.repeat(np.arange(n), np.diff(offsets))
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
         heads = values.take(pa.array(first))
         # a first piece may begin with white space, but not end with it
         together = ~pc.and_(pc.greater(pc.binary_length(heads), 0), pc.equal(heads, pc.utf8_rtrim_whitespace(heads))).to_numpy(zero_copy_only=False)
         together |= np.diff(offsets) == 1
-        together[owner[later][~good[codes]]] = True
+        if not good.all():
+            together[owner[later][~good[codes]]] = True
         head_ids, head_sizes = self.whole(pc.if_else(pa.array(together), texts, heads))
 
         start, size = np.empty(len(values), np.int64), np.empty(len(values), np.int64)
         start[later], size[later] = starts[codes], sizes[codes]
         start[first], size[first] = len(pool) + np.cumsum(head_sizes) - head_sizes, head_sizes
-        size[later & together[owner]] = 0
+        if together.any():
+            size[later & together[owner]] = 0
         return gathered(np.concatenate([pool, head_ids]), start, size), np.add.reduceat(size, first) if n else size
 
     def one(self, text: str) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 1. Documents are put in order of id by a range shuffle. Each task encodes its run of documents with the tokenizer and appends the end
    id to each. What it makes goes to the shared folder in chunks of about ``tokens_per_file`` ids.
-2. The counts of all ids, summed over the chunks (one row per id, whatever the input), give one code for all files.
+2. The counts of all ids, which stand beside each chunk, are summed (one row per id, whatever the input) and give one code for all files.
 3. Each chunk becomes one file. Its name is its place in the order, and a task that runs again writes the same bytes.
 4. Reading: each file is decoded by its own header alone. ``start`` adds the ids of all files before it, from one row per file.
 
@@ -81,7 +81,7 @@ def _dtype(symbols: int) -> np.dtype:
     return np.dtype("<u2" if symbols <= 1 << 16 else "<u4")
 
 
-CHUNK = pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary()), ("width", pa.int64())])
+CHUNK = pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary()), ("width", pa.int64()), ("found", pa.binary()), ("n", pa.binary())])
 
 
 def _chunks(spec, per_file: int):
@@ -92,7 +92,11 @@ def _chunks(spec, per_file: int):
         part, nth, docs, sizes, held, total = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def closed():
-            return pa.RecordBatch.from_pydict({"part": [part], "nth": [nth], "doc_ids": [pa.concat_arrays(docs).to_pylist()], "sizes": [np.concatenate(sizes)], "ids": [b"".join(held)], "width": [pieces.dtype.itemsize]}, CHUNK)
+            ids = np.concatenate(held)
+            n = np.bincount(ids)
+            found = np.nonzero(n)[0]
+            row = {"part": part, "nth": nth, "doc_ids": pa.concat_arrays(docs).to_pylist(), "sizes": np.concatenate(sizes), "ids": ids.tobytes(), "width": pieces.dtype.itemsize, "found": found.astype("<i8").tobytes(), "n": n[found].astype("<i8").tobytes()}
+            return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, CHUNK)
 
         for batch in batches:
             at = 0
@@ -106,7 +110,7 @@ def _chunks(spec, per_file: int):
                     j = min(len(size), 1 + int(np.searchsorted(ends, before + per_file - total)))  # the document that fills the chunk is its last
                     docs.append(batch.column("doc_id").slice(at + i, j - i))
                     sizes.append(size[i:j])
-                    held.append(ids[before : ends[j - 1]].tobytes())
+                    held.append(ids[before : ends[j - 1]].copy())  # not a view, which would keep the whole part
                     total += int(ends[j - 1]) - before
                     i, before = j, int(ends[j - 1])
                     if total >= per_file:
@@ -120,11 +124,14 @@ def _chunks(spec, per_file: int):
 
 
 def _counted():
+    """The counts of a batch of chunks, one row for each id."""
+
     def each(batch: pa.RecordBatch):
-        for raw, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True):
-            n = np.bincount(np.frombuffer(raw, f"<u{width}"))
-            found = np.nonzero(n)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n[found].astype(np.int64))], ["token", "n"])
+        found, n = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i8") for c in ("found", "n"))
+        ids, place = np.unique(found, return_inverse=True)
+        total = np.zeros(len(ids), np.int64)
+        np.add.at(total, place, n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["token", "n"])
 
     return each
 
@@ -144,8 +151,8 @@ def pack_file(code: Code, doc_ids: list[int | None], sizes: list[int], ids: np.n
     return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, *sections])
 
 
-def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, sizes and all ids of a file."""
+def _sections(data: bytes):
+    """Document ids, sizes, bits, block offsets, header and code of a file."""
     if data[:4] != MAGIC:
         raise ValueError("not a token file")
     size = int.from_bytes(data[4:8], "little")
@@ -160,10 +167,26 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     n = header["docs"]
     docs = zlib.decompress(docs)
     present = np.unpackbits(np.frombuffer(docs[: -(-n // 8)], np.uint8), count=n).astype(bool)
-    doc_ids = [int(d) if p else None for d, p in zip(np.frombuffer(docs[-(-n // 8) :], "<i8"), present, strict=True)]
-    code = Code(np.frombuffer(zlib.decompress(lengths), np.uint8))
-    ids = code.decode(bits, header["tokens"], np.cumsum(np.frombuffer(zlib.decompress(offsets), "<i8")), header["block"])
-    return doc_ids, np.frombuffer(zlib.decompress(sizes), "<u4").astype(np.int64), ids
+    doc_ids = pa.array(np.frombuffer(docs[-(-n // 8) :], "<i8"), mask=~present)
+    sizes = np.frombuffer(zlib.decompress(sizes), "<u4").astype(np.int64)
+    return doc_ids, sizes, bits, np.cumsum(np.frombuffer(zlib.decompress(offsets), "<i8")), header, Code(np.frombuffer(zlib.decompress(lengths), np.uint8))
+
+
+def unpack_file(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Document ids, sizes and all ids of a file."""
+    doc_ids, sizes, bits, offsets, header, code = _sections(data)
+    return doc_ids, sizes, code.decode(bits, header["tokens"], offsets, header["block"])
+
+
+def document_ids(path: str, nth: int) -> np.ndarray:
+    """The ids of one document of a file, by its place there: only the blocks that hold them are decoded."""
+    _, sizes, bits, offsets, header, code = _sections(files.read(path))
+    end = int(sizes[: nth + 1].sum())
+    start, block = end - int(sizes[nth]), header["block"]
+    first, last = start // block, -(-end // block)
+    at = offsets[first:last] - offsets[first] // 32 * 32
+    got = code.decode(bits[offsets[first] // 32 * 4 :], min(last * block, header["tokens"]) - first * block, at, block)
+    return got[start - first * block : end - first * block]
 
 
 def _written(lengths, folder: str, block: int):
@@ -190,13 +213,13 @@ def write_tokens(docs: DataFrame, vocabulary: str, tokens_per_file: int = TOKENS
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    chunks = materialise(ordered.mapInArrow(_chunks(spec, tokens_per_file), "part bigint, nth bigint, doc_ids array<bigint>, sizes array<bigint>, ids binary, width bigint"), "token-chunks")
-    counts = map_batches(chunks.select("ids", "width"), _counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row per id of the vocabulary
+    chunks = materialise(ordered.mapInArrow(_chunks(spec, tokens_per_file), "part bigint, nth bigint, doc_ids array<bigint>, sizes array<bigint>, ids binary, width bigint, found binary, n binary"), "token-chunks")
+    counts = map_batches(chunks.select("found", "n"), _counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()  # one row per id of the vocabulary
     n = np.zeros(max([r.token for r in counts], default=0) + 1, np.int64)
     n[[r.token for r in counts]] = [r.n for r in counts]
     lengths = spark.sparkContext.broadcast(code_lengths(n))
     folder = new_path(spark, "token-files")
-    return materialise(map_batches(chunks, _written(lengths, folder, block), "part bigint, nth bigint, path string, tokens bigint, bytes bigint"), "token-list")
+    return materialise(map_batches(chunks.drop("found", "n"), _written(lengths, folder, block), "part bigint, nth bigint, path string, tokens bigint, bytes bigint"), "token-list")
 
 
 def _unpacked(digests: bool):
@@ -205,7 +228,7 @@ def _unpacked(digests: bool):
             for base, path in zip(batch.column("base").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 doc_ids, sizes, ids = unpack_file(files.read(path))
                 ends = np.cumsum(sizes)
-                cols = {"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(base + ends - sizes), "n_tokens": pa.array(sizes)}
+                cols = {"doc_id": doc_ids, "start": pa.array(base + ends - sizes), "n_tokens": pa.array(sizes)}
                 if digests:
                     raw = memoryview(ids.astype("<u4").tobytes())
                     cols["ids_crc32"] = pa.array([zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.int64())
