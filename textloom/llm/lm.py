@@ -50,6 +50,9 @@ COUNTED_TOKENS = 700_000
 SCORED_BYTES = 1_500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _HALF = np.uint64(32)
+#: Within its shard a run is told from others by the lowest five bytes of its hash.
+RUN_BYTES = 5
+_RUN = np.uint64((1 << 8 * RUN_BYTES) - 1)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
@@ -102,6 +105,16 @@ def _bounds(h: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
 
 
+def _shortened(h: np.ndarray) -> np.ndarray:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :RUN_BYTES]
+
+
+def _lengthened(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // RUN_BYTES, 8), np.uint8)
+    out[:, :RUN_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, RUN_BYTES)
+    return out.view("<u8").reshape(-1)
+
+
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order, with the sums of their counts."""
     if not len(h):
@@ -130,7 +143,7 @@ def _dealt(shards: int):
             n, m = n.astype("<u4"), m.astype(np.uint8)
             some = [k for k in range(shards) if a[k] < a[k + 1] or b[k] < b[k + 1]]
             cols = {"shard": pa.array(some, pa.int64())}
-            for name, values, at in (("words", one, a), ("word_n", n, a), ("runs", many, b), ("run_n", m, b)):
+            for name, values, at in (("words", one, a), ("word_n", n, a), ("runs", _shortened(many), b), ("run_n", m, b)):
                 cols[name] = pa.array([values[at[k] : at[k + 1]].tobytes() for k in some], pa.binary())
             return pa.RecordBatch.from_pydict(cols)
 
@@ -173,7 +186,7 @@ def _places(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_filter(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The filter's words of 64 bits, and how many entries went in."""
+    """The filter's words of 64 bits, and how many entries went in. ``h``: the runs' hashes, cut to their lowest bytes."""
     q = levels(counts) if len(h) else np.empty(0, np.int64)
     entries = int(q.sum())
     size = max(1, -(-entries * BITS_PER_ENTRY // 64))
@@ -208,7 +221,7 @@ class Model:
         out = np.zeros(len(runs), np.uint8)
         left, level = np.arange(len(runs)), 1
         shard = shard_of(runs, self.shards) - self.first
-        base, size = self.base[shard], self.size[shard]
+        base, size, runs = self.base[shard], self.size[shard], runs & _RUN
         while len(left):
             where, mask = _places(runs[left], level)
             where = base[left] + (where * size[left] >> _HALF).astype(np.int64)
@@ -230,7 +243,7 @@ def _segments(folder: str):
 
         def closed():
             w, n = _summed(*(np.frombuffer(b"".join(held[k]), t) for k, t in (("words", "<u8"), ("word_n", "<u4"))))
-            h, m = _summed(*(np.frombuffer(b"".join(held[k]), t) for k, t in (("runs", "<u8"), ("run_n", "u1"))))
+            h, m = _summed(_lengthened(b"".join(held["runs"])), np.frombuffer(b"".join(held["run_n"]), np.uint8))
             data = b"".join([len(w).to_bytes(8, "little"), w.tobytes(), n.astype("<i8").tobytes(), build_filter(h, m)[0].tobytes()])
             path = f"{folder}/{shard:08d}.lm"
             files.write(path, data)
