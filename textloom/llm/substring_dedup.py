@@ -1,20 +1,22 @@
-"""Repeated passages: exactly, by windows of words, or roughly, by content-defined chunks.
+"""Repeated passages: content-defined chunks by a gear rolling hash find them, hashes of whole windows of words confirm them.
 
 ``repeated_passages`` finds every run of ``least_words`` words (51: a passage of over 50) whose bytes, with the white space between the words, a document of smaller
-id has too. Each such window of a text has an anchor, the place of the least hash of its 64-byte grams, which depends on the window's bytes alone. So windows that
-are equal have equal grams at their anchors, and a window whose anchor's gram no other document has is no repeat. One row per anchor, about one for every
-hundred bytes, thus picks the windows that may repeat; only these are hashed whole and counted, and repeated windows that overlap are one passage. Nothing is lost
-whatever the length of the words. Two different windows are taken for one only if their 64-bit hashes agree.
+id has too.
 
-``repeated_spans`` is quicker to say where copies are, but loses the partial chunks at the ends of a passage and with them some short ones. A gear hash rolls over the bytes of each text; where its top bits are zero a chunk ends, so cuts depend on the last 32 bytes alone and come
-back after insertions. Chunks are keyed by a 128-bit digest. A digest that documents share belongs to the smallest doc_id that has it;
-in all others the chunk is a repeat. Neighbouring repeats join into spans. A span counts if it has at least ``least_words`` words:
-a passage of over 50 words keeps about that many once the partial chunks at its ends are lost.
+1. Chunks. A gear hash rolls over the bytes. In every run of half as many words the place of its least value is a cut. So cuts come back after
+   insertions, they are about as dense as the words, and a passage has one in its first half and another in its second: equal passages
+   have the same cuts from the first of these to the last, and at least one whole chunk between them.
+2. Digests. Chunks are keyed by a 64-bit digest. Those that only one text has are out; the table of shared digests is joined back to the chunks.
+3. Confirmation. A window of ``least_words`` words may repeat only if all chunks between its first and its last sure cut are shared. The
+   windows left are hashed whole and counted; repeated windows that overlap are one passage.
 
-Each document sends a digest once, whatever its repeats inside; digests are counted with partial aggregation and joined back to the chunks, a
-join that Spark splits where one passage is very common. Spans are formed within a document, whose size bounds them.
+Nothing is lost whatever the length of the words. Two different windows, or whole texts, are taken for one only if their 64-bit hashes agree.
+Of equal texts only the one of the smallest id goes through steps 2 and 3; each other is one passage from its first word to its last.
 
-Defined results: null and empty texts have no chunks. Repeats inside one document are not repeats. Rows that repeat an id are one document.
+Digests and windows are counted with partial aggregation and joined back, joins that Spark splits where one passage is very common. Passages are formed
+within a document, whose size bounds them.
+
+Defined results: null and empty texts have no passages. Repeats inside one document are not repeats. Rows that repeat an id are one document.
 A null id takes no part. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -26,194 +28,170 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import binary, fresh, map_batches
+from textloom.llm.chunks import parts
+from textloom.llm.common import fresh, map_batches
 from textloom.session import ship
 from textloom.storage import materialise
 
-BITS, LEAST, MOST = 5, 8, 160
-LEAST_WORDS = 18
-_GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
-
-
-def gear(data: np.ndarray) -> np.ndarray:
-    """h[i] = 2 h[i-1] + G[data[i]] in 32 bits, by doubling the window five times."""
-    h = _GEAR[data]
-    for k in (1, 2, 4, 8, 16):
-        if len(h) > k:
-            shifted = h[:-k] << np.uint32(k)
-            h = h.copy()
-            h[k:] += shifted
-    return h
-
-
-def cuts(text: bytes, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Ends of the chunks of a text."""
-    n = len(text)
-    marks = (np.nonzero(gear(np.frombuffer(text, np.uint8)) >> np.uint32(32 - bits) == 0)[0] + 1).tolist() if n else []
-    out, last = [], 0
-    for m in marks:
-        while m - last > most:
-            last += most
-            out.append(last)
-        if m - last >= least:
-            out.append(m)
-            last = m
-    while n - last > most:
-        last += most
-        out.append(last)
-    if last < n:
-        out.append(n)
-    return out
-
-
-#: A chunk's start, length and words in one long, which keeps the rows that are shuffled small: start * 2**24 + length * 2**12 + words.
-_FIELD = 12
-
-
-def _chunked():
-    space = np.zeros(256, bool)
-    space[[32, 9, 10, 11, 12, 13]] = True
-
-    def each(batch: pa.RecordBatch):
-        docs, places = [], []
-        digests: list[bytes] = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary(batch, "text"), strict=True):
-            if not text:
-                continue
-            ends = cuts(text)
-            starts = [0, *ends[:-1]]
-            blank = space[np.frombuffer(text, np.uint8)]
-            first = ~blank & np.concatenate([[True], blank[:-1]])
-            start, words = np.array(starts, np.int64), np.add.reduceat(first, starts, dtype=np.int64)
-            docs.append(np.full(len(ends), doc_id, np.int64))
-            places.append((start << 2 * _FIELD) + ((np.array(ends) - start) << _FIELD) + words)
-            digests += [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(starts, ends, strict=True)]
-        if digests:
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(places)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "place", "d1", "d2"])
-
-    return each
-
-
-def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans that a document of smaller id has too: doc_id, start, end (bytes of the text in UTF-8), words, first_doc_id (that of the span's first chunk)."""
-    ship(docs.sparkSession)
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = materialise(map_batches(rows, _chunked, "doc_id bigint, place bigint, d1 bigint, d2 bigint"), "chunks")
-    shared = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("d1", "d2", F.col("first").alias("first_doc_id"))
-    hits = chunks.join(shared, ["d1", "d2"]).filter("first_doc_id < doc_id").select("doc_id", "place", "first_doc_id")
-    mask = (1 << _FIELD) - 1
-    hits = hits.withColumn("start", F.shiftright("place", 2 * _FIELD)).withColumn("end", F.col("start") + F.shiftright("place", _FIELD).bitwiseAND(mask)).withColumn("n", F.col("place").bitwiseAND(mask))
-    w = Window.partitionBy("doc_id").orderBy("start")
-    begins = (~F.col("start").eqNullSafe(F.lag("end").over(w)) & ~F.col("start").eqNullSafe(F.lag("start").over(w))).cast("int")
-    spans = hits.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w)).groupBy("doc_id", "run")
-    spans = spans.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("words"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
-    return spans.filter(F.col("words") >= least_words).drop("run")
-
-
 #: A passage of over 50 words.
 PASSAGE_WORDS = 51
-GRAM = 64
+PART_BYTES = 1_500_000
+_GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def grams(data: np.ndarray, size: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of the ``size`` bytes (a power of two) from each place on, by doubling."""
-    h, k, p = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), 1, _MIX
+def gear(data: np.ndarray, size: int) -> np.ndarray:
+    """h = 2 h + G[byte] in 32 bits, rolled over the ``size`` bytes (a power of two up to 32) from each place on, by doubling the stretch."""
+    h, k = _GEAR[data], 1
     while k < size:
-        h = h[:-k] * p + h[k:]
-        p, k = np.multiply(p, p), 2 * k
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    return h ^ (h >> np.uint64(29))
+        h = (h[:-k] << np.uint32(k)) + h[k:]
+        k *= 2
+    return h
 
 
-def anchors(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = GRAM) -> np.ndarray:
-    """For each window of a text, from ``starts`` to ``ends``, the place of the least gram hash inside it; the last of equal ones."""
-    n = ends - starts - size + 1
-    level = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
+def least_places(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each range from a start to an end (exclusive) the place of the least hash inside it; the last of equal ones."""
+    n = ends - starts
+    level = (h.astype(np.uint64) << np.uint64(32)) | (_LOW - np.arange(len(h), dtype=np.uint64))
     log = np.frexp(n.astype(np.float64))[1] - 1
     out = np.empty(len(n), np.uint64)
-    for j in range(int(log.max()) + 1):  # level[i] is the least of the 2 ** j from i on
+    for j in range(int(log.max(initial=-1)) + 1):  # level[i] is the least of the 2 ** j from i on
         if j:
             half = 1 << (j - 1)
             level = np.minimum(level[:-half], level[half:])
         pick = np.nonzero(log == j)[0]
-        out[pick] = np.minimum(level[starts[pick]], level[starts[pick] + n[pick] - (1 << j)])
+        out[pick] = np.minimum(level[starts[pick]], level[ends[pick] - (1 << j)])
     return (_LOW - (out & _LOW)).astype(np.int64)
 
 
-def _windows(text: bytes | None, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Where the windows of so many words start and end, their anchors, and the hashes of all grams; None where a text has no window."""
-    if not text or len(text) < 2 * words - 1:
-        return None
-    data = np.frombuffer(text, np.uint8)
-    blank = np.concatenate([[True], _SPACE[data], [True]])
-    edges = np.nonzero(blank[1:] != blank[:-1])[0]
-    starts, ends = edges[::2], edges[1::2]
-    if len(starts) < words:
-        return None
-    starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
-    size = min(GRAM, 1 << ((2 * words - 1).bit_length() - 1))  # no window is shorter
-    h = grams(data, size)
-    return starts, ends, anchors(h, starts, ends, size), h
+class Cut:
+    """Some texts, cut. ``data``: their bytes end to end; ``at``: where each begins there; ``starts``, ``ends``, ``doc``: words and their texts; ``first_word``, ``words``: of each
+    text; ``cuts``: all cuts, in order; ``first_cut``: of each text; ``surely``: the cut that each run of half as many words has, -1 for runs that leave their text."""
+
+    def __init__(self, texts: list[bytes], least_words: int):
+        if least_words < 2:
+            raise ValueError("a passage has two words at least")
+        self.least, self.half = least_words, least_words // 2
+        self.raw = b"".join(texts)
+        self.data = data = np.frombuffer(self.raw, np.uint8)
+        self.at = np.cumsum([0, *map(len, texts)])
+        blank = _SPACE[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[self.at] = True
+        self.starts = np.nonzero(~blank & (edge[:-1] | np.concatenate([[True], blank[:-1]])[: len(data)]))[0]
+        self.ends = np.nonzero(~blank & (edge[1:] | np.concatenate([blank[1:], [True]])[: len(data)]))[0] + 1
+        self.doc = np.searchsorted(self.at, self.starts, side="right") - 1
+        self.first_word = np.searchsorted(self.doc, np.arange(len(texts) + 1))
+        self.words = np.diff(self.first_word)
+        half = self.half
+        runs = max(0, len(self.starts) - half + 1)
+        inside = np.nonzero((self.doc[:runs] == self.doc[half - 1 :][:runs]) & (self.words[self.doc[:runs]] >= least_words))[0]
+        size = min(32, 1 << ((2 * half - 1).bit_length() - 1))  # no run of half as many words is shorter
+        places = least_places(gear(data, size), self.starts[inside], self.ends[inside + half - 1] - size + 1) if len(inside) else inside
+        self.cuts, nth = np.unique(places, return_inverse=True)
+        self.surely = np.full(runs, -1)
+        self.surely[inside] = nth
+        self.first_cut = np.searchsorted(self.cuts, self.at)
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Of each chunk: its text, its number there, its digest."""
+        doc = np.searchsorted(self.at, self.cuts, side="right") - 1
+        whole = np.nonzero(doc[:-1] == doc[1:])[0]
+        digests = [xxhash.xxh3_64_intdigest(self.raw[a:b]) for a, b in zip(self.cuts[whole].tolist(), self.cuts[whole + 1].tolist(), strict=True)]
+        return doc[whole], whole - self.first_cut[doc[whole]], digests
+
+    def windows(self, shared: list[np.ndarray]) -> np.ndarray:
+        """First words of the windows whose chunks, from their first sure cut to their last, all are shared. ``shared``: the chunks' numbers, for each text."""
+        some = np.zeros(len(self.cuts), bool)
+        some[np.concatenate([s + c for s, c in zip(shared, self.first_cut, strict=False)]).astype(np.int64)] = True
+        missing = np.concatenate([[0], np.cumsum(~some)])
+        n = max(0, len(self.starts) - self.least + 1)
+        first, last = self.surely[:n], self.surely[self.least - self.half :][:n]
+        inside = (self.doc[:n] == self.doc[self.least - 1 :][:n]) & (first >= 0) & (last >= 0)
+        return np.nonzero(inside & (missing[last] == missing[first]))[0]
+
+
+CHUNK = "doc_id bigint, key bigint, nth int, digest bigint, first int, last int"
+
+
+def _texts(batch: pa.RecordBatch):
+    """Parts of a batch: the place of its first row, and its texts as bytes."""
+    at = 0
+    for texts in parts(batch.column("text"), PART_BYTES):
+        yield at, texts.cast(pa.binary()).to_pylist()
+        at += len(texts)
+
+
+def _chunked(least_words: int):
+    """One row for each chunk, and for each text of enough words one with nth = -words and the bytes where its first word begins and its last one ends."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("nth", pa.int32()), ("digest", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
-
-def _anchored(words: int):
     def make():
         def each(batch: pa.RecordBatch):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary(batch, "text"), strict=True):
-                found = _windows(text, words)
-                if found is None:
-                    continue
-                at = np.unique(found[2])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc_id, np.int64)), pa.array(at), pa.array(found[3][at].view(np.int64))], ["doc_id", "at", "gram"])
+            for at, texts in _texts(batch):
+                cut = Cut(texts, least_words)
+                keys, ids = batch.column("key").slice(at, len(texts)), batch.column("doc_id").slice(at, len(texts))
+                long = np.nonzero(cut.words >= least_words)[0]
+                first, last = cut.starts[cut.first_word[long]] - cut.at[long], cut.ends[cut.first_word[long + 1] - 1] - cut.at[long]
+                none = pa.nulls(len(long), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(long)), keys.take(pa.array(long)), pa.array(-cut.words[long].astype(np.int32)), none, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], schema=kinds)
+                doc, nth, digests = cut.chunks()
+                none = pa.nulls(len(doc), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), keys.take(pa.array(doc)), pa.array(nth.astype(np.int32)), pa.array(np.array(digests, np.uint64).view(np.int64)), none, none], schema=kinds)
 
         return each
 
     return make
 
 
-def _hashed(words: int):
-    """The windows whose anchors are among those of their row."""
+def _hashed(least_words: int):
+    """The windows that may repeat, by the shared chunks of their text."""
 
     def make():
         def each(batch: pa.RecordBatch):
-            for doc_id, text, anchored in zip(batch.column("doc_id").to_pylist(), binary(batch, "text"), batch.column("anchors"), strict=True):
-                found = _windows(text, words)
-                if found is None:
-                    continue
-                starts, ends, at, _ = found
-                nth = np.nonzero(np.isin(at, anchored.values.to_numpy()))[0]
-                h = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(starts[nth].tolist(), ends[nth].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nth), doc_id, np.int64)), pa.array(nth), pa.array(starts[nth]), pa.array(ends[nth]), pa.array(np.array(h, np.uint64).view(np.int64))], ["doc_id", "nth", "start", "end", "hash"])
+            for at, texts in _texts(batch):
+                cut = Cut(texts, least_words)
+                i = cut.windows([batch.column("shared")[at + k].values.to_numpy() for k in range(len(texts))])
+                starts, ends, doc = cut.starts[i], cut.ends[i + least_words - 1], cut.doc[i]
+                h = [xxhash.xxh3_64_intdigest(cut.raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                ids = batch.column("doc_id").slice(at, len(texts)).take(pa.array(doc))
+                ints = [pa.array(x.astype(np.int32)) for x in (i - cut.first_word[doc], starts - cut.at[doc], ends - cut.at[doc])]
+                yield pa.RecordBatch.from_arrays([ids, *ints, pa.array(np.array(h, np.uint64).view(np.int64))], ["doc_id", "nth", "start", "end", "hash"])
 
         return each
 
     return make
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """The keys that several documents have, with the least id."""
-    return rows.groupBy(key).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).filter("first_doc_id < last").drop("last")
-
-
 def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of at least ``least_words`` words that a document of smaller id has too: doc_id, start, end (bytes of the text in UTF-8), words, first_doc_id (the least that has the first words)."""
     ship(docs.sparkSession)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seeds = materialise(map_batches(rows, _anchored(least_words), "doc_id bigint, at bigint, gram bigint"), "anchors")
-    met = seeds.join(_shared(seeds, "gram").select("gram"), "gram").groupBy("doc_id").agg(F.collect_set("at").alias("anchors"))
-    windows = map_batches(rows.join(met.hint("merge"), "doc_id"), _hashed(least_words), "doc_id bigint, nth bigint, start bigint, end bigint, hash bigint")
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    cut = materialise(map_batches(rows, _chunked(least_words), CHUNK), "chunks")
+    texts = cut.filter("nth < 0").select("doc_id", "key", "first", "last", -F.col("nth")).toDF("doc_id", "key", "first", "last", "words").distinct()
+    reps = texts.groupBy("key").agg(F.min("doc_id").alias("rep"))
+
+    chunks = cut.filter("nth >= 0").select("key", "nth", "digest")
+    shared = chunks.groupBy("digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("digest")
+    met = chunks.join(shared, "digest").groupBy("key").agg(F.collect_set("nth").alias("shared"))
+    seeds = met.join(reps, "key").select(F.col("rep").alias("doc_id"), "key", "shared")
+    windows = map_batches(rows.join(seeds.hint("merge"), ["doc_id", "key"]), _hashed(least_words), "doc_id bigint, nth int, start int, end int, hash bigint")
     windows = materialise(windows, "windows")
-    hits = windows.join(_shared(windows, "hash"), "hash").filter("first_doc_id < doc_id").drop("hash")
+    least = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_id")).filter("first_doc_id < last_id").drop("last_id")
+    hits = materialise(windows.join(least, "hash").filter("first_doc_id < doc_id").drop("hash"), "repeats")
+
     w = Window.partitionBy("doc_id").orderBy("nth")
     begins = F.coalesce(F.col("nth") - F.lag("nth").over(w) >= least_words, F.lit(True)).cast("int")
     runs = hits.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w)).groupBy("doc_id", "run")
-    runs = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("nth") - F.min("nth") + least_words).alias("words"), F.min_by("first_doc_id", "nth").alias("first_doc_id"))
-    return runs.drop("run")
+    words = (F.max("nth") - F.min("nth") + least_words).alias("words")
+    runs = runs.agg(F.min("start").cast("bigint").alias("start"), F.max("end").cast("bigint").alias("end"), words.cast("bigint"), F.min_by("first_doc_id", "nth").alias("first_doc_id"))
+    firsts = hits.filter("nth = 0").groupBy(F.col("doc_id").alias("rep")).agg(F.min("first_doc_id").alias("first_doc_id"))
+    copies = texts.join(reps, "key").filter("doc_id > rep").join(firsts, "rep", "left")
+    copies = copies.select("doc_id", F.col("first").cast("bigint").alias("start"), F.col("last").cast("bigint").alias("end"), F.col("words").cast("bigint").alias("words"), F.coalesce("first_doc_id", "rep").alias("first_doc_id"))
+    return runs.drop("run").union(copies)
 
 
 def without_repeats(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
