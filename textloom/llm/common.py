@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,21 +52,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, unique), np.uint64, len(unique)), coded.indices.to_numpy(), np.diff(total[offsets - offsets[0]])
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the words seen last; at most ``limit`` of them."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+def tidy() -> None:
+    """Gives freed memory back, at the end of a task: its worker may idle beside other work for long."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has no such call
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
@@ -76,6 +69,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
         for b in batches:
             if b.num_rows:
                 yield from each(b)
+        del each
+        tidy()
 
     return df.mapInArrow(run, schema)
 

@@ -2,8 +2,8 @@
 
 1. Each text becomes the set of its word shingles (64-bit hashes) and a signature: for each of bands * rows universal hash functions
    the least value over the set. Documents with the same set (a 128-bit hash) are one node, so copies cost nothing further.
-2. Each band of a signature is a key. Keys that one node alone has are dropped. Larger buckets are cut, by a hash, into
-   blocks of about ``block`` nodes, so no bucket lands in one task.
+2. Each band of a signature is a key. A range shuffle puts the nodes of a key in order of a hash, and every ``block`` of them are a block, so no bucket
+   lands in one task, whatever its size. Keys that one node alone has are dropped.
 3. Forest: within each block, signatures are compared and a maximum spanning forest of those that look similar enough is kept: fewer
    links than nodes. They are confirmed on the full sets and give first components.
 4. Rest: nodes of one bucket that still are in different components meet once more, within blocks and between them, now with their full sets.
@@ -26,10 +26,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WordHashes, binary, fresh, map_batches, words
+from textloom.llm.chunks import parts
+from textloom.llm.common import fresh, map_batches, tidy, word_hashes
 from textloom.llm.components import components
 from textloom.session import ship
 from textloom.storage import materialise
@@ -38,21 +40,22 @@ SEED = 7
 BLOCK = 256
 SLACK = 5.0
 SKETCH_BITS = 2
-_HASHES = WordHashes()
+PART_BYTES = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(tokens: list[bytes], size: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``size`` words; the whole sequence if it is shorter."""
-    if not tokens:
-        return np.empty(0, np.uint64)
-    h = _HASHES.of(tokens)
-    n = max(1, len(h) - size + 1)
-    acc = np.zeros(n, np.uint64)
-    for i in range(min(size, len(h))):
-        acc = (acc ^ h[i : i + n]) * _MIX
-        acc ^= acc >> np.uint64(29)
-    return np.unique(acc)
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """For each text, without nulls, the sorted distinct hashes of its runs of ``size`` words; the whole sequence if it is shorter."""
+    unique, codes, sizes = word_hashes(texts)
+    h, out, at = unique[codes], [], 0
+    for n in sizes.tolist():
+        own, at = h[at : at + n], at + n
+        acc = np.zeros(max(0, min(n, 1), n - size + 1), np.uint64)
+        for i in range(min(size, n)):
+            acc = (acc ^ own[i : i + len(acc)]) * _MIX
+            acc ^= acc >> np.uint64(29)
+        out.append(np.unique(acc))
+    return out
 
 
 def _family(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +97,7 @@ def _signatures(shingle: int, bands: int, rows: int, seed: int):
 
         def each(batch: pa.RecordBatch):
             n, k1, k2, keys, packed = [], [], [], [], []
-            for text in binary(batch, "text"):
-                s = shingle_set(words(text), shingle)
+            for s in (s for texts in parts(batch.column("text"), PART_BYTES) for s in shingle_sets(texts, shingle)):
                 n.append(len(s))
                 if not len(s):
                     for x in (k1, k2, keys, packed):
@@ -117,9 +119,12 @@ def _signatures(shingle: int, bands: int, rows: int, seed: int):
 def _sets(shingle: int):
     def make():
         def each(batch: pa.RecordBatch):
-            for i, text in enumerate(binary(batch, "text")):
-                s = np.sort(shingle_set(words(text), shingle).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s))], ["id", "shingles"])
+            at = 0
+            for texts in parts(batch.column("text"), PART_BYTES):
+                sets = [np.sort(s.view(np.int64)) for s in shingle_sets(texts, shingle)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "shingles"])
+                at += len(sets)
 
         return each
 
@@ -217,9 +222,51 @@ def _blocks(df: DataFrame, work) -> DataFrame:
             yield from packed(found)
         if len(held) > 1:
             yield from packed(work(held))
+        tidy()
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, "key").sortWithinPartitions("key", "id").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _in_blocks(size: int):
+    """Rows ordered by key get the number of their block. A node that is alone with its key goes, unless it is the first or last of a task, where the key may go on elsewhere."""
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(run, "a bigint, b bigint").distinct()
+    def run(batches):
+        held: pa.RecordBatch | None = None
+        task, nth, before = TaskContext.get().partitionId() << 32, 0, None
+
+        def numbered(batch: pa.RecordBatch, last: bool):
+            nonlocal nth, before
+            key = batch.column("key").to_numpy()
+            first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+            sizes = np.diff(first, append=len(key))
+            within = np.arange(len(key)) - np.repeat(first, sizes)
+            blocks = nth + np.cumsum(within % size == 0) - 1
+            nth = int(blocks[-1]) + 1
+            alone = np.repeat(sizes == 1, sizes)
+            alone[0] &= before is not None and key[0] != before
+            alone[-1] &= not last
+            before = key[-1]
+            keep = pa.array(~alone)
+            return pa.RecordBatch.from_arrays([batch.column("key").filter(keep), pa.array(task + blocks).filter(keep), batch.column("id").filter(keep)], ["key", "blk", "id"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            # what has the last key waits for the next batch, but whole blocks of it go
+            key = batch.column("key").to_numpy()
+            start = int(np.searchsorted(key, key[-1]))
+            end = start + (len(key) - start) // size * size
+            if end:
+                yield numbered(batch.slice(0, end), False)
+            held = batch.slice(end) if end < len(key) else None
+        if held is not None:
+            yield numbered(held, True)
+        tidy()
+
+    return run
 
 
 def _slices(column: pa.ListArray) -> list[np.ndarray]:
@@ -253,26 +300,29 @@ def near_dedup(docs: DataFrame, shingle: int = 5, numerator: int = 80, denominat
     nodes = full.join(reps.select(F.col("rep").alias("doc_id"), F.col("k1").alias("r1"), F.col("k2").alias("r2")), "doc_id").filter("k1 = r1 and k2 = r2")
 
     banded = nodes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = banded.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("nth", F.pmod(F.xxhash64("id", "key"), F.col("blocks"))).drop("n")
-    members = members.join(nodes.select(F.col("doc_id").alias("id"), "packed"), "id")
+    order = ("key", F.xxhash64("id", "key"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = banded.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_in_blocks(block), "key bigint, blk bigint, id bigint")
+    members = blocks.join(nodes.select(F.col("doc_id").alias("id"), "packed"), "id")
     members = materialise(members, "near-buckets")
 
     seen = members.select("id").distinct()
     sets = materialise(map_batches(texts.join(seen.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi"), _sets(shingle), "id bigint, shingles array<bigint>"), "near-shingles")
 
-    inner = members.select(F.xxhash64("key", "nth").alias("key"), "id", "packed")
+    inner = members.select(F.col("blk").alias("key"), "id", "packed")
     links = _confirmed(_blocks(inner, lambda held: _forest(*_arrays(held), count, least)), sets, numerator, denominator)
     links = materialise(links, "near-links")
     first = materialise(components(links), "near-components")
 
     labelled = members.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
-    blocked = labelled.join(open_, "key").select("*", other)
-    blocked = blocked.select(F.xxhash64("key", F.least("nth", "other"), F.greatest("nth", "other")).alias("key"), "id", "packed", "comp", (F.col("nth") > F.col("other")).cast("bigint").alias("side"))
-    mixed = blocked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    blocked = blocked.join(mixed, "key").join(sets, "id").select("key", "id", "packed", "comp", "side", "shingles")
+    # pairs of blocks of one key, and blocks with themselves, that hold several components; only a key that the first links leave in parts has any
+    spans = materialise(labelled.groupBy("key", "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "near-blocks")
+    open_ = spans.groupBy("key").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l < h").select("key")
+    spans = spans.join(open_, "key")
+    x, y = (spans.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("blk", "lo", "hi")]) for n in "xy")
+    met = x.join(y, "key").filter("blk_x <= blk_y and least(lo_x, lo_y) < greatest(hi_x, hi_y)").select("blk_x", "blk_y", F.xxhash64("blk_x", "blk_y").alias("pair"))
+    sides = met.select(F.col("blk_x").alias("blk"), "pair", F.lit(0).cast("bigint").alias("side")).union(met.filter("blk_x < blk_y").select("blk_y", "pair", F.lit(1).cast("bigint")))
+    blocked = labelled.join(sides, "blk").join(sets, "id").select(F.col("pair").alias("key"), "id", "packed", "comp", "side", "shingles")
 
     def joining(held):
         return _joining(*_arrays(held), np.array([h[3] for h in held]), np.array([h[4] for h in held]), [h[5] for h in held], count, least, numerator, denominator)
