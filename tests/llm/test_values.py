@@ -137,6 +137,13 @@ def test_mixing(spark, docs, no_docs):
     copies = collections.Counter(r.doc_id for r in out.collect())
     assert out.columns == df.columns and all(copies[r.doc_id] == r.copies for r in got)
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
+    # rows that repeat an id are drawn one by one
+    twice = df.union(df.filter("doc_id < 100"))
+    sizes = collections.Counter()
+    for r in mixing.mixed_documents(twice).collect():
+        sizes[r.source] += len(r.text.split())
+    check = mixing.mix(twice).collect()
+    assert sizes == {r.source: sum(x.taken for x in check if x.source == r.source) for r in check if any(x.copies for x in check if x.source == r.source)}
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
@@ -311,9 +318,13 @@ def test_warc(spark):
     rows = got.collect()
     assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in rows) == sorted(map(str, want))
     assert {r.html for r in rows if r.record_type == "response"} == {h or "" for _, _, h in PAGES}
-    found = [warc.fetch_record(r.path, 5) for r in listed.collect()]
-    fields, _, payload = next(x for x in found if x)
-    assert payload.decode() == PAGES[4][2] and fields["WARC-Type"] == "response"
+    some = warc.read_warc(listed, {5, None}).collect()
+    assert sorted(map(str, some)) == sorted(str(r) for r in rows if r.page_id in (5, None)) and len(some) > 2
+    readers = [warc.opened(r.path) for r in listed.collect()]
+    assert sum(len(r.index()) for r in readers) == len(PAGES) and len({i for r in readers for i in r.index()}) == len(PAGES)
+    for r in readers:
+        for identifier in r.index():
+            assert r.record(identifier)[0]["WARC-Record-ID"] == identifier
     assert warc.read_warc(warc.write_warc(df.limit(0))).count() == 0
     all_responses = warc.read_warc(warc.write_warc(df, least_bytes=9)).filter("payload_bytes < 9")
     assert {r.record_type for r in all_responses.collect()} == {"response"}
@@ -326,10 +337,12 @@ def test_bundle_is_a_plain_zstandard_file_too():
 
     b = warc.Bundle(frame_bytes=100)
     records = [warc.make_record(i, f"http://{i}/", b"x" * i, None) for i in range(20)]
-    for i, r in enumerate(records):
-        b.add(warc.record_id(i), r)
+    for i in range(20):
+        b.add(i, f"http://{i}/", b"x" * i, None)
+    b.add(3, "http://3/", b"xxx", None, "again")
     data = b.close()
-    assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read() == b"".join(records)
+    plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
+    assert plain.startswith(b"".join(r for _, r in records))
     reader = warc.Reader(lambda s, n: data[s : s + n], len(data))
-    assert reader.record(warc.record_id(13))[2] == b"x" * 13 and reader.record(warc.record_id(99)) is None
-
+    assert reader.record(records[13][0])[2] == b"x" * 13 and reader.record("<urn:uuid:0>") is None
+    assert len(reader.index()) == 21 and [r[2] for r in reader.records({3})] == [b"xxx"] * 2

@@ -1,11 +1,12 @@
 """Exact deduplication by content, in DataFrame functions alone.
 
 A row's key is the MD5 (128 bits) of its text without ASCII white space. The group-by holds the normalised bytes beside the
-hash, so two texts that share an MD5 still form two groups. Partial aggregation folds copies before the shuffle: a
-group of any size sends at most one row per map task. A row finds its group again by MD5, a second 64-bit hash and length.
+hash, so texts are compared in full and two that share an MD5 form two groups. Partial aggregation folds copies before the shuffle: a
+group of any size sends at most one row per map task. A row finds its group again by the SHA-256 and the length of its bytes; should
+two groups ever agree in both, the job stops instead of mixing them up.
 
 Defined results: a null text counts as the empty one, and empty texts form a group of their own. A null id never stays if
-another row can. Rows that repeat an id and its text are one document and share its verdict. An empty table gives an
+another row can. Of rows that repeat an id and its text the verdicts are the same; ``distinct_documents`` keeps one of them. An empty table gives an
 empty result. Other columns, whatever their names, are not read.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import fresh, text_of, without_spaces
+from textloom.storage import materialise
 
 
 def _whole(n: int) -> Column:
@@ -35,14 +37,21 @@ def _id_of(rank: Column) -> Column:
 
 
 def _groups(rows: DataFrame, longest: bool) -> DataFrame:
-    """One row per distinct normalised text. The key holds the bytes, so texts are compared in full, not by hash."""
+    """One row per distinct normalised text: norm, rank, group_size. The key holds the bytes, so texts are compared in full, not by hash."""
     rank = _rank(F.col("n") if longest else F.lit(0), F.col("doc_id"))
-    return rows.groupBy(F.md5(F.col("norm").cast("binary")).alias("h"), "norm").agg(F.max(rank).alias("rank"), F.count(F.lit(1)).alias("group_size")).withColumn("keep_id", _id_of(F.col("rank")))
+    return rows.groupBy(F.md5(F.col("norm").cast("binary")).alias("h"), "norm").agg(F.max(rank).alias("rank"), F.count(F.lit(1)).alias("group_size"))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, *row_col: str) -> DataFrame:
     text = text_of(text_col)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.char_length(text).alias("n"), without_spaces(text).alias("norm"))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.char_length(text).alias("n"), without_spaces(text).alias("norm"), *[F.col(c).alias("row") for c in row_col])
+
+
+def _found_by_digest(groups: DataFrame) -> DataFrame:
+    """The groups by digest and length; the aggregate, which shares the shuffle of the join after it, makes sure that there is one of each."""
+    digest = F.sha2(F.col("norm").cast("binary"), 256)
+    one = groups.groupBy(digest.alias("text_sha256"), F.octet_length("norm").alias("bytes")).agg(F.max("rank").alias("rank"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
+    return one.withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts of one length share a SHA-256")).cast("bigint"))).drop("texts")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: bool = True) -> DataFrame:
@@ -51,14 +60,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts the longest original stays, then the smallest id; with ``longest=False`` the smallest id alone decides.
     """
     rows = _rows(docs, id_col, text_col)
-    keys = [F.xxhash64("norm").alias("x"), F.octet_length("norm").alias("b")]
-    groups = _groups(rows, longest).select("h", *keys, "keep_id", "group_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-    found = rows.select("doc_id", F.md5(F.col("norm").cast("binary")).alias("h"), *keys).join(groups, ["h", "x", "b"])
+    groups = _found_by_digest(_groups(rows, longest)).withColumn("keep_id", _id_of(F.col("rank")))
+    found = rows.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").alias("bytes")).join(groups, ["text_sha256", "bytes"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: bool = True) -> DataFrame:
-    """The rows that stay, with their own columns."""
-    (k,) = fresh(docs, "keep_id")
-    kept = _groups(_rows(docs, id_col, text_col), longest).select(F.col("keep_id").alias(k)).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(k)), "left_semi")
+    """One row of each distinct text, the one that ``exact_dedup`` names, with its own columns.
+
+    Rows are told apart by a number of their own, so rows that repeat an id, or have none, are judged one by one.
+    """
+    (k,) = fresh(docs, "row_number")
+    docs = materialise(docs.withColumn(k, F.monotonically_increasing_id()), "exact-rows")
+    rows = _rows(docs, id_col, text_col, k)
+    digest = [F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").alias("bytes")]
+    best = _found_by_digest(_groups(rows, longest)).select("text_sha256", "bytes", F.col("rank").alias("best"))
+    ranked = rows.select("row", _rank(F.col("n") if longest else F.lit(0), F.col("doc_id")).alias("rank"), *digest)
+    # of rows that rank alike, which have one id and length, the first stays
+    first = ranked.join(best, ["text_sha256", "bytes"]).filter("rank = best").groupBy("text_sha256", "bytes").agg(F.min("row").alias("first"))
+    return docs.join(first.select(F.col("first").alias(k)), k, "left_semi").drop(k)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import count_words, fresh
+from textloom.llm.common import count_words, fresh, map_batches
 from textloom.session import ship
 from textloom.storage import materialise
 
@@ -59,32 +59,30 @@ def _numbered():
     state = {"source": object(), "next": 0}
 
     def each(batch: pa.RecordBatch):
-        source = batch.column("source").to_pylist()
-        at = np.empty(len(source), np.int64)
-        for i, s in enumerate(source):
-            if s != state["source"]:
-                state["source"], state["next"] = s, 0
-            at[i] = state["next"]
-            state["next"] += 1
+        source = batch.column("source")
+        codes = source.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        first = np.nonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))[0]
+        at = np.arange(len(codes)) - np.repeat(first, np.diff(first, append=len(codes)))
+        if source[0].as_py() == state["source"]:
+            at[: first[1] if len(first) > 1 else None] += state["next"]
+        state["source"], state["next"] = source[-1].as_py(), int(at[-1]) + 1
         task = np.full(len(source), TaskContext.get().partitionId(), np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("source"), batch.column("size"), pa.array(task), pa.array(at)], ["key", "source", "size", "task", "at"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "row", "source", "size")), pa.array(task), pa.array(at)], ["key", "row", "source", "size", "task", "at"])
 
     return each
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per input row: doc_id, source, size (words), source_size, target, copies, taken (copies * size)."""
-    from textloom.llm.common import map_batches
-
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """Per input row: doc_id, source, size (words), source_size, target, copies, taken (copies * size). With ``row_col``, a number of each row, also row, which then orders rows of one id."""
     ship(docs.sparkSession)
-    sized = count_words(docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")))
-    ordered = sized.select("key", "source", "size")
+    sized = count_words(docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.lit(0)).cast("bigint").alias("row")))
+    ordered = sized.select("key", "row", "source", "size")
     # the texts are read once: sampling for the range bounds would else count the words again
     ordered = materialise(ordered, "mix-sizes")
     per_source = materialise(targets(ordered.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = ordered.repartitionByRange(parts, "source", "size", "key").sortWithinPartitions("source", "size", "key")
-    numbered = materialise(map_batches(sorted_, _numbered, "key bigint, source string, size bigint, task int, at bigint"), "mix-order")
+    sorted_ = ordered.repartitionByRange(parts, "source", "size", "key", "row").sortWithinPartitions("source", "size", "key", "row")
+    numbered = materialise(map_batches(sorted_, _numbered, "key bigint, row bigint, source string, size bigint, task int, at bigint"), "mix-order")
     runs = numbered.groupBy("task", "source").agg((F.max("at") + 1).alias("n"))
     before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("task", F.col("source").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -94,13 +92,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     rank = F.col("base") + F.col("at")
     copies = F.floor((rank + 1) * F.col("rate") + F.col("offset")) - F.floor(rank * F.col("rate") + F.col("offset"))
     out = numbered.join(share.withColumnRenamed("task", "u"), (F.col("task") == F.col("u")) & F.col("source").eqNullSafe(F.col("s")))
-    return out.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+    return out.select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"), *(["row"] if row_col else []))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents themselves, each as often as it is taken, with their own columns. Ids are taken as unique; a repeated id's rows share the first's copies."""
-    (copies, d) = fresh(docs, "copies", "mix_id")
-    taken = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias(d)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
-    joined = docs.join(taken, F.col(id_col).eqNullSafe(F.col(d)))
+    """The documents themselves, each row as often as it is taken, with their own columns. Rows that repeat an id are drawn one by one."""
+    (copies, k) = fresh(docs, "copies", "row_number")
+    numbered = materialise(docs.withColumn(k, F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(numbered, id_col=id_col, row_col=k, **options).filter("copies > 0").select(F.col("row").alias(k), F.col("copies").alias(copies))
+    joined = numbered.join(taken, k)
     (nth,) = fresh(joined, "nth")
     return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -44,31 +44,34 @@ DATE = "2000-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6f0e9c1c-5a0b-5c55-9d1f-2a4b6c8d0e1f")
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, str(page_id))}>"
+def record_id(page_id: int | None, payload_digest: str, again: str = "") -> str:
+    """The identifier of a page's record; ``again`` tells apart records of one page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {payload_digest} {again}')}>"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """A response record, or a revisit if ``refers_to`` names the page that holds the payload."""
+def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, again: str = "", date: str = DATE) -> tuple[str, bytes]:
+    """The identifier and the bytes of a response record, or of a revisit if ``refers_to`` names the page that holds the payload."""
+    said = digest(payload)
+    identifier = record_id(page_id, said, again)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Record-ID", identifier),
         ("WARC-Date", date),
         ("WARC-Target-URI", " ".join((url or "").split())),
-        ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
+        ("WARC-Payload-Digest", f"sha1:{said}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("X-Page-Id", "" if page_id is None else str(page_id)),
     ]
     if refers_to is not None:
-        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]
+        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers_to, said)), ("X-Refers-To-Page-Id", str(refers_to))]
     fields.append(("Content-Length", str(len(block))))
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
+    return identifier, b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
 def parse_records(data: bytes):
@@ -94,12 +97,16 @@ class Bundle:
         self.frame_bytes, self.packer = frame_bytes, zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.frames: list[bytes] = []
         self.plain: list[int] = []
-        self.index: list[tuple[str, int, int, int]] = []
+        self.index: dict[str, tuple[int | None, int, int, int]] = {}
         self.held: list[bytes] = []
         self.size = self.total = 0
 
-    def add(self, identifier: str, record: bytes) -> None:
-        self.index.append((identifier, len(self.frames), self.size, len(record)))
+    def add(self, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, name: str = "") -> None:
+        """``name``: of the bundle, from which records of one page and payload but the first get identifiers of their own."""
+        identifier, record = make_record(page_id, url, payload, refers_to)
+        if identifier in self.index:
+            identifier, record = make_record(page_id, url, payload, refers_to, f"{name} {len(self.index)}")
+        self.index[identifier] = (page_id, len(self.frames), self.size, len(record))
         self.held.append(record)
         self.size += len(record)
         self.total += len(record)
@@ -114,7 +121,7 @@ class Bundle:
 
     def close(self) -> bytes:
         self._close_frame()
-        index = self.packer.compress(json.dumps(self.index).encode())
+        index = self.packer.compress(json.dumps([[k, *v] for k, v in self.index.items()]).encode())
         table = b"".join(struct.pack("<II", len(f), n) for f, n in zip(self.frames, self.plain, strict=True)) + struct.pack("<IBI", len(self.frames), 0, SEEK_MAGIC)
         return b"".join([*self.frames, struct.pack("<II", SKIPPABLE, len(index)), index, struct.pack("<II", SEEK_FRAME, len(table)), table])
 
@@ -137,16 +144,28 @@ class Reader:
     def frame(self, i: int) -> bytes:
         return zstandard.ZstdDecompressor().decompress(self.fetch(self.starts[i], self.sizes[i][0]), max_output_size=self.sizes[i][1])
 
-    def index(self) -> dict[str, tuple[int, int, int]]:
+    def index(self) -> dict[str, tuple[int | None, int, int, int]]:
+        """From each identifier to its page, frame, offset in the frame and size."""
         start = self.starts[-1]
         return {x[0]: tuple(x[1:]) for x in json.loads(zstandard.ZstdDecompressor().decompress(self.fetch(start + 8, self.tail - start - 8)))}
 
+    def records(self, pages: set[int | None]):
+        """The records of some pages; only frames that hold one are read."""
+        by_frame: dict[int, list[tuple[int, int]]] = {}
+        for page, frame, offset, size in self.index().values():
+            if page in pages:
+                by_frame.setdefault(frame, []).append((offset, size))
+        for frame, places in by_frame.items():
+            data = self.frame(frame)
+            for offset, size in places:
+                yield next(parse_records(data[offset : offset + size]))
+
     def record(self, identifier: str):
         """One record by its identifier, from one frame; None if the bundle lacks it."""
         place = self.index().get(identifier)
         if place is None:
             return None
-        frame, offset, size = place
+        _, frame, offset, size = place
         return next(parse_records(self.frame(frame)[offset : offset + size]))
 
 
@@ -163,7 +182,7 @@ def _bundled(folder: str, frame_bytes: int, bundle_bytes: int):
 
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
-                bundle.add(record_id(page_id), make_record(page_id, url, payload, refers_to))
+                bundle.add(page_id, url, payload, refers_to, f"{task} {nth}")
                 if bundle.total >= bundle_bytes:
                     yield closed()
                     nth, bundle = nth + 1, Bundle(frame_bytes)
@@ -187,42 +206,50 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, frame_bytes: int = FRAME_
     return materialise(told.mapInArrow(_bundled(new_path(spark, "warc"), frame_bytes, bundle_bytes), "path string, records bigint, bytes bigint"), "warc-list")
 
 
-def _opened(path: str) -> Reader:
+def opened(path: str) -> Reader:
     return Reader(lambda start, size: files.read(path, start, size), files.size(path))
 
 
-def _read():
-    def each(batch: pa.RecordBatch):
-        for path in batch.column("path").to_pylist():
-            reader = _opened(path)
-            for i in range(len(reader.sizes)):
-                out = {k: [] for k in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html")}
-                for fields, http, payload in parse_records(reader.frame(i)):
-                    kind = fields["WARC-Type"]
-                    said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response" and digest(payload) != said:
-                        raise ValueError(f"the payload of {fields['WARC-Record-ID']} is damaged")
-                    headers = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])
-                    out["page_id"].append(int(fields["X-Page-Id"]) if fields["X-Page-Id"] else None)
-                    out["url"].append(fields["WARC-Target-URI"])
-                    out["payload_bytes"].append(int(headers["Content-Length"]))
-                    out["payload_digest"].append(said)
-                    out["record_type"].append(kind)
-                    out["refers_to"].append(int(fields["X-Refers-To-Page-Id"]) if kind == "revisit" else None)
-                    out["html"].append(payload.decode() if kind == "response" else None)
-                kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64()}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()})
-
-    return each
-
-
-def read_warc(listed: DataFrame) -> DataFrame:
-    """All records of the bundles: page_id, url, payload_bytes, payload_digest, record_type, refers_to, html (null for revisits)."""
+def _rows(records) -> pa.RecordBatch:
+    out = {k: [] for k in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html")}
+    for fields, http, payload in records:
+        kind = fields["WARC-Type"]
+        said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        if kind == "response" and digest(payload) != said:
+            raise ValueError(f"the payload of {fields['WARC-Record-ID']} is damaged")
+        headers = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])
+        out["page_id"].append(int(fields["X-Page-Id"]) if fields["X-Page-Id"] else None)
+        out["url"].append(fields["WARC-Target-URI"])
+        out["payload_bytes"].append(int(headers["Content-Length"]))
+        out["payload_digest"].append(said)
+        out["record_type"].append(kind)
+        out["refers_to"].append(int(fields["X-Refers-To-Page-Id"]) if kind == "revisit" else None)
+        out["html"].append(payload.decode() if kind == "response" else None)
+    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64()}
+    return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()})
+
+
+def _read(pages: set[int | None] | None):
+    def make():
+        def each(batch: pa.RecordBatch):
+            for path in batch.column("path").to_pylist():
+                reader = opened(path)
+                if pages is not None:
+                    yield _rows(reader.records(pages))
+                    continue
+                for i in range(len(reader.sizes)):
+                    yield _rows(parse_records(reader.frame(i)))
+
+        return each
+
+    return make
+
+
+def read_warc(listed: DataFrame, pages: set[int | None] | None = None) -> DataFrame:
+    """Records of the bundles: page_id, url, payload_bytes, payload_digest, record_type, refers_to, html (null for revisits).
+
+    All of them, frame by frame, or with ``pages`` those of some pages, found by the index of each bundle.
+    """
     parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, html string"
-    return map_batches(listed.select("path").repartition(parts), _read, schema)
-
-
-def fetch_record(path: str, page_id: int):
-    """One record of one bundle by its page: (fields, HTTP headers, payload), read from a single frame."""
-    return _opened(path).record(record_id(page_id))
+    return map_batches(listed.select("path").repartition(parts), _read(pages), schema)
