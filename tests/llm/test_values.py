@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -195,6 +196,26 @@ def test_features_do_not_depend_on_neighbouring_texts():
         at += n
 
 
+def test_long_texts_go_through_in_windows(monkeypatch):
+    rng = random.Random(3)
+    texts = ["\n".join("x" * rng.randint(0, 9) + " |" * rng.randint(0, 1) + " Aa. 1" * rng.randint(0, 4) for _ in range(n)).encode() for n in (700, 1, 40, 699, 3)] + [b"\n" * 900, b"", None]
+    model = quality.Model(texts * 4, np.array([0, 1] * 16), steps=20)
+    want = model.scores(texts)
+    lines = [model.lines(t) for t in texts]
+    monkeypatch.setattr(quality, "PART_LINES", 7)
+    monkeypatch.setattr(quality, "PART_BYTES", 90)
+    assert model.scores(texts) == pytest.approx(want, abs=1e-9)
+    assert all(model.lines(t) == pytest.approx(x, abs=1e-9) for t, x in zip(texts, lines, strict=True))
+
+
+def test_a_very_long_text_of_short_lines_takes_little_memory():
+    model = quality.Model([b"a b\nc", b"| |\n|"] * 8, np.array([1, 0] * 8), steps=20)
+    tracemalloc.start()
+    assert 0 <= model.scores([b"ab\n" * 1_700_000])[0] <= 1
+    assert tracemalloc.get_traced_memory()[1] < 600e6
+    tracemalloc.stop()
+
+
 def brute_lm(rows, prior=lm.PRIOR):
     toks = [(i, re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) + [None]) for i, t in rows]
     train = [w for i, w in toks if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
