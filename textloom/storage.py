@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_noted: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,14 +25,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _noted:
+        made.append(path)
+    return path
+
+
+def discard(*paths: str) -> None:
+    """Deletes folders below the shared one that nothing reads any more; those that are gone already are ignored."""
+    for path in paths:
+        fs, at = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "", 1))
+        if fs.get_file_info(at).type != pafs.FileType.NotFound:
+            fs.delete_dir(at)
+
+
+@contextmanager
+def scratch():
+    """What is written inside goes at the end, but for the paths that are taken off the list. The results must have been written by then, as Spark reads late."""
+    made: list[str] = []
+    _noted.append(made)
+    try:
+        yield made
+    finally:
+        _noted[:] = [x for x in _noted if x is not made]
+        discard(*made)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+    """Write ``df`` as Parquet in the shared folder and read it back; ``stored_at`` of the result is the folder.
 
     It cuts the lineage: a lost executor costs only the tasks that were running. Columns become nullable.
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
