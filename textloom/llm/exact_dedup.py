@@ -17,7 +17,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fresh, text_of, without_spaces
+from textloom.llm.common import fresh, splittable_join, text_of, without_spaces
 from textloom.storage import materialise
 
 
@@ -48,7 +48,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, *row_col: str) -> DataFra
 
 
 def _found_by_digest(groups: DataFrame) -> DataFrame:
-    """The groups by digest and length; the aggregate, which shares the shuffle of the join after it, makes sure that there is one of each."""
+    """The groups by digest and length; the aggregate makes sure that there is one of each."""
     digest = F.sha2(F.col("norm").cast("binary"), 256)
     one = groups.groupBy(digest.alias("text_sha256"), F.octet_length("norm").alias("bytes")).agg(F.max("rank").alias("rank"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
     return one.withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts of one length share a SHA-256")).cast("bigint"))).drop("texts")
@@ -61,7 +61,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = _rows(docs, id_col, text_col)
     groups = _found_by_digest(_groups(rows, longest)).withColumn("keep_id", _id_of(F.col("rank")))
-    found = rows.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").alias("bytes")).join(groups, ["text_sha256", "bytes"])
+    found = rows.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").alias("bytes"))
+    found = splittable_join(found, groups, "text_sha256", "bytes")
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
@@ -77,5 +78,5 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = _found_by_digest(_groups(rows, longest)).select("text_sha256", "bytes", F.col("rank").alias("best"))
     ranked = rows.select("row", _rank(F.col("n") if longest else F.lit(0), F.col("doc_id")).alias("rank"), *digest)
     # of rows that rank alike, which have one id and length, the first stays
-    first = ranked.join(best, ["text_sha256", "bytes"]).filter("rank = best").groupBy("text_sha256", "bytes").agg(F.min("row").alias("first"))
+    first = splittable_join(ranked, best, "text_sha256", "bytes").filter("rank = best").groupBy("text_sha256", "bytes").agg(F.min("row").alias("first"))
     return docs.join(first.select(F.col("first").alias(k)), k, "left_semi").drop(k)

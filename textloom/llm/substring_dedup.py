@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.chunks import parts
-from textloom.llm.common import fresh, map_batches
+from textloom.llm.common import fresh, map_batches, splittable_join
 from textloom.session import ship
 from textloom.storage import materialise
 
@@ -176,20 +176,20 @@ def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col:
 
     chunks = cut.filter("nth >= 0").select("key", "nth", "digest")
     shared = chunks.groupBy("digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("digest")
-    met = chunks.join(shared, "digest").groupBy("key").agg(F.collect_set("nth").alias("shared"))
+    met = splittable_join(chunks, shared, "digest").groupBy("key").agg(F.collect_set("nth").alias("shared"))
     seeds = met.join(reps, "key").select(F.col("rep").alias("doc_id"), "key", "shared")
     windows = map_batches(rows.join(seeds.hint("merge"), ["doc_id", "key"]), _hashed(least_words), "doc_id bigint, nth int, start int, end int, hash bigint")
     windows = materialise(windows, "windows")
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_id")).filter("first_doc_id < last_id").drop("last_id")
-    hits = materialise(windows.join(least, "hash").filter("first_doc_id < doc_id").drop("hash"), "repeats")
+    hits = splittable_join(windows, least, "hash").filter("first_doc_id < doc_id").drop("hash")
 
     w = Window.partitionBy("doc_id").orderBy("nth")
     begins = F.coalesce(F.col("nth") - F.lag("nth").over(w) >= least_words, F.lit(True)).cast("int")
     runs = hits.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w)).groupBy("doc_id", "run")
     words = (F.max("nth") - F.min("nth") + least_words).alias("words")
     runs = runs.agg(F.min("start").cast("bigint").alias("start"), F.max("end").cast("bigint").alias("end"), words.cast("bigint"), F.min_by("first_doc_id", "nth").alias("first_doc_id"))
-    firsts = hits.filter("nth = 0").groupBy(F.col("doc_id").alias("rep")).agg(F.min("first_doc_id").alias("first_doc_id"))
-    copies = texts.join(reps, "key").filter("doc_id > rep").join(firsts, "rep", "left")
+    firsts = splittable_join(windows.filter("nth = 0"), least, "hash").filter("first_doc_id < doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("first_doc_id").alias("first_doc_id"))
+    copies = splittable_join(splittable_join(texts, reps, "key").filter("doc_id > rep"), firsts, "rep", how="left")
     copies = copies.select("doc_id", F.col("first").cast("bigint").alias("start"), F.col("last").cast("bigint").alias("end"), F.col("words").cast("bigint").alias("words"), F.coalesce("first_doc_id", "rep").alias("first_doc_id"))
     return runs.drop("run").union(copies)
 

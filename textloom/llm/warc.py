@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import files
-from textloom.llm.common import map_batches
+from textloom.llm.common import map_batches, splittable_join
 from textloom.session import ship
 from textloom.storage import materialise, new_path
 
@@ -198,8 +198,8 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, frame_bytes: int = FRAME_
     ship(spark)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.sha2("payload", 256))
-    groups = rows.groupBy("key").agg(F.max("page_id").alias("top")).withColumnRenamed("key", "k")
-    joined = rows.join(groups, F.col("key") == F.col("k"))
+    groups = rows.groupBy("key").agg(F.max("page_id").alias("top"))
+    joined = splittable_join(rows, groups, "key")
     small = F.octet_length("payload") < least_bytes
     refers = F.when(~small & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
     told = joined.select("page_id", "url", "payload", refers.alias("refers_to"))
