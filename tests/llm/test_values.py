@@ -277,7 +277,7 @@ def test_log_frequency_filter():
     h = rng.integers(0, 1 << 63, 20000, dtype=np.uint64) * np.uint64(2)
     counts = rng.integers(1, 2000, 20000)
     bits, entries = lm.build_filter(h & np.uint64((1 << 8 * lm.RUN_BYTES) - 1), counts)
-    model = lm.Model([(np.empty(0, np.uint64), np.empty(0, np.int64), bits)], 1)
+    model = lm.Model(np.empty(0, np.uint64), np.empty(0, np.int64), bits, np.array([len(bits)]), 1)
     got, exact = model.level(h), lm.levels(counts)
     assert (got >= exact).all() and (got == exact).mean() > 0.97
     assert (lm.least_count(exact) <= counts).all() and (counts <= lm.greatest_count(exact)).all()

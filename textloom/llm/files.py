@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 
 
@@ -28,6 +29,15 @@ def read(uri: str, start: int = 0, size: int | None = None) -> bytes:
         return f.read(f.size() - start if size is None else size)
 
 
+def mapped(uri: str) -> pa.Buffer:
+    """The whole of a file; where the folder is mounted, by the page cache that all workers of a machine share, else in memory."""
+    fs, path = _open(uri)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return pa.memory_map(path).read_buffer()
+    with fs.open_input_file(path) as f:
+        return f.read_buffer()
+
+
 def size(uri: str) -> int:
     fs, path = _open(uri)
     return fs.get_file_info(path).size

@@ -13,7 +13,8 @@ Scale. Tasks count their own texts and deal the counts out in a few binary rows
 a large shard. What a shard sums up is about ``shard_entries`` counts, as there are as many shards as the input needs. Each shard becomes a word table
 and a segment of the filter, written as one file in the shared folder.
 
-* A model of up to ``broadcast_bytes`` goes to every worker whole: each task takes the files from the shared folder, so nothing passes through the driver.
+* A model of up to ``broadcast_bytes`` goes to every worker whole. It is packed into one file of the shared folder, which tasks map, so workers of one machine
+  share its pages where the folder is mounted, and nothing passes through the driver.
 * Beyond that no worker could hold it. Then the corpus is tokenised once; each batch of texts sends its distinct words and runs to their shards, each
   shard's task probes its own segment, and the answers meet the batch again. That moves a fixed amount for each token, whatever the size of the model.
 
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm import files
 from textloom.llm.chunks import parts
-from textloom.llm.common import word_hashes
+from textloom.llm.common import tidy, word_hashes
 from textloom.session import ship
-from textloom.storage import materialise, new_path
+from textloom.storage import discard, materialise, new_path
 
 #: The end of a text, which no word can equal, as it is white space.
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
@@ -45,7 +46,7 @@ PRIOR = 100.0
 BITS_PER_ENTRY = 12
 PROBES = 4
 SHARD_ENTRIES = 2_000_000
-BROADCAST_BYTES = 1 << 28
+BROADCAST_BYTES = 1 << 29
 COUNTED_TOKENS = 700_000
 SCORED_BYTES = 1_500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -159,6 +160,7 @@ def _dealt(shards: int):
                     words, runs, size = [], [], 0
         if size:
             yield out()
+        tidy()
 
     return run
 
@@ -204,11 +206,17 @@ def build_filter(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
 class Model:
     """Word tables and filter segments of some neighbouring shards, from ``first`` on, of ``shards`` in all."""
 
-    def __init__(self, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shards: int, first: int = 0):
-        self.words, self.counts, self.filter = (np.concatenate(x) for x in zip(*segments, strict=True))
-        self.shards, self.first = shards, first
-        self.size = np.array([len(s[2]) for s in segments], np.uint64)
-        self.base = (np.cumsum(self.size) - self.size).astype(np.int64)
+    def __init__(self, words: np.ndarray, counts: np.ndarray, filter_: np.ndarray, size: np.ndarray, shards: int, first: int = 0):
+        self.words, self.counts, self.filter = words, counts, filter_
+        self.shards, self.first, self.size = shards, first, size.astype(np.uint64)
+        self.base = (np.cumsum(size) - size).astype(np.int64)
+
+    @classmethod
+    def packed(cls, data: pa.Buffer) -> Model:
+        """From the bytes that _packed writes; the arrays are views of them."""
+        n, shards = np.frombuffer(data, "<i8", 2).tolist()
+        size, at = np.frombuffer(data, "<i8", shards, 16), 16 + 8 * shards
+        return cls(np.frombuffer(data, "<u8", n, at), np.frombuffer(data, "<i8", n, at + 8 * n), np.frombuffer(data, "<u8", int(size.sum()), at + 16 * n), size, shards)
 
     def count(self, words: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -259,6 +267,8 @@ def _segments(folder: str):
                     v.append(batch.column(k)[i].as_buffer())  # a view: the batch isn't copied
         if shard is not None:
             yield closed()
+        held.clear()
+        tidy()
 
     return run
 
@@ -282,7 +292,26 @@ def train(docs: DataFrame, text_col: str = "text", shard_entries: int = SHARD_EN
     shards = 32 * max(1, math.ceil(size * 0.3 / shard_entries / 32))
     shuffled = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
     dealt = rows.mapInArrow(_dealt(shards), DEALT).repartition(shuffled, "shard").sortWithinPartitions("shard")
-    return materialise(dealt.mapInArrow(_segments(new_path(spark, "lm-segments")), SEGMENT).withColumn("shards", F.lit(shards).cast("bigint")), "lm-model")
+    folder = new_path(spark, "lm-segments")
+    model = materialise(dealt.mapInArrow(_segments(folder), SEGMENT).withColumn("shards", F.lit(shards).cast("bigint")), "lm-model")
+    model.segments = folder
+    return model
+
+
+def _packed(path: str, shards: int):
+    """One task writes all segments as one file, no more than the broadcast limit lets through."""
+
+    def run(batches):
+        paths: list[str | None] = [None] * shards
+        for batch in batches:
+            for k, p in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                paths[k] = p
+        words, counts, filters = zip(*map(_segment, paths), strict=True)
+        head = [sum(map(len, words)), shards, *map(len, filters)]
+        files.write(path, b"".join([np.array(head, "<i8").tobytes(), *(x.tobytes() for part in (words, counts, filters) for x in part)]))
+        yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    return run
 
 
 SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -301,13 +330,12 @@ def _scores(doc_ids: pa.Array, t: Tokens, counts: np.ndarray, two: np.ndarray, t
     return pa.RecordBatch.from_arrays([doc_ids, pa.array(t.sizes), pa.array(np.add.reduceat(c > 0, t.starts, dtype=np.int64)), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def _scored(paths: list[str | None], total: int, distinct: int, prior: float):
+def _scored(path: str, total: int, distinct: int, prior: float):
     """Against the whole model."""
 
     def run(batches):
-        model = None
+        model = Model.packed(files.mapped(path))
         for batch in batches:
-            model = model or Model(list(map(_segment, paths)), len(paths))  # a task without rows doesn't fetch it
             at = 0
             for texts in parts(batch.column("text"), SCORED_BYTES):
                 t = Tokens(texts)
@@ -318,6 +346,8 @@ def _scored(paths: list[str | None], total: int, distinct: int, prior: float):
                     out[i] = model.level(h[i])
                 yield _scores(batch.column("doc_id").slice(at, len(texts)), t, model.count(t.unique), *level, total, distinct, prior)
                 at += len(texts)
+        del model
+        tidy()
 
     return run
 
@@ -372,7 +402,8 @@ def _answers(shards: int):
             for i, (b, s) in enumerate(zip(batch.column("batch").to_pylist(), batch.column("shard").to_pylist(), strict=True)):
                 if s != shard:
                     shard = s
-                    model = Model([_segment(batch.column("words")[i].as_py().decode() if b < 0 else None)], shards, s)
+                    words, counts, filter_ = _segment(batch.column("words")[i].as_py().decode() if b < 0 else None)
+                    model = Model(words, counts, filter_, np.array([len(filter_)]), shards, s)
                 if b >= 0:
                     words, runs = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("words", "runs"))
                     found = (pa.array([x.tobytes()], pa.binary()) for x in (model.count(words).astype("<i8"), model.level(runs)))
@@ -413,18 +444,19 @@ def _met(total: int, distinct: int, prior: float):
     return run
 
 
-def score(docs: DataFrame, model: DataFrame, prior: float = PRIOR, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, model: DataFrame, prior: float = PRIOR, broadcast_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text", last: bool = False) -> DataFrame:
+    """Per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score. With ``last`` the model's segments go once they are packed."""
     spark = docs.sparkSession
     ship(spark)
     n, v, size, shards = model.agg(F.sum("tokens"), F.sum("distinct"), F.sum("size"), F.max("shards")).first()
     n, v, size, shards = n or 0, v or 0, size or 0, shards or 1
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if size <= broadcast_bytes:
-        paths: list[str | None] = [None] * shards
-        for r in model.select("shard", "path").collect():  # as few as fit ``broadcast_bytes``
-            paths[r.shard] = r.path
-        out = rows.mapInArrow(_scored(paths, n, v, prior), SCORED)
+        path = f"{new_path(spark, 'lm-model')}/model.lm"
+        model.select("shard", "path").coalesce(1).mapInArrow(_packed(path, shards), "path string").collect()
+        if last:
+            discard(model.segments)
+        out = rows.mapInArrow(_scored(path, n, v, prior), SCORED)
     else:
         asked = materialise(rows.mapInArrow(_asked(shards), ASKED), "lm-asked")
         no = F.lit(None)
@@ -440,5 +472,5 @@ def score(docs: DataFrame, model: DataFrame, prior: float = PRIOR, broadcast_byt
 def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_entries: int = SHARD_ENTRIES, **options) -> DataFrame:
     """Learns from the rows that aren't held out and scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     model = train(docs.filter(~held_out(id_col)), text_col, shard_entries)
-    scored = score(docs, model, id_col=id_col, text_col=text_col, **options)
+    scored = score(docs, model, id_col=id_col, text_col=text_col, last=True, **options)
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
