@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions import code_text
+
 #: Fixed value: what ends a code token.
 NOT_TOKEN = "[^A-Za-z_0-9]"
 #: Fixed value: the word for a line without a comment in line tables.
@@ -172,19 +174,21 @@ def header_on_one_line(c: Column | str) -> Column:
     return F.when(F.contains(col(c), F.lit(";")), F.concat(one_line(module_header(c)), F.substring(col(c), F.instr(col(c), ";") + 1, F.length(col(c))))).otherwise(col(c))
 
 
-def is_module_line(c: Column | str) -> Column:
+def _begins(c: Column | str, pattern: str) -> Column:
     s = py_strip(c)
-    return ~s.startswith("//") & ~s.startswith("/*") & ~s.startswith("*") & s.rlike(r"^module\s+\S")
+    return ~s.startswith("//") & ~s.startswith("/*") & ~s.startswith("*") & s.rlike(pattern)
+
+
+def is_module_line(c: Column | str) -> Column:
+    return _begins(c, code_text.MODULE_LINE)
 
 
 def is_function_line(c: Column | str) -> Column:
-    s = py_strip(c)
-    return ~s.startswith("//") & ~s.startswith("/*") & ~s.startswith("*") & s.rlike(r"^(?:template\s*<.*>\s*)?\S+\s+\S+(?:\s+\S+)?\s*\(|^template\s*")
+    return _begins(c, code_text.FUNCTION_LINE)
 
 
 def is_array_line(c: Column | str) -> Column:
-    s = py_strip(c)
-    return ~s.startswith("//") & ~s.startswith("/*") & ~s.startswith("*") & s.rlike(r"^\S+\s+\S+\s*.*\s*=")
+    return _begins(c, code_text.ARRAY_LINE)
 
 
 def fits(c: Column | str, tokens: int = 1024 * 16) -> Column:
