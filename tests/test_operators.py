@@ -1,7 +1,9 @@
 """Operators on small tables."""
 
+import json
 import math
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,7 +94,7 @@ def test_parent_chunks(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     for r in lines.char_chunks(df, "id", "text", 100, 30).collect():
         assert r.chunk == texts[r.id][r.chunk_idx * 70 : r.chunk_idx * 70 + 100]
-    for r in lines.parent_chunks(df, "id", "text").collect():
+    for r in lines.parent_chunks(df, "id", "text", borders=False).collect():
         assert r.small in r.large and r.large == texts[r.id][r.large_idx * 300 : r.large_idx * 300 + 400]
 
 
@@ -104,14 +106,45 @@ def test_history_and_memory(spark):
 
 
 def test_alignment_repair(spark):
-    code = spark.createDataFrame([("f", 0, "a = 1;"), ("f", 1, "b = 2;"), ("g", 0, "q")], "file string, line_number int, content string")
-    fixed = spark.createDataFrame([("f", 0, "// one"), ("f", 1, "a = 1; b = 2; // both"), ("g", 0, "r")], "file string, line_number int, content string")
-    got = sorted((r.file, r.line_number, r.comment) for r in lines.repair_alignment(code, fixed).collect())
-    assert got == [("f", 0, "// one"), ("f", 1, None)]
-    hits = lines.comment_lines_for(spark.createDataFrame([("f", 7, "b =")], "file string, comment_id int, snippet string"), code).first()
+    t = lambda rows: spark.createDataFrame([(f, i, x) for f, xs in rows.items() for i, x in enumerate(xs)], "file string, line_number int, content string")
+    long = [f"x{i} = {i};" for i in range(5000)]
+    code = {"f": ["a = 1;", "b = 2;", "c = 3;", "d"], "same": long[:1500], "g": ["q", "r"], "long": long, "swap": ["a", "b", "c"], "many": ["u", "v"] * 1101}
+    fixed = {"f": ["a  = 1; b = 2; c = 3;", "d"], "same": ["other"], "g": ["q r s"], "long": [f"{long[0]} {long[1]}", *long[2:]], "swap": ["x"], "many": ["u v"] * 1101}
+    notes = {"f": ["n0", "n3"], "same": [f"n{i}" for i in range(1500)], "g": ["n0"], "long": [f"n{i}" for i in range(4999)], "swap": ["n0"], "many": ["n"] * 1101}
+    got = {}
+    for r in lines.repair_alignment(t(code), t(notes), t(fixed)).collect():
+        got.setdefault(r.file, []).append((r.line_number, r.content, r.comment, r.reason))
+    got = {k: sorted(v, key=lambda x: x[0] or 0) for k, v in got.items()}
+    assert got["f"] == [(0, "a = 1;", "n0", None), (1, "b = 2;", None, None), (2, "c = 3;", None, None), (3, "d", "n3", None)]
+    assert [x[1:3] for x in got["same"]] == list(zip(code["same"], notes["same"], strict=True))
+    assert [x[1] for x in got["long"]] == long and [x[2] for x in got["long"]] == ["n0", None, *notes["long"][1:]]
+    assert got["g"] == [(None, None, None, "the comments don't fit the lines")]
+    assert got["swap"] == [(None, None, None, "the corrected text has fewer lines")]
+    assert got["many"] == [(None, None, None, "more than 1000 repairs")]
+    hits = lines.comment_lines_for(spark.createDataFrame([("f", 7, "b =")], "file string, comment_id int, snippet string"), t(code)).first()
     assert (hits.comment_id, hits.line_number) == (7, 1)
 
 
+def test_chunks_at_borders(spark):
+    from textloom.functions.splitting import chunks
+
+    assert chunks("aa bb cc dd", 5, 2) == ["aa bb", "cc", "dd"] and chunks("aa bb cc dd", 6, 3) == ["aa bb", "bb cc", "cc dd"]
+    assert chunks("p one\n\np two is longer\nline", 12, 0) == ["p one", "p two is", "longer", "line"]
+    assert chunks("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"] and chunks("", 4, 1) == [] and chunks(" \n ", 4, 1) == []
+    rng = random.Random(2)
+    for _ in range(50):
+        text = "".join(rng.choice("ab \n") for _ in range(rng.randint(0, 300)))
+        got = chunks(text, 20, 5)
+        assert all(0 < len(c) <= 20 and c in text for c in got) and set("".join(got)) >= set(text.replace("\n", "").replace(" ", ""))
+        at = 0  # no word is lost
+        for w in text.split():
+            if len(w) < 19:
+                assert any(w in c for c in got[at:])
+    df = spark.createDataFrame([(1, "word " * 200), (2, None)], "id int, text string")
+    for r in lines.parent_chunks(df, "id", "text").collect():
+        assert r.small in r.large and len(r.large) <= 400 and len(r.small) <= 100
+
+
 def token_docs(spark, sets):
     return spark.createDataFrame([(i, " ".join(f"t{k}" for k in s)) for i, s in sets.items()], "doc_id bigint, text string")
 
@@ -293,8 +326,67 @@ def test_plugins(spark):
     assert len(v) == 8
     got = plugins.first_valid(spark.createDataFrame([("p",)], "prompt string"), plugins.EchoCompleter(), plugins.StructureChecker(), trials=3).first()
     assert got.completion is None and got.attempts == 3
-    parsed = df.limit(1).select(plugins.parsed_with_fallback(F.col("t"), "summary STRING", plugins.EchoCompleter(), plugins.EchoCompleter(), plugins.EchoCompleter(), "JSON").alias("p")).first()
-    assert parsed.p is None or parsed.p.summary is None
+
+
+class Asked:
+    """A model that answers by a rule and notes each call in a file."""
+
+    def __init__(self, path, rule):
+        self.path, self.rule = str(path), rule
+
+    def complete(self, prompt):
+        with open(self.path, "a") as f:
+            f.write("x")
+        return self.rule(prompt)
+
+
+def test_models_are_asked_only_after_a_failure(spark, tmp_path):
+    good = lambda s: f'so: {{"summary": "{s}", "sure": True}} end'
+    cheap = Asked(tmp_path / "cheap", lambda p: good("first") if p < "p3" else "no json")
+    fixer = Asked(tmp_path / "fixer", lambda p: good("fixed") if p.startswith("Fix") and spark_free(p) else "{")
+    strong = Asked(tmp_path / "strong", lambda p: good(f"strong {p}") if p != "p9" else "{]")
+    df = spark.createDataFrame([(f"p{i}",) for i in range(10)], "t string").coalesce(1)
+    for f in ("cheap", "fixer", "strong"):
+        (tmp_path / f).write_text("")
+    got = [r.s for r in df.select(plugins.parsed_with_fallback(F.col("t"), "summary STRING", cheap, fixer, strong, "JSON")["summary"].alias("s")).collect()]
+    assert got == ["first"] * 3 + [f"strong p{i}" for i in range(3, 9)] + [None]
+    assert [len((tmp_path / f).read_text()) for f in ("cheap", "fixer", "strong")] == [10, 7, 7]
+
+
+def spark_free(prompt):
+    return "p" not in prompt.partition("\n")[2].partition("\n")[2] and prompt.endswith("fixable")
+
+
+def test_chains_and_retries(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2)], "x string, n int")
+    class Loud:
+        def complete(self, prompt):
+            return prompt.upper()
+
+    assert [r.reply for r in plugins.Chain("say {x} {n} times", Loud()).run(df).collect()] == ["SAY A 1 TIMES", "SAY  2 TIMES"]
+    calls = []
+
+    class Flaky:
+        def complete(self, prompt):
+            calls.append(prompt)
+            if len(calls) < 3:
+                raise ConnectionError
+            return "ok"
+
+    assert plugins.RetryingCompleter(Flaky(), tries=3, wait=0).complete("p") == "ok" and len(calls) == 3
+    calls.clear()
+    with pytest.raises(ConnectionError):
+        plugins.RetryingCompleter(Flaky(), tries=2, wait=0).complete("p")
+
+
+def test_samples_run_in_processes(spark):
+    python = plugins.ProcessSimulator([sys.executable, "-m", "py_compile", "{source}"], [sys.executable, "{source}"], ".py", seconds=3, megabytes=2000)
+    samples = [("", "print('Mismatches: 0 in 7 samples')", ""), ("n = 1", "print(f'Mismatches: {n} in 7 samples')", ""), ("", "x = (", ""), ("", "import time; time.sleep(60)", ""), ("", "import sys; sys.exit(2)", ""), ("", "x = bytes(3 << 30)", ""), (None, "print('no')", "y = 1")]
+    df = spark.createDataFrame([(str(i), *s) for i, s in enumerate(samples)], "task_id string, prompt string, completion string, test string")
+    ran = plugins.simulated(df, python)
+    got = {r.task_id: r for r in ran.withColumn("result", grading.classify(F.col("stdout"), F.col("stderr"), F.col("timed_out"))).collect()}
+    assert [got[str(i)].result for i in range(7)] == ["passed", "failed: 1 out of 7 samples.", "failed: compile error.", "timed out", "failed: compile error.", "failed: compile error.", "failed: info string not matched."]
+    assert "SyntaxError" in got["2"].stderr and "MemoryError" in got["5"].stderr and got["4"].stderr == "exit status 2"
 
 
 RAW = [
@@ -341,8 +433,20 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.json_lines(spark, str(tmp_path / "out"), "task_id string, completion string").count() == 1
     doc = writers.json_document(spark.createDataFrame([("b", 1), ("a", 2)], "k string, n int"), "k").first().document
     assert doc == '{"a":{"n":2},"b":{"n":1}}'
-    out = writers.one_file_per_row(spark.createDataFrame([(1, "x"), (2, None), (1, "y")], "task_id int, text string"), f"file://{tmp_path}/files")
-    assert {(r.file, r.bytes) for r in out.collect()} == {("1.v", 1), ("2.v", 0)} and (tmp_path / "files" / "1.v").read_text() == "y"
+    rows = spark.createDataFrame([(1, "x", 2), (2, None, 1), (1, "y", 1)], "task_id int, text string, at int")
+    for order, kept in ((None, "y"), ("at", "x")):
+        out = writers.one_file_per_row(rows, f"file://{tmp_path}/files", order=order)
+        assert {(r.file, r.bytes) for r in out.collect()} == {("1.v", 1), ("2.v", 0)} and (tmp_path / "files" / "1.v").read_text() == kept
+    writers.one_file_per_row(rows.filter("task_id = 2"), f"file://{tmp_path}/files").collect()
+    assert sorted(x.name for x in (tmp_path / "files").iterdir()) == ["2.v"]
+    meta = spark.createDataFrame([(str(i), f"n{i}", [f"u{i}"], None, 'co"de\n') for i in range(6)], "task_id string, code_name string, module_inst_list array<string>, error string, code_str string")
+    for n in (1, 3):
+        writers.json_map(meta.repartition(n), str(tmp_path / f"map{n}"), "task_id")
+        back = readers.json_map(spark, str(tmp_path / f"map{n}"))
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, meta.collect()))
+    assert len(json.loads((next((tmp_path / "map1").glob("part-*"))).read_text())) == 6
+    writers.part_codes(meta.withColumn("part", F.col("task_id").cast("int") % 2), f"file://{tmp_path}/parts").collect()
+    assert sorted(json.loads((tmp_path / "parts" / "part1" / "codes.json").read_text())) == ["n1", "n3", "n5"]
     n = spark.createDataFrame([("m", "t")], "name string, text string")
     writers.documented_package(n.select("name"), n, n, f"file://{tmp_path}/pkg").collect()
     assert (tmp_path / "pkg" / "m" / "m.v").exists() and (tmp_path / "pkg" / "m" / "m.txt").exists()

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import os
 import re
+import resource
+import signal
+import subprocess
+import tempfile
+import time
 from collections.abc import Callable
 from typing import Protocol
 
@@ -159,14 +166,101 @@ def embedded(embedder: Embedder, text: Column) -> Column:
     return _column(embedder.embed, "array<double>")(text)
 
 
+def json_text(reply: str) -> str | None:
+    """The widest braces of a reply, with Python's literals repaired, if that is JSON of one object."""
+    import json
+
+    for word, known in (("null", '""'), ("False", "false"), ("True", "true")):
+        reply = reply.replace(word, known)
+    found = re.search(r"\{.*\}", reply, re.DOTALL)
+    try:
+        return found[0] if found and isinstance(json.loads(found[0], strict=False), dict) else None
+    except ValueError:
+        return None
+
+
 def parsed_with_fallback(prompt: Column, schema: str, cheap: Completer, fixer: Completer, strong: Completer, instructions: str) -> Column:
-    """The first reply that parses: of the cheap model, of the fixer on that reply, of the strong model."""
-    from textloom.functions.text import json_in, repair_literals
-    from textloom.operators.pairs import repair_prompt
+    """The first reply that parses: of the cheap model, of the fixer on that reply, of the strong model. A model is asked only where those before it failed."""
+    from textloom.operators.pairs import repair_request
+
+    def ask(text: str) -> str | None:
+        first = cheap.complete(text)
+        return json_text(first) or json_text(fixer.complete(repair_request(instructions, first))) or json_text(strong.complete(text))
+
+    return F.from_json(_column(ask, "string")(prompt), schema, {"allowUnquotedControlChars": "true"})
+
 
-    first = completed(cheap, prompt)
-    parse = lambda c: json_in(repair_literals(c), schema)
-    return F.coalesce(parse(first), parse(completed(fixer, repair_prompt(instructions, first))), parse(completed(strong, prompt)))
+class RetryingCompleter:
+    """Asks again after an error, up to ``tries`` times in all, and waits longer each time; the last error goes through."""
+
+    def __init__(self, completer: Completer, tries: int = 3, wait: float = 1.0):
+        self.completer, self.tries, self.wait = completer, tries, wait
+
+    def complete(self, prompt: str) -> str:
+        for k in range(self.tries):
+            try:
+                return self.completer.complete(prompt)
+            except Exception:  # whatever a remote service raises
+                if k + 1 == self.tries:
+                    raise
+                time.sleep(self.wait * 2**k)
+        raise ValueError("no tries")
+
+
+class Chain:
+    """A template with named places and a model: a completer of whole rows."""
+
+    def __init__(self, template: str, completer: Completer):
+        self.template, self.completer = template, completer
+
+    def run(self, rows: DataFrame, reply: str = "reply") -> DataFrame:
+        """Adds the model's reply to the template filled from each row's columns; a missing value is empty."""
+        text, places = F.lit(self.template), re.findall(r"\{(\w+)\}", self.template)
+        parts = re.split(r"\{\w+\}", self.template)
+        text = F.concat(*[x for part, place in zip(parts, [*places, None], strict=True) for x in (F.lit(part), *([F.coalesce(F.col(place).cast("string"), F.lit(""))] if place else []))])
+        return rows.withColumn(reply, completed(self.completer, text))
+
+
+class ProcessSimulator:
+    """Compiles and runs a sample with commands of one's own, in a folder that lives as long as the run.
+
+    ``compile_`` and ``run_`` are argument lists in which {source} and {binary} stand for the files. A run that takes more than ``seconds`` or more than
+    ``megabytes`` of memory is stopped with all it started; it gets no input, no environment but PATH, and may write ``megabytes`` to a file at most.
+    """
+
+    def __init__(self, compile_: list[str] | None, run_: list[str], suffix: str = ".sv", seconds: float = 30.0, megabytes: int = 1024):
+        self.compile_, self.run_, self.suffix, self.seconds, self.megabytes = compile_, run_, suffix, seconds, megabytes
+
+    def _guard(self) -> None:
+        size = self.megabytes << 20
+        for limit, value in ((resource.RLIMIT_AS, size), (resource.RLIMIT_FSIZE, size), (resource.RLIMIT_CORE, 0), (resource.RLIMIT_CPU, int(self.seconds) + 1)):
+            resource.setrlimit(limit, (value, value))
+
+    def _call(self, command: list[str], folder: str, seconds: float) -> tuple[str, str, bool, int]:
+        process = subprocess.Popen(command, cwd=folder, env={"PATH": os.environ.get("PATH", "")}, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.PIPE, start_new_session=True, preexec_fn=self._guard)
+        late = False
+        try:
+            out, err = process.communicate(timeout=seconds)
+        except subprocess.TimeoutExpired:
+            late = True
+        if late or process.returncode:
+            with contextlib.suppress(ProcessLookupError):
+                os.killpg(process.pid, signal.SIGKILL)  # what it started goes with it
+        if late:
+            out, err = process.communicate()
+        return out.decode("utf-8", "replace"), err.decode("utf-8", "replace"), late, process.returncode
+
+    def run(self, prompt: str, completion: str, test: str) -> tuple[str, str, bool]:
+        with tempfile.TemporaryDirectory(prefix="run-") as folder:
+            source, binary = (os.path.join(folder, x) for x in (f"sample{self.suffix}", "sample.bin"))
+            with open(source, "w", encoding="utf-8") as f:
+                f.write("\n".join((test or "", prompt or "", completion or "")))
+            began = time.monotonic()
+            for command in filter(None, (self.compile_, self.run_)):
+                out, err, late, code = self._call([x.format(source=source, binary=binary) for x in command], folder, self.seconds - (time.monotonic() - began))
+                if late or err or code:
+                    return out, err or ("" if late else f"exit status {code}"), late
+            return out, err, False
 
 
 def checked(rows: DataFrame, checker: SyntaxChecker, text: str = "text", name: str | None = "module_name") -> DataFrame:

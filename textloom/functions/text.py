@@ -113,6 +113,11 @@ def block_summary(blocks: Column) -> Column:
     return F.when(F.size(blocks) == 1, F.array(single)).otherwise(blocks)
 
 
+def list_or_empty(c: Column | str) -> Column:
+    """An array of strings; an empty one for null."""
+    return F.coalesce(col(c), F.array().cast("array<string>"))
+
+
 def json_in(c: Column | str, schema: str) -> Column:
     """The struct in the widest braces of a reply; null if it can't be parsed."""
     return F.from_json(F.regexp_extract(col(c), r"(?s)\{.*\}", 0), schema, {"allowUnquotedControlChars": "true"})

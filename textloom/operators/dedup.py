@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators.units import numbered
 from textloom.storage import materialise
 
 MIN_TOKENS = 10
@@ -173,3 +174,16 @@ def summary(docs: DataFrame, clustered: DataFrame) -> DataFrame:
     n = docs.agg(F.count(F.lit(1)).alias("original"))
     k = clustered.agg(F.countDistinct("cluster").alias("clusters"))
     return n.crossJoin(k).crossJoin(c).withColumn("kept", F.col("original") - F.col("clustered") + F.col("extremes"))
+
+
+def keyed_clusters(rows: DataFrame, *keys: str, percent: int = 80, mode: str = "exact", text_col: str = "text") -> DataFrame:
+    """Clusters of rows that are known by several columns, such as a repository and a path, in their order: those columns with base_index, cluster, is_extreme, copies."""
+    at = materialise(numbered(rows.select(*keys, F.col(text_col).alias("text")), *keys, name="base_index"), "keyed")
+    c = clusters(at, percent, mode, "base_index", "text")
+    return c.withColumnRenamed("id", "base_index").join(at.drop("text"), "base_index").select(*keys, "base_index", "cluster", "is_extreme", "copies")
+
+
+def without_keyed_copies(rows: DataFrame, *keys: str, **options) -> DataFrame:
+    """The rows without those that are clustered and extreme nowhere."""
+    c = keyed_clusters(rows, *keys, **options).groupBy(*keys).agg(F.bool_or("is_extreme").alias("kept"))
+    return rows.join(c.filter(~F.col("kept")).select(*keys), list(keys), "left_anti")

@@ -42,7 +42,9 @@ def unattempted(problems: DataFrame, samples: DataFrame) -> DataFrame:
 
 def completion_ids(samples: DataFrame, order: str, key: str = "task_id") -> DataFrame:
     """Numbers the samples of each task from 0."""
-    return samples.withColumn("completion_id", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    from textloom.operators.units import numbered_within
+
+    return numbered_within(samples, key, order, name="completion_id").withColumn("completion_id", F.col("completion_id").cast("int"))
 
 
 def attach_results(samples: DataFrame, results: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def totals(results: DataFrame, key: str = "task_id") -> DataFrame:
 
 def pass_rate(n: Column, c: Column, k: int) -> Column:
     """The chance that one of k samples drawn from n passes, c of which do."""
-    left = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0), lambda acc, i: acc * (1 - k / i))
+    left = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0), lambda acc, i: acc * (n - c - i) / (n - i))
     return F.when(c == 0, F.lit(0.0)).when(n - c < k, F.lit(1.0)).otherwise(1 - left)
 
 

@@ -128,6 +128,12 @@ def merge_versions(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return joined.select(key, *[F.coalesce(blank_to_null(F.col(c), kinds[c]), F.col(f"__{c}")).alias(c) for c in new.columns if c != key])
 
 
+def csv_paths(files: DataFrame, code_dir: str, comment_dir: str, name: str = "name") -> DataFrame:
+    """Where the line tables of each file lie: csv_code and csv_comment."""
+    table = F.concat(X.stem(name), F.lit(".csv"))
+    return files.withColumns({"csv_code": F.concat(F.lit(code_dir.rstrip("/") + "/"), table), "csv_comment": F.concat(F.lit(comment_dir.rstrip("/") + "/"), table)})
+
+
 def merge_bookkeeping(files: DataFrame, old: DataFrame, flags: list[str], key: str = "name") -> DataFrame:
     """Scanned files with what the old records say of them; files that are new get their flags as false."""
     joined = files.select(key, *[c for c in files.columns if c != key and c not in old.columns]).join(old, key, "left")

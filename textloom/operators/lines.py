@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import splitting
 from textloom.functions import text as X
 
 
@@ -93,19 +96,35 @@ def text_chunks(files: DataFrame, size: int = 10, file_col: str = "file", text_c
 
 def char_chunks(rows: DataFrame, key: str, text_col: str, size: int, overlap: int) -> DataFrame:
     """Windows of ``size`` characters that overlap: key, chunk_idx, chunk."""
+    return rows.select(key, F.posexplode(_windows(F.col(text_col), size, overlap)).alias("chunk_idx", "chunk"))
+
+
+def _windows(text: Column, size: int, overlap: int) -> Column:
     step = size - overlap
-    n = F.greatest(F.ceil((F.length(text_col) - overlap) / step), F.lit(1)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text_col), i * step + 1, F.lit(size)))
-    return rows.select(key, F.posexplode(pieces).alias("chunk_idx", "chunk"))
+    n = F.greatest(F.ceil((F.length(text) - overlap) / step), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))
+
+
+def _at_borders(text: Column, size: int, overlap: int) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(texts):
+        import pandas as pd
+
+        return pd.Series([None if t is None else splitting.chunks(t, size, overlap) for t in texts], dtype=object)
 
+    return run(text)
 
-def parent_chunks(rows: DataFrame, key: str, text_col: str, large: tuple[int, int] = (400, 100), small: tuple[int, int] = (100, 30)) -> DataFrame:
-    """Small chunks with the large chunk that each belongs to: key, large_idx, small_idx, large, small."""
-    big = char_chunks(rows, key, text_col, *large).withColumnRenamed("chunk_idx", "large_idx").withColumnRenamed("chunk", "large")
-    step = small[0] - small[1]
-    n = F.greatest(F.ceil((F.length("large") - small[1]) / step), F.lit(1)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("large"), i * step + 1, F.lit(small[0])))
-    return big.select(key, "large_idx", "large", F.posexplode(pieces).alias("small_idx", "small"))
+
+def bordered_chunks(rows: DataFrame, key: str, text_col: str, size: int, overlap: int) -> DataFrame:
+    """Chunks of up to ``size`` characters that end at paragraphs, lines or words where they can: key, chunk_idx, chunk."""
+    return rows.select(key, F.posexplode(_at_borders(F.col(text_col), size, overlap)).alias("chunk_idx", "chunk"))
+
+
+def parent_chunks(rows: DataFrame, key: str, text_col: str, large: tuple[int, int] = (400, 100), small: tuple[int, int] = (100, 30), borders: bool = True) -> DataFrame:
+    """Small chunks with the large chunk that each belongs to: key, large_idx, small_idx, large, small. Without ``borders`` they are windows of so many characters."""
+    cut = _at_borders if borders else _windows
+    big = rows.select(key, F.posexplode(cut(F.col(text_col), *large)).alias("large_idx", "large"))
+    return big.select(key, "large_idx", "large", F.posexplode(cut(F.col("large"), *small)).alias("small_idx", "small"))
 
 
 def running_history(blocks: DataFrame, summarise=None) -> DataFrame:
@@ -161,41 +180,53 @@ def count_mismatches(**tables: DataFrame) -> DataFrame:
     return out.filter(differs)
 
 
-def repair_alignment(code: DataFrame, corrected: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Fits a corrected commented file to its code lines, file by file: file, line_number, content, comment.
-
-    Each code line takes the corrected lines up to the first one that contains it (white space aside); what stands before it is its comment. A
-    corrected line that holds several code lines is split. A file that can't be fitted within ``rounds`` steps is dropped, for it must be documented again.
+def _fitted(code: list[str], comments: list[str | None], corrected: list[str], most: int) -> tuple[list[tuple[str, str | None]], str | None]:
+    """Lines with their comments, or why they can't be fitted."""
+    if len(code) == len(comments):
+        return list(zip(code, comments, strict=True)), None
+    bare = lambda x: "".join(x.split())
+    flat = lambda xs: [re.sub(r"\s+", " ", x) for x in xs]
+    ahead, told, lines, added = deque(flat(corrected)), iter(comments), [], set()
+    for n, line in enumerate(flat(code)):
+        if not ahead:
+            return [], "the corrected text has fewer lines"
+        have = ahead.popleft()
+        if bare(line) != bare(have):
+            if bare(line) in bare(have):
+                # several code lines in one: the rest is a line of its own, without a comment
+                ahead.appendleft(have.replace(line.strip(), "", 1))
+                added.add(n + 1)
+            else:
+                line = have
+        lines.append(line)
+        if len(added) > most:
+            return [], f"more than {most} repairs"
+    if len(comments) + len(added) != len(lines):
+        return [], "the comments don't fit the lines"
+    return [(line, None if n in added else next(told)) for n, line in enumerate(lines)], None
+
+
+def repair_alignment(code: DataFrame, comments: DataFrame, corrected: DataFrame, most: int = 1000) -> DataFrame:
+    """Fits comments (one for each corrected line) to code lines, file by file: file, line_number, content, comment, reason.
+
+    A file with as many comments as code lines stays as it is. In others runs of white space become one blank, a corrected line that holds several code lines is split, and the lines split off
+    get no comment; one that differs from its code line takes its place. A file that can't be fitted, or not with ``most`` splits, is one row
+    with the reason and nothing else, for it must be documented again. The three tables are (file, line_number, content); a file is handled in one task.
     """
-    schema = "file string, line_number int, content string, comment string"
+    parts = [t.select("file", "line_number", "content", F.lit(k).alias("kind")) for k, t in enumerate((code, comments, corrected))]
 
-    def run(key, left, right):
+    def run(key, pdf):
         import pandas as pd
 
-        squeeze = lambda s: "".join(s.split())
-        queue = list(right.sort_values("line_number")["content"])
-        out, steps, at = [], 0, 0
-        for n, content in left.sort_values("line_number")[["line_number", "content"]].itertuples(index=False):
-            comment, wanted, hit = [], squeeze(content), False
-            while at < len(queue) and steps <= rounds:
-                steps += 1
-                line = queue[at]
-                if wanted in squeeze(line):
-                    hit = True
-                    rest = line.partition(content.strip())[2] if content.strip() in line else ""
-                    if rest.strip() and not rest.strip().startswith("//"):
-                        queue[at] = rest
-                    else:
-                        at += 1
-                    break
-                comment.append(line.strip())
-                at += 1
-            if not hit:
-                return pd.DataFrame([], columns=["file", "line_number", "content", "comment"])
-            out.append((key[0], int(n), content, "\n".join(comment) or None))
-        return pd.DataFrame(out, columns=["file", "line_number", "content", "comment"])
-
-    return code.groupBy("file").cogroup(corrected.groupBy("file")).applyInPandas(run, schema)
+        pdf = pdf.sort_values("line_number")
+        texts = [[None if pd.isna(x) else x for x in pdf.loc[pdf["kind"] == k, "content"]] for k in range(3)]
+        found, why = _fitted([x or "" for x in texts[0]], texts[1], [x or "" for x in texts[2]], most)
+        rows = [(key[0], n, line, note, None) for n, (line, note) in enumerate(found)] if why is None else [(key[0], None, None, None, why)]
+        out = pd.DataFrame(rows, columns=["file", "line_number", "content", "comment", "reason"])
+        return out.astype({"line_number": "Int32"})
+
+    kind = dict(code.dtypes)["file"]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("file").applyInPandas(run, f"file {kind}, line_number int, content string, comment string, reason string")
 
 
 def comment_lines_for(generated: DataFrame, lines: DataFrame) -> DataFrame:

@@ -102,8 +102,16 @@ def with_header(descriptions: DataFrame, headers: DataFrame, text: str = "descri
     return descriptions.join(headers.select("task_id", "module_header"), "task_id").withColumn("prompt", F.concat(F.col(text), F.lit("\n\n"), F.col("module_header")))
 
 
+#: What asks a model to repair a reply.
+REPAIR = "Fix the output format:\n{instructions}\n"
+
+
+def repair_request(instructions: str, reply: str) -> str:
+    return REPAIR.format(instructions=instructions) + reply
+
+
 def repair_prompt(instructions: str, reply: Column) -> Column:
-    return F.concat(F.lit(f"Fix the output format:\n{instructions}\n"), reply)
+    return F.concat(F.lit(REPAIR.format(instructions=instructions)), reply)
 
 
 def reverse_prompts(summaries: DataFrame, comments: DataFrame) -> DataFrame:

@@ -61,6 +61,7 @@ def most_similar(queries: DataFrame, index: DataFrame, k: int = 3, query_id: str
     import numpy as np
 
     from textloom.session import ship
+    from textloom.storage import materialise
 
     spark = index.sparkSession
     ship(spark)
@@ -77,7 +78,11 @@ def most_similar(queries: DataFrame, index: DataFrame, k: int = 3, query_id: str
                 ids, rows = held.setdefault(len(x), ([], []))
                 ids.append(r.query_id)
                 rows.append(x / n)
-        part = d.mapInArrow(_scored(spark.sparkContext.broadcast(held), k, exclude_self), "query_id bigint, key bigint, similarity double")
+        sent = spark.sparkContext.broadcast(held)
+        part = d.mapInArrow(_scored(sent, k, exclude_self), "query_id bigint, key bigint, similarity double")
+        if blocks > 1:  # one block at a time stays with the executors
+            part = materialise(part, "similar-block")
+            sent.unpersist()
         found = part if found is None else found.union(part)
     s = found.withColumn("similarity", F.round("similarity", 5))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key"))

@@ -7,15 +7,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.units import numbered
+
 
 def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
 
 
 def fraction(rows: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
-    """The first int(n * share) rows of the shuffle, by a bounded sort."""
-    n = int(rows.count() * share)
-    return shuffled(rows, key, seed).limit(n)
+    """The first int(n * share) rows of the shuffle. The rows are numbered in its order, so none are gathered in one task."""
+    h = "__shuffle"
+    n = rows.agg(F.floor(F.count(F.lit(1)) * share).alias("__least"))
+    at = numbered(rows.withColumn(h, F.xxhash64(F.col(key), F.lit(seed))), h, key, name="__at")
+    return at.join(F.broadcast(n), F.col("__at") < F.col("__least")).drop(h, "__at", "__least")
 
 
 def train_test(rows: DataFrame, key: str, tenths: int = 1, seed: int = 0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from textloom.functions import code_text as C
 from textloom.functions import text as X
+from textloom.operators.joins import splittable_join
 
 UNIT = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType()), T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType())]))
 SPLIT = T.StructType([T.StructField("units", UNIT), T.StructField("outside", T.StringType())])
@@ -115,19 +116,26 @@ def module_rows(corpus: DataFrame, id_col: str = "task_id", text_col: str = "tex
 def numbered(rows: DataFrame, *order: str, name: str = "task_id", parts: int | None = None) -> DataFrame:
     """A running number from 0 in the given order, without moving all rows to one task.
 
-    A range shuffle orders the rows; each task numbers its own, and only one count per task is summed centrally.
+    A range shuffle orders the rows and each task numbers its own as it writes them; only one count per task is summed centrally.
     """
     from textloom.storage import materialise
 
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranged = materialise(ranged.withColumn("__part", F.spark_partition_id()), "numbered")
-    inner = Window.partitionBy("__part").orderBy(*order)
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(F.col("__part"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    out = ranged.withColumn("__nth", F.row_number().over(inner) - 1).join(base, "__part")
-    return out.withColumn(name, (F.col("__base") + F.col("__nth")).cast("bigint")).drop("__part", "__nth", "__base")
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    ranged = materialise(ranged, "numbered")
+    task = F.shiftright("__id", 33)  # the id is the task's number, and below 33 bits the row's
+    counts = ranged.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))  # a row for each task
+    out = ranged.withColumn("__task", task).join(F.broadcast(base), "__task")
+    return out.withColumn(name, (F.col("__base") + F.col("__id").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("__task", "__id", "__base")
+
+
+def numbered_within(rows: DataFrame, key: str, *order: str, name: str) -> DataFrame:
+    """A running number from 0 for the rows of each key; a key's rows may lie in many tasks."""
+    at = numbered(rows, key, *order, name="__at")
+    first = at.groupBy(key).agg(F.min("__at").alias("__first"))
+    return splittable_join(at, first, key).withColumn(name, F.col("__at") - F.col("__first")).drop("__at", "__first")
 
 
 def separated(corpus: DataFrame, id_col: str = "task_id", text_col: str = "text") -> DataFrame:
