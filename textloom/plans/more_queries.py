@@ -54,13 +54,6 @@ def q_reply_json(spark, sf):
     return e.select("event_id", X.json_in(said, "k BIGINT")["k"].alias("k"))
 
 
-@query(f"WITH {_LINE_CTE} SELECT file AS doc_id, count(*) FILTER (WHERE regexp_matches(content, '^\\S+\\s+\\S+\\s*\\(')) AS calls, count(*) FILTER (WHERE content LIKE 'module%') AS modules FROM l GROUP BY 1")
-def q_definition_lines(spark, sf):
-    l = _lines(spark, sf)
-    call = F.col("content").rlike(r"^\S+\s+\S+\s*\(")
-    return l.groupBy(F.col("file").alias("doc_id")).agg(F.count_if(call).alias("calls"), F.count_if(F.col("content").startswith("module")).alias("modules"))
-
-
 # --- lines -----------------------------------------------------------------------------------------------------------
 
 

@@ -220,7 +220,7 @@ def q_code_chunks(spark, sf):
     m AS (SELECT *, CAST(greatest(ceil((length(large) - 30) / 70.0), 1) AS INT) AS n FROM big)
     SELECT doc_id, CAST(large_idx AS INT) AS large_idx, CAST(i AS INT) AS small_idx, substr(large, CAST(i * 70 + 1 AS BIGINT), 100) AS small FROM (SELECT *, unnest(range(0, n)) AS i FROM m)""")
 def q_parent_chunks(spark, sf):
-    return lines.parent_chunks(_t(spark, sf, "documents"), "doc_id", "text").select("doc_id", "large_idx", "small_idx", "small")
+    return lines.parent_chunks(_t(spark, sf, "documents"), "doc_id", "text", borders=False).select("doc_id", "large_idx", "small_idx", "small")
 
 
 @query("SELECT conv_id, turn, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS memory FROM conversations")
@@ -488,9 +488,9 @@ def q_head(spark, sf):
 
 
 @query()
-def q_module_split(spark, sf):
-    """Unit extraction over all texts; prose holds hardly any unit, tests cover source files."""
-    return units.module_rows(_t(spark, sf, "documents"), "doc_id").select("source_id", "nth", "module_name", "text")
+def q_bordered_chunks(spark, sf):
+    """Small chunks cut at paragraphs, lines and words; tests hold the splitter against its rules."""
+    return lines.parent_chunks(_t(spark, sf, "documents"), "doc_id", "text").select("doc_id", "large_idx", "small_idx", "large", "small")
 
 
 # --- relational checks -----------------------------------------------------------------------------------------------
