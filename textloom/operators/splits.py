@@ -4,27 +4,32 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.units import numbered
 
 
+def mark(key: str, seed: int) -> Column:
+    """A number of 60 bits from a key and a seed: the first digits of an MD5, so that other engines can tell it too."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    return rows.orderBy(mark(key, seed), key)
 
 
 def fraction(rows: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """The first int(n * share) rows of the shuffle. The rows are numbered in its order, so none are gathered in one task."""
     h = "__shuffle"
     n = rows.agg(F.floor(F.count(F.lit(1)) * share).alias("__least"))
-    at = numbered(rows.withColumn(h, F.xxhash64(F.col(key), F.lit(seed))), h, key, name="__at")
+    at = numbered(rows.withColumn(h, mark(key, seed)), h, key, name="__at")
     return at.join(F.broadcast(n), F.col("__at") < F.col("__least")).drop(h, "__at", "__least")
 
 
 def train_test(rows: DataFrame, key: str, tenths: int = 1, seed: int = 0) -> DataFrame:
     """Adds split: "eval" for about tenths / 10 of the keys, "train" for the rest."""
-    h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10))
+    h = mark(key, seed) % 10
     return rows.withColumn("split", F.when(h < tenths, F.lit("eval")).otherwise(F.lit("train")))
 
 

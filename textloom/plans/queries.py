@@ -141,26 +141,37 @@ def q_dedup_lsh(spark, sf):
     return dedup.first_seen(_t(spark, sf, "documents"), mode="lsh").select("doc_id")
 
 
-@query()
+#: The ordered rule, document by document: each takes its first earlier neighbour that is a base, else the first makes a base.
+_WALK = f"""WITH RECURSIVE {_NODES}, near AS (SELECT id_b AS id, id_a AS x FROM j UNION ALL SELECT s.doc_id, n.id FROM s JOIN n ON s.t = n.t AND s.doc_id <> n.id),
+    nb AS MATERIALIZED (SELECT id, list(x ORDER BY x) AS xs, row_number() OVER (ORDER BY id) AS k FROM near GROUP BY id),
+    walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS base, CAST([] AS BIGINT[]) AS bases
+        UNION ALL SELECT k, id, base, list_append(bases, base) FROM (SELECT nb.k, nb.id, walk.bases, coalesce(list_filter(nb.xs, lambda x: list_contains(walk.bases, x))[1], nb.xs[1]) AS base FROM walk JOIN nb ON nb.k = walk.k + 1)),
+    c AS (SELECT id, base AS cluster, false AS is_extreme, CAST(NULL AS BIGINT) AS copies FROM walk WHERE k > 0 UNION ALL SELECT base, base, true, count(*) + 1 FROM walk WHERE k > 0 GROUP BY base)"""
+
+
+@query(f"{_WALK} SELECT * FROM c")
 def q_dedup_clusters(spark, sf):
-    """The clusters of the ordered rule; tests hold it against a walk in order of id."""
+    """The clusters of the ordered rule."""
     return dedup.clusters(_t(spark, sf, "documents"))
 
 
-@query()
+@query(f"{_WALK} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM c GROUP BY id HAVING NOT bool_or(is_extreme))")
 def q_dedup_extremes(spark, sf):
     return dedup.extremes(_t(spark, sf, "documents")).select("doc_id")
 
 
-@query()
+@query(f"{_WALK} SELECT n AS original, clusters, clustered, extremes, n - clustered + extremes AS kept FROM (SELECT count(*) AS n FROM documents), (SELECT count(DISTINCT cluster) AS clusters FROM c), (SELECT count(*) AS clustered, count(*) FILTER (WHERE e) AS extremes FROM (SELECT id, bool_or(is_extreme) AS e FROM c GROUP BY id))")
 def q_dup_summary(spark, sf):
     d = _t(spark, sf, "documents")
     return dedup.summary(d, dedup.clusters(d))
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
-def q_exact_dups(spark, sf):
-    return _t(spark, sf, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+@query(f"{_WALK} SELECT item AS base_index, cluster, is_extreme, copies FROM (SELECT id AS item, cluster, is_extreme, copies FROM c)")
+def q_dedup_keyed_clusters(spark, sf):
+    """Documents known by two columns whose order is that of their ids."""
+    d = _t(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).alias("repo_name"), (F.col("doc_id") % 100).alias("path"), "doc_id", "text")
+    first = d.agg(F.min("doc_id")).first()[0]
+    return dedup.keyed_clusters(d, "repo_name", "path").select((F.col("base_index") + first).alias("base_index"), (F.col("cluster") + first).alias("cluster"), "is_extreme", "copies")
 
 
 # --- lines and windows -----------------------------------------------------------------------------------------------
@@ -467,7 +478,11 @@ def q_ordered_concat(spark, sf):
     return _t(spark, sf, "conversations").groupBy("conv_id").agg(lines.ordered_concat("turn", "text", "\n").alias("text"))
 
 
-@query()
+def _mark(seed: int) -> str:
+    return f"CAST('0x' || substr(md5(doc_id || ':{seed}'), 1, 15) AS BIGINT)"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_mark(0)} % 10 < 1 THEN 'eval' ELSE 'train' END AS split FROM documents")
 def q_train_test(spark, sf):
     return splits.train_test(_t(spark, sf, "documents"), "doc_id").select("doc_id", "split")
 
@@ -477,7 +492,7 @@ def q_split_by_id(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.lit("eval")).otherwise(F.lit("train")).alias("split"))
 
 
-@query()
+@query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {_mark(42)}, doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r <= floor(n * 0.25)")
 def q_fraction(spark, sf):
     return splits.fraction(_t(spark, sf, "documents").select("doc_id"), "doc_id", 0.25)
 
