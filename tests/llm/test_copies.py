@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import public_tokenizers
+
 from textloom.llm import exact_dedup, near_dedup, substring_dedup
 from textloom.llm.components import components
 
@@ -234,3 +236,46 @@ def test_copy_stages_of_the_pipeline(spark, docs, no_docs):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(want)
     for name in ("exact", "near"):
         assert stages[name](spark, docs, "").columns == docs.columns and stages[name](spark, no_docs, "").count() == 0
+
+
+def test_whole_pipeline_on_awkward_rows(spark, tmp_path, monkeypatch):
+    """run() against its stages one by one, each against brute force on what its predecessor kept; with nulls, repeated ids and clashing columns, and on an empty table."""
+    import corpus_pipeline
+    from textloom.llm import mixing, quality
+    from tokenizers import Tokenizer
+
+    rng = random.Random(33)
+    near = noisy_group(rng, 25, 60, 300)
+    good = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(40))) for i in range(400, 440)]
+    rows = [(i, t, rng.choice(["a", "b", None]), "x", 1, 2.0) for i, t in [r[:2] for r in ROWS] + near + good + good[:5] + [(None, good[7][1])]]
+    schema = "doc_id bigint, text string, source string, quality_score string, row_number int, copies double"
+    for name, table in (("full", rows), ("none", [])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(table, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(i, int(i < 436)) for i, _ in good], "doc_id bigint, quality int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+    sf, docs = str(tmp_path / "full"), spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    stages, count = dict(corpus_pipeline.STAGES), lambda df: sorted(map(str, df.collect()))
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    left = stages["quality"](spark, docs, sf)
+    assert left.columns == docs.columns
+    assert count(left) == sorted(str(r) for r in docs.collect() if model.scores([r.text.encode() if r.text else None])[0] >= 0.3)
+    assert left.count() > 40
+    groups = {}
+    for r in left.collect():
+        groups.setdefault(SPACE.sub("", r.text or ""), []).append((-len(r.text or ""), r.doc_id is None, r.doc_id or 0, (str(r.doc_id), r.text or "")))
+    rows_before = count(left)
+    left = stages["exact"](spark, left, sf)
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted(min(g)[3] for g in groups.values())
+    assert set(count(left)) <= set(rows_before) and left.columns == docs.columns
+    kept = {i for i, _, _, first in brute_near([(r.doc_id, r.text) for r in left.collect() if r.doc_id is not None], 5, 80) if first}
+    before = left.collect()
+    left = stages["near"](spark, left, sf)
+    assert count(left) == sorted(str(r) for r in before if r.doc_id is None or r.doc_id in kept)
+    mixed = stages["mix"](spark, left, sf)
+    words = lambda df: sum(len((r.text or "").encode().split()) for r in df.collect())
+    assert words(mixed) == sum(r.taken for r in mixing.mix(left).collect()) and set(count(mixed)) <= set(count(left)) and mixed.columns == docs.columns
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(r.doc_id), tokenizer.encode(r.text or "", add_special_tokens=False).ids) for r in mixed.collect())

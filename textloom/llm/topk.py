@@ -39,21 +39,18 @@ FOCUS = 4
 def _scaled(scale: int):
     def make():
         def each(batch: pa.RecordBatch):
-            ids, dims, norms, raw = [], [], [], []
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                if i is None or not v or None in v:
-                    continue
-                x = np.array(v, float)
-                if not np.isfinite(x).all():
-                    continue
-                x = np.floor(scale * x)
-                if np.abs(x).max() >= 1 << 28:
-                    raise ValueError(f"vector {i} is too large to be scored exactly")
-                ids.append(i)
-                dims.append(len(x))
-                norms.append(float(np.sqrt((x * x).sum())))
-                raw.append(x.astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int64()), pa.array(norms, pa.float64()), pa.array(raw, pa.binary())], ["id", "dim", "norm", "raw"])
+            ids, v = batch.column("id"), batch.column("v")
+            offsets, flat = v.offsets.to_numpy().astype(np.int64), v.values.to_numpy(zero_copy_only=False).astype(float)  # a null component becomes NaN
+            sizes = np.where(v.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                at = np.nonzero(sizes == dim)[0]
+                m = flat[offsets[at][:, None] + np.arange(dim)]
+                finite = np.isfinite(m).all(axis=1)
+                at, m = at[finite], np.floor(scale * m[finite])
+                if np.abs(m).max(initial=0) >= 1 << 28:
+                    raise ValueError("a vector is too large to be scored exactly")
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(at), [None, pa.py_buffer(m.astype("<i4").tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.full(len(at), dim)), pa.array(np.sqrt((m * m).sum(axis=1))), raw], ["id", "dim", "norm", "raw"])
 
         return each
 
