@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators.joins import splittable_join
 from textloom.operators.units import numbered
 from textloom.storage import materialise
 
@@ -57,45 +58,97 @@ def signature(tokens: Column, permutations: int = PERMUTATIONS) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, s))))
 
 
-def _exact_candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Nodes that share one of their rarest tokens and whose shared prefix leaves room for enough shared tokens.
+def _exact_index(nodes: DataFrame, percent: int) -> DataFrame:
+    """node, n, key, at: the rarest tokens of each node, as many as it takes for similar nodes to share one, with their places in the order of rarity.
 
     Tokens of one node alone come first in the order and need no entry: only the others are counted, ranked and joined.
     """
     tokens = nodes.select("node", "n", F.explode("tokens").alias("key"))
     df = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    common = tokens.join(df, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("c"))
+    common = splittable_join(tokens, df, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("c"))
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     alone = F.col("n") - F.size("c")
     prefix = F.slice("c", F.lit(1), F.greatest(keep - alone, F.lit(0)).cast("int"))
-    index = materialise(common.select("node", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "c")).select("node", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("c.key").alias("key")), "token-index")
-    a, b = (index.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}")) for x in "ab")
-    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    met = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("at_a").alias("ia"), F.max("at_b").alias("ib"))
-    most = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    return met.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    index = common.select("node", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "c"))
+    return index.select("node", "n", F.col("c.key").alias("key"), (F.col("alone") + F.col("at")).alias("at"))
 
 
-def _lsh_candidates(nodes: DataFrame, percent: int) -> DataFrame:
+def _lsh_index(nodes: DataFrame, percent: int) -> DataFrame:
+    """node, n, key: the bands of each node's signature."""
     bands, rows = bands_and_rows(percent)
     signed = nodes.select("node", "n", signature(F.col("tokens"), bands * rows).alias("sig"))
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))
-    index = materialise(signed.select("node", "n", F.explode(keys).alias("key")), "token-index")
-    a, b = (index.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    return a.join(b, "key").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+    return signed.select("node", "n", F.explode(keys).alias("key"))
 
 
-def _linked(docs: DataFrame, percent: int, mode: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Links between nodes (id_a < id_b, both, jaccard), and each document's node (id, node, n)."""
+def _sizes_fit(percent: int) -> Column:
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+
+
+def _candidates(index: DataFrame, later: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of a node of ``index`` and one of ``later`` that share a key and whose shared keys leave room for enough shared tokens."""
+    a, b = (t.select("key", F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in t.columns if c not in ("node", "key")]) for x, t in (("a", index), ("b", later)))
+    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & _sizes_fit(percent))
+    if "at" not in index.columns:
+        return met.select("a", "b").distinct()
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("ata").alias("ia"), F.max("atb").alias("ib"))
+    most = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    return met.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _neighbours(index: DataFrame, percent: int, most: int = 3) -> DataFrame:
+    """Pairs (a < b) of nodes that stand next to each other, up to ``most`` places apart, in the order of a key's nodes: a few for each entry, however many nodes a key has."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not table.num_rows:
+                continue
+            fresh = 0 if held is None else held.num_rows
+            key = table.column("key").to_numpy()
+            for d in range(1, most + 1):
+                j = np.nonzero(key[d:] == key[:-d])[0] + d
+                j = j[j >= fresh]
+                x, y = table.take(pa.array(j - d)), table.take(pa.array(j))
+                yield pa.RecordBatch.from_arrays([x.column("node"), y.column("node"), x.column("n"), y.column("n")], ["a", "b", "na", "nb"])
+            held = table.slice(max(0, table.num_rows - most))
+
+    kinds = dict(index.dtypes)
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = index.select("key", "node", "n").repartitionByRange(tasks, "key", "node").sortWithinPartitions("key", "node")
+    pairs = ordered.mapInArrow(run, f"a {kinds['node']}, b {kinds['node']}, na {kinds['n']}, nb {kinds['n']}")
+    return pairs.filter(_sizes_fit(percent) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+
+
+def _nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """node, tokens, n: one row for each distinct token set; and each document's node (id, node, n)."""
     sets = materialise(token_sets(docs, id_col, text_col), "token-sets")
     least = materialise(sets.groupBy("k1", "k2").agg(F.min("id").alias("node")), "token-nodes")
     members = sets.select("id", "n", "k1", "k2").join(least, ["k1", "k2"]).select("id", "node", "n")
     nodes = sets.join(least.select(F.col("node").alias("id"), F.col("k1").alias("l1"), F.col("k2").alias("l2")), "id").filter("k1 = l1 and k2 = l2").select(F.col("id").alias("node"), "tokens", "n")
-    meet = (_exact_candidates if mode == "exact" else _lsh_candidates)(nodes, percent)
+    return nodes, members
+
+
+def _index(nodes: DataFrame, percent: int, mode: str) -> DataFrame:
+    return materialise((_exact_index if mode == "exact" else _lsh_index)(nodes, percent), "token-index")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are similar on their full sets: a, b, both, union."""
     full = lambda i, t: nodes.select(F.col("node").alias(i), F.col("tokens").alias(t))
-    union = F.size("ta") + F.size("tb") - F.col("both")
-    pairs = meet.join(full("a", "ta"), "a").join(full("b", "tb"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb"))).filter(100 * F.col("both") >= percent * union)
-    pairs = pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "both", F.round(F.col("both") / union, 6).alias("jaccard"))
+    both = pairs.join(full("a", "ta"), "a").join(full("b", "tb"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
+    return both.withColumn("union", F.size("ta") + F.size("tb") - F.col("both")).filter(100 * F.col("both") >= percent * F.col("union")).select("a", "b", "both", "union")
+
+
+def _linked(docs: DataFrame, percent: int, mode: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Links between nodes (id_a < id_b, both, jaccard), and each document's node (id, node, n)."""
+    nodes, members = _nodes(docs, id_col, text_col)
+    index = _index(nodes, percent, mode)
+    pairs = _confirmed(_candidates(index, index, percent), nodes, percent)
+    pairs = pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "both", F.round(F.col("both") / F.col("union"), 6).alias("jaccard"))
     return materialise(pairs, "similar"), members
 
 
@@ -121,12 +174,19 @@ def similar_pairs(docs: DataFrame, percent: int = 80, mode: str = "exact", id_co
 
 
 def first_seen(docs: DataFrame, percent: int = 80, mode: str = "exact", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that no document of smaller id resembles."""
-    pairs, members = _linked(docs, percent, mode, id_col, text_col)
-    copies = members.filter(F.col("id") > F.col("node")).select("id")
+    """The documents that no document of smaller id resembles.
+
+    A document goes as soon as one smaller is found. Neighbours in the order of a key's nodes are compared first, a few for each entry; only documents that
+    these leave meet all smaller ones of their keys. So a large group of near copies costs about its size, not its square.
+    """
+    nodes, members = _nodes(docs, id_col, text_col)
+    index = _index(nodes, percent, mode)
+    gone = materialise(_confirmed(_neighbours(index, percent), nodes, percent).select(F.greatest("a", "b").alias("id")).distinct(), "seen")
+    open_ = index.join(gone.withColumnRenamed("id", "node"), "node", "left_anti")
+    later = _confirmed(_candidates(index, open_, percent), nodes, percent).select(F.col("b").alias("id"))
     # a node's neighbours are classes: the smaller ends are known by their smallest ids
-    later = pairs.select(F.col("id_b").alias("id"))
-    return docs.join(copies.union(later).distinct().withColumnRenamed("id", id_col), id_col, "left_anti")
+    copies = members.filter(F.col("id") > F.col("node")).select("id")
+    return docs.join(copies.union(gone).union(later).distinct().withColumnRenamed("id", id_col), id_col, "left_anti")
 
 
 def clusters(docs: DataFrame, percent: int = 80, mode: str = "exact", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
