@@ -397,6 +397,17 @@ def test_chains_and_retries(spark):
         plugins.RetryingCompleter(Flaky(), tries=2, wait=0).complete("p")
 
 
+def test_exact_token_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["assign x = 1;", "", None, "élan  vital\n\n中文 it's 12345", "word " * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    counted = plugins.token_count(plugins.TiktokenTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), F.col("t"))
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [r.n for r in df.select("i", counted.alias("n")).orderBy("i").collect()] == [None if t is None else len(other.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_samples_run_in_processes(spark):
     python = plugins.ProcessSimulator([sys.executable, "-m", "py_compile", "{source}"], [sys.executable, "{source}"], ".py", seconds=3, megabytes=2000)
     samples = [("", "print('Mismatches: 0 in 7 samples')", ""), ("n = 1", "print(f'Mismatches: {n} in 7 samples')", ""), ("", "x = (", ""), ("", "import time; time.sleep(60)", ""), ("", "import sys; sys.exit(2)", ""), ("", "x = bytes(3 << 30)", ""), (None, "print('no')", "y = 1")]

@@ -100,6 +100,11 @@ def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
+def only(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is chosen, each once."""
+    return rows.join(chosen.select(key).distinct(), key, "left_semi")
+
+
 def to_index(rows: DataFrame, indexed: DataFrame, key: str) -> DataFrame:
     """Rows that the stored index lacks, to be appended to it."""
     return not_done(rows, indexed, key)

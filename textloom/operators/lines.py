@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -235,5 +234,6 @@ def comment_lines_for(generated: DataFrame, lines: DataFrame) -> DataFrame:
     return joined.groupBy("file", "comment_id").agg(F.min("line_number").alias("line_number"))
 
 
-def numbered_prompt(lines: Iterator | list[str]) -> str:
-    return "\n".join(f"{i}: {x}" for i, x in enumerate(lines))
+def numbered_prompt(text: Column | str) -> Column:
+    """A text with the number of each line before it, from 0."""
+    return F.array_join(F.transform(X.lines(text), lambda x, i: F.concat(i.cast("string"), F.lit(": "), x)), "\n")

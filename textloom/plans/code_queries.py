@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions import plugins
 from textloom.functions import text as X
-from textloom.operators import library, lines, pairs, retrieval, units
+from textloom.operators import dedup, library, lines, pairs, retrieval, units
 from textloom.plans import flows
-from textloom.plans.queries import _LINE_CTE, _LINES, _joined, _lines, _t, query
+from textloom.plans.queries import _LINE_CTE, _LINES, _WALK, _joined, _lines, _t, query
 from textloom.sources import readers, writers
 from textloom.storage import new_path
 
@@ -386,6 +386,87 @@ def q_padded(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", _joined(pairs.padded(F.array(F.length("text"), F.length("source")), 4, -1)).alias("ids"))
 
 
+@query(f"WITH {_LINE_CTE} SELECT file AS doc_id, string_agg(line_number || ': ' || content, {_NL} ORDER BY line_number) AS prompt FROM l GROUP BY 1")
+def q_numbered_prompts(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", lines.numbered_prompt("text").alias("prompt"))
+
+
+@query(f"SELECT doc_id AS task_id, i AS sample, 'summary: ' || substr(sha256({_CHAT} || coalesce(d, text) || {_NL} || {_NL} || 'a' || doc_id || '; [/INST]' || {_NL} || '# sample ' || i), 1, 16) AS completion FROM (SELECT *, CASE WHEN lang = 'en' THEN source END AS d FROM documents), (SELECT unnest([1, 2]) AS i)")
+def q_generated_samples(spark, sf):
+    d = _t(spark, sf, "documents")
+    said = d.select(F.col("doc_id").alias("task_id"), F.when(F.col("lang") == "en", F.col("source")).alias("detail_description"), F.col("text").alias("simple_description"))
+    headers = d.select(F.col("doc_id").alias("task_id"), F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit(";")).alias("module_header"))
+    return flows.generated(said, headers, plugins.EchoCompleter(), 2, "s")
+
+
+_ALPACA = [a.replace("'", "''").replace("\n", "' || chr(10) || '") for a in pairs.ALPACA]
+
+
+@query(f"""SELECT 'alpaca' AS kind, CASE WHEN lang = 'en' THEN replace(replace('{_ALPACA[1]}', '{{instruction}}', source), '{{input}}', '') ELSE replace(replace('{_ALPACA[0]}', '{{instruction}}', source), '{{input}}', lang) END AS input, text AS output FROM documents
+    UNION ALL SELECT 'self-instruct', source, text FROM documents UNION ALL SELECT 'hh-rlhf', '', text FROM documents UNION ALL SELECT 'oasst1', '', text FROM documents
+    UNION ALL SELECT 'pairs', source, text FROM documents UNION ALL SELECT 'input-output', source, text FROM documents UNION ALL SELECT 'chip2', lang, source FROM documents""")
+def q_instruction_formats(spark, sf):
+    d, found = _t(spark, sf, "documents"), None
+    c, source, text = F.col, F.col("source"), F.col("text")
+    shapes = {
+        "alpaca": [source.alias("instruction"), F.when(c("lang") != "en", c("lang")).alias("input"), text.alias("output")],
+        "self-instruct": [source.alias("prompt"), text.alias("completion")],
+        "hh-rlhf": [text.alias("chosen")],
+        "oasst1": [text],
+        "pairs": [source.alias("description"), text.alias("code")],
+        "input-output": [source.alias("input"), text.alias("output")],
+        "chip2": [F.concat(F.lit("<human>: "), "lang", F.lit("\n<bot>: "), "source").alias("text")],
+    }
+    for kind, columns in shapes.items():
+        part = pairs.formatted(d.select(*columns), kind).select(F.lit(kind).alias("kind"), "input", "output")
+        found = part if found is None else found.union(part)
+    return found
+
+
+@query("SELECT k, v FROM (SELECT CAST(item_id AS VARCHAR) AS k, text || '!' AS v FROM benchmark WHERE item_id IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 3))")
+def q_example_map(spark, sf):
+    b = _t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("task_id"), F.col("text").alias("prompt"), F.lit("!").alias("canonical_solution"), "item_id")
+    first = [r.task_id for r in b.orderBy("item_id").limit(3).collect()]
+    return pairs.example_map(b, first).select(F.explode("examples").alias("k", "v"))
+
+
+@query(f"{_WALK} SELECT cluster, string_agg(id || ':' || is_extreme || ':' || coalesce(CAST(copies AS VARCHAR), '-'), ' ' ORDER BY id <> cluster, id) AS members FROM c GROUP BY 1")
+def q_cluster_lists(spark, sf):
+    item = lambda x: F.concat(x["base_index"].cast("string"), F.lit(":"), x["is_extreme"].cast("string"), F.lit(":"), F.coalesce(x["copies"].cast("string"), F.lit("-")))
+    listed = dedup.cluster_lists(dedup.clusters(_t(spark, sf, "documents")))
+    return listed.select("cluster", F.array_join(F.transform("members", item), " ").alias("members"))
+
+
+_VECTORS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL)"
+
+
+@query(f"WITH {_VECTORS}, q AS (SELECT e AS q FROM v ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_cosine_similarity(e, q), 5) AS similarity FROM v, q ORDER BY similarity DESC, vec_id LIMIT 5")
+def q_nearest(spark, sf):
+    e = _t(spark, sf, "embeddings").filter("embedding is not null")
+    first = e.orderBy("vec_id").select("embedding").first()[0]
+    return retrieval.nearest(e, [float(x) for x in first], 5).select("vec_id", "similarity")
+
+
+_QUERIES = "q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 20 = 0)"
+
+
+@query(f"WITH {_VECTORS}, {_QUERIES}, s AS (SELECT query_id, label AS doc_id, round(list_cosine_similarity(q, e), 5) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, e), 5) DESC, vec_id) AS r FROM q JOIN v ON query_id <> vec_id) SELECT query_id, CAST(doc_id AS INT) AS doc_id, max(similarity) AS similarity FROM s WHERE r <= 3 GROUP BY ALL")
+def q_parent_documents(spark, sf):
+    """The labels of the three best vectors of each query, each with its best score; queries are the rows whose id is divisible by 20, against all rows."""
+    e = _t(spark, sf, "embeddings")
+    hits = retrieval.most_similar(e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e, 3, exclude_self=True)
+    return retrieval.parents(hits, e.select("vec_id", F.col("label").alias("doc_id")), "vec_id", "doc_id")
+
+
+@query()
+def q_exact_tokens(spark, sf):
+    """Counts by a public tokenizer in place of the estimate, and whether the text fits; tests hold them against another library."""
+    import public_tokenizers
+
+    n = plugins.token_count(plugins.TiktokenTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), F.col("text"))
+    return _t(spark, sf, "documents").select("doc_id", n.alias("tokens")).withColumn("fits", F.col("tokens") <= 2048)
+
+
 # --- sources and sinks: what is written and read again is the table -----------------------------------------------------------
 
 

@@ -62,6 +62,17 @@ def validated(pairs_table: DataFrame, completer: plugins.Completer, checker: plu
     return plugins.first_valid(pairs_table, completer, checker, "description", trials).filter(F.col("completion").isNotNull()).select(*pairs_table.columns)
 
 
+def generated(descriptions: DataFrame, headers: DataFrame, completer: plugins.Completer, k: int, system: str, kind: str = "llm1") -> DataFrame:
+    """k samples of each task from its detailed description, or else the simple one, and its header: task_id, sample, completion.
+
+    descriptions: (task_id, detail_description, simple_description); headers: (task_id, module_header). Each sample's prompt tells its number, so that a model may answer it anew.
+    """
+    rows = pairs.with_fallback(descriptions, k).join(headers.select("task_id", "module_header"), "task_id")
+    prompt = pairs.evaluation_prompt(kind, system, F.col("description"), F.col("module_header"))
+    numbered = F.concat(prompt, F.lit("\n# sample "), F.col("sample").cast("string"))
+    return rows.select("task_id", "sample", plugins.completed(completer, numbered).alias("completion"))
+
+
 def grade(samples: DataFrame, problems: DataFrame, simulator: plugins.Simulator, order: str, ks: tuple[int, ...] = (1, 10, 100), tests: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Results of all samples, and pass@k. Stops if a problem has no sample or a sample no problem."""
     if grading.unattempted(problems, samples).limit(1).count():

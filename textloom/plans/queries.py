@@ -270,7 +270,7 @@ def q_unlabelled(spark, sf):
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def q_labelled_semi(spark, sf):
-    return _t(spark, sf, "documents").join(_t(spark, sf, "labels").filter("quality = 0"), "doc_id", "left_semi").select("doc_id")
+    return library.only(_t(spark, sf, "documents"), _t(spark, sf, "labels").filter("quality = 0"), "doc_id").select("doc_id")
 
 
 @query("SELECT DISTINCT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE n_chars > 20000")
@@ -305,7 +305,7 @@ def q_source_ids(spark, sf):
 @query("SELECT source, lang, max(doc_id) AS doc_id FROM documents GROUP BY source, lang")
 def q_name_collision_last_wins(spark, sf):
     d = _t(spark, sf, "documents")
-    return d.groupBy("source", "lang").agg(F.max_by("doc_id", "doc_id").alias("doc_id"))
+    return library.last_by_key(d.select("source", "lang", "doc_id"), ["source", "lang"], "doc_id")
 
 
 @query("""SELECT DISTINCT a.p_brand AS code_name FROM part a WHERE EXISTS (SELECT 1 FROM part b WHERE b.p_brand <> a.p_brand AND b.p_size = a.p_size)""")
