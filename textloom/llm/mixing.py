@@ -87,7 +87,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("task", F.col("source").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     per_source = per_source.withColumnRenamed("source", "t")
-    offset = (F.pmod(F.xxhash64(F.coalesce(F.col("t"), F.lit("\0null")), F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)).alias("offset")
+    # the first 32 bits of an MD5, as a fraction
+    digits = F.substring(F.md5(F.concat(F.coalesce(F.col("t"), F.lit("null:")), F.lit(f":{seed}")).cast("binary")), 1, 8)
+    offset = (F.conv(digits, 16, 10).cast("bigint") / float(1 << 32)).alias("offset")
     share = runs.join(per_source, F.col("s").eqNullSafe(F.col("t"))).select("task", "s", "base", "source_size", "target", "rate", offset)
     rank = F.col("base") + F.col("at")
     copies = F.floor((rank + 1) * F.col("rate") + F.col("offset")) - F.floor(rank * F.col("rate") + F.col("offset"))
