@@ -43,9 +43,9 @@ def _groups(rows: DataFrame, longest: bool) -> DataFrame:
     return rows.groupBy(F.md5(F.col("norm").cast("binary")).alias("h"), "norm").agg(F.max(rank).alias("rank"), F.count(F.lit(1)).alias("group_size"))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, *row_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_of(text_col)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.char_length(text).alias("n"), without_spaces(text).alias("norm"), *[F.col(c).alias("row") for c in row_col])
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.char_length(text).alias("n"), without_spaces(text).alias("norm"))
 
 
 def _found_by_digest(groups: DataFrame) -> DataFrame:
@@ -72,12 +72,12 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows are told apart by a number of their own, so rows that repeat an id, or have none, are judged one by one.
     """
-    (k,) = fresh(docs, "row_number")
-    docs = materialise(docs.withColumn(k, F.monotonically_increasing_id()), "exact-rows")
-    rows = _rows(docs, id_col, text_col, k)
-    digest = [F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").alias("bytes")]
-    best = _found_by_digest(_groups(rows, longest)).select("text_sha256", "bytes", F.col("rank").alias("best"))
-    ranked = rows.select("row", _rank(F.col("n") if longest else F.lit(0), F.col("doc_id")).alias("rank"), *digest)
+    k, sha, size, rank = fresh(docs, "row_number", "text_sha256", "text_bytes", "text_rank")
+    norm = without_spaces(text_of(text_col))
+    own = {k: F.monotonically_increasing_id(), sha: F.sha2(norm.cast("binary"), 256), size: F.octet_length(norm), rank: _rank(F.char_length(text_of(text_col)) if longest else F.lit(0), F.col(id_col).cast("bigint"))}
+    told = materialise(docs.withColumns(own), "exact-rows")
+    best = _found_by_digest(_groups(_rows(told, id_col, text_col), longest)).select("text_sha256", "bytes", F.col("rank").alias("best"))
+    ranked = told.select(F.col(k).alias("row"), F.col(sha).alias("text_sha256"), F.col(size).alias("bytes"), F.col(rank).alias("rank"))
     # of rows that rank alike, which have one id and length, the first stays
     first = splittable_join(ranked, best, "text_sha256", "bytes").filter("rank = best").groupBy("text_sha256", "bytes").agg(F.min("row").alias("first"))
-    return docs.join(first.select(F.col("first").alias(k)), k, "left_semi").drop(k)
+    return told.join(first.select(F.col("first").alias(k)), k, "left_semi").select(*docs.columns)
