@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 SPACES = ("\x20", "\x09", "\x0a", "\x0b", "\x0c", "\x0d")
 
 
+#: A word of the contracts.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
@@ -33,12 +37,7 @@ def words(text: bytes | None) -> list[bytes]:
 
 def count_words(df: DataFrame, text_col: str = "text", name: str = "size") -> DataFrame:
     """``df`` with the number of words of each text, 0 for null."""
-
-    @F.pandas_udf("long")
-    def n(texts):
-        return texts.map(lambda t: len(t.encode().split()) if t else 0).astype("int64")
-
-    return df.withColumn(name, n(F.col(text_col).cast("string")))
+    return df.withColumn(name, F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint"))
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
