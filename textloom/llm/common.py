@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: The ASCII white space of the contracts, [\x20\x09-\x0D].
 SPACES = ("\x20", "\x09", "\x0a", "\x0b", "\x0c", "\x0d")
-
-
 #: A word of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,11 +28,6 @@ def without_spaces(col: Column) -> Column:
     return col
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Lower-cased (A-Z only) words of a text in UTF-8; none for null. bytes.split() and bytes.lower() treat exactly SPACES and A-Z, whatever the locale."""
-    return text.lower().split() if text else []
-
-
 def count_words(df: DataFrame, text_col: str = "text", name: str = "size") -> DataFrame:
     """``df`` with the number of words of each text, 0 for null."""
     return df.withColumn(name, F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint"))
