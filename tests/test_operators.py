@@ -250,7 +250,9 @@ def test_matches(spark):
 def test_containing(spark):
     texts = spark.createDataFrame([(1, "one two three four five six"), (2, "xone two threes"), (3, "a.b"), (4, None)], "doc_id int, text string")
     items = spark.createDataFrame([(1, "two three four five six"), (2, "one two three"), (3, "."), (4, ""), (5, "e t"), (6, None)], "item_id int, text string")
-    got = {tuple(r) for r in library.containing(texts, items, "doc_id", "item_id").collect()}
+    got, joined = ([tuple(r) for r in library.containing(texts, items, "doc_id", "item_id", sent_items=n).collect()] for n in (1000, 0))
+    assert sorted(got) == sorted(joined) and len(got) == len(set(got))
+    got = set(got)
     assert got == {(1, 1), (1, 2), (2, 2), (3, 3), (1, 5), (2, 5)}
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.functions import word_runs
 from textloom.operators.units import numbered
+from textloom.storage import materialise
 
 
 def merge_metadata(*tables: DataFrame) -> DataFrame:
@@ -156,35 +158,111 @@ def concat_lists(rows: DataFrame, key: str, values: str) -> DataFrame:
     return rows.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", values))), lambda x: x[values])).alias(values))
 
 
-def containing(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, text_col: str = "text", anchor: int = 4) -> DataFrame:
+#: Up to so many items their anchors, 16 bytes each, are sent to all tasks; more meet the texts in a join.
+SENT_ITEMS = 1_000_000
+
+
+def containing(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, text_col: str = "text", anchor: int = 4, sent_items: int = SENT_ITEMS) -> DataFrame:
     """Which texts contain which items, as substrings: text_id, item_id. Empty items are in no text.
 
     An item's anchor is its second word to the one before its last, up to ``anchor`` words: these stand whole in any text that contains it. Texts meet items by
     the hashes of the word runs of the same number of words, and those that meet are compared in full. Items too short for an anchor are
     compared with every text; they must be few, and are broadcast in batches of bounded size.
     """
+    from textloom.session import ship
+
+    spark = texts.sparkSession
+    ship(spark)
     i = items.select(F.col(item_id).alias("item_id"), F.col(text_col).alias("item")).filter(F.col("item") != "")
-    words = lambda c: F.filter(F.split(c, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-    inner = i.withColumn("w", words(F.col("item"))).withColumn("n", F.least(F.size("w") - 2, F.lit(anchor)))
-    long_ = inner.filter("n >= 1").select("item_id", "item", "n", F.xxhash64("n", F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("h"))
     t = texts.select(F.col(text_id).alias("text_id"), F.col(text_col).alias("text"))
-    w = t.select("text_id", words(F.col("text")).alias("w"))
+    kinds = {"text_id": dict(t.dtypes)["text_id"], "item_id": dict(i.dtypes)["item_id"]}
 
-    def runs(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda j: F.xxhash64(F.lit(k), F.array_join(F.slice("w", j, F.lit(k)), " ")))
+    def anchored(batches):
+        import pyarrow as pa
 
-    hit = None
+        for b in batches:
+            n, h = word_runs.anchors(b.column("item"), anchor)
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(n.astype("int32")), pa.array(h.view("int64"))], ["item_id", "n", "h"])
+
+    known = materialise(i.mapInArrow(anchored, f"item_id {kinds['item_id']}, n int, h bigint"), "anchors")
+    long_ = known.filter("n > 0")
     lengths = sorted(r.n for r in long_.select("n").distinct().collect())  # at most ``anchor`` numbers
-    for k in lengths:
-        met = w.select("text_id", F.explode(F.array_distinct(runs(k))).alias("h")).join(long_.filter(F.col("n") == k).select("h", "item_id"), "h").select("text_id", "item_id")
-        hit = met if hit is None else hit.union(met)
-    if hit is None:
-        hit = t.select("text_id").join(i.select("item_id"), F.lit(False))
+    if long_.count() <= sent_items:
+        table = long_.toArrow().combine_chunks()
+        hit = t.mapInArrow(_meeting(spark.sparkContext.broadcast(table), lengths), f"text_id {kinds['text_id']}, item_id {kinds['item_id']}")
+    else:
+        runs = t.mapInArrow(_run_rows(lengths), f"text_id {kinds['text_id']}, n int, h bigint")
+        hit = runs.join(long_, ["n", "h"]).select("text_id", "item_id")
     found = hit.distinct().join(t, "text_id").join(i, "item_id").filter(F.contains("text", "item")).select("text_id", "item_id")
-    short = inner.filter("n < 1").select("item_id", "item")
+    short = known.filter("n = 0").join(i, "item_id").select("item_id", "item")
     per_batch = 10_000
     n = short.count()
     for b in range(-(-n // per_batch)):
         part = short.filter(F.pmod(F.xxhash64("item_id"), F.lit(-(-n // per_batch))) == b)
         found = found.union(t.join(F.broadcast(part), F.contains("text", "item")).select("text_id", "item_id"))
     return found.select(F.col("text_id").alias(text_id), F.col("item_id").alias(item_id))
+
+
+def _pieces(column, most: int = 4_000_000):
+    """Slices of a string column of about so many bytes, with where each begins."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)), 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, column.slice(at, end - at)
+        at = end
+
+
+def _meeting(sent, lengths: list[int]):
+    """Pairs of a text and an item whose anchor's hash is among those of the text's runs."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        table = sent.value
+        n, h = table.column("n").to_numpy(), table.column("h").to_numpy().view(np.uint64)
+        by = {}
+        for k in lengths:
+            at = np.nonzero(n == k)[0]
+            at = at[np.argsort(h[at], kind="stable")]
+            by[k] = (h[at], at)
+        for b in batches:
+            for first, texts in _pieces(b.column("text")):
+                words, sizes = word_runs.word_hashes(texts)
+                for k, (hashes, at) in by.items():
+                    runs, doc = word_runs.run_hashes(words, sizes, k)
+                    low, high = np.searchsorted(hashes, runs, "left"), np.searchsorted(hashes, runs, "right")
+                    some = np.nonzero(low < high)[0]
+                    if not len(some):
+                        continue
+                    size = high[some] - low[some]
+                    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[some], size)
+                    pairs = np.unique(np.stack([np.repeat(doc[some], size) + first, at[place]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([b.column("text_id").take(pa.array(pairs[0])), table.column("item_id").combine_chunks().take(pa.array(pairs[1]))], ["text_id", "item_id"])
+
+    return run
+
+
+def _run_rows(lengths: list[int]):
+    """The distinct run hashes of each text."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for first, texts in _pieces(b.column("text"), 1_000_000):
+                words, sizes = word_runs.word_hashes(texts)
+                for k in lengths:
+                    runs, doc = word_runs.run_hashes(words, sizes, k)
+                    order = np.lexsort((runs, doc))
+                    runs, doc = runs[order], doc[order]
+                    new = np.ones(len(runs), bool)
+                    new[1:] = (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])
+                    runs, doc = runs[new], doc[new]
+                    yield pa.RecordBatch.from_arrays([b.column("text_id").take(pa.array(doc + first)), pa.array(np.full(len(runs), k, np.int32)), pa.array(runs.view(np.int64))], ["text_id", "n", "h"])
+
+    return run
