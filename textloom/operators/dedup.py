@@ -23,6 +23,8 @@ from textloom.operators.units import numbered
 from textloom.storage import materialise
 
 MIN_TOKENS = 10
+#: The table of token frequencies has at most 2 ** MOST_BITS counters of 4 bytes.
+MOST_BITS = 22
 PERMUTATIONS = 256
 
 
@@ -58,19 +60,75 @@ def signature(tokens: Column, permutations: int = PERMUTATIONS) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, s))))
 
 
+def _slots(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return ((tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _frequencies(nodes: DataFrame, bits: int) -> np.ndarray:
+    """How many nodes have a token of each of 2 ** bits slots. The array is of that size whatever the input; tasks send their counts in pieces, which are summed piece by piece."""
+    pieces = 1 << max(0, bits - 14)
+
+    def counted(batches):
+        import pyarrow as pa
+
+        n = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            n += np.bincount(_slots(b.column("tokens").flatten().to_numpy(), bits), minlength=1 << bits)
+        some = [k for k, x in enumerate(np.split(n, pieces)) if x.any()]
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(some, pa.int32()), "counts": pa.array([n[k * len(n) // pieces : (k + 1) * len(n) // pieces].tobytes() for k in some], pa.binary())})
+
+    def summed(batches):
+        import pyarrow as pa
+
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column("piece").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(list(held), pa.int32()), "counts": pa.array([x.tobytes() for x in held.values()], pa.binary())})
+
+    schema = "piece int, counts binary"
+    out = np.zeros((pieces, (1 << bits) // pieces), np.int64)
+    for r in nodes.select("tokens").mapInArrow(counted, schema).repartition(min(pieces, 64), "piece").mapInArrow(summed, schema).collect():
+        out[r.piece] = np.frombuffer(r.counts, np.int64)
+    return np.minimum(out.reshape(-1), 2**32 - 1).astype(np.uint32)
+
+
+def _prefixes(sent, bits: int, percent: int):
+    """The rarest tokens of each node, with their places in the order of rarity."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        often = sent.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2000):
+                b = whole.slice(i, 2000)
+                n, tokens = b.column("n").to_numpy().astype(np.int64), b.column("tokens").flatten().to_numpy()
+                doc = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((tokens, often[_slots(tokens, bits)], doc))
+                at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                # any order that is the same for all will do; with rare tokens first few nodes share a key. A token that one node alone has needs no entry
+                kept = at < np.repeat(n - -(-n * percent // 100) + 1, n)
+                kept &= often[_slots(tokens[order], bits)] > 1
+                x = pa.array(doc[kept])
+                yield pa.RecordBatch.from_arrays([b.column("node").take(x), b.column("n").take(x), pa.array(tokens[order][kept]), pa.array(at[kept].astype(np.int32))], ["node", "n", "key", "at"])
+
+    return run
+
+
 def _exact_index(nodes: DataFrame, percent: int) -> DataFrame:
     """node, n, key, at: the rarest tokens of each node, as many as it takes for similar nodes to share one, with their places in the order of rarity.
 
-    Tokens of one node alone come first in the order and need no entry: only the others are counted, ranked and joined.
+    Rarity is the number of nodes in a token's slot of a table of bounded size, which all tasks get; so only the index is shuffled, not all tokens.
     """
-    tokens = nodes.select("node", "n", F.explode("tokens").alias("key"))
-    df = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    common = splittable_join(tokens, df, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("c"))
-    keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    alone = F.col("n") - F.size("c")
-    prefix = F.slice("c", F.lit(1), F.greatest(keep - alone, F.lit(0)).cast("int"))
-    index = common.select("node", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "c"))
-    return index.select("node", "n", F.col("c.key").alias("key"), (F.col("alone") + F.col("at")).alias("at"))
+    from textloom.session import ship
+
+    spark = nodes.sparkSession
+    ship(spark)
+    total = nodes.agg(F.sum("n")).first()[0] or 1
+    bits = min(MOST_BITS, max(14, int(total).bit_length() - 2))
+    sent = spark.sparkContext.broadcast(_frequencies(nodes, bits))
+    return nodes.select("node", "n", "tokens").mapInArrow(_prefixes(sent, bits, percent), f"node {dict(nodes.dtypes)['node']}, n int, key bigint, at int")
 
 
 def _lsh_index(nodes: DataFrame, percent: int) -> DataFrame:
@@ -97,7 +155,7 @@ def _candidates(index: DataFrame, later: DataFrame, percent: int) -> DataFrame:
 
 
 def _neighbours(index: DataFrame, percent: int, most: int = 3) -> DataFrame:
-    """Pairs (a < b) of nodes that stand next to each other, up to ``most`` places apart, in the order of a key's nodes: a few for each entry, however many nodes a key has."""
+    """Pairs (a < b) of nodes that stand next to each other, up to ``most`` places apart, in the order of the nodes of many of their keys: a few for each entry, however many nodes a key has."""
 
     def run(batches):
         import pyarrow as pa
@@ -120,7 +178,9 @@ def _neighbours(index: DataFrame, percent: int, most: int = 3) -> DataFrame:
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = index.select("key", "node", "n").repartitionByRange(tasks, "key", "node").sortWithinPartitions("key", "node")
     pairs = ordered.mapInArrow(run, f"a {kinds['node']}, b {kinds['node']}, na {kinds['n']}, nb {kinds['n']}")
-    return pairs.filter(_sizes_fit(percent) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    met = pairs.filter(_sizes_fit(percent) & (F.col("a") != F.col("b"))).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    # only likely ones: nodes that are alike share most of their keys
+    return met.filter((F.col("c") > 1) & (400 * F.col("c") >= (100 - percent) * F.least("na", "nb"))).select("a", "b") if "at" in index.columns else met.select("a", "b")
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -129,10 +189,11 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     least = materialise(sets.groupBy("k1", "k2").agg(F.min("id").alias("node")), "token-nodes")
     members = sets.select("id", "n", "k1", "k2").join(least, ["k1", "k2"]).select("id", "node", "n")
     nodes = sets.join(least.select(F.col("node").alias("id"), F.col("k1").alias("l1"), F.col("k2").alias("l2")), "id").filter("k1 = l1 and k2 = l2").select(F.col("id").alias("node"), "tokens", "n")
-    return nodes, members
+    return materialise(nodes, "nodes"), members
 
 
 def _index(nodes: DataFrame, percent: int, mode: str) -> DataFrame:
+    nodes = nodes if mode == "lsh" else nodes.select("node", "n", "tokens")
     return materialise((_exact_index if mode == "exact" else _lsh_index)(nodes, percent), "token-index")
 
 
