@@ -289,7 +289,9 @@ def train(docs: DataFrame, text_col: str = "text", shard_entries: int = SHARD_EN
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     # about three runs for each ten bytes at most are new
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 32 * max(1, math.ceil(size * 0.3 / shard_entries / 32))
+    runs = size * 0.3
+    # very large inputs get larger shards, up to what a task can sum up, so that batches and shards don't multiply to more rows than need be
+    shards = 32 * max(1, math.ceil(runs / min(4 * shard_entries, max(shard_entries, runs / 20_000)) / 32))
     shuffled = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 4)
     dealt = rows.mapInArrow(_dealt(shards), DEALT).repartition(shuffled, "shard").sortWithinPartitions("shard")
     folder = new_path(spark, "lm-segments")
