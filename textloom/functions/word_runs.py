@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +23,36 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return unique[coded.indices.to_numpy()], np.diff(total[offsets - offsets[0]])
 
 
+#: The bytes of code tokens; all others are blanks.
+_TOKEN = np.full(256, 32, np.uint8)
+for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_0123456789":
+    _TOKEN[_c] = _c
+
+
+def pieces(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of a string column of about so many bytes, with where each begins; nulls become empty."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    ends, at = np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64)), 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, column.slice(at, end - at)
+        at = end
+
+
+def token_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts without nulls: the sorted distinct hashes of the code tokens of each, end to end; how many each has; and how many tokens with repeats."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    blanked = _TOKEN[np.frombuffer(data, np.uint8)[at[0] : at[-1]]] if data is not None else np.empty(0, np.uint8)
+    h, sizes = word_hashes(pa.StringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(at - at[0])), pa.py_buffer(blanked)))
+    doc, h = np.repeat(np.arange(len(sizes)), sizes), h.view(np.int64)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.bincount(doc[new], minlength=len(sizes)), sizes
+
+
 def run_hashes(h: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words, and the text of each."""
     n = max(0, len(h) - k + 1)

@@ -17,12 +17,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import text as X
+from textloom.functions import word_runs
 from textloom.operators.joins import splittable_join
 from textloom.operators.units import numbered
 from textloom.storage import materialise
 
 MIN_TOKENS = 10
+#: Bits of a set's outline, and slots of the filter of ids.
+OUTLINE = 1024
+ID_SLOTS = 1 << 20
 #: The table of token frequencies has at most 2 ** MOST_BITS counters of 4 bytes.
 MOST_BITS = 22
 PERMUTATIONS = 256
@@ -48,11 +51,37 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def _set_rows(least: int):
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            for first, texts in word_runs.pieces(b.column("t")):
+                tokens, n, occurrences = word_runs.token_sets(texts)
+                ends = np.cumsum(n)
+                kept = np.nonzero(occurrences >= least)[0]
+                keys = [xxhash.xxh3_128_digest(tokens[e - k : e].tobytes()) for e, k in zip(ends[kept].tolist(), n[kept].tolist(), strict=True)]
+                keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                inside = np.repeat(occurrences >= least, n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[kept])]).astype(np.int32)), pa.array(tokens[inside]))
+                ids = b.column("id").take(pa.array(first + kept))
+                outline = np.zeros(len(kept) * OUTLINE, bool)
+                outline[np.repeat(np.arange(len(kept)), n[kept]) * OUTLINE + (tokens[inside] & (OUTLINE - 1))] = True
+                words = OUTLINE // 64
+                outline = pa.ListArray.from_arrays(pa.array(np.arange(0, len(kept) * words + 1, words, dtype=np.int32)), pa.array(np.packbits(outline).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, lists, pa.array(n[kept].astype(np.int32)), outline, pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], ["id", "tokens", "n", "outline", "k1", "k2"])
+
+    return run
+
+
 def token_sets(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_TOKENS) -> DataFrame:
-    """id, tokens (distinct, as sorted 64-bit hashes), n, and a 128-bit key of the set in k1, k2; texts below the gate are left out."""
-    rows = _spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).select("id", X.code_tokens("t").alias("t")).filter(F.size("t") >= least)
-    sets = rows.select("id", F.array_sort(F.array_distinct(F.transform("t", lambda x: F.xxhash64(x)))).alias("tokens"))
-    return sets.select("*", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"))
+    """id, tokens (distinct, as sorted 64-bit hashes), n, the set's outline (a bit for each slot that a token falls into) and a 128-bit key of the set in k1, k2; texts below the gate are left out."""
+    from textloom.session import ship
+
+    ship(docs.sparkSession)
+    rows = _spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")))
+    return rows.mapInArrow(_set_rows(least), f"id {dict(rows.dtypes)['id']}, tokens array<bigint>, n int, outline array<bigint>, k1 bigint, k2 bigint")
 
 
 def signature(tokens: Column, permutations: int = PERMUTATIONS) -> Column:
@@ -184,11 +213,11 @@ def _neighbours(index: DataFrame, percent: int, most: int = 3) -> DataFrame:
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """node, tokens, n: one row for each distinct token set; and each document's node (id, node, n)."""
+    """node, tokens, n, outline: one row for each distinct token set; and each document's node (id, node, n)."""
     sets = materialise(token_sets(docs, id_col, text_col), "token-sets")
     least = materialise(sets.groupBy("k1", "k2").agg(F.min("id").alias("node")), "token-nodes")
     members = sets.select("id", "n", "k1", "k2").join(least, ["k1", "k2"]).select("id", "node", "n")
-    nodes = sets.join(least.select(F.col("node").alias("id"), F.col("k1").alias("l1"), F.col("k2").alias("l2")), "id").filter("k1 = l1 and k2 = l2").select(F.col("id").alias("node"), "tokens", "n")
+    nodes = sets.join(least.select(F.col("node").alias("id"), F.col("k1").alias("l1"), F.col("k2").alias("l2")), "id").filter("k1 = l1 and k2 = l2").select(F.col("id").alias("node"), "tokens", "n", "outline")
     return materialise(nodes, "nodes"), members
 
 
@@ -198,9 +227,20 @@ def _index(nodes: DataFrame, percent: int, mode: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are similar on their full sets: a, b, both, union."""
-    full = lambda i, t: nodes.select(F.col("node").alias(i), F.col("tokens").alias(t))
-    both = pairs.join(full("a", "ta"), "a").join(full("b", "tb"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
+    """The pairs that are similar on their full sets: a, b, both, union.
+
+    Bits in which two outlines differ are tokens that the sets don't share, so pairs that differ in too many bits are out before their tokens are fetched; and
+    only tokens of nodes that are left are shuffled, as far as a filter of bounded size can tell them.
+    """
+    seen = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("outline").alias(f"o{x}"))
+    differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    likely = pairs.select("a", "b").join(seen("a"), "a").join(seen("b"), "b").filter((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+    likely = materialise(likely, "likely")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_SLOTS)).cast("int").alias("slot")
+    slots = likely.select(slot("a")).union(likely.select(slot("b"))).distinct()  # at most ID_SLOTS rows
+    needed = nodes.select("node", "tokens", slot("node")).join(F.broadcast(slots), "slot", "left_semi")
+    full = lambda i, t: needed.select(F.col("node").alias(i), F.col("tokens").alias(t))
+    both = likely.join(full("a", "ta"), "a").join(full("b", "tb"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
     return both.withColumn("union", F.size("ta") + F.size("tb") - F.col("both")).filter(100 * F.col("both") >= percent * F.col("union")).select("a", "b", "both", "union")
 
 

@@ -203,18 +203,6 @@ def containing(texts: DataFrame, items: DataFrame, text_id: str, item_id: str, t
     return found.select(F.col("text_id").alias(text_id), F.col("item_id").alias(item_id))
 
 
-def _pieces(column, most: int = 4_000_000):
-    """Slices of a string column of about so many bytes, with where each begins."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    ends, at = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)), 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield at, column.slice(at, end - at)
-        at = end
-
-
 def _meeting(sent, lengths: list[int]):
     """Pairs of a text and an item whose anchor's hash is among those of the text's runs."""
 
@@ -230,7 +218,7 @@ def _meeting(sent, lengths: list[int]):
             at = at[np.argsort(h[at], kind="stable")]
             by[k] = (h[at], at)
         for b in batches:
-            for first, texts in _pieces(b.column("text")):
+            for first, texts in word_runs.pieces(b.column("text")):
                 words, sizes = word_runs.word_hashes(texts)
                 for k, (hashes, at) in by.items():
                     runs, doc = word_runs.run_hashes(words, sizes, k)
@@ -254,7 +242,7 @@ def _run_rows(lengths: list[int]):
         import pyarrow as pa
 
         for b in batches:
-            for first, texts in _pieces(b.column("text"), 1_000_000):
+            for first, texts in word_runs.pieces(b.column("text"), 1_000_000):
                 words, sizes = word_runs.word_hashes(texts)
                 for k in lengths:
                     runs, doc = word_runs.run_hashes(words, sizes, k)
