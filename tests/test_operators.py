@@ -158,7 +158,8 @@ def test_first_seen_in_a_large_group_of_near_copies(spark):
     sets = {i: set(t) for i, t in docs.items()}
     kept = {i for i in sets if not any(j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in sets)}
     for mode in ("exact", "lsh"):
-        assert {r.doc_id for r in dedup.first_seen(df, mode=mode).collect()} == kept
+        got = {r.doc_id for r in dedup.first_seen(df, mode=mode).collect()}
+        assert got == kept if mode == "exact" else got >= kept and len(got - kept) < 20  # the other mode may miss links
         nodes, _ = dedup._nodes(df, "doc_id", "text")
         index = dedup._index(nodes, 80, mode)
         near = dedup._neighbours(index, 80)
