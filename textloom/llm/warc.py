@@ -9,7 +9,7 @@ it and carry no payload, if the payload has at least ``least_bytes``; smaller pa
 alone and folds copies before the shuffle; the pages move once, when they join their group, a join that Spark splits where it is skewed.
 
 Defined results: a null html is an empty payload. A null page_id never is the response if another row can be; among null ids alone all are
-responses. Rows that repeat the response's page_id and payload are responses too. A null url is written as an empty target. Other columns
+responses. Rows that repeat the response's page_id and payload are responses too, with identifiers of their own unless a skewed join deals them to several tasks. A null url is written as an empty target. Other columns
 are not read. An empty table gives no bundle and an empty result.
 """
 
@@ -94,7 +94,8 @@ def parse_records(data: bytes):
 class Bundle:
     """Collects records and closes them to the bytes of a bundle."""
 
-    def __init__(self, frame_bytes: int = FRAME_BYTES, level: int = 3):
+    def __init__(self, frame_bytes: int = FRAME_BYTES, level: int = 3, given: set[str] | None = None):
+        self.given = set() if given is None else given
         self.frame_bytes, self.packer = frame_bytes, zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.frames: list[bytes] = []
         self.plain: list[int] = []
@@ -103,10 +104,13 @@ class Bundle:
         self.size = self.total = 0
 
     def add(self, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, name: str = "") -> None:
-        """``name``: of the bundle, from which records of one page and payload but the first get identifiers of their own."""
-        identifier, record = make_record(page_id, url, payload, refers_to)
-        if identifier in self.index:
-            identifier, record = make_record(page_id, url, payload, refers_to, f"{name} {len(self.index)}")
+        """A response gets the identifier that revisits know it by. Its repetitions, revisits and rows without an id get one made of the bundle's ``name`` and their place."""
+        place = f"{name} {len(self.index)}"
+        known = refers_to is None and page_id is not None
+        identifier, record = make_record(page_id, url, payload, refers_to, "" if known else place)
+        if known and identifier in self.given:
+            identifier, record = make_record(page_id, url, payload, refers_to, place)
+        self.given.add(identifier)
         self.index[identifier] = (page_id, len(self.frames), self.size, len(record))
         self.held.append(record)
         self.size += len(record)
@@ -172,7 +176,8 @@ class Reader:
 
 def _bundled(folder: str, frame_bytes: int, bundle_bytes: int):
     def run(batches):
-        task, nth, bundle = TaskContext.get().partitionId(), 0, Bundle(frame_bytes)
+        given: set[str] = set()
+        task, nth, bundle = TaskContext.get().partitionId(), 0, Bundle(frame_bytes, given=given)
 
         def closed():
             # a name of its own for each attempt: the list names the files of the attempt that counted
@@ -186,7 +191,7 @@ def _bundled(folder: str, frame_bytes: int, bundle_bytes: int):
                 bundle.add(page_id, url, payload, refers_to, f"{task} {nth}")
                 if bundle.total >= bundle_bytes:
                     yield closed()
-                    nth, bundle = nth + 1, Bundle(frame_bytes)
+                    nth, bundle = nth + 1, Bundle(frame_bytes, given=given)
         if bundle.index:
             yield closed()
 
