@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from textloom.functions import word_runs
 from textloom.operators.joins import splittable_join
 from textloom.operators.units import numbered
-from textloom.storage import materialise
+from textloom.storage import discard, materialise
 
 MIN_TOKENS = 10
 #: Bits of a set's outline, and slots of the filter of ids.
@@ -216,9 +216,11 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     """node, tokens, n, outline: one row for each distinct token set; and each document's node (id, node, n)."""
     sets = materialise(token_sets(docs, id_col, text_col), "token-sets")
     least = materialise(sets.groupBy("k1", "k2").agg(F.min("id").alias("node")), "token-nodes")
-    members = sets.select("id", "n", "k1", "k2").join(least, ["k1", "k2"]).select("id", "node", "n")
+    members = materialise(sets.select("id", "n", "k1", "k2").join(least, ["k1", "k2"]).select("id", "node", "n"), "members")
     nodes = sets.join(least.select(F.col("node").alias("id"), F.col("k1").alias("l1"), F.col("k2").alias("l2")), "id").filter("k1 = l1 and k2 = l2").select(F.col("id").alias("node"), "tokens", "n", "outline")
-    return materialise(nodes, "nodes"), members
+    nodes = materialise(nodes, "nodes")
+    discard(sets.stored_at)
+    return nodes, members
 
 
 def _index(nodes: DataFrame, percent: int, mode: str) -> DataFrame:
