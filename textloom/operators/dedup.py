@@ -178,12 +178,12 @@ def _candidates(index: DataFrame, later: DataFrame, percent: int) -> DataFrame:
     met = a.join(b, "key").filter((F.col("a") < F.col("b")) & _sizes_fit(percent))
     if "at" not in index.columns:
         return met.select("a", "b").distinct()
-    # no more can be shared than stand before a shared key and after it in both
-    room = F.least("ata", "atb") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
-    met = met.filter((100 + percent) * room >= percent * (F.col("na") + F.col("nb")))
-    met = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("ata").alias("ia"), F.max("atb").alias("ib"))
-    most = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    return met.filter((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    # no more can be shared than stand before a shared key and after it in both; rows are small, as there is one for each key that two nodes share
+    after, need = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")), percent * (F.col("na") + F.col("nb"))
+    hits = met.select("a", "b", ((100 + percent) * after - need).alias("over"), F.least("ata", "atb").alias("before"))
+    hits = hits.filter((100 + percent) * F.col("before") + F.col("over") >= 0)
+    met = hits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("over").alias("over"))
+    return met.filter((100 + percent) * (F.col("c") - 1) + F.col("over") >= 0).select("a", "b")
 
 
 def _neighbours(index: DataFrame, percent: int, most: int = 3) -> DataFrame:
