@@ -118,8 +118,10 @@ class Packs:
                 self.add(0, n, (*places, (piece, start, space)))
                 rest.append((start + space, length - space, n))
             else:
-                n = count
-                self.add(self.size - length, n, ((piece, start, length),))
+                # one after the other they fill a new pack before the next is opened
+                each = min(count, self.size // length)
+                n = count // each * each
+                self.add(self.size - each * length, n // each, ((piece, start, length),) * each)
             count -= n
         return rest
 
