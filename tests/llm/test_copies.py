@@ -136,25 +136,26 @@ def test_near_awkward_rows(docs, no_docs):
     assert near_dedup.near_dedup(no_docs).count() == 0
 
 
-def brute_passages(rows, least=51):
-    """Runs of words, byte for byte, that a smaller id has too; no chunks, anchors or hashes."""
+def brute_passages(rows, least=51, within=False):
+    """Runs of words, byte for byte, that a smaller id has too, or with ``within`` the row itself without overlap; no chunks, anchors or hashes. Rows are known by their number."""
     windows, first = [], {}
-    for i, t in rows:
+    for row, (i, t) in enumerate(dict.fromkeys(rows)):
         raw = (t or "").encode()
         at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
         for n in range(len(at) - least + 1):
             key = raw[at[n][0] : at[n + least - 1][1]]
             first[key] = min(first.get(key, i), i)
-            windows.append((i, n, at[n][0], at[n + least - 1][1], key))
-    out = []
-    for i, n, a, b, key in windows:
-        if first[key] == i:
+            windows.append((row, i, n, at[n][0], at[n + least - 1][1], key))
+    out, own = [], {}
+    for row, i, n, a, b, key in windows:
+        before = own.setdefault((row, key), n)
+        if first[key] == i and not (within and n - before >= least):
             continue
-        if out and out[-1][0] == i and n - out[-1][1] < least:
-            out[-1][1], out[-1][3], out[-1][4] = n, b, out[-1][4] + n - out[-1][1]
+        if out and out[-1][0] == row and n - out[-1][2] < least:
+            out[-1][2], out[-1][4], out[-1][5] = n, b, out[-1][5] + n - out[-1][2]
         else:
-            out.append([i, n, a, b, least, first[key]])
-    return {(i, a, b, words, f) for i, _, a, b, words, f in out}
+            out.append([row, i, n, a, b, least, first[key]])
+    return {(i, a, b, words, f) for _, i, _, a, b, words, f in out}
 
 
 def test_passages_of_short_words_against_brute_force(spark):
@@ -186,6 +187,34 @@ def test_passages_of_rows_that_repeat_an_id(docs, no_docs):
     assert substring_dedup.repeated_passages(no_docs).count() == 0
 
 
+def test_passages_of_different_texts_of_one_id(spark):
+    """Each row is judged by itself: what one text of an id repeats is not taken from another."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    one, two, own, tail = text(60), text(60), text(20), text(25)
+    rows = [(1, f"{one} {text(10)}"), (2, two), (3, f"{own} {one}"), (3, f"{two} {tail}"), (3, two), (3, f"{own} {one}"), (4, f"{text(70)} {own} {text(60)}"), (4, two)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for least in (51, 15):
+        got = [tuple(r) for r in substring_dedup.repeated_passages(df, least).collect()]
+        assert set(got) == brute_passages(rows, least)
+    left = sorted((r.doc_id, r.text.strip()) for r in substring_dedup.without_repeats(df).collect())
+    assert left == sorted([(1, rows[0][1]), (2, two), (3, own), (3, tail), (3, ""), (3, own), (4, rows[6][1]), (4, "")])
+
+
+def test_passages_that_one_document_repeats(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(n))
+    passage, other = text(60), text(80)
+    rows = [(1, f"{passage} {text(30)} {passage}"), (2, f"{text(20)} {other}\n{text(9)} {other} {passage}"), (3, " ".join([passage] * 5)), (4, text(300)), (5, "ab " * 400), (6, f"{text(60)} {rng.choice('xyz')}"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for least in (51, 20):
+        got = [tuple(r) for r in substring_dedup.repeated_passages(df, least, within=True).collect()]
+        assert sorted(got) == sorted(brute_passages(rows, least, True))
+    assert {r[0] for r in got} >= {1, 2, 3, 5} and len(brute_passages(rows)) < len(brute_passages(rows, 51, True))
+    left = {r.doc_id: r.text for r in substring_dedup.without_repeats(df, within=True).collect()}
+    assert left[1].count(passage) == 1 and left[2].count(other) == 1 and passage not in left[2] and left[4] == rows[3][1]
+
+
 def test_passages_of_copies_and_of_other_lengths(spark):
     rng = random.Random(9)
     text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(n))

@@ -81,16 +81,16 @@ ORACLE_SQL = {
                doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)""",
     "op2_repeated_passages": r"""
-        WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+') AS a FROM documents),
-             r AS (SELECT doc_id, unnest(a) AS run, generate_subscripts(a, 1) AS k FROM x),
-             p AS (SELECT doc_id, k, run, octet_length(encode(run)) AS n, length(run) AS c, sum(octet_length(encode(run))) OVER o AS stop, sum(length(run)) OVER o AS c_stop FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-             w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, stop - n AS start, stop, c_stop - c AS c_start, c_stop FROM p WHERE regexp_matches(run, '^[^\x20\x09-\x0D]')),
-             v AS (SELECT *, lead(stop, 50) OVER o AS last, lead(c_stop, 50) OVER o AS c_last FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-             h AS (SELECT v.doc_id, i, start, last, md5(substr(text, CAST(c_start + 1 AS BIGINT), CAST(c_last - c_start AS BIGINT))) AS h FROM v JOIN x USING (doc_id) WHERE last IS NOT NULL),
+        WITH x AS (SELECT row_number() OVER () AS rid, doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+') AS a FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL)),
+             r AS (SELECT rid, doc_id, unnest(a) AS run, generate_subscripts(a, 1) AS k FROM x),
+             p AS (SELECT rid, doc_id, k, run, octet_length(encode(run)) AS n, length(run) AS c, sum(octet_length(encode(run))) OVER o AS stop, sum(length(run)) OVER o AS c_stop FROM r WINDOW o AS (PARTITION BY rid ORDER BY k)),
+             w AS (SELECT rid, doc_id, row_number() OVER (PARTITION BY rid ORDER BY k) AS i, stop - n AS start, stop, c_stop - c AS c_start, c_stop FROM p WHERE regexp_matches(run, '^[^\x20\x09-\x0D]')),
+             v AS (SELECT *, lead(stop, 50) OVER o AS last, lead(c_stop, 50) OVER o AS c_last FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+             h AS (SELECT v.rid, v.doc_id, i, start, last, md5(substr(text, CAST(c_start + 1 AS BIGINT), CAST(c_last - c_start AS BIGINT))) AS h FROM v JOIN x USING (rid) WHERE last IS NOT NULL),
              f AS (SELECT h, min(doc_id) AS f FROM h GROUP BY h),
-             b AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) < 51 THEN 0 ELSE 1 END AS begins FROM h JOIN f USING (h) WHERE f < doc_id),
-             g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b)
-        SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(last) AS BIGINT) AS "end", CAST(max(i) - min(i) + 51 AS BIGINT) AS words, arg_min(f, i) AS first_doc_id FROM g GROUP BY doc_id, g""",
+             b AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) < 51 THEN 0 ELSE 1 END AS begins FROM h JOIN f USING (h) WHERE f < doc_id),
+             g AS (SELECT *, sum(begins) OVER (PARTITION BY rid ORDER BY i) AS g FROM b)
+        SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(last) AS BIGINT) AS "end", CAST(max(i) - min(i) + 51 AS BIGINT) AS words, arg_min(f, i) AS first_doc_id FROM g GROUP BY rid, doc_id, g""",
     "op6_mix_sources": r"""
         WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
              s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(3 * sum(size) AS DOUBLE) AS cap, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS DOUBLE) AS w FROM d GROUP BY source),

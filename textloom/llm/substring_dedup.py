@@ -16,8 +16,8 @@ Of equal texts only the one of the smallest id goes through steps 2 and 3; each
 Digests and windows are counted with partial aggregation and joined back, joins that Spark splits where one passage is very common. Passages are formed
 within a document, whose size bounds them.
 
-Defined results: null and empty texts have no passages. Repeats inside one document are not repeats. Rows that repeat an id are one document.
-A null id takes no part. An empty table gives an empty result. Other columns are not read.
+Defined results: null and empty texts have no passages. Repeats inside one document count only with ``within``. Rows that repeat an id are documents of their own, each
+compared with those of smaller ids; equal ones are one. A null id takes no part. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -157,17 +157,17 @@ def _hashed(least_words: int):
                 i = cut.windows([batch.column("shared")[at + k].values.to_numpy() for k in range(len(texts))])
                 starts, ends, doc = cut.starts[i], cut.ends[i + least_words - 1], cut.doc[i]
                 h = [xxhash.xxh3_64_intdigest(cut.raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                ids = batch.column("doc_id").slice(at, len(texts)).take(pa.array(doc))
+                ids, keys = (batch.column(c).slice(at, len(texts)).take(pa.array(doc)) for c in ("doc_id", "key"))
                 ints = [pa.array(x.astype(np.int32)) for x in (i - cut.first_word[doc], starts - cut.at[doc], ends - cut.at[doc])]
-                yield pa.RecordBatch.from_arrays([ids, *ints, pa.array(np.array(h, np.uint64).view(np.int64))], ["doc_id", "nth", "start", "end", "hash"])
+                yield pa.RecordBatch.from_arrays([ids, keys, *ints, pa.array(np.array(h, np.uint64).view(np.int64))], ["doc_id", "key", "nth", "start", "end", "hash"])
 
         return each
 
     return make
 
 
-def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages of at least ``least_words`` words that a document of smaller id has too: doc_id, start, end (bytes of the text in UTF-8), words, first_doc_id (the least that has the first words)."""
+def _passages(docs: DataFrame, least_words: int, within: bool, id_col: str, text_col: str) -> DataFrame:
+    """Passages with the ``key`` of their text: an id may have several."""
     ship(docs.sparkSession)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
@@ -176,30 +176,45 @@ def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col:
     reps = texts.groupBy("key").agg(F.min("doc_id").alias("rep"))
 
     chunks = cut.filter("nth >= 0").select("key", "nth", "digest")
-    shared = chunks.groupBy("digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("digest")
+    shared = chunks.groupBy("digest").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 1" if within else "lo < hi").select("digest")
     met = splittable_join(chunks, shared, "digest").groupBy("key").agg(F.collect_set("nth").alias("shared"))
     seeds = met.join(reps, "key").select(F.col("rep").alias("doc_id"), "key", "shared")
-    windows = map_batches(rows.join(seeds.hint("merge"), ["doc_id", "key"]), _hashed(least_words), "doc_id bigint, nth int, start int, end int, hash bigint")
+    windows = map_batches(rows.join(seeds.hint("merge"), ["doc_id", "key"]), _hashed(least_words), "doc_id bigint, key bigint, nth int, start int, end int, hash bigint")
     windows = materialise(windows, "windows")
-    least = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_id")).filter("first_doc_id < last_id").drop("last_id")
-    hits = splittable_join(windows, least, "hash").filter("first_doc_id < doc_id").drop("hash")
-
-    w = Window.partitionBy("doc_id").orderBy("nth")
+    least = windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_id")).filter(F.lit(within) | (F.col("first_doc_id") < F.col("last_id"))).drop("last_id")
+    known = splittable_join(windows, least, "hash")
+    if within:
+        # or else the document itself has it, so far before that the two don't overlap
+        own = windows.groupBy("doc_id", "key", "hash").agg(F.min("nth").alias("first_nth"), F.max("nth").alias("last_nth")).filter(F.col("last_nth") - F.col("first_nth") >= least_words).drop("last_nth")
+        known = splittable_join(known, own, "doc_id", "key", "hash", how="left").filter((F.col("first_doc_id") < F.col("doc_id")) | (F.col("nth") - F.col("first_nth") >= least_words)).drop("first_nth")
+    else:
+        known = known.filter("first_doc_id < doc_id")
+    hits = known.drop("hash")
+
+    w = Window.partitionBy("doc_id", "key").orderBy("nth")
     begins = F.coalesce(F.col("nth") - F.lag("nth").over(w) >= least_words, F.lit(True)).cast("int")
-    runs = hits.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w)).groupBy("doc_id", "run")
+    runs = hits.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w)).groupBy("doc_id", "key", "run")
     words = (F.max("nth") - F.min("nth") + least_words).alias("words")
     runs = runs.agg(F.min("start").cast("bigint").alias("start"), F.max("end").cast("bigint").alias("end"), words.cast("bigint"), F.min_by("first_doc_id", "nth").alias("first_doc_id"))
-    firsts = splittable_join(windows.filter("nth = 0"), least, "hash").filter("first_doc_id < doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("first_doc_id").alias("first_doc_id"))
-    copies = splittable_join(splittable_join(texts, reps, "key").filter("doc_id > rep"), firsts, "rep", how="left")
-    copies = copies.select("doc_id", F.col("first").cast("bigint").alias("start"), F.col("last").cast("bigint").alias("end"), F.col("words").cast("bigint").alias("words"), F.coalesce("first_doc_id", "rep").alias("first_doc_id"))
+    firsts = splittable_join(windows.filter("nth = 0"), least, "hash").filter("first_doc_id < doc_id").groupBy(F.col("doc_id").alias("rep"), "key").agg(F.min("first_doc_id").alias("first_doc_id"))
+    copies = splittable_join(splittable_join(texts, reps, "key").filter("doc_id > rep"), firsts, "rep", "key", how="left")
+    copies = copies.select("doc_id", "key", F.col("first").cast("bigint").alias("start"), F.col("last").cast("bigint").alias("end"), F.col("words").cast("bigint").alias("words"), F.coalesce("first_doc_id", "rep").alias("first_doc_id"))
     return runs.drop("run").union(copies)
 
 
-def without_repeats(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
+    """Passages of at least ``least_words`` words that a document of smaller id has too: doc_id, start, end (bytes of the text in UTF-8), words, first_doc_id (the least that has the first words).
+
+    ``within``: those too that the document itself has before, without overlap; its own id then is the first.
+    """
+    return _passages(docs, least_words, within, id_col, text_col).drop("key")
+
+
+def without_repeats(docs: DataFrame, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
     """The documents with their own columns, repeated spans cut out of the text; the first holder keeps each passage."""
-    k, s = fresh(docs, "span_id", "spans")
-    spans = repeated_passages(docs, least_words, id_col, text_col).groupBy(F.col("doc_id").alias(k)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(s))
-    joined = docs.join(spans, F.col(id_col) == F.col(k), "left")
+    k, h, s = fresh(docs, "span_id", "span_key", "spans")
+    spans = _passages(docs, least_words, within, id_col, text_col).groupBy(F.col("doc_id").alias(k), F.col("key").alias(h)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(s))
+    joined = docs.join(spans, (F.col(id_col) == F.col(k)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(h)), "left")
 
     @F.pandas_udf("string")
     def cut(texts, spans):
