@@ -149,25 +149,6 @@ def token_docs(spark, sets):
     return spark.createDataFrame([(i, " ".join(f"t{k}" for k in s)) for i, s in sets.items()], "doc_id bigint, text string")
 
 
-def test_first_seen_in_a_large_group_of_near_copies(spark):
-    """One group of texts that are all alike but none equal: the pairs compared grow with its size, not with its square."""
-    rng = random.Random(6)
-    base = [f"t{k}" for k in range(60)]
-    docs = {i: [*rng.sample(base, 58), f"own{i}"] for i in range(800)} | {i: [f"x{i}_{k}" for k in range(20)] for i in range(900, 950)}
-    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id bigint, text string")
-    sets = {i: set(t) for i, t in docs.items()}
-    kept = {i for i in sets if not any(j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in sets)}
-    for mode in ("exact", "lsh"):
-        got = {r.doc_id for r in dedup.first_seen(df, mode=mode).collect()}
-        assert got == kept if mode == "exact" else got >= kept and len(got - kept) < 20  # the other mode may miss links
-        nodes, _ = dedup._nodes(df, "doc_id", "text")
-        index = dedup._index(nodes, 80, mode)
-        near = dedup._neighbours(index, 80)
-        gone = dedup._confirmed(near, nodes, 80).select(F.col("b").alias("node")).distinct()
-        rest = dedup._candidates(index, index.join(gone, "node", "left_anti"), 80)
-        assert near.count() <= 3 * index.count() and rest.count() < 800
-
-
 def test_dedup_policies(spark):
     chain = token_docs(spark, {0: range(20), 1: range(2, 22), 2: range(4, 24), 9: range(100, 109)})
     assert sorted(r.doc_id for r in dedup.first_seen(chain).collect()) == [0, 9]
@@ -534,17 +515,6 @@ def test_loose_matches_of_whole_tables(spark, sf_dir):
     assert {r.old_id for r in rows if r.impacted is False} >= {i for i in first.values() if i % 3}
 
 
-def test_lsh_bands_follow_the_threshold(spark):
-    assert dedup.bands_and_rows(80) == (17, 15) and dedup.bands_and_rows(85) == (13, 19)
-    for percent in range(50, 100, 5):
-        bands, rows = dedup.bands_and_rows(percent)
-        assert bands * rows <= dedup.PERMUTATIONS and 0.3 < 1 - (1 - (percent / 100) ** rows) ** bands < 0.6
-    # 40 pairs of similarity 0.67, each of which 17 bands of 15 rows meet with a chance of 4 %
-    sets = {2 * k + j: range(1000 * k + 10 * j, 1000 * k + 50 + 10 * j) for k in range(40) for j in (0, 1)}
-    assert dedup.first_seen(token_docs(spark, sets), percent=60).count() == 40
-    assert dedup.first_seen(token_docs(spark, sets), percent=60, mode="lsh").count() < 60
-
-
 def test_causal_tokens_of_whole_texts(spark, sf_dir, tmp_path):
     from collections import Counter
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import code_text
+from textloom.session import ship
 
 
 class Tokenizer(Protocol):
@@ -156,6 +157,7 @@ def _column(f: Callable, returns: str):
 
         return pd.Series([None if t is None else f(t) for t in texts], dtype=object)
 
+    ship()
     return run
 
 
@@ -275,6 +277,7 @@ class ProcessSimulator:
 
 def checked(rows: DataFrame, checker: SyntaxChecker, text: str = "text", name: str | None = "module_name") -> DataFrame:
     """Adds ok, module_inst_list and error."""
+    ship(rows.sparkSession)
 
     @F.pandas_udf("ok boolean, module_inst_list array<string>, error string")
     def run(texts, names):
@@ -289,6 +292,7 @@ def checked(rows: DataFrame, checker: SyntaxChecker, text: str = "text", name: s
 
 def first_valid(rows: DataFrame, completer: Completer, checker: SyntaxChecker, prompt: str = "prompt", trials: int = 10) -> DataFrame:
     """Completions tried until one is valid, at most ``trials`` times: adds completion (null if none was), attempts."""
+    ship(rows.sparkSession)
 
     @F.pandas_udf("completion string, attempts int")
     def run(prompts):
@@ -309,6 +313,7 @@ def first_valid(rows: DataFrame, completer: Completer, checker: SyntaxChecker, p
 
 def simulated(samples: DataFrame, simulator: Simulator) -> DataFrame:
     """Adds stdout, stderr and timed_out to samples joined with their problems."""
+    ship(samples.sparkSession)
 
     @F.pandas_udf("stdout string, stderr string, timed_out boolean")
     def run(prompts, completions, tests):

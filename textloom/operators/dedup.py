@@ -1,48 +1,60 @@
 """Near-duplicate code by exact Jaccard similarity of token sets.
 
-The join is exact: each document indexes its rarest tokens only (a prefix long enough that similar sets must share one), pairs of very
-different size are dropped before they meet, and what is left is verified on the full sets. ``mode="lsh"`` finds candidates by banded
-MinHash signatures instead and may miss pairs. Its bands and rows are those of at most 256 permutations that balance misses and false hits at the
-threshold, so right at it about half of the pairs meet: at 80 percent (17 bands of 15 rows) 46 % of the pairs of similarity 0.80, 79 % at
-0.85 and 98 % at 0.90. Copies that the exact mode drops stay in its results.
+The join is exact: documents are posted under adaptive prefixes (``token_index``), and pairs that meet are verified on the full sets. ``mode="lsh"`` finds candidates by
+banded MinHash signatures instead and may miss pairs: at its threshold one in twenty at most, above it fewer.
 
-Documents with the same token set are one node of the join, so copies don't multiply the pairs.
+Documents with the same token set are one node of the join, so copies don't multiply the pairs. Stars keep large groups of near copies cheap: a few bands bring
+each node together with the smallest of its bucket, its hub, if the two are similar. ``first_seen`` needs no more of such nodes; ``similar_pairs`` compares the members of a
+star with each other in blocks, so their sets are shuffled once for each block, not once for each pair, and leaves only pairs across stars to the index.
+
+Defined results: documents below the gate of ``MIN_TOKENS`` tokens, null texts among them, resemble nothing. Rows with a null id take no part; ``first_seen`` and ``extremes`` keep them.
+Rows that repeat an id: equal token sets are one node, each other set is a node of its own, and sets of one id are no copies of each other; a link between two ids
+is told once, with its greatest similarity. ``first_seen`` drops an id only if each of its rows resembles a smaller id. Nodes are ordered by their smallest id. Other columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import word_runs
+from textloom.operators import token_index
 from textloom.operators.joins import splittable_join
-from textloom.operators.units import numbered
+from textloom.operators.units import numbered, numbered_within
+from textloom.session import ship
 from textloom.storage import discard, materialise
 
 MIN_TOKENS = 10
 #: Bits of a set's outline, and slots of the filter of ids.
 OUTLINE = 1024
 ID_SLOTS = 1 << 20
-#: The table of token frequencies has at most 2 ** MOST_BITS counters of 4 bytes.
-MOST_BITS = 22
 PERMUTATIONS = 256
+#: What the LSH mode finds at least of the pairs right at the threshold.
+RECALL = 0.95
+#: Up to so many nodes their numbers are sent to all tasks; more are joined.
+SENT_NODES = 500_000
+#: Members of a star that are compared at once, and how many tokens these may have.
+BLOCK, BLOCK_TOKENS = 256, 1 << 20
 
 
 @functools.cache
-def bands_and_rows(percent: int, permutations: int = PERMUTATIONS) -> tuple[int, int]:
-    """Bands and rows with the least sum of false hits below a threshold and misses above it, over all similarities alike."""
-    s = (np.arange(1000) + 0.5) / 1000
-    below = s < percent / 100
+def bands_and_rows(percent: int, permutations: int = PERMUTATIONS, recall: float = RECALL) -> tuple[int, int]:
+    """The most selective bands that find pairs at the threshold with a chance of ``recall``: as many rows as that allows, and as many bands as there are permutations for."""
+    for rows in range(permutations, 1, -1):
+        bands = permutations // rows
+        if 1 - (1 - (percent / 100) ** rows) ** bands >= recall:
+            return bands, rows
+    return permutations, 1
 
-    def wrong(shape: tuple[int, int]) -> float:
-        bands, rows = shape
-        missed = (1 - s**rows) ** bands
-        return float(np.where(below, 1 - missed, missed).sum())
 
-    return min(((b, r) for b in range(1, permutations + 1) for r in range(1, permutations // b + 1)), key=wrong)
+def _hub_bands(percent: int) -> tuple[int, int]:
+    """A few short bands, which find most neighbours."""
+    return 12, max(1, round(np.log(0.26) / np.log(min(percent, 99) / 100)))
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -55,213 +67,215 @@ def _set_rows(least: int):
     def run(batches):
         import pyarrow as pa
         import xxhash
+        from pyspark import TaskContext
 
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             for first, texts in word_runs.pieces(b.column("t")):
                 tokens, n, occurrences = word_runs.token_sets(texts)
+                passed = occurrences >= least
+                inside = np.repeat(passed, n)
+                tokens, n = tokens[inside], np.where(passed, n, 0)
                 ends = np.cumsum(n)
-                kept = np.nonzero(occurrences >= least)[0]
-                keys = [xxhash.xxh3_128_digest(tokens[e - k : e].tobytes()) for e, k in zip(ends[kept].tolist(), n[kept].tolist(), strict=True)]
-                keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                inside = np.repeat(occurrences >= least, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[kept])]).astype(np.int32)), pa.array(tokens[inside]))
-                ids = b.column("id").take(pa.array(first + kept))
-                outline = np.zeros(len(kept) * OUTLINE, bool)
-                outline[np.repeat(np.arange(len(kept)), n[kept]) * OUTLINE + (tokens[inside] & (OUTLINE - 1))] = True
+                keys = np.zeros((len(n), 2), np.int64)
+                kept = np.nonzero(passed)[0]
+                digests = [xxhash.xxh3_128_digest(tokens[e - k : e].tobytes()) for e, k in zip(ends[kept].tolist(), n[kept].tolist(), strict=True)]
+                keys[kept] = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tokens))
+                outline = np.zeros(len(n) * OUTLINE, bool)
+                outline[np.repeat(np.arange(len(n)), n) * OUTLINE + (tokens & (OUTLINE - 1))] = True
                 words = OUTLINE // 64
-                outline = pa.ListArray.from_arrays(pa.array(np.arange(0, len(kept) * words + 1, words, dtype=np.int32)), pa.array(np.packbits(outline).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, lists, pa.array(n[kept].astype(np.int32)), outline, pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], ["id", "tokens", "n", "outline", "k1", "k2"])
+                outline = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * words + 1, words, dtype=np.int32)), pa.array(np.packbits(outline).view(np.int64)))
+                columns = [b.column("id").slice(first, len(n)), pa.array(row + np.arange(len(n))), lists, pa.array(n.astype(np.int32)), outline, *(pa.array(keys[:, k].copy(), mask=~passed) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "tokens", "n", "outline", "k1", "k2"])
+                row += len(n)
 
     return run
 
 
 def token_sets(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_TOKENS) -> DataFrame:
-    """id, tokens (distinct, as sorted 64-bit hashes), n, the set's outline (a bit for each slot that a token falls into) and a 128-bit key of the set in k1, k2; texts below the gate are left out."""
-    from textloom.session import ship
+    """For each row: id, row (a number of its own), tokens (distinct, as sorted 64-bit hashes), n, the set's outline (a bit for each slot that a token falls into) and a 128-bit key of the set in k1, k2.
 
+    Rows below the gate have no tokens and a null key.
+    """
     ship(docs.sparkSession)
     rows = _spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")))
-    return rows.mapInArrow(_set_rows(least), f"id {dict(rows.dtypes)['id']}, tokens array<bigint>, n int, outline array<bigint>, k1 bigint, k2 bigint")
-
-
-def signature(tokens: Column, permutations: int = PERMUTATIONS) -> Column:
-    """The least of each seeded hash over a token set."""
-    return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, s))))
-
-
-def _slots(tokens: np.ndarray, bits: int) -> np.ndarray:
-    return ((tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _frequencies(nodes: DataFrame, bits: int) -> np.ndarray:
-    """How many nodes have a token of each of 2 ** bits slots. The array is of that size whatever the input; tasks send their counts in pieces, which are summed piece by piece."""
-    pieces = 1 << max(0, bits - 14)
-
-    def counted(batches):
-        import pyarrow as pa
-
-        n = np.zeros(1 << bits, np.int64)
-        for b in batches:
-            n += np.bincount(_slots(b.column("tokens").flatten().to_numpy(), bits), minlength=1 << bits)
-        some = [k for k, x in enumerate(np.split(n, pieces)) if x.any()]
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(some, pa.int32()), "counts": pa.array([n[k * len(n) // pieces : (k + 1) * len(n) // pieces].tobytes() for k in some], pa.binary())})
-
-    def summed(batches):
-        import pyarrow as pa
+    return rows.mapInArrow(_set_rows(least), f"id {dict(rows.dtypes)['id']}, row bigint, tokens array<bigint>, n int, outline array<bigint>, k1 bigint, k2 bigint")
 
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, raw in zip(b.column("piece").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                held[k] = held.get(k, 0) + np.frombuffer(raw, np.int64)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(list(held), pa.int32()), "counts": pa.array([x.tobytes() for x in held.values()], pa.binary())})
 
-    schema = "piece int, counts binary"
-    out = np.zeros((pieces, (1 << bits) // pieces), np.int64)
-    for r in nodes.select("tokens").mapInArrow(counted, schema).repartition(min(pieces, 64), "piece").mapInArrow(summed, schema).collect():
-        out[r.piece] = np.frombuffer(r.counts, np.int64)
-    return np.minimum(out.reshape(-1), 2**32 - 1).astype(np.uint32)
+def signature(tokens: Column, permutations: int = PERMUTATIONS, hash_=F.xxhash64) -> Column:
+    """The least of each seeded hash over a token set; ``hash_`` gets a token and a seed."""
+    return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda s: F.array_min(F.transform(tokens, lambda t: hash_(t, s))))
 
 
-def _prefixes(sent, bits: int, percent: int):
-    """The rarest tokens of each node, with their places in the order of rarity."""
+def band_columns(signed: Column, bands: int, rows: int) -> Column:
+    """Keys of the bands of a signature: the number of the band and its values."""
+    value = lambda i: F.concat_ws(":", i.cast("string"), F.transform(F.slice(signed, i * rows + 1, rows), lambda x: x.cast("string")))
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), value)
 
-    def run(batches):
-        import pyarrow as pa
 
-        often = sent.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 2000):
-                b = whole.slice(i, 2000)
-                n, tokens = b.column("n").to_numpy().astype(np.int64), b.column("tokens").flatten().to_numpy()
-                doc = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((tokens, often[_slots(tokens, bits)], doc))
-                at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                # any order that is the same for all will do; with rare tokens first few nodes share a key. A token that one node alone has needs no entry
-                kept = at < np.repeat(n - -(-n * percent // 100) + 1, n)
-                kept &= often[_slots(tokens[order], bits)] > 1
-                x = pa.array(doc[kept])
-                yield pa.RecordBatch.from_arrays([b.column("node").take(x), b.column("n").take(x), pa.array(tokens[order][kept]), pa.array(at[kept].astype(np.int32))], ["node", "n", "key", "at"])
+@dataclass
+class Nodes:
+    """Distinct token sets, numbered in the order of their smallest ids. known: (node, id, row, n, outline); members: (id, node, n) of all rows past the gate."""
 
-    return run
-
-
-def _exact_index(nodes: DataFrame, percent: int) -> DataFrame:
-    """node, n, key, at: the rarest tokens of each node, as many as it takes for similar nodes to share one, with their places in the order of rarity.
-
-    Rarity is the number of nodes in a token's slot of a table of bounded size, which all tasks get; so only the index is shuffled, not all tokens.
-    """
-    from textloom.session import ship
+    sets: DataFrame
+    known: DataFrame
+    members: DataFrame
+    count: int
 
-    spark = nodes.sparkSession
-    ship(spark)
-    total = nodes.agg(F.sum("n")).first()[0] or 1
-    bits = min(MOST_BITS, max(14, int(total).bit_length() - 2))
-    sent = spark.sparkContext.broadcast(_frequencies(nodes, bits))
-    return nodes.select("node", "n", "tokens").mapInArrow(_prefixes(sent, bits, percent), f"node {dict(nodes.dtypes)['node']}, n int, key bigint, at int")
+    def tokens(self, *more: str) -> DataFrame:
+        """node, n, tokens and more of the sets' columns. A row's number finds its node; few numbers are sent to all tasks, many are joined."""
+        few = self.known.select("row", "node")
+        return self.sets.select("row", "n", "tokens", *more).join(F.broadcast(few) if self.count <= SENT_NODES else few, "row").drop("row")
 
 
-def _lsh_index(nodes: DataFrame, percent: int) -> DataFrame:
-    """node, n, key: the bands of each node's signature."""
-    bands, rows = bands_and_rows(percent)
-    signed = nodes.select("node", "n", signature(F.col("tokens"), bands * rows).alias("sig"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))
-    return signed.select("node", "n", F.explode(keys).alias("key"))
+def _nodes(docs: DataFrame, id_col: str, text_col: str) -> Nodes:
+    sets = materialise(token_sets(docs, id_col, text_col), "token-sets")
+    full = sets.filter("id is not null and k1 is not null")
+    least = full.groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("f"))
+    first = materialise(numbered(least.select("k1", "k2", "f.id", "f.row"), "id", "k1", "k2", name="node"), "token-nodes")
+    count = first.count()
+    members = splittable_join(full.select(F.col("id").alias("__id"), "n", "k1", "k2"), first.select("k1", "k2", "node"), "k1", "k2")
+    members = materialise(members.select(F.col("__id").alias("id"), "node", "n"), "members")
+    few = first.select("row", "node", F.col("id").alias("first"))
+    known = full.select("row", "n", "outline").join(F.broadcast(few) if count <= SENT_NODES else few, "row")
+    known = materialise(known.select("node", F.col("first").alias("id"), "row", "n", "outline"), "nodes")
+    return Nodes(sets, known, members, count)
 
 
 def _sizes_fit(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _candidates(index: DataFrame, later: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of a node of ``index`` and one of ``later`` that share a key and whose shared keys leave room for enough shared tokens."""
-    a, b = (t.select("key", F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in t.columns if c not in ("node", "key")]) for x, t in (("a", index), ("b", later)))
-    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & _sizes_fit(percent))
-    if "at" not in index.columns:
-        return met.select("a", "b").distinct()
-    # no more can be shared than stand before a shared key and after it in both; rows are small, as there is one for each key that two nodes share
-    after, need = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")), percent * (F.col("na") + F.col("nb"))
-    hits = met.select("a", "b", ((100 + percent) * after - need).alias("over"), F.least("ata", "atb").alias("before"))
-    hits = hits.filter((100 + percent) * F.col("before") + F.col("over") >= 0)
-    met = hits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("over").alias("over"))
-    return met.filter((100 + percent) * (F.col("c") - 1) + F.col("over") >= 0).select("a", "b")
-
-
-def _neighbours(index: DataFrame, percent: int, most: int = 3) -> DataFrame:
-    """Pairs (a < b) of nodes that stand next to each other, up to ``most`` places apart, in the order of the nodes of many of their keys: a few for each entry, however many nodes a key has."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        held = None
-        for batch in batches:
-            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            if not table.num_rows:
-                continue
-            fresh = 0 if held is None else held.num_rows
-            key = table.column("key").to_numpy()
-            for d in range(1, most + 1):
-                j = np.nonzero(key[d:] == key[:-d])[0] + d
-                j = j[j >= fresh]
-                x, y = table.take(pa.array(j - d)), table.take(pa.array(j))
-                yield pa.RecordBatch.from_arrays([x.column("node"), y.column("node"), x.column("n"), y.column("n")], ["a", "b", "na", "nb"])
-            held = table.slice(max(0, table.num_rows - most))
-
-    kinds = dict(index.dtypes)
-    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = index.select("key", "node", "n").repartitionByRange(tasks, "key", "node").sortWithinPartitions("key", "node")
-    pairs = ordered.mapInArrow(run, f"a {kinds['node']}, b {kinds['node']}, na {kinds['n']}, nb {kinds['n']}")
-    met = pairs.filter(_sizes_fit(percent) & (F.col("a") != F.col("b"))).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    # only likely ones: nodes that are alike share most of their keys
-    return met.filter((F.col("c") > 1) & (400 * F.col("c") >= (100 - percent) * F.least("na", "nb"))).select("a", "b") if "at" in index.columns else met.select("a", "b")
-
-
-def _nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """node, tokens, n, outline: one row for each distinct token set; and each document's node (id, node, n)."""
-    sets = materialise(token_sets(docs, id_col, text_col), "token-sets")
-    least = materialise(sets.groupBy("k1", "k2").agg(F.min("id").alias("node")), "token-nodes")
-    members = materialise(sets.select("id", "n", "k1", "k2").join(least, ["k1", "k2"]).select("id", "node", "n"), "members")
-    nodes = sets.join(least.select(F.col("node").alias("id"), F.col("k1").alias("l1"), F.col("k2").alias("l2")), "id").filter("k1 = l1 and k2 = l2").select(F.col("id").alias("node"), "tokens", "n", "outline")
-    nodes = materialise(nodes, "nodes")
-    discard(sets.stored_at)
-    return nodes, members
-
-
-def _index(nodes: DataFrame, percent: int, mode: str) -> DataFrame:
-    nodes = nodes if mode == "lsh" else nodes.select("node", "n", "tokens")
-    return materialise((_exact_index if mode == "exact" else _lsh_index)(nodes, percent), "token-index")
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are similar on their full sets: a, b, both, union.
+def _confirmed(pairs: DataFrame, nodes: Nodes, percent: int) -> DataFrame:
+    """The pairs that are similar on their full sets: a, b, both, union. Nodes of one id aren't compared.
 
     Bits in which two outlines differ are tokens that the sets don't share, so pairs that differ in too many bits are out before their tokens are fetched; and
     only tokens of nodes that are left are shuffled, as far as a filter of bounded size can tell them.
     """
-    seen = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("outline").alias(f"o{x}"))
+    seen = lambda x: nodes.known.select(F.col("node").alias(x), F.col("id").alias(f"id{x}"), F.col("n").alias(f"n{x}"), F.col("outline").alias(f"o{x}"))
     differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    likely = pairs.select("a", "b").join(seen("a"), "a").join(seen("b"), "b").filter((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+    likely = pairs.select("a", "b").join(seen("a"), "a").join(seen("b"), "b").filter(_sizes_fit(percent) & (F.col("ida") != F.col("idb")) & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b")
     likely = materialise(likely, "likely")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_SLOTS)).cast("int").alias("slot")
     slots = likely.select(slot("a")).union(likely.select(slot("b"))).distinct()  # at most ID_SLOTS rows
-    needed = nodes.select("node", "tokens", slot("node")).join(F.broadcast(slots), "slot", "left_semi")
+    needed = nodes.tokens().select("node", "tokens", slot("node")).join(F.broadcast(slots), "slot", "left_semi")
     full = lambda i, t: needed.select(F.col("node").alias(i), F.col("tokens").alias(t))
     both = likely.join(full("a", "ta"), "a").join(full("b", "tb"), "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
     return both.withColumn("union", F.size("ta") + F.size("tb") - F.col("both")).filter(100 * F.col("both") >= percent * F.col("union")).select("a", "b", "both", "union")
 
 
+def _labels(nodes: Nodes, percent: int, rounds: int = 1) -> DataFrame:
+    """node, label: a similar node of smaller number, for most nodes that have one. Each bucket of a band offers the smallest of its nodes; later rounds offer the label of a node's label."""
+    bands, rows = _hub_bands(percent)
+    kinds = "node bigint, band bigint"
+
+    def banded(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in token_index._slices(batch):
+                keys = token_index.band_keys(part.column("tokens").flatten().to_numpy(), part.column("n").to_numpy().astype(np.int64), bands, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), bands)), pa.array(keys.reshape(-1).view(np.int64))], ["node", "band"])
+
+    buckets = materialise(nodes.tokens().mapInArrow(banded, kinds), "bands")
+    hubs = buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most").drop("most")
+    offered = splittable_join(buckets, hubs, "band").select("a", F.col("node").alias("b")).filter("a < b").distinct()
+    labels = materialise(_confirmed(offered, nodes, percent).groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("label")), "labels")
+    for _ in range(rounds - 1):
+        further = labels.select("node", F.col("label").alias("h")).join(labels.select(F.col("node").alias("h"), F.col("label").alias("a")), "h").select("a", F.col("node").alias("b"))
+        better = _confirmed(further, nodes, percent).select(F.col("b").alias("node"), F.col("a").alias("better"))
+        labels = materialise(labels.join(better, "node", "left").select("node", F.least("label", "better").alias("label")), "labels")
+    return labels
+
+
+def _met(nodes: Nodes, percent: int, mode: str, told: DataFrame, across: bool) -> DataFrame:
+    """Pairs of nodes (a < b) that an index brings together. ``told``: (node, open[, star]) of all nodes: pairs of open nodes with smaller ones, or ``across`` the stars."""
+    spark = nodes.sets.sparkSession
+    rows = nodes.tokens().join(F.broadcast(told) if nodes.count <= SENT_NODES else told, "node")
+    if mode == "lsh":
+        bands, each = bands_and_rows(percent)
+        parts = token_index.task_count(spark, nodes.count * bands)
+        return token_index.meeting(rows.mapInArrow(token_index.by_bands(bands, each, parts), "part bigint, raw binary"), parts, False)
+    sent, bits = token_index.sent_table(nodes.tokens(), nodes.known.agg(F.sum("n")).first()[0] or 1)
+    chosen, postings = token_index.schemes(nodes.tokens(), sent, bits, percent, max(1, nodes.count))
+    parts = token_index.task_count(spark, postings)
+    return token_index.meeting(rows.mapInArrow(token_index.by_prefixes(sent, bits, percent, chosen, parts, across), "part bigint, raw binary"), parts, across)
+
+
+def _within_stars(nodes: Nodes, stars: DataFrame, percent: int) -> DataFrame:
+    """Similar pairs of nodes of one star: a, b, both, union. Members are compared block by block; a block holds fewer the larger their sets are."""
+    sized = stars.join(nodes.known.select("node", "n", "id"), "node")
+    hub = nodes.known.select(F.col("node").alias("star"), F.col("n").alias("hub_n"))
+    per_block = F.greatest(F.least(F.floor(F.lit(BLOCK_TOKENS) / F.col("hub_n")), F.lit(BLOCK)), F.lit(1))
+    placed = numbered_within(sized, "star", "node", name="at").join(hub, "star").withColumn("block", F.floor(F.col("at") / per_block).cast("int"))
+    placed = materialise(placed.select("star", "node", "id", "block"), "stars")
+    blocks = placed.groupBy("star").agg(F.max("block").alias("last"))
+    dealt = splittable_join(placed, blocks, "star").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    dealt = dealt.select("star", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "id")
+    full = nodes.tokens()
+    rows = dealt.join(full, "node").select("star", "i", "j", "block", "node", F.xxhash64("id").alias("id"), "tokens")
+
+    def compared(key, table):
+        import pyarrow as pa
+
+        i, j = key[1].as_py(), key[2].as_py()
+        table = table.combine_chunks()
+        node, block, ident = (table.column(c).to_numpy() for c in ("node", "block", "id"))
+        lists = table.column("tokens").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        tokens = lists.flatten().to_numpy()
+        doc = np.repeat(np.arange(len(node)), sizes)
+        _, place, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        shared = often > 1  # others can't be in an intersection
+        column = np.cumsum(shared) - 1
+        some = shared[place]
+        doc, place = doc[some], column[place[some]]
+        both = np.zeros((len(node), len(node)), np.float32)
+        order = np.argsort(place, kind="stable")
+        doc, place = doc[order], place[order]
+        width = max(1, (1 << 22) // max(1, len(node)))  # so many tokens at once
+        for low in range(0, int(shared.sum()), width):
+            at, to = np.searchsorted(place, (low, low + width))
+            m = np.zeros((len(node), width), np.float32)
+            m[doc[at:to], place[at:to] - low] = 1
+            both += m @ m.T
+        both = both.astype(np.int64)
+        union = sizes[:, None] + sizes[None, :] - both
+        fits = (100 * both >= percent * union) & (node[:, None] < node[None, :]) & (ident[:, None] != ident[None, :])
+        if i != j:
+            fits &= block[:, None] != block[None, :]
+        a, b = np.nonzero(fits)
+        return pa.table({"a": node[a], "b": node[b], "both": both[a, b].astype(np.int32), "union": union[a, b].astype(np.int32)})
+
+    return rows.groupBy("star", "i", "j").applyInArrow(compared, "a bigint, b bigint, both int, union int")
+
+
 def _linked(docs: DataFrame, percent: int, mode: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Links between nodes (id_a < id_b, both, jaccard), and each document's node (id, node, n)."""
-    nodes, members = _nodes(docs, id_col, text_col)
-    index = _index(nodes, percent, mode)
-    pairs = _confirmed(_candidates(index, index, percent), nodes, percent)
-    pairs = pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "both", F.round(F.col("both") / F.col("union"), 6).alias("jaccard"))
-    return materialise(pairs, "similar"), members
+    """Links between the smallest ids of equal sets (id_a < id_b, both, jaccard), and each document's first (id, node: the smallest id of its set, n)."""
+    nodes = _nodes(docs, id_col, text_col)
+    if mode == "lsh":
+        told = nodes.known.select("node", F.lit(True).alias("open"))
+        pairs = _confirmed(_met(nodes, percent, mode, told, False), nodes, percent)
+    else:
+        labels = _labels(nodes, percent, rounds=3)
+        hubs = labels.select(F.col("label").alias("node")).distinct().join(labels.select("node"), "node", "left_anti")
+        stars = labels.select("node", F.col("label").alias("star")).union(hubs.select("node", F.col("node").alias("star")))
+        told = nodes.known.select("node").join(labels.withColumnRenamed("label", "star"), "node", "left").select("node", F.lit(True).alias("open"), F.coalesce("star", "node").alias("star"))
+        pairs = _within_stars(nodes, stars, percent).union(_confirmed(_met(nodes, percent, mode, told, True), nodes, percent))
+    first = nodes.known.select("node", "id")
+    pairs = pairs.join(first.toDF("a", "id_a"), "a").join(first.toDF("b", "id_b"), "b")
+    pairs = pairs.select("id_a", "id_b", F.struct((F.col("both") / F.col("union")).alias("s"), "both", "union").alias("x")).groupBy("id_a", "id_b").agg(F.max("x").alias("x"))
+    pairs = materialise(pairs.select("id_a", "id_b", "x.both", F.round(F.col("x.both") / F.col("x.union"), 6).alias("jaccard")), "similar")
+    members = materialise(nodes.members.join(first.select("node", F.col("id").alias("first")), "node").select("id", F.col("first").alias("node"), "n").distinct(), "members")
+    discard(nodes.sets.stored_at)
+    return pairs, members
 
 
 def token_set_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The smallest id with the same token set for each document past the gate: id, node."""
-    sets = token_sets(docs, id_col, text_col).select("id", "k1", "k2")
-    return sets.join(sets.groupBy("k1", "k2").agg(F.min("id").alias("node")), ["k1", "k2"]).select("id", "node")
+    sets = token_sets(docs, id_col, text_col).select("id", "k1", "k2").filter("id is not null and k1 is not null")
+    return splittable_join(sets, sets.groupBy("k1", "k2").agg(F.min("id").alias("node")), "k1", "k2").select("id", "node")
 
 
 def similar_pairs(docs: DataFrame, percent: int = 80, mode: str = "exact", id_col: str = "doc_id", text_col: str = "text", expand: bool = False) -> DataFrame:
@@ -282,17 +296,20 @@ def similar_pairs(docs: DataFrame, percent: int = 80, mode: str = "exact", id_co
 def first_seen(docs: DataFrame, percent: int = 80, mode: str = "exact", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that no document of smaller id resembles.
 
-    A document goes as soon as one smaller is found. Neighbours in the order of a key's nodes are compared first, a few for each entry; only documents that
-    these leave meet all smaller ones of their keys. So a large group of near copies costs about its size, not its square.
+    A document goes as soon as one smaller is found: those with a hub are gone, and only the rest meets all smaller ones of its keys. So a large
+    group of near copies costs about its size, not its square.
     """
-    nodes, members = _nodes(docs, id_col, text_col)
-    index = _index(nodes, percent, mode)
-    gone = materialise(_confirmed(_neighbours(index, percent), nodes, percent).select(F.greatest("a", "b").alias("id")).distinct(), "seen")
-    open_ = index.join(gone.withColumnRenamed("id", "node"), "node", "left_anti")
-    later = _confirmed(_candidates(index, open_, percent), nodes, percent).select(F.col("b").alias("id"))
-    # a node's neighbours are classes: the smaller ends are known by their smallest ids
-    copies = members.filter(F.col("id") > F.col("node")).select("id")
-    return docs.join(copies.union(gone).union(later).distinct().withColumnRenamed("id", id_col), id_col, "left_anti")
+    nodes = _nodes(docs, id_col, text_col)
+    labels = _labels(nodes, percent).select("node")
+    told = nodes.known.select("node").join(labels.withColumn("gone", F.lit(True)), "node", "left").select("node", F.col("gone").isNull().alias("open"))
+    later = _confirmed(_met(nodes, percent, mode, told, False), nodes, percent).select(F.col("b").alias("node"))
+    gone = materialise(labels.union(later).distinct(), "gone")
+    first = nodes.known.select("node", F.col("id").alias("first"))
+    rows = nodes.members.join(first, "node").join(gone.withColumn("gone", F.lit(True)), "node", "left").select("id", (F.coalesce("gone", F.lit(False)) | (F.col("first") < F.col("id"))).alias("gone"))
+    short = nodes.sets.filter("id is not null and k1 is null").select("id", F.lit(False).alias("gone"))
+    ids = materialise(rows.union(short).groupBy("id").agg(F.bool_and("gone").alias("gone")).filter("gone").select(F.col("id").alias("__gone_id")), "gone-ids")
+    discard(nodes.sets.stored_at)
+    return docs.join(ids, F.col(id_col) == F.col("__gone_id"), "left_anti")
 
 
 def clusters(docs: DataFrame, percent: int = 80, mode: str = "exact", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,7 +328,10 @@ def clusters(docs: DataFrame, percent: int = 80, mode: str = "exact", id_col: st
         since = choice.union(copies).groupBy("base").agg(F.min("id").alias("since"))
         open_ = earlier.join(since, F.col("x") == F.col("base"), "left").groupBy("id").agg(F.coalesce(F.min(F.when(F.col("since") < F.col("id"), F.col("x"))), F.min("x")).alias("next"))
         step = materialise(choice.join(open_, "id").select("id", F.col("next").alias("base"), (F.col("next") != F.col("base")).alias("moved")), "bases")
+        last = choice.stored_at
         choice = step.select("id", "base")
+        choice.stored_at = step.stored_at
+        discard(last)
         if not step.filter("moved").limit(1).count():
             break
     joined = choice.union(copies)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions import word_runs
-from textloom.operators.units import numbered
+from textloom.operators.joins import splittable_join
+from textloom.operators.units import numbered, numbered_within
 from textloom.storage import materialise
 
 
@@ -21,8 +22,11 @@ def merge_metadata(*tables: DataFrame) -> DataFrame:
     return out.groupBy("task_id").agg(F.max_by(F.struct(*cols), "__seq").alias("s")).select("task_id", "s.*")
 
 
-def ids_by_name(meta: DataFrame, name: str = "code_name", key: str = "task_id") -> DataFrame:
-    return meta.groupBy(name).agg(F.array_sort(F.collect_list(key)).alias("ids"))
+def ids_by_name(meta: DataFrame, name: str = "code_name", key: str = "task_id", per_list: int = 100_000) -> DataFrame:
+    """The ids of each name in order: name, part, ids. A name of more than ``per_list`` ids has several parts, from 0, so no list grows with the corpus. Rows without an id are left out."""
+    at = numbered_within(meta.select(F.col(name).alias(name), F.col(key).alias("__id")).filter("__id is not null"), name, "__id", name="__at")
+    lists = at.withColumn("part", F.floor(F.col("__at") / per_list).cast("int")).groupBy(name, "part").agg(F.array_sort(F.collect_list("__id")).alias("ids"))
+    return lists.select(name, "part", "ids")
 
 
 def shared_library(meta: DataFrame) -> DataFrame:
@@ -44,10 +48,12 @@ def attach_metadata(files: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def match_by_code(files: DataFrame, meta: DataFrame) -> DataFrame:
-    """For each file (file, name, text) the task of that name and text, without an error if one such is there."""
-    joined = files.join(meta.select("task_id", F.col("code_name").alias("name"), F.col("code_str").alias("text"), "error"), ["name", "text"])
-    w = Window.partitionBy("file").orderBy(F.col("error").isNotNull(), "task_id")
-    return joined.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    """For each file (file, name, text) the task of that name and text, without an error if one such is there, else the first. Files meet one row for each name and text, by its digest; without a name or text they meet none."""
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias("__code")
+    first = meta.select(F.col("code_name").alias("name"), digest("code_str"), F.struct(F.col("error").isNotNull().alias("bad"), "task_id", "error").alias("t"))
+    first = first.filter("name is not null and __code is not null").groupBy("name", "__code").agg(F.min("t").alias("t"))
+    joined = splittable_join(files.withColumn("__code", digest("text")), first, "name", "__code")
+    return joined.select(*files.columns, "t.task_id", "t.error")
 
 
 def match_loosely(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -94,8 +100,10 @@ def part_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def last_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the last in order: what a file of that name, or a map with that key, would hold."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    # an aggregate, which each task begins on its own rows; rows without an order come before all others
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order)).alias("__last"))
+    return last.select(*keys, "__last.*").select(*rows.columns)
 
 
 def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import splitting
 from textloom.functions import text as X
+from textloom.session import ship
 
 
 def ordered_concat(order: str, value: str | Column, sep: str) -> Column:
@@ -111,6 +112,7 @@ def _at_borders(text: Column, size: int, overlap: int) -> Column:
 
         return pd.Series([None if t is None else splitting.chunks(t, size, overlap) for t in texts], dtype=object)
 
+    ship()
     return run(text)
 
 
@@ -224,6 +226,7 @@ def repair_alignment(code: DataFrame, comments: DataFrame, corrected: DataFrame,
         out = pd.DataFrame(rows, columns=["file", "line_number", "content", "comment", "reason"])
         return out.astype({"line_number": "Int32"})
 
+    ship(code.sparkSession)
     kind = dict(code.dtypes)["file"]
     return parts[0].union(parts[1]).union(parts[2]).groupBy("file").applyInPandas(run, f"file {kind}, line_number int, content string, comment string, reason string")
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from textloom.functions import code_text as C
 from textloom.functions import text as X
 from textloom.operators.joins import splittable_join
+from textloom.session import ship
 
 UNIT = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType()), T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType())]))
 SPLIT = T.StructType([T.StructField("units", UNIT), T.StructField("outside", T.StringType())])
@@ -26,6 +27,7 @@ def on_text(f: Callable[[str], object], returns) -> Callable[[Column], Column]:
         return pd.Series([None if t is None else f(t) for t in texts], dtype=object)
 
     def apply(c: Column | str) -> Column:
+        ship()
         return run(X.col(c).cast("string"))
 
     return apply
@@ -42,6 +44,7 @@ def _split(f):
         found = [([], None) if t is None else f(t) for t in texts]
         return pd.DataFrame({"units": [_rows(u) for u, _ in found], "outside": [o for _, o in found]})
 
+    ship()
     return F.pandas_udf(run, SPLIT)
 
 

@@ -518,42 +518,52 @@ def q_json_document_there_and_back(spark, sf):
 def q_csv_lines_there_and_back(spark, sf):
     """Line tables as CSV in two goes; every second line has no comment."""
     path = _at(spark, "csv")
-    l = _lines(spark, sf).select("file", "line_number", F.when(F.col("line_number") % 2 == 0, F.coalesce(F.nullif(F.col("content"), F.lit("")), F.lit("<empty>"))).alias("content"))
-    l = l.withColumn("file", F.concat(F.lit("f"), F.col("file").cast("string"))).repartition(4, "file")
+    l = _lines(spark, sf).select("file", "line_number", F.when(F.col("line_number") % 2 == 0, F.col("content")).alias("content"))
+    l = l.withColumn("file", F.concat(F.lit("f/ +%"), F.col("file").cast("string"))).repartition(4, "file")
     writers.csv_lines(l.filter(F.length("file") % 2 == 0), path)
     writers.csv_lines(l.filter(F.length("file") % 2 == 1), path, append=True)
-    back = spark.read.schema("content string, line_number int, file string").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    back = back.withColumn("content", F.when(F.col("content") != X.NO_COMMENT, F.when(F.col("content") == "<empty>", "").otherwise(F.col("content"))))
-    return back.select(F.substring("file", 2, 20).cast("bigint").alias("file"), "line_number", "content")
+    return readers.csv_lines(spark, path).select(F.substring("file", 6, 20).cast("bigint").alias("file"), "line_number", "content")
 
 
-@query("SELECT 0 AS n, 'content,line_number' AS columns")
+@query(f"WITH {_LINE_CTE} SELECT CAST(file AS VARCHAR) AS file, CAST(line_number AS INT) AS line_number, content FROM l")
 def q_empty_csv(spark, sf):
+    """A table without lines, to which all lines are appended."""
     path = _at(spark, "empty")
     writers.empty_lines(spark, path)
-    back = spark.read.schema("content string, line_number int").option("header", True).csv(path)
-    return back.agg(F.count(F.lit(1)).cast("int").alias("n"), F.lit(",".join(back.columns)).alias("columns"))
+    if readers.csv_lines(spark, path).count():
+        raise ValueError("an empty table has lines")
+    writers.csv_lines(_lines(spark, sf).repartition(4, "file"), path, append=True)
+    return readers.csv_lines(spark, path).select("file", "line_number", "content")
 
 
 @query(_DOCS)
 def q_formats_there_and_back(spark, sf):
-    """A quarter of the table in each of four formats, read by the endings of their names."""
+    """A fifth of the table in each of five formats, read by the endings of their names."""
     d, found = _docs(spark, sf), None
-    for k, end in enumerate(("json", "jsonl", "csv", "parquet")):
-        path, part = f"{_at(spark, end)}.{end}", d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k)
+    for k, end in enumerate(("json", "jsonl", "csv", "tsv", "parquet")):
+        path, part = f"{_at(spark, end)}.{end}", d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == k)
         if end == "parquet":
             part.write.parquet(path)
-        elif end == "csv":
-            part.write.option("header", True).option("escape", '"').option("lineSep", "\u0001").csv(path)
-            back = spark.read.schema(_DOC).option("header", True).option("escape", '"').option("lineSep", "\u0001").csv(path)
+        elif end in ("csv", "tsv"):
+            part.write.options(**writers.CSV | {"sep": "\t" if end == "tsv" else ","}).csv(path)
         else:
             part.write.json(path)
-        if end != "csv":
-            back = readers.by_format(spark, path, _DOC) if end != "json" else spark.read.schema(_DOC).json(path)
-        found = back.select(*d.columns) if found is None else found.union(back.select(*d.columns))
+        back = readers.by_format(spark, path, _DOC).select(*d.columns)
+        found = back if found is None else found.union(back)
     return found
 
 
+@query("SELECT vec_id, len(embedding) AS size, CAST(embedding[1] AS DOUBLE) AS head, CAST(embedding[64] AS DOUBLE) AS tail, 'line ' || vec_id || chr(10) || '\"' || label || '\", x' AS \"Text\" FROM embeddings")
+def q_embeddings_there_and_back(spark, sf):
+    """Vectors as text lists, beside texts with line breaks and quotes."""
+    path, i = _at(spark, "embeddings"), F.col("vec_id").cast("string")
+    text = F.concat(F.lit("line "), i, F.lit('\n"'), F.col("label").cast("string"), F.lit('", x'))
+    rows = _t(spark, sf, "embeddings").select(F.concat(F.lit("f"), i).alias("Filename"), F.to_json(F.col("embedding").cast("array<double>")).alias("embedding"), F.col("vec_id").cast("int").alias("Line_id"), text.alias("Text"))
+    rows.write.options(**writers.CSV).csv(path)
+    back = readers.embeddings_csv(spark, path)
+    return back.select(F.col("Line_id").cast("bigint").alias("vec_id"), F.size("embedding").alias("size"), F.element_at("embedding", 1).alias("head"), F.element_at("embedding", -1).alias("tail"), "Text")
+
+
 @query("SELECT CAST(row_number() OVER (ORDER BY lpad(CAST(item_id AS VARCHAR), 8, '0')) - 1 AS VARCHAR) AS task_id, text, 'i' || lpad(CAST(item_id AS VARCHAR), 8, '0') || '.v' AS file FROM benchmark")
 def q_files_there_and_back(spark, sf):
     """One file for each item, the later of two rows; then the folder in order of name."""

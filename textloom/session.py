@@ -27,8 +27,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that functions which run there can import it."""
+def ship(spark: SparkSession | None = None) -> None:
+    """Send this package to the executors once per application, so that functions which run there can import it. Without a session the active one is meant."""
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

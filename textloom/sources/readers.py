@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +50,23 @@ def with_suffix(rows: DataFrame, language: str, file_col: str = "file") -> DataF
     return rows.filter(F.col(file_col).rlike(r"\.(" + "|".join(SUFFIXES[language]) + ")$"))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines, plain or compressed; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+def _reader(spark: SparkSession, schema: str | None, damaged: str | None, **options):
+    """A reader of rows in text form. With ``damaged``, a column of that name holds the whole row where it can't be read, and is null elsewhere."""
+    reader = spark.read.options(**options)
+    if damaged:
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", damaged)
+    if schema:
+        reader = reader.schema(f"{schema}, `{damaged}` STRING" if damaged else schema)
+    return reader
+
+
+#: Fields may hold line breaks and quotes, which are doubled.
+CSV = {"header": True, "multiLine": True, "escape": '"'}
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, damaged: str | None = None) -> DataFrame:
+    """JSON lines, plain or compressed; blank lines are skipped. Lines that aren't JSON give nulls, and stand in the column ``damaged`` if that is named."""
+    return _reader(spark, schema, damaged).json(path)
 
 
 def problems(spark: SparkSession, path: str) -> DataFrame:
@@ -66,26 +82,50 @@ def json_map(spark: SparkSession, path: str, value_schema: str = schemas.METADAT
     return rows.select(key, "s.*")
 
 
-def csv_lines(spark: SparkSession, path: str, schema: str = schemas.CSV_LINES) -> DataFrame:
-    """Line tables written as CSV, one file each, with the name of the file; the word for no comment becomes null."""
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path).select("*", F.regexp_replace(_name(), r"\.csv$", "").alias("file"))
-    return rows.withColumn("content", F.when(F.col("content") != X.NO_COMMENT, F.col("content")))
+def _decoded(c: Column) -> Column:
+    """Without the %xx of a path; a plus is a plus."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
 
+def csv_lines(spark: SparkSession, path: str, schema: str = schemas.CSV_LINES, damaged: str | None = None) -> DataFrame:
+    """Line tables in CSV, a folder file=<name> (what ``writers.csv_lines`` writes) or a file <name>.csv for each file, with its name in ``file``; the word for no comment becomes null.
 
-def embeddings_csv(spark: SparkSession, path: str) -> DataFrame:
+    Folders stand for null and empty names alike, which come back as null.
+    """
+    where = F.col("_metadata.file_path")
+    rows = _reader(spark, schema, damaged, **CSV, recursiveFileLookup=True).csv(path).select("*", where.alias("__path"))
+    # the path is encoded once as such, and the folder's name once more by the writer
+    folder = _decoded(_decoded(F.regexp_extract("__path", "/file=([^/]*)/[^/]*$", 1)))
+    name = F.regexp_replace(_decoded(F.regexp_extract("__path", "([^/]*)$", 1)), r"\.csv$", "")
+    file = F.when(F.col("__path").rlike("/file=[^/]*/[^/]*$"), F.when(folder != "__HIVE_DEFAULT_PARTITION__", folder)).otherwise(name)
+    return rows.withColumns({"file": file, "content": F.when(F.col("content") != X.NO_COMMENT, F.col("content"))}).drop("__path")
+
+
+def embeddings_csv(spark: SparkSession, path: str, damaged: str | None = None) -> DataFrame:
     """Embeddings written as text lists."""
-    raw = spark.read.schema("Filename STRING, embedding STRING, Line_id INT, Text STRING").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = _reader(spark, "Filename STRING, embedding STRING, Line_id INT, Text STRING", damaged, **CSV).csv(path)
     return raw.withColumn("embedding", F.from_json("embedding", "ARRAY<DOUBLE>"))
 
 
-def by_format(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A local dataset by its ending: json, jsonl, csv, tsv or parquet."""
+def _in_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line of a JSON file is an object of its own; else a file is one document."""
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    try:
+        return not first or isinstance(json.loads(first[0].value), dict)
+    except ValueError:
+        return False
+
+
+def by_format(spark: SparkSession, path: str, schema: str | None = None, damaged: str | None = None) -> DataFrame:
+    """A local dataset by its ending: json (objects in lines, or a document with one or a list of them), jsonl, csv, tsv or parquet.
+
+    With ``damaged``, rows in text form that can't be read stand in a column of that name.
+    """
     end = path.rpartition(".")[2]
-    reader = spark.read.schema(schema) if schema else spark.read
     if end in ("json", "jsonl"):
-        return reader.option("multiLine", end == "json").json(path)
+        return _reader(spark, schema, damaged, multiLine=end == "json" and not _in_lines(spark, path)).json(path)
     if end in ("csv", "tsv"):
-        return reader.option("header", True).option("sep", "\t" if end == "tsv" else ",").option("escape", '"').csv(path)
+        return _reader(spark, schema, damaged, **CSV, sep="\t" if end == "tsv" else ",").csv(path)
     if end == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unsupported format {end}")

@@ -10,6 +10,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Folders of local applications without the setting, which can't be set later.
+_own: dict[str, str] = {}
 _noted: list[list[str]] = []
 
 
@@ -19,8 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{SETTING} must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set(SETTING, path)
+        app = spark.sparkContext.applicationId
+        path = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="textloom-"))
     return path.rstrip("/")
 
 
