@@ -184,6 +184,9 @@ def _labels(nodes: Nodes, percent: int, rounds: int = 1) -> DataFrame:
     labels = materialise(_confirmed(offered, nodes, percent).groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("label")), "labels")
     for _ in range(rounds - 1):
         further = labels.select("node", F.col("label").alias("h")).join(labels.select(F.col("node").alias("h"), F.col("label").alias("a")), "h").select("a", F.col("node").alias("b"))
+        further = materialise(further, "further")
+        if further.isEmpty():
+            break
         better = _confirmed(further, nodes, percent).select(F.col("b").alias("node"), F.col("a").alias("better"))
         labels = materialise(labels.join(better, "node", "left").select("node", F.least("label", "better").alias("label")), "labels")
     return labels
@@ -234,8 +237,9 @@ def _within_stars(nodes: Nodes, stars: DataFrame, percent: int) -> DataFrame:
         both = np.zeros((len(node), len(node)), np.float32)
         order = np.argsort(place, kind="stable")
         doc, place = doc[order], place[order]
-        width = max(1, (1 << 22) // max(1, len(node)))  # so many tokens at once
-        for low in range(0, int(shared.sum()), width):
+        total = int(shared.sum())
+        width = min(max(1, total), max(1, (1 << 22) // max(1, len(node))))  # so many tokens at once
+        for low in range(0, total, width):
             at, to = np.searchsorted(place, (low, low + width))
             m = np.zeros((len(node), width), np.float32)
             m[doc[at:to], place[at:to] - low] = 1
