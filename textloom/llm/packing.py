@@ -38,6 +38,7 @@ from textloom.storage import discard, materialise
 SIZE = 2048
 END = 1
 LEAST_CUT = 64
+SLOTS = 1 << 20
 
 PIECES = "row bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
 
@@ -265,7 +266,11 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, lea
     order = numbered(pieces.drop("ids"), "length", "doc_id", "row", "start", name="number")
     places = materialise(map_batches(order, _placed(table, size), PLACES), "pack-places")
     cut = places.filter("cut")
-    again = cut.join(pieces.select("row", F.col("start").alias("piece"), "ids"), ["row", "piece"])
+    # only ids of cut pieces are shuffled, as far as a filter of bounded size can tell them
+    slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS)).cast("int").alias("slot")
+    slots_ = cut.select(slot).distinct()  # at most SLOTS rows
+    held = pieces.select("row", F.col("start").alias("piece"), "ids", slot).join(F.broadcast(slots_), "slot", "left_semi").drop("slot")
+    again = cut.join(held, ["row", "piece"])
     again = map_batches(again.select(*cut.columns, "ids"), _with_crc(width), PLACES)
     out = places.filter("not cut").unionByName(again)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "row", "piece"), pieces
