@@ -169,6 +169,32 @@ def test_lsh_bands_follow_the_threshold(spark):
     assert 110 <= found <= 120
 
 
+def test_outlines_lose_no_similar_pair():
+    rng = random.Random(9)
+    sets = list(bounded_sets(rng, 150, words=4000, low=10, high=900).values()) + [{1}, set(range(3000)), set(range(200, 3000))]
+    tokens = [np.sort(token_index.mix(np.array(sorted(s))).view(np.int64)) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    words, length = token_index.outlines_of(np.concatenate(tokens), sizes)
+    ends = np.cumsum(length)
+    o = token_index.Outlines(sizes, np.arange(len(sets)), ends - length, length, words.view(np.uint64))
+    i, j = np.tril_indices(len(sets), -1)
+    for percent in (50, 80, 90):
+        fits = o.may_be_similar(i, o, j, percent)
+        true = np.array([alike(sets[x], sets[y], percent) for x, y in zip(i.tolist(), j.tolist(), strict=True)])
+        assert not (true & ~fits).any() and fits.sum() < 3 * true.sum() + 100
+    o.owner[:] = 1
+    assert not o.may_be_similar(i, o, j, 50).any()
+
+
+def test_outlines_that_are_joined(spark, monkeypatch):
+    """More nodes than are sent: their numbers and outlines are joined, with the same results."""
+    sets = bounded_sets(random.Random(3), 120)
+    df = token_docs(spark, sets)
+    monkeypatch.setattr(dedup, "SENT_NODES", 0)
+    pairs = {(j, i) for i in sets for j in range(i) if alike(sets[i], sets[j])}
+    assert {(r.id_a, r.id_b) for r in dedup.similar_pairs(df, expand=True).collect()} == pairs
+
+
 def test_minhashes_estimate_similarity():
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 1 << 62, 300), rng.integers(0, 1 << 62, 300)

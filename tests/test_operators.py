@@ -112,7 +112,7 @@ def test_alignment_repair(spark):
     fixed = {"f": ["a  = 1; b = 2; c = 3;", "d"], "same": ["other"], "g": ["q r s"], "long": [f"{long[0]} {long[1]}", *long[2:]], "swap": ["x"], "many": ["u v"] * 1101}
     notes = {"f": ["n0", "n3"], "same": [f"n{i}" for i in range(1500)], "g": ["n0"], "long": [f"n{i}" for i in range(4999)], "swap": ["n0"], "many": ["n"] * 1101}
     got = {}
-    for r in lines.repair_alignment(t(code), t(notes), t(fixed)).collect():
+    for r in lines.repair_alignment(t(code), t(notes), t(fixed), compat=True, most=1000).collect():
         got.setdefault(r.file, []).append((r.line_number, r.content, r.comment, r.reason))
     got = {k: sorted(v, key=lambda x: x[0] or 0) for k, v in got.items()}
     assert got["f"] == [(0, "a = 1;", "n0", None), (1, "b = 2;", None, None), (2, "c = 3;", None, None), (3, "d", "n3", None)]
@@ -483,6 +483,7 @@ def test_resumable_documenting(spark, tmp_path):
     start()
     start()
     assert sorted((r.file, r.n) for r in spark.read.parquet(str(out)).collect()) == [("a.v", 3), ("b.v", 2)]
+    assert [(r.file, r.lines) for r in spark.read.parquet(f"{out}-long").collect()] == [("long.v", 301)]
 
 
 def test_loose_matches_of_whole_tables(spark, sf_dir):

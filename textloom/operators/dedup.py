@@ -30,14 +30,13 @@ from textloom.session import ship
 from textloom.storage import discard, materialise
 
 MIN_TOKENS = 10
-#: Bits of a set's outline, and slots of the filter of ids.
-OUTLINE = 1024
+#: Slots of the filter of ids.
 ID_SLOTS = 1 << 20
 PERMUTATIONS = 256
 #: What the LSH mode finds at least of the pairs right at the threshold.
 RECALL = 0.95
-#: Up to so many nodes their numbers are sent to all tasks; more are joined.
-SENT_NODES = 500_000
+#: Up to so many nodes their numbers are sent to all tasks, and up to so many words their outlines; more are joined.
+SENT_NODES, SENT_WORDS = 500_000, 8_000_000
 #: Members of a star that are compared at once, and how many tokens these may have.
 BLOCK, BLOCK_TOKENS = 256, 1 << 20
 
@@ -82,10 +81,8 @@ def _set_rows(least: int):
                 digests = [xxhash.xxh3_128_digest(tokens[e - k : e].tobytes()) for e, k in zip(ends[kept].tolist(), n[kept].tolist(), strict=True)]
                 keys[kept] = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tokens))
-                outline = np.zeros(len(n) * OUTLINE, bool)
-                outline[np.repeat(np.arange(len(n)), n) * OUTLINE + (tokens & (OUTLINE - 1))] = True
-                words = OUTLINE // 64
-                outline = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * words + 1, words, dtype=np.int32)), pa.array(np.packbits(outline).view(np.int64)))
+                words, length = token_index.outlines_of(tokens, n)
+                outline = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(words))
                 columns = [b.column("id").slice(first, len(n)), pa.array(row + np.arange(len(n))), lists, pa.array(n.astype(np.int32)), outline, *(pa.array(keys[:, k].copy(), mask=~passed) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "row", "tokens", "n", "outline", "k1", "k2"])
                 row += len(n)
@@ -94,7 +91,7 @@ def _set_rows(least: int):
 
 
 def token_sets(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_TOKENS) -> DataFrame:
-    """For each row: id, row (a number of its own), tokens (distinct, as sorted 64-bit hashes), n, the set's outline (a bit for each slot that a token falls into) and a 128-bit key of the set in k1, k2.
+    """For each row: id, row (a number of its own), tokens (distinct, as sorted 64-bit hashes), n, the set's outline (``token_index.outlines_of``) and a 128-bit key of the set in k1, k2.
 
     Rows below the gate have no tokens and a null key.
     """
@@ -122,6 +119,16 @@ class Nodes:
     known: DataFrame
     members: DataFrame
     count: int
+    _outlines: object = None
+
+    def outlines(self):
+        """A broadcast of all nodes' sizes and outlines if they take little, 64 MB at most; else nothing, and they are joined."""
+        if self._outlines is None and self.count <= SENT_NODES and (self.known.agg(F.sum(F.size("outline"))).first()[0] or 0) <= SENT_WORDS:
+            table = self.known.select("node", "n", F.xxhash64("id").alias("owner"), "outline").toArrow()
+            table = table.take(np.argsort(table.column("node").to_numpy())).combine_chunks()  # numbers are dense, so a node's place is its number
+            sent = token_index.Outlines.of(*(table.column(c).combine_chunks() for c in ("n", "owner", "outline")))
+            self._outlines = self.sets.sparkSession.sparkContext.broadcast(sent)
+        return self._outlines
 
     def tokens(self, *more: str) -> DataFrame:
         """node, n, tokens and more of the sets' columns. A row's number finds its node; few numbers are sent to all tasks, many are joined."""
@@ -143,8 +150,28 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> Nodes:
     return Nodes(sets, known, members, count)
 
 
-def _sizes_fit(percent: int) -> Column:
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+def _likely(pairs: DataFrame, nodes: Nodes, percent: int) -> DataFrame:
+    """The pairs that sizes and outlines leave."""
+    sent = nodes.outlines()
+
+    def left(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if sent is not None:
+                known, at, other, to = sent.value, b.column("a").to_numpy(), sent.value, b.column("b").to_numpy()
+            else:
+                known, other = (token_index.Outlines.of(*(b.column(f"{c}{x}") for c in "nio")) for x in "ab")
+                at = to = np.arange(b.num_rows)
+            yield b.select(["a", "b"]).filter(pa.array(known.may_be_similar(at, other, to, percent)))
+
+    pairs = pairs.select("a", "b")
+    if sent is None:
+        for x in "ab":
+            pairs = pairs.join(nodes.known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.xxhash64("id").alias(f"i{x}"), F.col("outline").alias(f"o{x}")), x)
+    return pairs.mapInArrow(left, "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, nodes: Nodes, percent: int) -> DataFrame:
@@ -153,10 +180,7 @@ def _confirmed(pairs: DataFrame, nodes: Nodes, percent: int) -> DataFrame:
     Bits in which two outlines differ are tokens that the sets don't share, so pairs that differ in too many bits are out before their tokens are fetched; and
     only tokens of nodes that are left are shuffled, as far as a filter of bounded size can tell them.
     """
-    seen = lambda x: nodes.known.select(F.col("node").alias(x), F.col("id").alias(f"id{x}"), F.col("n").alias(f"n{x}"), F.col("outline").alias(f"o{x}"))
-    differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    likely = pairs.select("a", "b").join(seen("a"), "a").join(seen("b"), "b").filter(_sizes_fit(percent) & (F.col("ida") != F.col("idb")) & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b")
-    likely = materialise(likely, "likely")
+    likely = materialise(_likely(pairs, nodes, percent), "likely")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_SLOTS)).cast("int").alias("slot")
     slots = likely.select(slot("a")).union(likely.select(slot("b"))).distinct()  # at most ID_SLOTS rows
     needed = nodes.tokens().select("node", "tokens", slot("node")).join(F.broadcast(slots), "slot", "left_semi")
@@ -195,15 +219,17 @@ def _labels(nodes: Nodes, percent: int, rounds: int = 1) -> DataFrame:
 def _met(nodes: Nodes, percent: int, mode: str, told: DataFrame, across: bool) -> DataFrame:
     """Pairs of nodes (a < b) that an index brings together. ``told``: (node, open[, star]) of all nodes: pairs of open nodes with smaller ones, or ``across`` the stars."""
     spark = nodes.sets.sparkSession
-    rows = nodes.tokens().join(F.broadcast(told) if nodes.count <= SENT_NODES else told, "node")
+    few = nodes.count <= SENT_NODES
+    rows = nodes.tokens().join(F.broadcast(told) if few else told, "node")
+    outlines = nodes.outlines()
     if mode == "lsh":
         bands, each = bands_and_rows(percent)
         parts = token_index.task_count(spark, nodes.count * bands)
-        return token_index.meeting(rows.mapInArrow(token_index.by_bands(bands, each, parts), "part bigint, raw binary"), parts, False)
+        return token_index.meeting(rows.mapInArrow(token_index.by_bands(bands, each, parts), "part bigint, raw binary"), parts, False, percent, outlines)
     sent, bits = token_index.sent_table(nodes.tokens(), nodes.known.agg(F.sum("n")).first()[0] or 1)
-    chosen, postings = token_index.schemes(nodes.tokens(), sent, bits, percent, max(1, nodes.count))
+    chosen, postings = token_index.schemes(nodes.tokens(), sent, bits, percent, max(1, nodes.count), token_index.PAIR_COST if few else token_index.JOINED_PAIR_COST)
     parts = token_index.task_count(spark, postings)
-    return token_index.meeting(rows.mapInArrow(token_index.by_prefixes(sent, bits, percent, chosen, parts, across), "part bigint, raw binary"), parts, across)
+    return token_index.meeting(rows.mapInArrow(token_index.by_prefixes(sent, bits, percent, chosen, parts, across), "part bigint, raw binary"), parts, across, percent, outlines)
 
 
 def _within_stars(nodes: Nodes, stars: DataFrame, percent: int) -> DataFrame:

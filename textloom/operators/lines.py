@@ -8,9 +8,11 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import splitting
+from textloom.functions import alignment, splitting
 from textloom.functions import text as X
+from textloom.operators.names import first_lines
 from textloom.session import ship
+from textloom.storage import materialise
 
 
 def ordered_concat(order: str, value: str | Column, sep: str) -> Column:
@@ -181,10 +183,8 @@ def count_mismatches(**tables: DataFrame) -> DataFrame:
     return out.filter(differs)
 
 
-def _fitted(code: list[str], comments: list[str | None], corrected: list[str], most: int) -> tuple[list[tuple[str, str | None]], str | None]:
-    """Lines with their comments, or why they can't be fitted."""
-    if len(code) == len(comments):
-        return list(zip(code, comments, strict=True)), None
+def _walked(code: list[str], comments: list[str | None], corrected: list[str], most: int | None) -> tuple[list[tuple[str, str | None]], str | None]:
+    """Lines with their comments by one walk over both texts, or why they can't be fitted."""
     bare = lambda x: "".join(x.split())
     flat = lambda xs: [re.sub(r"\s+", " ", x) for x in xs]
     ahead, told, lines, added = deque(flat(corrected)), iter(comments), [], set()
@@ -200,41 +200,58 @@ def _fitted(code: list[str], comments: list[str | None], corrected: list[str], m
             else:
                 line = have
         lines.append(line)
-        if len(added) > most:
+        if most is not None and len(added) > most:
             return [], f"more than {most} repairs"
     if len(comments) + len(added) != len(lines):
         return [], "the comments don't fit the lines"
     return [(line, None if n in added else next(told)) for n, line in enumerate(lines)], None
 
 
-def repair_alignment(code: DataFrame, comments: DataFrame, corrected: DataFrame, most: int = 1000) -> DataFrame:
+def repair_alignment(code: DataFrame, comments: DataFrame, corrected: DataFrame, compat: bool = False, most: int | None = None) -> DataFrame:
     """Fits comments (one for each corrected line) to code lines, file by file: file, line_number, content, comment, reason.
 
-    A file with as many comments as code lines stays as it is. In others runs of white space become one blank, a corrected line that holds several code lines is split, and the lines split off
-    get no comment; one that differs from its code line takes its place. A file that can't be fitted, or not with ``most`` splits, is one row
-    with the reason and nothing else, for it must be documented again. The three tables are (file, line_number, content); a file is handled in one task.
+    A file with as many comments as code lines stays as it is, and never leaves the JVM. In others runs of white space become one blank, and lines are aligned by their least
+    edits (``alignment.fitted``), so a line that was lost, came in, was split or joined costs no other line its comment. A file whose comments aren't as many as its corrected lines is one
+    row with the reason and nothing else, for it must be documented again. With ``compat`` the texts are walked through once, and a file also goes where lines were lost, or more than ``most`` split.
+    The three tables are (file, line_number, content); a file is handled in one task.
     """
-    parts = [t.select("file", "line_number", "content", F.lit(k).alias("kind")) for k, t in enumerate((code, comments, corrected))]
-
-    def run(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("line_number")
-        texts = [[None if pd.isna(x) else x for x in pdf.loc[pdf["kind"] == k, "content"]] for k in range(3)]
-        found, why = _fitted([x or "" for x in texts[0]], texts[1], [x or "" for x in texts[2]], most)
-        rows = [(key[0], n, line, note, None) for n, (line, note) in enumerate(found)] if why is None else [(key[0], None, None, None, why)]
-        out = pd.DataFrame(rows, columns=["file", "line_number", "content", "comment", "reason"])
-        return out.astype({"line_number": "Int32"})
-
     ship(code.sparkSession)
+    texts = lambda t, name: t.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "content"))), lambda x: x["content"]).alias(name))
+    files = texts(code, "c").join(texts(comments, "n"), "file", "left").join(texts(corrected, "x"), "file", "left")
+    files = files.select("file", "c", *[F.coalesce(k, F.array().cast("array<string>")).alias(k) for k in ("n", "x")])
+    files = materialise(files, "alignment")
+    same = F.size("c") == F.size("n")
+    kept = files.filter(same).select("file", F.posexplode(F.arrays_zip("c", "n")).alias("line_number", "l")).select("file", "line_number", F.col("l.c").alias("content"), F.col("l.n").alias("comment"), F.lit(None).cast("string").alias("reason"))
     kind = dict(code.dtypes)["file"]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("file").applyInPandas(run, f"file {kind}, line_number int, content string, comment string, reason string")
-
-
-def comment_lines_for(generated: DataFrame, lines: DataFrame) -> DataFrame:
-    """The first line that contains each generated snippet: (file, comment_id, snippet) to (file, comment_id, line_number)."""
-    joined = generated.join(lines, "file").filter(F.contains("content", "snippet"))
-    return joined.groupBy("file", "comment_id").agg(F.min("line_number").alias("line_number"))
+    schema = f"file {kind}, lines array<struct<content: string, comment: string>>, reason string"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lists, reasons = [], []
+            for c, n, x in zip(*(b.column(k).to_pylist() for k in ("c", "n", "x")), strict=True):
+                c, x = [t or "" for t in c], [t or "" for t in x]
+                if compat:
+                    found, why = _walked(c, n, x, most)
+                elif len(n) == len(x):
+                    found, why = alignment.fitted(c, x, n), None
+                else:
+                    found, why = [], "the comments don't fit the corrected lines"
+                lists.append([{"content": t, "comment": s} for t, s in found] if why is None else None)
+                reasons.append(why)
+            yield pa.RecordBatch.from_arrays([b.column("file"), pa.array(lists, pa.list_(pa.struct([("content", pa.string()), ("comment", pa.string())]))), pa.array(reasons, pa.string())], ["file", "lines", "reason"])
+
+    fitted = files.filter(~same).mapInArrow(run, schema).select("file", F.posexplode_outer("lines").alias("line_number", "l"), "reason")
+    return kept.unionByName(fitted.select("file", "line_number", F.col("l.content").alias("content"), F.col("l.comment").alias("comment"), "reason"))
+
+
+def comment_lines_for(generated: DataFrame, lines: DataFrame, compat: bool = False) -> DataFrame:
+    """The first line that holds each generated snippet: (file, comment_id, snippet) to (file, comment_id, line_number). Its identifiers must stand whole; with ``compat`` any substring counts."""
+    if compat:
+        joined = generated.join(lines, "file").filter(F.contains("content", "snippet"))
+        return joined.groupBy("file", "comment_id").agg(F.min("line_number").alias("line_number"))
+    return first_lines(generated, lines, "comment_id")
 
 
 def numbered_prompt(text: Column | str) -> Column:

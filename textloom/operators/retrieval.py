@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.names import mentions
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -115,6 +117,10 @@ def progressive(queries: DataFrame, index: DataFrame, chunk_index: DataFrame, pa
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def mentioned(batches: DataFrame, names: DataFrame) -> DataFrame:
-    """Names (file, name) of a file's dependencies that occur in its batches of lines."""
-    return batches.join(names, "file").filter(F.contains("text", "name"))
+def mentioned(batches: DataFrame, names: DataFrame, compat: bool = False) -> DataFrame:
+    """Names (file, name) of a file's dependencies that stand in its batches of lines (file, text), as whole identifiers; with ``compat`` as parts of others too."""
+    if compat:
+        return batches.join(names, "file").filter(F.contains("text", "name"))
+    told = batches.withColumn("__h", F.xxhash64("text"))
+    hits = mentions(told, names, "file", *[c for c in told.columns if c not in ("file", "text")])
+    return told.join(hits, [c for c in told.columns if c != "text"]).drop("__h").join(names, ["file", "name"]).select(*batches.columns, *[c for c in names.columns if c != "file"])

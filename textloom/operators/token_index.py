@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 #: The table of token frequencies has at most 2 ** MOST_BITS counters of 4 bytes.
 MOST_BITS = 22
 LEVELS = (1, 2, 3)
-#: What a pair that a key brings together costs, in postings.
-PAIR_COST = 2.0
+#: What a pair that a key brings together costs, in postings: where the outlines of all sets are at hand, and where they must be joined.
+PAIR_COST, JOINED_PAIR_COST = 1.0, 10.0
 #: Postings that one task holds, pairs that it makes at once, and tokens that it takes at once.
 POSTINGS_A_TASK, PAIRS_AT_ONCE, TOKENS_AT_ONCE = 2_000_000, 4_000_000, 300_000
 
@@ -149,7 +149,7 @@ class _Ordered:
         return doc[last], key
 
 
-def schemes(nodes: DataFrame, sent, bits: int, percent: int, count: int) -> tuple[dict[int, Scheme], int]:
+def schemes(nodes: DataFrame, sent, bits: int, percent: int, count: int, pair_cost: float = PAIR_COST) -> tuple[dict[int, Scheme], int]:
     """The cheapest scheme of each class of sizes, and how many postings all make. Costs are sums over all nodes; a row for each class, level and task goes to the driver as sums."""
 
     def run(batches):
@@ -175,7 +175,7 @@ def schemes(nodes: DataFrame, sent, bits: int, percent: int, count: int) -> tupl
     found = nodes.select("n", "tokens").mapInArrow(run, "c bigint, level bigint, made double, met double").groupBy("c", "level").agg(F.sum("made").alias("made"), F.sum("met").alias("met")).collect()
     best: dict[int, tuple[float, int, float]] = {}
     for r in found:
-        best[r.c] = min(best.get(r.c, (np.inf, 0, 0.0)), (r.made + PAIR_COST * r.met, r.level, r.made))
+        best[r.c] = min(best.get(r.c, (np.inf, 0, 0.0)), (r.made + pair_cost * r.met, r.level, r.made))
     return {c: Scheme(level, groups_of(c, level, percent)) for c, (_, level, _) in best.items()}, int(sum(x[2] for x in best.values()))
 
 
@@ -279,8 +279,57 @@ def _pairs(rows: np.ndarray, across: bool):
         yield a, b
 
 
-def meeting(dealt: DataFrame, parts: int, across: bool) -> DataFrame:
-    """The distinct pairs (a, b), a < b, that the postings bring together."""
+def outline_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the outline of a set of n tokens: a power of two, 2 to 4 for each token, 64 at least."""
+    return np.maximum(64, 1 << (np.frexp(np.maximum(n, 1).astype(float))[1].astype(np.int64) + 1))
+
+
+def outlines_of(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The outlines of some sets as 64-bit words end to end, and how many words each has. A token sets the bit that its lowest digits tell, so that an outline of half the length is the union of both halves."""
+    bits = outline_bits(sizes)
+    first = np.cumsum(bits) - bits
+    marks = np.zeros(int(bits.sum()), bool)
+    marks[np.repeat(first, sizes) + (tokens & np.repeat(bits - 1, sizes))] = True
+    return np.packbits(marks).view(np.int64), bits // 64
+
+
+@dataclass
+class Outlines:
+    """Of some nodes: sizes, owners (equal numbers for nodes of one id), and outlines as words end to end."""
+
+    n: np.ndarray
+    owner: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, n: pa.Array, owner: pa.Array, outline: pa.ListArray) -> Outlines:
+        ends = outline.offsets.to_numpy().astype(np.int64)
+        return cls(n.to_numpy().astype(np.int64), owner.to_numpy(), ends[:-1] - ends[0], np.diff(ends), outline.flatten().to_numpy().view(np.uint64))
+
+    def _folded(self, at: np.ndarray, length: int, to: int) -> np.ndarray:
+        words = self.words[self.first[at][:, None] + np.arange(length)]
+        return np.bitwise_or.reduce(words.reshape(len(at), length // to, to), axis=1)
+
+    def may_be_similar(self, a: np.ndarray, other: Outlines, b: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs (one from here, one of the others) are left by their sizes and by the bits in which their outlines differ, each of which is a token that they don't share."""
+        na, nb = self.n[a], other.n[b]
+        fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (self.owner[a] != other.owner[b])
+        shape = self.length[a] << 32 | other.length[b]
+        for kind in np.unique(shape[fits]).tolist():
+            la, lb = kind >> 32, kind & 0xFFFFFFFF
+            to, some = min(la, lb), np.nonzero(fits & (shape == kind))[0]
+            step = max(1, (1 << 21) // max(la, lb))
+            for at in range(0, len(some), step):
+                part = some[at : at + step]
+                differ = np.bitwise_count(self._folded(a[part], la, to) ^ other._folded(b[part], lb, to)).sum(axis=1, dtype=np.int64)
+                fits[part] = (100 + percent) * differ <= (100 - percent) * (na[part] + nb[part])
+        return fits
+
+
+def meeting(dealt: DataFrame, parts: int, across: bool, percent: int, outlines=None) -> DataFrame:
+    """The distinct pairs (a, b), a < b, that the postings bring together; with a broadcast of ``outlines`` only those that these leave."""
     kind = POSTING if across else PLAIN
 
     def run(batches):
@@ -288,6 +337,9 @@ def meeting(dealt: DataFrame, parts: int, across: bool) -> DataFrame:
         rows = np.frombuffer(b"".join(held), kind)
         held.clear()
         for a, b in _pairs(rows, across):
+            if outlines is not None:
+                fits = outlines.value.may_be_similar(a, outlines.value, b, percent)
+                a, b = a[fits], b[fits]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return dealt.repartition(parts, "part").mapInArrow(run, "a bigint, b bigint").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from textloom.functions import code_text as C
 from textloom.functions import text as X
 from textloom.operators.joins import splittable_join
+from textloom.operators.names import mentions
 from textloom.session import ship
 
 UNIT = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType()), T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType())]))
@@ -146,9 +147,16 @@ def separated(corpus: DataFrame, id_col: str = "task_id", text_col: str = "text"
     return numbered(module_rows(corpus, id_col, text_col), "source_id", "nth").select("text", "module_name", "task_id", "code_str_before_preprocessing")
 
 
-def used_symbols(functions: DataFrame, declarations: DataFrame) -> DataFrame:
-    """Declarations whose name occurs in a function of the same file: functions (file, function_name, text) and declarations (file, symbol, declaration)."""
-    joined = functions.join(declarations, "file").filter(F.contains("text", "symbol"))
+def used_symbols(functions: DataFrame, declarations: DataFrame, compat: bool = False) -> DataFrame:
+    """Declarations whose name a function of the same file uses: functions (file, function_name, text) and declarations (file, symbol, declaration).
+
+    A name must stand as a whole; with ``compat`` it may be a part of another, and every function meets every declaration of its file.
+    """
+    if compat:
+        joined = functions.join(declarations, "file").filter(F.contains("text", "symbol"))
+    else:
+        told = functions.withColumn("__h", F.xxhash64("text"))
+        joined = mentions(told, declarations, "file", "function_name", "__h", name="symbol").select("file", "function_name", "symbol").distinct().join(declarations, ["file", "symbol"])
     return joined.groupBy("file", "function_name").agg(F.array_sort(F.collect_list("declaration")).alias("used"))
 
 

@@ -303,7 +303,15 @@ def q_csv_paths(spark, sf):
 def q_mentioned(spark, sf):
     d = _t(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text", "source")
     names = d.select("file", F.substring("source", 1, 2).alias("name"))
-    return retrieval.mentioned(d.select("file", "text"), names).join(d.select("file", "source"), "file").select("file", "text", F.col("source").alias("name"))
+    return retrieval.mentioned(d.select("file", "text"), names, compat=True).join(d.select("file", "source"), "file").select("file", "text", F.col("source").alias("name"))
+
+
+@query("SELECT doc_id AS file, name FROM documents, (SELECT unnest(['the', 'de', 'in', 'x1']) AS name) WHERE list_contains(regexp_split_to_array(text, '[^A-Za-z0-9_$]+'), name)")
+def q_mentioned_names(spark, sf):
+    """Names that stand in a text as whole words."""
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text")
+    names = d.select("file", F.explode(F.array(*map(F.lit, ("the", "de", "in", "x1")))).alias("name"))
+    return retrieval.mentioned(d, names).select("file", "name")
 
 
 @query("SELECT doc_id AS task_id, source AS code_name, CASE WHEN lang = 'en' THEN 'first' ELSE 'later' END AS part FROM documents")

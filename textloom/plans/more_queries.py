@@ -83,6 +83,14 @@ def q_count_mismatches(spark, sf):
 @query(f"WITH {_LINE_CTE} SELECT file, min(line_number)::INT AS line_number FROM l WHERE contains(content, 'tion') GROUP BY 1")
 def q_snippet_lines(spark, sf):
     s = _t(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.lit(0).alias("comment_id"), F.lit("tion").alias("snippet"))
+    return lines.comment_lines_for(s, _lines(spark, sf), compat=True).select("file", "line_number")
+
+
+@query(f"""WITH {_LINE_CTE}, s AS (SELECT doc_id AS file, regexp_extract(text, '[a-z]+ [a-z]+') AS snippet FROM documents)
+    SELECT file, min(line_number)::INT AS line_number FROM l JOIN s USING (file) WHERE snippet <> '' AND regexp_matches(' ' || content || ' ', '[^A-Za-z0-9_$]' || snippet || '[^A-Za-z0-9_$]') GROUP BY 1""")
+def q_whole_snippet_lines(spark, sf):
+    """The first line that holds the first two words of a text as whole words."""
+    s = _t(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.lit(0).alias("comment_id"), F.regexp_extract("text", "[a-z]+ [a-z]+", 0).alias("snippet")).filter("snippet <> ''")
     return lines.comment_lines_for(s, _lines(spark, sf)).select("file", "line_number")
 
 

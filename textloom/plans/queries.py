@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import dedup, grading, library, lines, pairs, retrieval, splits, units
+from textloom.operators.vector_index import VectorIndex
+from textloom.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -439,6 +441,40 @@ def q_cosine_top3(spark, sf):
     return retrieval.most_similar(q, e, 3, exclude_self=True)
 
 
+@query(f"WITH {_COS} SELECT query_id, rank, vec_id, similarity FROM r WHERE rank <= 3")
+def q_indexed_top3(spark, sf):
+    """The same by a stored index, to which the last rows are appended."""
+    q, e = _queries_of(spark, sf)
+    path, last = new_path(spark, "vector-index"), F.col("vec_id") % 10 == 9
+    VectorIndex.build(e.filter(~last), path).append(e.filter(last))
+    return VectorIndex.load(spark, path).search(q, 3, exclude_self=True)
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def q_cosine_of_neighbours(spark, sf):
+    """Each vector with that of the next id."""
+    e = _t(spark, sf, "embeddings")
+    joined = e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    return joined.select("vec_id", F.round(retrieval.cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+_PARENTS = """WITH v AS (SELECT vec_id, vec_id // 8 AS doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    x AS (SELECT vec_id, doc_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
+    m AS (SELECT doc_id, list(m ORDER BY i) AS m FROM (SELECT doc_id, i, avg(x) AS m FROM x GROUP BY 1, 2) GROUP BY 1),
+    t AS (SELECT q.vec_id AS query_id, m.doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, m.m), 5) DESC, m.doc_id) AS r FROM v q, m WHERE q.vec_id % 20 = 0),
+    c AS (SELECT query_id, t.doc_id, v.vec_id AS chunk_id, round(list_cosine_similarity(q.e, v.e), 5) AS similarity FROM t JOIN v USING (doc_id) JOIN v q ON q.vec_id = query_id WHERE r = 1)"""
+
+
+@query(f"{_PARENTS} SELECT query_id, doc_id, chunk_id, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM c) WHERE rank <= 2")
+def q_progressive(spark, sf):
+    """Documents of eight vectors each, known by their mean: the best document of each query, then its two best vectors."""
+    q, e = _queries_of(spark, sf)
+    chunks = e.select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 8).alias("doc_id"), "embedding")
+    means = chunks.select("doc_id", F.posexplode("embedding").alias("i", "x")).groupBy("doc_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = means.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("embedding"))
+    return retrieval.progressive(q, means, chunks, k=2).select("query_id", "doc_id", "chunk_id", "similarity", "rank")
+
+
 @query(f"WITH {_COS} SELECT query_id, rank, vec_id, similarity FROM r WHERE rank = 1 AND similarity >= 0.5")
 def q_top1_threshold(spark, sf):
     q, e = _queries_of(spark, sf)
@@ -529,3 +565,49 @@ def q_star_nation_revenue(spark, sf):
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def q_star_top_orders(spark, sf):
     return splits.head(_t(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 25, F.desc("o_totalprice"), "o_orderkey")
+
+
+# --- shuffles and signatures -------------------------------------------------------------------------------------------------
+
+_SHUFFLE = """WITH RECURSIVE s AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM documents), c AS (SELECT n, a, (n + a - 1) // a AS b FROM s),
+    w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, 0 AS steps FROM documents UNION ALL SELECT doc_id, l2 * b + r2, steps + 1 FROM (SELECT doc_id, steps, b, x // b AS l0, x % b AS r0,
+        (l0 + CAST('0x' || substr(md5(r0 || ':42:1:0'), 1, 8) AS BIGINT)) % a AS l1, (r0 + CAST('0x' || substr(md5(l1 || ':42:1:1'), 1, 8) AS BIGINT)) % b AS r1,
+        (l1 + CAST('0x' || substr(md5(r1 || ':42:1:2'), 1, 8) AS BIGINT)) % a AS l2, (r1 + CAST('0x' || substr(md5(l2 || ':42:1:3'), 1, 8) AS BIGINT)) % b AS r2 FROM w, c WHERE steps = 0 OR x >= n)),
+    p AS (SELECT doc_id, x AS position FROM w, c WHERE steps > 0 AND x < n)"""
+
+
+@query(f"{_SHUFFLE} SELECT doc_id, position FROM p")
+def q_shuffled(spark, sf):
+    """The second epoch of a shuffle."""
+    return splits.shuffled(_t(spark, sf, "documents").select("doc_id"), "doc_id", epoch=1)
+
+
+@query(f"{_SHUFFLE} SELECT doc_id, position FROM p WHERE position >= (SELECT n // 2 FROM c)")
+def q_shuffle_resumed(spark, sf):
+    """The second half of the same epoch, from its positions."""
+    d = _t(spark, sf, "documents").select("doc_id")
+    n = d.count()
+    return splits.shuffled_from(d, "doc_id", start=n // 2, count=n, epoch=1)
+
+
+_SIGNED = """WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda x: x <> '')) AS t FROM documents),
+    s AS (SELECT doc_id, list_transform(range(1, 13), lambda s: list_min(list_transform(t, lambda x: md5(x || ':' || s)))) AS sig FROM t WHERE len(t) > 0)"""
+
+
+def _signed(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", F.array_distinct(F.filter(F.split("text", "[^A-Za-z0-9_]+"), lambda x: x != "")).alias("t")).filter(F.size("t") > 0)
+    return d.select("doc_id", dedup.signature(F.col("t"), 12, lambda t, s: F.md5(F.concat(t, F.lit(":"), s.cast("string")).cast("binary"))).alias("sig"))
+
+
+@query(f"{_SIGNED} SELECT doc_id, array_to_string(sig, ',') AS sig FROM s")
+def q_signatures(spark, sf):
+    """MinHash signatures of twelve permutations."""
+    return _signed(spark, sf).select("doc_id", _joined("sig").alias("sig"))
+
+
+@query(f"""{_SIGNED}, b AS (SELECT doc_id, unnest(list_transform(range(0, 3), lambda i: i || ':' || array_to_string(sig[i * 4 + 1 : i * 4 + 4], ':'))) AS band FROM s)
+    SELECT band, min(doc_id) AS first, count(*) AS n FROM b GROUP BY 1 HAVING count(*) > 1""")
+def q_lsh_buckets(spark, sf):
+    """Buckets of the bands of these signatures that hold several documents."""
+    b = _signed(spark, sf).select("doc_id", F.explode(dedup.band_columns(F.col("sig"), 3, 4)).alias("band"))
+    return b.groupBy("band").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
