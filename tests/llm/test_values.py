@@ -347,10 +347,27 @@ def test_warc(spark):
         for identifier in r.index():
             assert r.record(identifier)[0]["WARC-Record-ID"] == identifier
     assert warc.read_warc(warc.write_warc(df.limit(0))).count() == 0
+    index = warc.record_index(listed)
+    assert index.count() == len(PAGES) == index.select("record_id").distinct().count()
+    found = warc.fetch(index.filter("page_id = 2 or page_id = 9"))
+    assert sorted(map(str, found.collect())) == sorted(str(r) for r in rows if r.page_id in (2, 9)) and warc.fetch(index.limit(0)).count() == 0
     all_responses = warc.read_warc(warc.write_warc(df, least_bytes=9)).filter("payload_bytes < 9")
     assert {r.record_type for r in all_responses.collect()} == {"response"}
 
 
+def test_records_of_repeated_rows_have_identifiers_of_their_own(spark):
+    rows = [(7, "u", "same")] * 5000 + [(7, "v", "same")] * 3 + [(7, None, "same"), (7, "", "same"), (3, "u", "same"), (None, "u", "same"), (None, "u", "same")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(8)
+    listed = warc.write_warc(df, bundle_bytes=200_000)
+    index = warc.record_index(listed)
+    assert listed.count() > 2 and index.count() == len(rows) == index.select("record_id").distinct().count()
+    assert index.filter(index.record_id == warc.record_id(7, warc.digest(b"same"))).count() == 1
+    got = collections.Counter((r.page_id, r.url, r.record_type, r.refers_to) for r in warc.read_warc(listed).collect())
+    assert got == {(7, "u", "response", None): 5000, (7, "v", "response", None): 3, (7, "", "response", None): 2, (3, "u", "revisit", 7): 1, (None, "u", "revisit", 7): 2}
+    again = warc.record_index(warc.write_warc(df.repartition(3)))
+    assert index.select("record_id").exceptAll(again.select("record_id")).count() == 0
+
+
 def test_bundle_is_a_plain_zstandard_file_too():
     import io
 

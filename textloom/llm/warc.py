@@ -6,10 +6,15 @@ an index from record identifiers to (frame, offset in the frame, size), and the
 
 Equal payloads (same SHA-256) form a group. The record of the largest page_id is its response, the others are revisits that refer to
 it and carry no payload, if the payload has at least ``least_bytes``; smaller payloads are all responses. The group-by moves digests
-alone and folds copies before the shuffle; the pages move once, when they join their group, a join that Spark splits where it is skewed.
+alone and folds copies before the shuffle; the pages move once, when each meets what is known of its page_id, url and payload, a key that
+no group of equal payloads makes hot.
+
+Identifiers come from what a record holds, so tasks that run again give the same ones and no two records share one: the response that revisits refer to (of equal ids
+the one of the greatest url) is named by page and payload, any other also by its url and, where whole rows repeat, by a number. Rows that repeat as a whole are folded
+to one with their count, and written from it in runs. ``record_index`` is one map over all bundles, by which ``fetch`` reads single records.
 
 Defined results: a null html is an empty payload. A null page_id never is the response if another row can be; among null ids alone all are
-responses. Rows that repeat the response's page_id and payload are responses too, with identifiers of their own unless a skewed join deals them to several tasks. A null url is written as an empty target. Other columns
+responses. Rows that repeat the response's page_id and payload are responses too. A null url is written as an empty target, but is another than an empty one. Other columns
 are not read. An empty table gives no bundle and an empty result.
 """
 
@@ -21,14 +26,16 @@ import json
 import struct
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import files
-from textloom.llm.common import map_batches
+from textloom.llm.common import map_batches, tidy
 from textloom.operators.joins import splittable_join
 from textloom.session import ship
 from textloom.storage import materialise, new_path
@@ -41,6 +48,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 25
+#: Payloads that a task holds at once, and copies of a row that are written in one run.
+PART_BYTES, COPIES = 4_000_000, 1000
 DATE = "2000-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6f0e9c1c-5a0b-5c55-9d1f-2a4b6c8d0e1f")
 
@@ -94,8 +103,7 @@ def parse_records(data: bytes):
 class Bundle:
     """Collects records and closes them to the bytes of a bundle."""
 
-    def __init__(self, frame_bytes: int = FRAME_BYTES, level: int = 3, given: set[str] | None = None):
-        self.given = set() if given is None else given
+    def __init__(self, frame_bytes: int = FRAME_BYTES, level: int = 3):
         self.frame_bytes, self.packer = frame_bytes, zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.frames: list[bytes] = []
         self.plain: list[int] = []
@@ -103,14 +111,9 @@ class Bundle:
         self.held: list[bytes] = []
         self.size = self.total = 0
 
-    def add(self, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, name: str = "") -> None:
-        """A response gets the identifier that revisits know it by. Its repetitions, revisits and rows without an id get one made of the bundle's ``name`` and their place."""
-        place = f"{name} {len(self.index)}"
-        known = refers_to is None and page_id is not None
-        identifier, record = make_record(page_id, url, payload, refers_to, "" if known else place)
-        if known and identifier in self.given:
-            identifier, record = make_record(page_id, url, payload, refers_to, place)
-        self.given.add(identifier)
+    def add(self, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, again: str = "") -> None:
+        """The record that revisits know by page and payload alone, or with ``again`` another one."""
+        identifier, record = make_record(page_id, url, payload, refers_to, again)
         self.index[identifier] = (page_id, len(self.frames), self.size, len(record))
         self.held.append(record)
         self.size += len(record)
@@ -174,10 +177,21 @@ class Reader:
         return next(parse_records(self.frame(frame)[offset : offset + size]))
 
 
+def _parts(column: pa.Array, size: int):
+    """Where slices of about ``size`` bytes of a binary column begin and end; a longer value is a slice of its own."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield at, end
+        at = end
+
+
 def _bundled(folder: str, frame_bytes: int, bundle_bytes: int):
+    """Rows (page_id, url, payload, refers_to, canonical, first, last): copies ``first`` to ``last`` of a record, of which the first of a canonical one has the name that revisits know."""
+
     def run(batches):
-        given: set[str] = set()
-        task, nth, bundle = TaskContext.get().partitionId(), 0, Bundle(frame_bytes, given=given)
+        task, nth, bundle = TaskContext.get().partitionId(), 0, Bundle(frame_bytes)
 
         def closed():
             # a name of its own for each attempt: the list names the files of the attempt that counted
@@ -187,13 +201,17 @@ def _bundled(folder: str, frame_bytes: int, bundle_bytes: int):
             return pa.RecordBatch.from_pydict({"path": [path], "records": [len(bundle.index)], "bytes": [len(data)]})
 
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
-                bundle.add(page_id, url, payload, refers_to, f"{task} {nth}")
-                if bundle.total >= bundle_bytes:
-                    yield closed()
-                    nth, bundle = nth + 1, Bundle(frame_bytes, given=given)
+            for start, end in _parts(batch.column("payload"), PART_BYTES):
+                part = batch.slice(start, end - start)
+                for page_id, url, payload, refers_to, canonical, first, last in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "canonical", "first", "last")), strict=True):
+                    for n in range(first, last + 1):
+                        bundle.add(page_id, url, payload, refers_to, "" if canonical and not n else f"{'-' if url is None else '+' + url} {n}")
+                        if bundle.total >= bundle_bytes:
+                            yield closed()
+                            nth, bundle = nth + 1, Bundle(frame_bytes)
         if bundle.index:
             yield closed()
+        tidy()
 
     return run
 
@@ -203,13 +221,73 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, frame_bytes: int = FRAME_
     spark = pages.sparkSession
     ship(spark)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.sha2("payload", 256))
-    groups = rows.groupBy("key").agg(F.max("page_id").alias("top"))
-    joined = splittable_join(rows, groups, "key")
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
+    whole = F.md5(F.concat_ws("|", F.hex("key"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.when(F.col("url").isNull(), "-").otherwise(F.concat(F.lit("+"), "url"))).cast("binary"))
+    rows = rows.withColumn("row_key", F.unhex(whole))
+    counts = rows.groupBy("row_key").agg(F.first("key").alias("key"), F.first("page_id").alias("id"), F.first("url").alias("u"), F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts, "warc-rows")
+    top = counts.groupBy("key").agg(F.max(F.struct(F.col("id").alias("top"), F.col("u").alias("top_url"))).alias("t")).select("key", "t.*")
+    told = splittable_join(counts, top, "key").select("row_key", "n", "top", (F.col("id").isNotNull() & F.col("id").eqNullSafe(F.col("top")) & F.col("u").eqNullSafe(F.col("top_url"))).alias("canonical"))
+    told = materialise(told, "warc-groups")
+    joined = splittable_join(rows, told, "row_key")
+    once = joined.filter("n = 1").withColumns({"first": F.lit(0).cast("bigint"), "last": F.lit(0).cast("bigint")})
+    if not told.filter("n > 1").isEmpty():
+        # rows that repeat as a whole: one of them, and runs of its copies
+        some = joined.filter("n > 1").groupBy("row_key").agg(*[F.first(c).alias(c) for c in joined.columns if c != "row_key"])
+        some = some.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(COPIES).cast("bigint")))).withColumn("last", F.least(F.col("first") + COPIES, F.col("n")) - 1)
+        once = once.unionByName(some.select(*once.columns))
     small = F.octet_length("payload") < least_bytes
     refers = F.when(~small & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
-    told = joined.select("page_id", "url", "payload", refers.alias("refers_to"))
-    return materialise(told.mapInArrow(_bundled(new_path(spark, "warc"), frame_bytes, bundle_bytes), "path string, records bigint, bytes bigint"), "warc-list")
+    out = once.select("page_id", "url", "payload", refers.alias("refers_to"), "canonical", "first", "last")
+    return materialise(out.mapInArrow(_bundled(new_path(spark, "warc"), frame_bytes, bundle_bytes), "path string, records bigint, bytes bigint"), "warc-list")
+
+
+INDEX = "record_id string, page_id bigint, path string, frame int, offset int, size int"
+
+
+def _indexed():
+    def each(batch: pa.RecordBatch):
+        for path in batch.column("path").to_pylist():
+            rows = [(identifier, page, path, *place) for identifier, (page, *place) in opened(path).index().items()]
+            if rows:
+                columns = zip(*rows, strict=True)
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["record_id", "page_id", "path", "frame", "offset", "size"])
+
+    return each
+
+
+def record_index(listed: DataFrame) -> DataFrame:
+    """One map over all bundles, read from their ends: record_id, page_id, path, frame, offset, size."""
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_batches(listed.select("path").repartition(parts), _indexed, INDEX)
+
+
+def _fetched():
+    readers: dict[str, Reader] = {}
+    held: dict[tuple[str, int], bytes] = {}
+
+    def each(batch: pa.RecordBatch):
+        for path, frame, offset, size in zip(*(batch.column(c).to_pylist() for c in ("path", "frame", "offset", "size")), strict=True):
+            if (path, frame) not in held:
+                held.clear()
+                if path not in readers:
+                    readers.clear()
+                    readers[path] = opened(path)
+                held[path, frame] = readers[path].frame(frame)
+            yield _rows([next(parse_records(held[path, frame][offset : offset + size]))])
+
+    return each
+
+
+def fetch(places: DataFrame) -> DataFrame:
+    """The records at some places of ``record_index``, as ``read_warc`` gives them. Only frames that hold one are read, each once."""
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = places.repartition(parts, "path", "frame").sortWithinPartitions("path", "frame", "offset")
+    return map_batches(ordered.select("path", "frame", "offset", "size"), _fetched, RECORDS)
+
+
+RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, html string"
 
 
 def opened(path: str) -> Reader:
@@ -257,5 +335,4 @@ def read_warc(listed: DataFrame, pages: set[int | None] | None = None) -> DataFr
     All of them, frame by frame, or with ``pages`` those of some pages, found by the index of each bundle.
     """
     parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, html string"
-    return map_batches(listed.select("path").repartition(parts), _read(pages), schema)
+    return map_batches(listed.select("path").repartition(parts), _read(pages), RECORDS)
