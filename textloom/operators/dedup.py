@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import word_runs
+from textloom.functions import memory, word_runs
 from textloom.operators import token_index
 from textloom.operators.joins import splittable_join
 from textloom.operators.units import numbered, numbered_within
@@ -86,6 +86,7 @@ def _set_rows(least: int):
                 columns = [b.column("id").slice(first, len(n)), pa.array(row + np.arange(len(n))), lists, pa.array(n.astype(np.int32)), outline, *(pa.array(keys[:, k].copy(), mask=~passed) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "row", "tokens", "n", "outline", "k1", "k2"])
                 row += len(n)
+        memory.tidy()
 
     return run
 
@@ -166,6 +167,7 @@ def _likely(pairs: DataFrame, nodes: Nodes, percent: int) -> DataFrame:
                 known, other = (token_index.Outlines.of(*(b.column(f"{c}{x}") for c in "nio")) for x in "ab")
                 at = to = np.arange(b.num_rows)
             yield b.select(["a", "b"]).filter(pa.array(known.may_be_similar(at, other, to, percent)))
+        memory.tidy()
 
     pairs = pairs.select("a", "b")
     if sent is None:
@@ -201,6 +203,7 @@ def _labels(nodes: Nodes, percent: int, rounds: int = 1) -> DataFrame:
             for part in token_index._slices(batch):
                 keys = token_index.band_keys(part.column("tokens").flatten().to_numpy(), part.column("n").to_numpy().astype(np.int64), bands, rows)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), bands)), pa.array(keys.reshape(-1).view(np.int64))], ["node", "band"])
+        memory.tidy()
 
     buckets = materialise(nodes.tokens().mapInArrow(banded, kinds), "bands")
     hubs = buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most").drop("most")

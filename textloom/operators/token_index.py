@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.memory import tidy
+
 #: The table of token frequencies has at most 2 ** MOST_BITS counters of 4 bytes.
 MOST_BITS = 22
 LEVELS = (1, 2, 3)
 #: What a pair that a key brings together costs, in postings: where the outlines of all sets are at hand, and where they must be joined.
 PAIR_COST, JOINED_PAIR_COST = 1.0, 10.0
 #: Postings that one task holds, pairs that it makes at once, and tokens that it takes at once.
-POSTINGS_A_TASK, PAIRS_AT_ONCE, TOKENS_AT_ONCE = 2_000_000, 4_000_000, 300_000
+POSTINGS_A_TASK, PAIRS_AT_ONCE, TOKENS_AT_ONCE = 2_000_000, 500_000, 150_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -59,6 +61,8 @@ def frequencies(nodes: DataFrame, bits: int) -> np.ndarray:
             n += np.bincount(slots(b.column("tokens").flatten().to_numpy(), bits), minlength=1 << bits)
         some = [k for k, x in enumerate(np.split(n, pieces)) if x.any()]
         yield pa.RecordBatch.from_pydict({"piece": pa.array(some, pa.int32()), "counts": pa.array([n[k * len(n) // pieces : (k + 1) * len(n) // pieces].tobytes() for k in some], pa.binary())})
+        del n
+        tidy()
 
     def summed(batches):
         held: dict[int, np.ndarray] = {}
@@ -169,6 +173,8 @@ def schemes(nodes: DataFrame, sent, bits: int, percent: int, count: int, pair_co
                         ways = g ** (level - 1) * (1, 2, 6)[level - 1]
                         made, met = (length**level / ways).sum(), (often**level / ways / float(count) ** (level - 1)).sum()
                         held[c, level] = held.get((c, level), 0) + np.array([made, met])
+        o = before = None
+        tidy()
         if held:
             yield pa.RecordBatch.from_pydict({"c": [c for c, _ in held], "level": [m for _, m in held], "made": [float(x[0]) for x in held.values()], "met": [float(x[1]) for x in held.values()]})
 
@@ -212,6 +218,9 @@ def by_prefixes(sent, bits: int, percent: int, chosen: dict[int, Scheme], parts:
                         doc, key = o.keys(which, c, scheme)
                         if len(doc):
                             yield _dealt(node[doc], key, o.own[doc] == c, open_[doc], None if star is None else star[doc], parts)
+                        doc = key = None
+                o = None
+        tidy()
 
     return run
 
@@ -247,6 +256,7 @@ def by_bands(bands: int, rows: int, parts: int):
                 key = band_keys(part.column("tokens").flatten().to_numpy(), n, bands, rows).reshape(-1)
                 node, open_ = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), bands) for c in ("node", "open"))
                 yield _dealt(node, key, np.ones(len(key), bool), open_, None, parts)
+        tidy()
 
     return run
 
@@ -341,6 +351,8 @@ def meeting(dealt: DataFrame, parts: int, across: bool, percent: int, outlines=N
                 fits = outlines.value.may_be_similar(a, outlines.value, b, percent)
                 a, b = a[fits], b[fits]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        rows = a = b = None
+        tidy()
 
     return dealt.repartition(parts, "part").mapInArrow(run, "a bigint, b bigint").distinct()
 
