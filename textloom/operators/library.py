@@ -92,10 +92,10 @@ def intersection(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
 
 
 def part_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Keys that only one of two parts has, and which."""
-    x, y = a.select(key).distinct().withColumn("in_a", F.lit(True)), b.select(key).distinct().withColumn("in_b", F.lit(True))
-    both = x.join(y, key, "full_outer").filter(F.col("in_a").isNull() | F.col("in_b").isNull())
-    return both.select(key, F.when(F.col("in_a"), F.lit("a")).otherwise(F.lit("b")).alias("only_in"))
+    """Keys that only one of two parts has, and which; null is a key like any other."""
+    told = a.select(key, F.lit(1).alias("__in")).union(b.select(key, F.lit(2).alias("__in")))
+    sides = told.groupBy(key).agg(F.min("__in").alias("__least"), F.max("__in").alias("__most"))
+    return sides.filter("__least = __most").select(key, F.when(F.col("__least") == 1, F.lit("a")).otherwise(F.lit("b")).alias("only_in"))
 
 
 def last_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -79,7 +79,8 @@ class VectorIndex:
                 few = few.filter(mark("key", seed) < int(sample / n * 2**60)).limit(sample)
             centroids = _centroids(few, cells or max(1, min(MOST_CELLS, round(n**0.5))), seed)
         table = [(k, [float(x) for x in c]) for k, c in enumerate(centroids)]
-        spark.createDataFrame(table, "cell int, centroid array<double>").withColumns({"key": F.lit(key), "vector": F.lit(vector)}).coalesce(1).write.parquet(f"{path}/centroids")
+        spark.createDataFrame(table, "cell int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+        spark.createDataFrame([(key, dim)], "key string, dim int").coalesce(1).write.parquet(f"{path}/about")
         index = cls(spark, path, centroids, np.zeros(len(centroids)), np.zeros(len(centroids), np.int64), key)
         index.append(rows, vector)
         return index
@@ -87,7 +88,8 @@ class VectorIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> VectorIndex:
         rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()  # at most 4096
-        index = cls(spark, path, np.array([r.centroid for r in rows]).reshape(len(rows), -1), np.zeros(len(rows)), np.zeros(len(rows), np.int64), rows[0].key if rows else "vec_id")
+        about = spark.read.parquet(f"{path}/about").first()
+        index = cls(spark, path, np.array([r.centroid for r in rows]).reshape(len(rows), about.dim), np.zeros(len(rows)), np.zeros(len(rows), np.int64), about.key)
         index._measure()
         return index
 

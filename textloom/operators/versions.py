@@ -11,10 +11,12 @@ two versions may differ; then all leaves do.
 from __future__ import annotations
 
 import bisect
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.operators import library
 from textloom.operators.splits import mark
@@ -48,6 +50,7 @@ class Version:
     path: str
     key: str
     borders: list
+    schema: T.StructType
     leaves_read: int = 0
 
     @classmethod
@@ -67,25 +70,26 @@ class Version:
             borders = known[step::step]
         else:
             borders = like.borders
-        spark.createDataFrame([(i, b) for i, b in enumerate(borders)], f"at int, border {kind}").coalesce(1).withColumn("key", F.lit(key)).write.parquet(f"{path}/borders")
+        spark.createDataFrame([(i, b) for i, b in enumerate(borders)], f"at int, border {kind}").coalesce(1).write.parquet(f"{path}/borders")
+        spark.createDataFrame([(key, rows.schema.json())], "key string, schema string").coalesce(1).write.parquet(f"{path}/about")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         placed = _leaf_of(rows, key, borders).repartitionByRange(parts, "__leaf", key)
         placed.write.partitionBy("__leaf").parquet(f"{path}/rows")
-        version = cls(spark, path, key, borders)
+        version = cls(spark, path, key, borders, rows.schema)
         stored = version.rows()
         whole = F.to_json(F.struct(*sorted(stored.columns)), {"ignoreNullFields": "false"})
         sums = [F.sum(F.xxhash64(F.lit(salt), whole).cast("decimal(38,0)")).alias(name) for salt, name in ((1, "a"), (2, "b"))]
-        level = version._stored().groupBy(F.col("__leaf").alias("node")).agg(F.count(F.lit(1)).alias("n"), *sums) if stored.columns else None
-        level = materialise(level, "digests")
+        level = materialise(version._stored().groupBy(F.col("__leaf").alias("node")).agg(F.count(F.lit(1)).alias("n"), *sums), "digests")
         for k in range(version.height):
             level.withColumn("level", F.lit(k)).coalesce(1).write.mode("append").partitionBy("level").parquet(f"{path}/digests")
             level = level.groupBy(F.floor(F.col("node") / FAN).cast("int").alias("node")).agg(*[F.sum(c).cast("decimal(38,0)" if c != "n" else "bigint").alias(c) for c in ("n", "a", "b")])
         return version
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, key: str) -> Version:
+    def load(cls, spark: SparkSession, path: str) -> Version:
         rows = spark.read.parquet(f"{path}/borders").orderBy("at").collect()  # one for each leaf
-        return cls(spark, path, key, [r.border for r in rows])
+        about = spark.read.parquet(f"{path}/about").first()
+        return cls(spark, path, about.key, [r.border for r in rows], T.StructType.fromJson(json.loads(about.schema)))
 
     @property
     def height(self) -> int:
@@ -96,7 +100,7 @@ class Version:
         return levels
 
     def _stored(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("__leaf", T.IntegerType())])).parquet(f"{self.path}/rows")
 
     def rows(self) -> DataFrame:
         return self._stored().drop("__leaf")
@@ -153,8 +157,9 @@ class Version:
         return both.select(F.coalesce(self.key, "__key").alias(self.key), change.alias("change"))
 
     def merged(self, other: Version) -> DataFrame:
-        """This version's rows, each missing value filled from the older version's row of the same key. As ``library.merge_versions`` of all rows, but rows of equal leaves, which have nothing to gain, aren't joined."""
-        a, b, leaves = self._both(other)
-        joined = library.merge_versions(a, b, self.key)
+        """This version's rows, each missing value filled from the older version's row of the same key, which must be one. As ``library.merge_versions`` of all rows, but rows of equal leaves, which have nothing to gain, aren't joined."""
+        leaves = sorted({0, *self.differing(other)})  # rows without a key have no partner even in an equal leaf
+        self.leaves_read = len(leaves)
+        joined = library.merge_versions(self._some(leaves), other._some(leaves), self.key)
         rest = self._some(sorted({*self._sizes()} - {*leaves}))
         return joined.unionByName(rest.select(*joined.columns))

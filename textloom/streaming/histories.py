@@ -117,7 +117,7 @@ def _run(rows: DataFrame, key: str, processor: _Kept, schema: str, out: str, pro
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     kept = rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
-    return kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
+    return kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(once=True).start()  # with timers, all that is available would never be done
 
 
 def document_blocks(spark: SparkSession, folder: str, out: str, progress: str, summarise: Callable[[str, str], str], keep_hours: float = 24 * 30):
