@@ -128,6 +128,24 @@ def test_first_seen_in_a_large_group_of_near_copies(spark):
     assert stars["count"] > 500
 
 
+def test_nearest_pairs_of_each():
+    kind = np.dtype([("a", "<i8"), ("b", "<i8"), ("apart", "<f8")])
+    rows = np.array([(1, 9, 0.3), (2, 9, 0.1), (3, 9, 0.2), (2, 9, 0.1), (4, 9, 0.2), (1, 8, 0.5), (1, 8, 0.5), (2, 8, 0.1)], kind)
+    best, more = token_index._nearest(rows, 2)
+    assert [(int(a), int(b)) for a, b, _ in best] == [(2, 8), (1, 8), (2, 9), (3, 9)] and more.tolist() == [9]
+    assert token_index._nearest(rows[:0], 2)[0].tolist() == []
+
+
+def test_what_the_nearest_leave_open_is_settled(spark, monkeypatch):
+    """Only one candidate each at first, and no hubs: the rest comes in the second round."""
+    sets = bounded_sets(random.Random(3), 200, words=60, low=20, high=40)
+    df = token_docs(spark, sets)
+    monkeypatch.setattr(dedup, "NEAREST", 1)
+    monkeypatch.setattr(dedup, "_labels", lambda nodes, percent: spark.createDataFrame([], "node bigint, label bigint"))
+    kept = {i for i in sets if not any(alike(sets[i], sets[j]) for j in range(i))}
+    assert {r.doc_id for r in dedup.first_seen(df).collect()} == kept
+
+
 def test_repeated_and_null_ids(spark):
     text = lambda *ranges: " ".join(f"t{k}" for r in ranges for k in r)
     a, near, other, third = text(range(20)), text(range(1, 21)), text(range(50, 80)), text(range(51, 80))

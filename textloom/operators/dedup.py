@@ -37,6 +37,8 @@ PERMUTATIONS = 256
 RECALL = 0.95
 #: Up to so many nodes their numbers are sent to all tasks, and up to so many words their outlines; more are joined.
 SENT_NODES, SENT_WORDS = 500_000, 8_000_000
+#: Smaller ones that a document is compared with first, for each task that has some.
+NEAREST = 4
 #: Members of a star that are compared at once, and how many tokens these may have.
 BLOCK, BLOCK_TOKENS = 256, 1 << 20
 
@@ -219,20 +221,20 @@ def _labels(nodes: Nodes, percent: int, rounds: int = 1) -> DataFrame:
     return labels
 
 
-def _met(nodes: Nodes, percent: int, mode: str, told: DataFrame, across: bool) -> DataFrame:
-    """Pairs of nodes (a < b) that an index brings together. ``told``: (node, open[, star]) of all nodes: pairs of open nodes with smaller ones, or ``across`` the stars."""
+def _met(nodes: Nodes, percent: int, mode: str, told: DataFrame, across: bool, few: int | None = None) -> DataFrame:
+    """Pairs of nodes (a < b) that an index brings together. ``told``: (node, open[, star]) of all nodes: pairs of open nodes with smaller ones, or ``across`` the stars; with ``few`` the nearest of each task."""
     spark = nodes.sets.sparkSession
-    few = nodes.count <= SENT_NODES
-    rows = nodes.tokens().join(F.broadcast(told) if few else told, "node")
+    small = nodes.count <= SENT_NODES
+    rows = nodes.tokens().join(F.broadcast(told) if small else told, "node")
     outlines = nodes.outlines()
     if mode == "lsh":
         bands, each = bands_and_rows(percent)
         parts = token_index.task_count(spark, nodes.count * bands)
-        return token_index.meeting(rows.mapInArrow(token_index.by_bands(bands, each, parts), "part bigint, raw binary"), parts, False, percent, outlines)
+        return token_index.meeting(rows.mapInArrow(token_index.by_bands(bands, each, parts), "part bigint, raw binary"), parts, False, percent, outlines, few)
     sent, bits = token_index.sent_table(nodes.tokens(), nodes.known.agg(F.sum("n")).first()[0] or 1)
-    chosen, postings = token_index.schemes(nodes.tokens(), sent, bits, percent, max(1, nodes.count), token_index.PAIR_COST if few else token_index.JOINED_PAIR_COST)
+    chosen, postings = token_index.schemes(nodes.tokens(), sent, bits, percent, max(1, nodes.count), token_index.PAIR_COST if small else token_index.JOINED_PAIR_COST)
     parts = token_index.task_count(spark, postings)
-    return token_index.meeting(rows.mapInArrow(token_index.by_prefixes(sent, bits, percent, chosen, parts, across), "part bigint, raw binary"), parts, across, percent, outlines)
+    return token_index.meeting(rows.mapInArrow(token_index.by_prefixes(sent, bits, percent, chosen, parts, across), "part bigint, raw binary"), parts, across, percent, outlines, few)
 
 
 def _within_stars(nodes: Nodes, stars: DataFrame, percent: int) -> DataFrame:
@@ -329,14 +331,19 @@ def similar_pairs(docs: DataFrame, percent: int = 80, mode: str = "exact", id_co
 def first_seen(docs: DataFrame, percent: int = 80, mode: str = "exact", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that no document of smaller id resembles.
 
-    A document goes as soon as one smaller is found: those with a hub are gone, and only the rest meets all smaller ones of its keys. So a large
-    group of near copies costs about its size, not its square.
+    A document goes as soon as one smaller is found: those with a hub are gone. The rest is compared with a few smaller ones of its keys, the nearest by their outlines,
+    and only what these don't settle with all of them. So a large group of near copies costs about its size, not its square.
     """
     nodes = _nodes(docs, id_col, text_col)
     labels = _labels(nodes, percent).select("node")
     told = nodes.known.select("node").join(labels.withColumn("gone", F.lit(True)), "node", "left").select("node", F.col("gone").isNull().alias("open"))
-    later = _confirmed(_met(nodes, percent, mode, told, False), nodes, percent).select(F.col("b").alias("node"))
-    gone = materialise(labels.union(later).distinct(), "gone")
+    met = materialise(_met(nodes, percent, mode, told, False, NEAREST), "met")
+    gone = materialise(labels.union(_confirmed(met, nodes, percent).select(F.col("b").alias("node"))).distinct(), "gone")
+    left = materialise(met.filter("more").select(F.col("b").alias("node")).distinct().join(gone, "node", "left_anti"), "unsettled")
+    if not left.isEmpty():
+        told = nodes.known.select("node").join(left.withColumn("left", F.lit(True)), "node", "left").select("node", F.col("left").isNotNull().alias("open"))
+        later = _confirmed(_met(nodes, percent, mode, told, False), nodes, percent).select(F.col("b").alias("node"))
+        gone = materialise(gone.union(later).distinct(), "gone")
     first = nodes.known.select("node", F.col("id").alias("first"))
     rows = nodes.members.join(first, "node").join(gone.withColumn("gone", F.lit(True)), "node", "left").select("id", (F.coalesce("gone", F.lit(False)) | (F.col("first") < F.col("id"))).alias("gone"))
     short = nodes.sets.filter("id is not null and k1 is null").select("id", F.lit(False).alias("gone"))

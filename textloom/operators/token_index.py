@@ -322,8 +322,11 @@ class Outlines:
         words = self.words[self.first[at][:, None] + np.arange(length)]
         return np.bitwise_or.reduce(words.reshape(len(at), length // to, to), axis=1)
 
-    def may_be_similar(self, a: np.ndarray, other: Outlines, b: np.ndarray, percent: int) -> np.ndarray:
-        """Which pairs (one from here, one of the others) are left by their sizes and by the bits in which their outlines differ, each of which is a token that they don't share."""
+    def may_be_similar(self, a: np.ndarray, other: Outlines, b: np.ndarray, percent: int, apart: np.ndarray | None = None) -> np.ndarray:
+        """Which pairs (one from here, one of the others) are left by their sizes and by the bits in which their outlines differ, each of which is a token that they don't share.
+
+        ``apart``, an array for all pairs, gets these bits as a share of both sizes.
+        """
         na, nb = self.n[a], other.n[b]
         fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (self.owner[a] != other.owner[b])
         shape = self.length[a] << 32 | other.length[b]
@@ -335,26 +338,57 @@ class Outlines:
                 part = some[at : at + step]
                 differ = np.bitwise_count(self._folded(a[part], la, to) ^ other._folded(b[part], lb, to)).sum(axis=1, dtype=np.int64)
                 fits[part] = (100 + percent) * differ <= (100 - percent) * (na[part] + nb[part])
+                if apart is not None:
+                    apart[part] = differ / (na[part] + nb[part])
         return fits
 
 
-def meeting(dealt: DataFrame, parts: int, across: bool, percent: int, outlines=None) -> DataFrame:
-    """The distinct pairs (a, b), a < b, that the postings bring together; with a broadcast of ``outlines`` only those that these leave."""
+def _nearest(pairs: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each b the few pairs whose outlines are nearest, and the b of which there are more."""
+    pairs = pairs[np.lexsort((pairs["apart"], pairs["a"], pairs["b"]))]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])
+    pairs = pairs[new]
+    pairs = pairs[np.lexsort((pairs["a"], pairs["apart"], pairs["b"]))]
+    first = np.ones(len(pairs), bool)
+    first[1:] = pairs["b"][1:] != pairs["b"][:-1]
+    starts = np.maximum.accumulate(np.where(first, np.arange(len(pairs)), 0))
+    kept = np.arange(len(pairs)) - starts < few
+    return pairs[kept], np.unique(pairs["b"][~kept])
+
+
+def meeting(dealt: DataFrame, parts: int, across: bool, percent: int, outlines=None, few: int | None = None) -> DataFrame:
+    """The distinct pairs (a, b), a < b, that the postings bring together; with a broadcast of ``outlines`` only those that these leave.
+
+    With outlines and ``few``, each task tells for each b no more than so many a, those of the nearest outlines, and in ``more`` whether there were others.
+    """
     kind = POSTING if across else PLAIN
+    found = np.dtype([("a", "<i8"), ("b", "<i8"), ("apart", "<f8")])
 
     def run(batches):
         held = [raw for batch in batches for raw in batch.column("raw").to_pylist()]
         rows = np.frombuffer(b"".join(held), kind)
         held.clear()
+        best, more = np.empty(0, found), np.empty(0, np.int64)
         for a, b in _pairs(rows, across):
             if outlines is not None:
-                fits = outlines.value.may_be_similar(a, outlines.value, b, percent)
-                a, b = a[fits], b[fits]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                apart = np.zeros(len(a))
+                fits = outlines.value.may_be_similar(a, outlines.value, b, percent, apart)
+                a, b, apart = a[fits], b[fits], apart[fits]
+                if few:
+                    new = np.empty(len(a), found)
+                    new["a"], new["b"], new["apart"] = a, b, apart
+                    best, others = _nearest(np.concatenate([best, new]), few)
+                    more = np.union1d(more, others)
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], ["a", "b", "more"])
+        if len(best):
+            yield pa.RecordBatch.from_arrays([pa.array(best["a"]), pa.array(best["b"]), pa.array(np.isin(best["b"], more))], ["a", "b", "more"])
         rows = a = b = None
         tidy()
 
-    return dealt.repartition(parts, "part").mapInArrow(run, "a bigint, b bigint").distinct()
+    met = dealt.repartition(parts, "part").mapInArrow(run, "a bigint, b bigint, more boolean")
+    return met.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def task_count(spark, postings: int) -> int:
