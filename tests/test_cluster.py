@@ -25,7 +25,7 @@ assert spark.read.parquet("kept").count() == 1
 assert storage.shared_dir(spark) == storage.shared_dir(spark)
 raw = spark.createDataFrame([("0", "module a(input x, output y);\\n  assign y = x;\\nendmodule\\nmodule b(input x, output y);\\n  assign y = ~x;\\n a u(x, y);\\nendmodule\\n")], "task_id string, text string")
 corpus = flows.preprocess(raw)
-assert {r.module_name for r in corpus.kept.collect()} == {"a", "b"}
+assert {r.module_name for r in corpus.kept.collect()} == {"a"} and corpus.metadata.count() == 2
 assert units.module_rows(raw).count() == 2 and raw.select(units.tidy("text")).count() == 1
 table = lines.line_table(raw, "task_id")
 short = table.filter("line_number < 4").selectExpr("file", "line_number", "cast('note' as string) AS content")

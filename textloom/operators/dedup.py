@@ -123,6 +123,7 @@ class Nodes:
     members: DataFrame
     count: int
     _outlines: object = None
+    _index: tuple | None = None
 
     def outlines(self):
         """A broadcast of all nodes' sizes and outlines if they take little, 64 MB at most; else nothing, and they are joined."""
@@ -131,6 +132,8 @@ class Nodes:
             table = table.take(np.argsort(table.column("node").to_numpy())).combine_chunks()  # numbers are dense, so a node's place is its number
             sent = token_index.Outlines.of(*(table.column(c).combine_chunks() for c in ("n", "owner", "outline")))
             self._outlines = self.sets.sparkSession.sparkContext.broadcast(sent)
+            del table, sent
+            memory.tidy()
         return self._outlines
 
     def tokens(self, *more: str) -> DataFrame:
@@ -231,8 +234,11 @@ def _met(nodes: Nodes, percent: int, mode: str, told: DataFrame, across: bool, f
         bands, each = bands_and_rows(percent)
         parts = token_index.task_count(spark, nodes.count * bands)
         return token_index.meeting(rows.mapInArrow(token_index.by_bands(bands, each, parts), "part bigint, raw binary"), parts, False, percent, outlines, few)
-    sent, bits = token_index.sent_table(nodes.tokens(), nodes.known.agg(F.sum("n")).first()[0] or 1)
-    chosen, postings = token_index.schemes(nodes.tokens(), sent, bits, percent, max(1, nodes.count), token_index.PAIR_COST if small else token_index.JOINED_PAIR_COST)
+    if nodes._index is None or nodes._index[0] != percent:
+        sent, bits = token_index.sent_table(nodes.tokens(), nodes.known.agg(F.sum("n")).first()[0] or 1)
+        nodes._index = (percent, sent, bits, *token_index.schemes(nodes.tokens(), sent, bits, percent, max(1, nodes.count), token_index.PAIR_COST if small else token_index.JOINED_PAIR_COST))
+        memory.tidy()
+    _, sent, bits, chosen, postings = nodes._index
     parts = token_index.task_count(spark, postings)
     return token_index.meeting(rows.mapInArrow(token_index.by_prefixes(sent, bits, percent, chosen, parts, across), "part bigint, raw binary"), parts, across, percent, outlines, few)
 

@@ -24,8 +24,8 @@ def merge_metadata(*tables: DataFrame) -> DataFrame:
 
 def ids_by_name(meta: DataFrame, name: str = "code_name", key: str = "task_id", per_list: int = 100_000) -> DataFrame:
     """The ids of each name in order: name, part, ids. A name of more than ``per_list`` ids has several parts, from 0, so no list grows with the corpus. Rows without an id are left out."""
-    at = numbered_within(meta.select(F.col(name).alias(name), F.col(key).alias("__id")).filter("__id is not null"), name, "__id", name="__at")
-    lists = at.withColumn("part", F.floor(F.col("__at") / per_list).cast("int")).groupBy(name, "part").agg(F.array_sort(F.collect_list("__id")).alias("ids"))
+    at = numbered_within(meta.select(F.col(name).alias(name), F.col(key).alias("item")).filter("item is not null"), name, "item", name="nth")
+    lists = at.withColumn("part", F.floor(F.col("nth") / per_list).cast("int")).groupBy(name, "part").agg(F.array_sort(F.collect_list("item")).alias("ids"))
     return lists.select(name, "part", "ids")
 
 

@@ -299,7 +299,7 @@ def q_round_robin_parts(spark, sf):
     return library.round_robin(_t(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
-@query("SELECT source, CAST(at // 100000 AS INT) AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS at FROM documents) GROUP BY 1, 2")
+@query("SELECT source, CAST(n // 100000 AS INT) AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) GROUP BY 1, 2")
 def q_source_ids(spark, sf):
     return library.ids_by_name(_t(spark, sf, "documents"), "source", "doc_id").select("source", "part", _joined("ids").alias("ids"))
 
