@@ -210,7 +210,7 @@ def test_passages_that_one_document_repeats(spark):
     for least in (51, 20):
         got = [tuple(r) for r in substring_dedup.repeated_passages(df, least, within=True).collect()]
         assert sorted(got) == sorted(brute_passages(rows, least, True))
-    assert {r[0] for r in got} >= {1, 2, 3, 5} and len(brute_passages(rows)) < len(brute_passages(rows, 51, True))
+    assert {r[0] for r in got} >= {1, 2, 3, 5} and {r[0] for r in brute_passages(rows)} == {2, 3}
     left = {r.doc_id: r.text for r in substring_dedup.without_repeats(df, within=True).collect()}
     assert left[1].count(passage) == 1 and left[2].count(other) == 1 and passage not in left[2] and left[4] == rows[3][1]
 
