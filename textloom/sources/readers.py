@@ -60,8 +60,8 @@ def _reader(spark: SparkSession, schema: str | None, damaged: str | None, **opti
     return reader
 
 
-#: Fields may hold line breaks and quotes, which are doubled.
-CSV = {"header": True, "multiLine": True, "escape": '"'}
+#: Fields may hold line breaks and quotes, which are doubled; a field without quotes that is empty is null, an empty one in quotes is not.
+CSV = {"header": True, "multiLine": True, "escape": '"', "nullValue": "\x00"}
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, damaged: str | None = None) -> DataFrame:
