@@ -1,6 +1,7 @@
 """The exact join of token sets: its index, its stars, awkward rows."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -219,3 +220,14 @@ def test_minhashes_estimate_similarity():
     b[:200] = a[:200]
     m = token_index.minhashes(np.concatenate([np.sort(a), np.sort(b)]), np.array([300, 300]), 1000)
     assert abs((m[0] == m[1]).mean() - 0.5) < 0.06
+
+
+def test_md5_signatures(spark):
+    """Against hashing word by word; a text is split and a word hashed once, so no plan repeats that for each permutation."""
+    from hashlib import md5
+
+    rows = [(1, "a b_1, a"), (2, ""), (3, None), (4, "-- é"), (5, " ".join(f"w{i}" for i in range(3000))), (6, "b_1"), (7, "xéy")]
+    out = dedup.md5_signatures(spark.createDataFrame(rows, "doc_id bigint, text string"), 5)
+    words = {i: set(re.findall("[A-Za-z0-9_]+", t or "")) for i, t in rows}
+    assert {r.id: r.sig for r in out.collect()} == {i: [min(md5(f"{x}:{s}".encode()).hexdigest() for x in w) for s in range(1, 6)] for i, w in words.items() if w}
+    assert "split" not in out._jdf.queryExecution().optimizedPlan().toString()
