@@ -53,19 +53,35 @@ class FilesWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, _ = pafs.FileSystem.from_uri(self.path)
         made, files, size = set(), 0, 0
-        for batch in iterator:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for file, body in zip(batch.column("file").to_pylist(), texts, strict=True):
-                at = f"{self.staging}/{file}"
-                folder = at.rpartition("/")[0]
-                if folder not in made:
-                    fs.create_dir(folder, recursive=True)
-                    made.add(folder)
-                part = f"{at}.{uuid.uuid4().hex}.part"
-                with fs.open_output_stream(part) as f:
-                    f.write(body or b"")
-                fs.move(part, at)
-                files, size = files + 1, size + len(body or b"")
+        now = part = out = None
+
+        def done():
+            if out is not None:
+                out.close()
+                fs.move(part, f"{self.staging}/{now}")
+
+        try:
+            for batch in iterator:
+                texts = batch.column("text").cast(pa.binary())
+                for file, body in zip(batch.column("file").to_pylist(), texts, strict=True):
+                    if file != now:
+                        done()
+                        now, files = file, files + 1
+                        at = f"{self.staging}/{file}"
+                        folder = at.rpartition("/")[0]
+                        if folder not in made:
+                            fs.create_dir(folder, recursive=True)
+                            made.add(folder)
+                        part = f"{at}.{uuid.uuid4().hex}.part"
+                        out = fs.open_output_stream(part)
+                    body = body.as_py() or b""
+                    out.write(body)
+                    size += len(body)
+            done()
+            out = None
+        finally:
+            if out is not None and not out.closed:
+                out.close()
         return Written(files, size)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -109,6 +125,6 @@ def register(spark: SparkSession) -> None:
 
 
 def write_files(rows: DataFrame, path: str) -> None:
-    """Rows (file, text), each name once, to a file each."""
+    """Rows (file, text) to a file each; rows of one name follow each other in one task and are its pieces."""
     register(rows.sparkSession)
     rows.select("file", "text").write.format(FORMAT).mode("overwrite").save(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,9 +78,20 @@ def problems(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_map(spark: SparkSession, path: str, value_schema: str = schemas.METADATA_MAP, key: str = "task_id") -> DataFrame:
-    """A JSON object keyed by id: one row per key."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", value_schema)).alias(key, "s"))
-    return rows.select(key, "s.*")
+    """JSON objects keyed by id: one row per key. A file is one object, or has an object in each line, as its first line tells; the latter is read line by line."""
+    where = F.col("_metadata.file_path").alias("p")
+    rows = spark.read.text(path).select("value", where, F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("at"))
+    first = rows.filter("s = 0 and trim(value) <> ''").groupBy("p").agg(F.min_by("value", "at").alias("v"))
+    first = first.select("p", F.expr("coalesce(schema_of_variant(try_parse_json(v)) like 'OBJECT%', false)").alias("lines"))
+    counts = {r.lines: r["count"] for r in first.groupBy("lines").count().collect()}
+    read = lambda whole: spark.read.text(path, wholetext=whole).select("value", where)
+    if len(counts) < 2:
+        rows = read(not counts.get(True))
+    else:  # names of files, of which Spark knows all in any case
+        few = counts[True] < counts[False]
+        named = [r.p for r in first.filter(F.col("lines") == few).select("p").collect()]
+        rows = read(not few).filter(F.col("p").isin(named)).union(read(few).filter(~F.col("p").isin(named)))
+    return rows.select(F.explode(F.from_json("value", value_schema)).alias(key, "s")).select(key, "s.*")
 
 
 def _decoded(c: Column) -> Column:
@@ -87,18 +99,32 @@ def _decoded(c: Column) -> Column:
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
+#: Where ``writers.csv_lines`` puts the lines of many files together.
+PACKED = "layout=packed"
+
+
 def csv_lines(spark: SparkSession, path: str, schema: str = schemas.CSV_LINES, damaged: str | None = None) -> DataFrame:
-    """Line tables in CSV, a folder file=<name> (what ``writers.csv_lines`` writes) or a file <name>.csv for each file, with its name in ``file``; the word for no comment becomes null.
+    """Line tables in CSV: what ``writers.csv_lines`` writes, packed or in a folder file=<name>, or a file <name>.csv for each file, with its name in ``file``; the word for no comment becomes null.
 
     Folders stand for null and empty names alike, which come back as null.
     """
     where = F.col("_metadata.file_path")
-    rows = _reader(spark, schema, damaged, **CSV, recursiveFileLookup=True).csv(path).select("*", where.alias("__path"))
+    rows = _reader(spark, schema, damaged, **CSV, recursiveFileLookup=True).csv(path).select("*", where.alias("__path")).filter(~F.contains("__path", F.lit(f"/{PACKED}/")))
     # the path is encoded once as such, and the folder's name once more by the writer
     folder = _decoded(_decoded(F.regexp_extract("__path", "/file=([^/]*)/[^/]*$", 1)))
     name = F.regexp_replace(_decoded(F.regexp_extract("__path", "([^/]*)$", 1)), r"\.csv$", "")
     file = F.when(F.col("__path").rlike("/file=[^/]*/[^/]*$"), F.when(folder != "__HIVE_DEFAULT_PARTITION__", folder)).otherwise(name)
-    return rows.withColumns({"file": file, "content": F.when(F.col("content") != X.NO_COMMENT, F.col("content"))}).drop("__path")
+    content = F.when(F.col("content") != X.NO_COMMENT, F.col("content"))
+    rows = rows.withColumns({"file": file, "content": content}).drop("__path")
+    if path.endswith(".csv"):
+        return rows
+    try:
+        packed = _reader(spark, f"{schema}, file STRING", damaged, **CSV).csv(f"{path.rstrip('/')}/{PACKED}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return rows
+    return rows.unionByName(packed.withColumn("content", content))
 
 
 def embeddings_csv(spark: SparkSession, path: str, damaged: str | None = None) -> DataFrame:
