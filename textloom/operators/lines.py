@@ -8,8 +8,9 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import alignment, splitting
+from textloom.functions import alignment, splitting, word_runs
 from textloom.functions import text as X
+from textloom.functions.memory import tidy
 from textloom.operators.names import first_lines
 from textloom.session import ship
 from textloom.storage import materialise
@@ -107,27 +108,38 @@ def _windows(text: Column, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))
 
 
-def _at_borders(text: Column, size: int, overlap: int) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(texts):
-        import pandas as pd
+def _at_borders(rows: DataFrame, text_col: str, size: int, overlap: int, idx: str, chunk: str, whole: bool = False) -> DataFrame:
+    """The rows with each of their chunks: the other columns, with ``whole`` the text too, idx, chunk. A task cuts about a megabyte of text at a time."""
+    kept = [c for c in rows.columns if whole or c != text_col]
+    kinds = dict(rows.dtypes)
 
-        return pd.Series([None if t is None else splitting.chunks(t, size, overlap) for t in texts], dtype=object)
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for at, texts in word_runs.pieces(b.column(text_col), 1 << 20):
+                cut = [splitting.chunks(t, size, overlap) for t in texts.to_pylist()]
+                of = pa.array([at + i for i, c in enumerate(cut) for _ in c], pa.int64())
+                nth, found = pa.array([k for c in cut for k in range(len(c))], pa.int32()), pa.array([x for c in cut for x in c], pa.string())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in kept), nth, found], [*kept, idx, chunk])
+        tidy()
 
-    ship()
-    return run(text)
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), f"`{idx}` int", f"`{chunk}` string"]))
 
 
 def bordered_chunks(rows: DataFrame, key: str, text_col: str, size: int, overlap: int) -> DataFrame:
     """Chunks of up to ``size`` characters that end at paragraphs, lines or words where they can: key, chunk_idx, chunk."""
-    return rows.select(key, F.posexplode(_at_borders(F.col(text_col), size, overlap)).alias("chunk_idx", "chunk"))
+    return _at_borders(rows.select(key, F.col(text_col).alias("__text")), "__text", size, overlap, "chunk_idx", "chunk")
 
 
 def parent_chunks(rows: DataFrame, key: str, text_col: str, large: tuple[int, int] = (400, 100), small: tuple[int, int] = (100, 30), borders: bool = True) -> DataFrame:
     """Small chunks with the large chunk that each belongs to: key, large_idx, small_idx, large, small. Without ``borders`` they are windows of so many characters."""
-    cut = _at_borders if borders else _windows
-    big = rows.select(key, F.posexplode(cut(F.col(text_col), *large)).alias("large_idx", "large"))
-    return big.select(key, "large_idx", "large", F.posexplode(cut(F.col("large"), *small)).alias("small_idx", "small"))
+    if borders:
+        big = _at_borders(rows.select(key, F.col(text_col).alias("__text")), "__text", *large, "large_idx", "large")
+        return _at_borders(big, "large", *small, "small_idx", "small", whole=True).select(key, "large_idx", "large", "small_idx", "small")
+    big = rows.select(key, F.posexplode(_windows(F.col(text_col), *large)).alias("large_idx", "large"))
+    return big.select(key, "large_idx", "large", F.posexplode(_windows(F.col("large"), *small)).alias("small_idx", "small"))
 
 
 def running_history(blocks: DataFrame, summarise=None) -> DataFrame:
