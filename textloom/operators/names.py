@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators.joins import splittable_join
 
 #: What identifiers are made of, and begin with.
 INSIDE, BEGIN = "A-Za-z0-9_$", "A-Za-z_$"
@@ -29,14 +30,24 @@ def _longest(found: Column) -> Column:
     return F.aggregate(found, F.lit(None).cast("string"), lambda best, x: F.when(best.isNull() | (F.length(x) > F.length(best)), x).otherwise(best))
 
 
+#: Slots of the filters of wanted identifiers: of all texts, and of one file.
+SLOTS, FILE_SLOTS = 1 << 20, 1 << 12
+
+
+def _slot(c: Column | str, slots: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(slots)).cast("int")
+
+
 def mentions(texts: DataFrame, names: DataFrame, on: str, *keys: str, text: str = "text", name: str = "name") -> DataFrame:
     """The distinct (on, keys, name) for names that stand in a text with the same ``on``; ``on`` and ``keys`` tell the texts apart.
 
-    Names meet texts by their longest identifier. A name that is more than one identifier is then looked for in the texts that it met. Null
+    Names meet texts by their longest identifier; identifiers of which a filter tells that no name has them are not shuffled. A name that is more than one identifier is then looked for in the texts that it met. Null
     texts hold nothing; names without an identifier, and null ones, stand nowhere.
     """
     found = texts.select(on, *keys, F.explode(identifiers(text)).alias("__found"))
     wanted = names.select(on, F.col(name).alias("__name")).distinct().withColumn("__found", _longest(identifiers("__name"))).filter("__found is not null")
+    some = wanted.select(_slot("__found", SLOTS).alias("__slot")).distinct()  # at most SLOTS rows
+    found = found.withColumn("__slot", _slot("__found", SLOTS)).join(F.broadcast(some), "__slot", "left_semi").drop("__slot")
     met = found.distinct().join(wanted, [on, "__found"])
     plain = F.col("__name") == F.col("__found")
     more = met.filter(~plain).select(on, *keys, "__name").join(texts.select(on, *keys, F.col(text).alias("__text")), [on, *keys])
@@ -49,9 +60,14 @@ def first_lines(snippets: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
 
     A snippet meets lines by that of its identifiers which the fewest lines of the file have. Snippets of punctuation alone are compared with all lines of their file.
     """
-    found = lines.select("file", "line_number", F.explode(identifiers("content")).alias("__found"))
-    often = found.groupBy("file", "__found").agg(F.count(F.lit(1)).alias("__n"))
     asked = snippets.select("file", *keys, "snippet").distinct()
+    # lines meet a filter of what the snippets of their file ask for, so that other identifiers are not shuffled
+    wanted = asked.select("file", F.explode(identifiers("snippet")).alias("__found")).select("file", _slot("__found", FILE_SLOTS).alias("__slot")).distinct()
+    wanted = wanted.groupBy("file").agg(F.collect_list("__slot").alias("__slots"))  # at most FILE_SLOTS each
+    rows = splittable_join(lines.select("file", "line_number", "content"), wanted, "file")
+    known = F.filter(identifiers("content"), lambda x: F.array_contains(F.col("__slots"), _slot(x, FILE_SLOTS)))
+    found = rows.select("file", "line_number", F.explode(known).alias("__found"))
+    often = found.groupBy("file", "__found").agg(F.count(F.lit(1)).alias("__n"))
     each = asked.select("*", F.explode(identifiers("snippet")).alias("__found")).join(often, ["file", "__found"], "left")
     rarest = each.groupBy("file", *keys, "snippet").agg(F.min_by("__found", F.struct(F.coalesce("__n", F.lit(0)), "__found")).alias("__found"))
     met = rarest.join(found, ["file", "__found"]).drop("__found").join(lines.select("file", "line_number", "content"), ["file", "line_number"])
