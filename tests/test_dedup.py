@@ -231,3 +231,25 @@ def test_md5_signatures(spark):
     words = {i: set(re.findall("[A-Za-z0-9_]+", t or "")) for i, t in rows}
     assert {r.id: r.sig for r in out.collect()} == {i: [min(md5(f"{x}:{s}".encode()).hexdigest() for x in w) for s in range(1, 6)] for i, w in words.items() if w}
     assert "split" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_more_nodes_than_are_sent(spark, monkeypatch, tmp_path):
+    """Pairs are still dropped where they are made, by mapped outlines, and tokens get their nodes once."""
+    rng = random.Random(8)
+    base = [set(rng.sample(range(4000), rng.randint(15, 60))) for _ in range(20)]
+    sets = {i: (x := rng.choice(base)) - set(rng.sample(sorted(x), rng.randint(0, len(x) // 5))) for i in range(100)}
+    for name in ("SENT_NODES", "SENT_WORDS"):
+        monkeypatch.setattr(dedup, name, 10)
+    nodes = dedup._nodes(token_docs(spark, sets), "doc_id", "text")
+    assert isinstance(nodes.outlines().value, token_index.MappedOutlines)
+    assert nodes.tokens() is nodes.tokens()
+    table = nodes.known.select("node", "n", F.xxhash64("id").alias("owner"), "outline")
+    mapped = token_index.map_outlines(table, str(tmp_path / "o"), nodes.count, 4)
+    rows = table.orderBy("node").toArrow().combine_chunks()
+    held = token_index.Outlines.of(*(rows.column(c).combine_chunks() for c in ("n", "owner", "outline")))
+    a, b = (x.reshape(-1) for x in np.meshgrid(np.arange(nodes.count), np.arange(nodes.count)))
+    apart = np.zeros((2, len(a)))
+    assert (mapped.may_be_similar(a, mapped, b, 80, apart[0]) == held.may_be_similar(a, held, b, 80, apart[1])).all() and (apart[0] == apart[1]).all()
+    assert len(mapped.files) > 1
+    gone = {i for i in sets for k in range(i) if len(sets[i]) >= 10 and len(sets[k]) >= 10 and alike(sets[i], sets[k])}
+    assert {r.doc_id for r in dedup.first_seen(token_docs(spark, sets)).collect()} == set(sets) - gone
