@@ -7,9 +7,11 @@ import random
 import re
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -265,6 +267,48 @@ def test_language_model(spark, docs, no_docs):
         assert lm.train_and_score(no_docs, **options).count() == 0
 
 
+def test_a_language_model_that_no_worker_holds_moves_runs_once(spark):
+    """What is stored for it in the shared folder is less than the texts."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(3000))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    at = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    stored = lambda: sum(p.stat().st_size for p in at.rglob("*") if p.is_file())
+    before = stored()
+    got = lm.train_and_score(df).collect()
+    assert len(got) == 100 and stored() - before < sum(len(t) for _, t in rows)
+    sent = same_scores(lm.train_and_score(df, broadcast_bytes=1 << 29).collect(), brute_lm(rows))
+    assert same_scores(got, brute_lm(rows)) == pytest.approx(sent, rel=1e-12)
+    # what is dealt takes less than five bytes for each distinct run, beside the words
+    batch = pa.RecordBatch.from_pydict({"text": [t for _, t in rows], "learned": [i % 7 > 0 for i, _ in rows]})
+    out = pa.Table.from_batches(lm._dealt(32)(iter([batch])))
+    runs = {tuple(w[k : k + n]) for _, t in rows for w in [[*t.split(), None]] for n in (2, 3) for k in range(len(w) - n + 1)}
+    assert sum(len(x) for c in ("runs", "run_n") for x in out.column(c).to_pylist()) < 5 * len(runs)
+
+
+def test_language_model_of_rows_that_come_in_another_order_when_read_again(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(20))) for i in range(60)] + [(7, None), (None, "w1 w2")]
+
+    def dealt(batches):
+        for b in batches:
+            yield b.append_column("to", pa.array([random.SystemRandom().randrange(1000) for _ in range(b.num_rows)], pa.int64()))
+
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").mapInArrow(dealt, "doc_id bigint, text string, to bigint").repartition(3, "to").drop("to")
+    same_scores(lm.train_and_score(df).collect(), brute_lm(rows))
+
+
+def test_numbers_and_sorted_hashes_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 1000):
+        for low, high in ((4, 256), (6, 1), (6, 2049)):
+            v = np.sort(rng.integers(0, high << 8 * low, n, dtype=np.uint64))
+            assert (lm._unsqueezed(memoryview(lm._squeezed(v, low, high)), low, high) == v).all()
+        for widths in (lm.DEALT_BITS, lm.COUNT_BITS, lm.LEVEL_BITS):
+            x = np.minimum(rng.integers(0, 2**rng.integers(1, 62, n)), 255 if widths[-1] == 8 else 1 << 62)
+            assert (lm._unsmall(memoryview(lm._small(x, *widths)), n, *widths) == x).all()
+
+
 def test_language_model_of_a_word_that_follows_every_other(spark):
     rows = [(i, " ".join(f"x{k} the" for k in range(i * 5000, i * 5000 + 5000))) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)

@@ -41,3 +41,8 @@ def mapped(uri: str) -> pa.Buffer:
 def size(uri: str) -> int:
     fs, path = _open(uri)
     return fs.get_file_info(path).size
+
+
+def there(uri: str) -> bool:
+    fs, path = _open(uri)
+    return fs.get_file_info(path).type == pafs.FileType.File
