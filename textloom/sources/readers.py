@@ -15,6 +15,10 @@ from textloom.sources import schemas
 SUFFIXES = {"verilog": ("v", "sv", "vh"), "hls": ("c", "cpp", "h", "hpp")}
 
 
+#: Where writers put what belongs to many files together.
+PACKED = "layout=packed"
+
+
 def dataset(spark: SparkSession, path: str) -> DataFrame:
     """A saved dataset (a folder of Parquet files)."""
     return spark.read.parquet(path)
@@ -33,7 +37,26 @@ def flat_directory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def code_tree(spark: SparkSession, path: str, language: str = "verilog", sidecars: bool = True) -> DataFrame:
-    """Code files below a folder: file, name (stem), genre (folders joined by ", "), text, and the text beside it (<stem>.txt) or null."""
+    """Code files below a folder: file, name (stem), genre (folders joined by ", "), text, and the text beside it (<stem>.txt) or null. They are files of their own, or what ``writers.documented_package`` packed."""
+    packed = _packed_tree(spark, path, language)
+    rows = _file_tree(spark, path, language, sidecars)
+    return rows if packed is None else rows.unionByName(packed if sidecars else packed.drop("sidecar"))
+
+
+def _packed_tree(spark: SparkSession, path: str, language: str) -> DataFrame | None:
+    try:
+        rows = spark.read.schema("file string, text string, sidecar string").parquet(f"{path.rstrip('/')}/{PACKED}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    folders, file = F.split("file", "/"), F.element_at(F.split("file", "/"), -1)
+    genre = F.array_join(F.slice(folders, F.lit(1), F.size(folders) - 1), ", ")
+    place = F.concat(F.lit(path.rstrip("/") + "/"), "file")
+    return with_suffix(rows, language).select(place.alias("path"), file.alias("file"), X.stem(file).alias("name"), genre.alias("genre"), "text", "sidecar")
+
+
+def _file_tree(spark: SparkSession, path: str, language: str, sidecars: bool) -> DataFrame:
     glob = "*.{" + ",".join(SUFFIXES[language]) + "}"
     read = lambda g: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", g).load(path)
     place = F.element_at(F.split(F.col("path"), F.lit("/" + path.rstrip("/").rpartition("/")[2] + "/"), 2), -1)
@@ -99,10 +122,6 @@ def _decoded(c: Column) -> Column:
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-#: Where ``writers.csv_lines`` puts the lines of many files together.
-PACKED = "layout=packed"
-
-
 def csv_lines(spark: SparkSession, path: str, schema: str = schemas.CSV_LINES, damaged: str | None = None) -> DataFrame:
     """Line tables in CSV: what ``writers.csv_lines`` writes, packed or in a folder file=<name>, or a file <name>.csv for each file, with its name in ``file``; the word for no comment becomes null.
 
